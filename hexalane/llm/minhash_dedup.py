@@ -63,6 +63,8 @@ def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+#: Further leaders that each mixed bucket tries before its components are compared member by member.
+LEADERS = 2
 SKETCH = "id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
@@ -144,6 +146,27 @@ def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").join(wanted, "id", "left_semi")
 
 
+def _untried(held: DataFrame, label: DataFrame, tried: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Members ``(key, rep)`` of the buckets that hold several components, and new pairs to verify across components.
+
+    In the first turns a bucket pairs its members with one more leader, drawn by
+    hash: in a large group of copies each member meets another leader in every
+    bucket, so nearly all join the group's component at a cost linear in its size.
+    The last turn pairs what is left: each member with the members of the other
+    components of its bucket.
+    """
+    now = held.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    drawn = F.struct(F.xxhash64("rep", "key", F.lit(turn)), "rep", "c")
+    mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(drawn).alias("lead")).where("c0 <> c1").select("key", F.col("lead.rep").alias("lead"), F.col("lead.c").alias("lead_c"))
+    now = materialise(now.join(mixed, "key"), "mixed")
+    if turn < LEADERS:
+        pairs = now.where("c <> lead_c").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
+    else:
+        x, y = now.alias("x"), now.alias("y")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    return now.select("key", "rep"), materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
     """``(id, n_shingles, component_id)`` per input row.
 
@@ -164,30 +187,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = classes.select("rep", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(keys.join(buckets, "key"), "members")
-    pairs = materialise(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    involved = members.select(F.col("rep").alias("id")).distinct()
-    texts = materialise(_texts(docs, involved, id_col, text_col), "texts")
-    links = materialise(_verify(pairs, texts, percent), "links")
+    tried = materialise(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    texts = materialise(_texts(docs, members.select(F.col("rep").alias("id")).distinct(), id_col, text_col), "texts")
+    links = materialise(_verify(tried, texts, percent), "links")
     # an id in several classes links them
     several = materialise(full.groupBy("id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("id"), "several")
     if not several.isEmpty():
         of_id = full.join(several, "id").join(classes.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).select("id", "rep")
         lowest = of_id.groupBy("id").agg(F.min("rep").alias("u"))
         links = links.unionByName(of_id.join(lowest, "id").where("rep <> u").select("u", F.col("rep").alias("v")))
-    found = materialise(links, "found")
-    first = components(found)
-    # buckets with more than one component: pairs across components that were not tried
-    held = members.where("n > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    mixed = held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    held = materialise(held.join(mixed, "key").select("key", "rep", "lead", "c"), "mixed")
-    x, y = held.where("rep <> lead").alias("x"), held.where("rep <> lead").alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    across = materialise(across.join(pairs, ["a", "b"], "left_anti"), "across")
-    late = _verify(across, texts, percent)
-    label = materialise(components(found.unionByName(late)), "labels")
+    label = components(links)
+    # buckets that still hold several components: other leaders first, then whatever is left across components
+    held = members.where("n > 2").select("key", "rep")
+    for turn in range(LEADERS + 1):
+        held, pairs = _untried(held, label, tried, turn)
+        if pairs.isEmpty():
+            if turn < LEADERS:
+                continue
+            break
+        more = materialise(_verify(pairs, texts, percent), "links")
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(more)
+        if not more.isEmpty():
+            label = components(links)
     by_class = classes.select("d1", "d2", "n_shingles", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     hit = full.join(by_class, ["d1", "d2", "n_shingles"]).select("id", "n_shingles", "component_id")
     rest = rows_.where("id is null or n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    for spent in (members, pairs, texts, held, across, found):
-        drop_path(docs.sparkSession, spent)
+    drop_path(docs.sparkSession, texts)
     return hit.unionByName(rest)

@@ -7,7 +7,7 @@ and derives the contract's columns from the operator's output.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, minhash_dedup, packing, quality_rules, secret_scan, toxicity
+from . import ann, line_crf, minhash_dedup, nbest, packing, pii, quality_rules, secret_scan, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(spark, warc.archive(_table(spark, sf_dir, "pages")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,30 @@ def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines", "n_bad_lines")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.search(vectors, vectors.where(F.col("id") % 20 == 0), k=20)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(_table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = pii.digest(F.col("base"))
+    spans = pii.digest(F.concat("base", F.array_sort(F.col("extra"))))
+    return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op10_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the three best segmentations of each whole text, and whether the best one decodes to the text."""
+    model = nbest.load(nbest.MODEL)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = nbest.decode(nbest.encode(docs, model, n=3), model)
+    return coded.select("doc_id", "rank", "score", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_minhash_dedup, op2_quality_rules, op3_toxicity, op5_best_fit_packing, op6_secret_scan, op7_line_crf]
+    own = [op1_minhash_dedup, op2_quality_rules, op3_toxicity, op4_warc, op5_best_fit_packing, op6_secret_scan, op7_line_crf, op8_ann, op9_pii, op10_nbest]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
@@ -83,5 +111,17 @@ GROUP BY d.doc_id, n.n
 """
 
 
+OP4 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+SELECT d.page_id, cast(d.n AS bigint) AS payload_bytes, d.h AS payload_digest,
+       CASE WHEN f.first IS NULL OR f.first = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
+FROM d LEFT JOIN f ON f.h = d.h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1}
+    return {"op1_minhash_dedup": OP1, "op4_warc": OP4}
