@@ -11,11 +11,12 @@ Steps, all as Spark jobs:
 1. one pass over the texts: shingle set, set digest and band keys of each row;
 2. rows of equal sets become one class (its smallest id stands for it);
 3. every band bucket with two or more classes pairs each member with the
-   bucket's smallest member only, never all with all;
+   bucket's most central member only, never all with all;
 4. pairs are verified on full shingle sets (``100 * |A & B| >= 75 * |A | B|``);
-5. buckets that still hold several components are looked at again: only pairs
-   across components are new candidates, so a large group of copies, which is
-   one component by now, costs nothing more;
+5. buckets that still hold several components are looked at again: members
+   outside the main component meet a few more of its members, and what is still
+   apart is compared in blocks, through an index of shingles; a large group of
+   copies, which is one component by now, costs nothing more;
 6. connected components of all links.
 """
 
@@ -63,8 +64,10 @@ def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-#: Further leaders that each mixed bucket tries before its components are compared member by member.
+#: Further leaders that each mixed bucket tries before its components are compared in blocks.
 LEADERS = 2
+#: Shingles per place when components are compared in blocks: 24 MB of index.
+PLACE_SHINGLES = 1_000_000
 SKETCH = "id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
@@ -146,25 +149,84 @@ def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").join(wanted, "id", "left_semi")
 
 
-def _untried(held: DataFrame, label: DataFrame, tried: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Members ``(key, rep)`` of the buckets that hold several components, and new pairs to verify across components.
+def _mixed(held: DataFrame, label: DataFrame) -> DataFrame:
+    """``key, rep, degree, n_shingles, c, main`` of the buckets that hold several components; ``main`` is that of the most central member."""
+    now = held.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "degree", "n_shingles", F.coalesce("component", "rep").alias("c"))
+    mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.struct("degree", "rep", "c")).alias("top")).where("c0 <> c1").select("key", F.col("top.c").alias("main"))
+    return materialise(now.join(mixed, "key"), "mixed")
 
-    In the first turns a bucket pairs its members with one more leader, drawn by
-    hash: in a large group of copies each member meets another leader in every
-    bucket, so nearly all join the group's component at a cost linear in its size.
-    The last turn pairs what is left: each member with the members of the other
-    components of its bucket.
+
+def _leads(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a member of the bucket's main component, drawn by hash, and each member of the others."""
+    drawn = mixed.where("c = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)), "rep")).alias("lead")).select("key", F.col("lead.rep").alias("a"))
+    return mixed.where("c <> main").join(drawn, "key").select("a", F.col("rep").alias("b")).distinct()
+
+
+def _verify_blocks(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links ``(u, v)`` across components among the members of mixed buckets, found in blocks; no pair is ever a row.
+
+    Members of the buckets with one main component form a group.  Those of other
+    components are its queries; every pair across components that shares a bucket
+    holds at least one.  A group's members are dealt to places of about
+    ``PLACE_SHINGLES`` shingles, its queries go to each place, and a place counts
+    common shingles through an index of its members.
     """
-    now = held.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    drawn = F.struct(F.xxhash64("rep", "key", F.lit(turn)), "rep", "c")
-    mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(drawn).alias("lead")).where("c0 <> c1").select("key", F.col("lead.rep").alias("lead"), F.col("lead.c").alias("lead_c"))
-    now = materialise(now.join(mixed, "key"), "mixed")
-    if turn < LEADERS:
-        pairs = now.where("c <> lead_c").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
-    else:
-        x, y = now.alias("x"), now.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    return now.select("key", "rep"), materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    member = mixed.groupBy("main", "rep").agg(F.first("c").alias("c"), F.first("n_shingles").alias("n_shingles"))
+    places = member.groupBy("main").agg(F.ceil(F.sum("n_shingles") / PLACE_SHINGLES).cast("int").alias("places"))
+    member = materialise(member.join(places, "main"), "members")
+    node = member.select("main", F.pmod(F.xxhash64("rep"), F.col("places")).cast("int").alias("place"), F.lit(0).alias("role"), "rep", "c")
+    query = member.where("c <> main").select("main", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(1).alias("role"), "rep", "c")
+    rows = node.unionByName(query).join(texts.withColumnRenamed("id", "rep"), "rep").select("main", "place", "role", "rep", "c", "text")
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = rows.repartition(slots, "main", "place").sortWithinPartitions("main", "place", "role")
+
+    def run(batches):
+        powers, key, block = Powers(), None, None
+        for batch in batches:
+            mains, places, roles, reps, comps = (batch.column(i).to_pylist() for i in range(5))
+            data, offsets = text_buffers(batch.column(5))
+            out = []
+            for x, y in blocks(offsets):
+                words = Words(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], powers, fold=LOWER)
+                for i, s in enumerate(shingle_sets(words, SHINGLE), x):
+                    if key != (mains[i], places[i]):
+                        key, block = (mains[i], places[i]), _Block()
+                    if roles[i] == 0:
+                        block.add(s, reps[i], comps[i])
+                    else:
+                        out += [(reps[i], v) for v in block.links(s, comps[i], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
+
+    return ready.mapInArrow(run, "u long, v long")
+
+
+class _Block:
+    """Shingle sets of a place, and an index from shingle to sets."""
+
+    def __init__(self):
+        self.sets, self.reps, self.comps, self.index = [], [], [], None
+
+    def add(self, shingles, rep, component):
+        self.sets.append(shingles)
+        self.reps.append(rep)
+        self.comps.append(component)
+
+    def links(self, shingles, component, percent):
+        """One member of each other component that reaches ``percent``."""
+        if not self.sets:
+            return []
+        if self.index is None:
+            sizes = np.array([len(s) for s in self.sets])
+            flat = np.concatenate(self.sets)
+            order = np.argsort(flat, kind="stable")
+            self.index = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes, np.array(self.comps), np.array(self.reps)
+        flat, owner, sizes, comps, reps = self.index
+        low, high = np.searchsorted(flat, shingles, "left"), np.searchsorted(flat, shingles, "right")
+        n = high - low
+        both = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sizes))
+        hit = np.flatnonzero((100 * both >= percent * (len(shingles) + sizes - both)) & (both > 0) & (comps != component))
+        _, first = np.unique(comps[hit], return_index=True)
+        return reps[hit[first]].tolist()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
@@ -183,13 +245,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = rows_.where("id is not null and n_shingles > 0")
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("bands").alias("bands"))
     classes = materialise(classes, "classes")
-    # buckets of two classes or more; the smallest class leads
-    keys = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # buckets of two classes or more; the class that meets most others leads: less altered copies meet more of a group
+    keys = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(keys.join(buckets, "key"), "members")
-    tried = materialise(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    central = members.groupBy("rep").agg(F.sum("n").alias("degree"))
+    members = materialise(members.join(central, "rep"), "members")
+    leads = members.groupBy("key").agg(F.max(F.struct("degree", "rep")).alias("lead")).select("key", F.col("lead.rep").alias("a"))
+    pairs = materialise(members.join(leads, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
     texts = materialise(_texts(docs, members.select(F.col("rep").alias("id")).distinct(), id_col, text_col), "texts")
-    links = materialise(_verify(tried, texts, percent), "links")
+    links = materialise(_verify(pairs, texts, percent), "links")
     # an id in several classes links them
     several = materialise(full.groupBy("id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("id"), "several")
     if not several.isEmpty():
@@ -197,18 +262,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lowest = of_id.groupBy("id").agg(F.min("rep").alias("u"))
         links = links.unionByName(of_id.join(lowest, "id").where("rep <> u").select("u", F.col("rep").alias("v")))
     label = components(links)
-    # buckets that still hold several components: other leaders first, then whatever is left across components
-    held = members.where("n > 2").select("key", "rep")
+    # buckets that still hold several components: other leaders first, then in blocks
+    mixed = members.where("n > 2")
     for turn in range(LEADERS + 1):
-        held, pairs = _untried(held, label, tried, turn)
-        if pairs.isEmpty():
-            if turn < LEADERS:
-                continue
+        mixed = _mixed(mixed.select("key", "rep", "degree", "n_shingles"), label)
+        if mixed.isEmpty():
             break
-        more = materialise(_verify(pairs, texts, percent), "links")
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(more)
+        more = _verify(_leads(mixed, turn), texts, percent) if turn < LEADERS else _verify_blocks(mixed, texts, percent)
+        more = materialise(more, "links")
         if not more.isEmpty():
+            links = links.unionByName(more)
             label = components(links)
     by_class = classes.select("d1", "d2", "n_shingles", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     hit = full.join(by_class, ["d1", "d2", "n_shingles"]).select("id", "n_shingles", "component_id")
