@@ -15,8 +15,8 @@ hold the entity.
 
 Everything is DataFrame functions: positions come from splitting a text at a
 pattern and adding up lengths.  Counts are map-side combined aggregates over all
-texts; the terms looked at are those next to entities, so the counts that meet
-in joins are those of entities and their neighbours only.
+texts; the terms looked at are those next to entities, and joins meet aggregated
+counts only.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -39,8 +39,8 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]([\x20-]?[0-9]){15
 NEAR = 6
 #: Texts (copies count once) that a term and an entity must share before their co-occurrence says anything.
 LEAST_TEXTS = 3
-#: Terms that may be broadcast to pick their occurrences: 200,000 words are under 10 MB.
-BROADCAST_TERMS = 200_000
+#: Texts with copies whose numbers may be broadcast: 500,000 pairs of longs are 8 MB.
+BROADCAST_COPIES = 500_000
 REMOVE, GENERALISE = 0.95, 0.8
 TERM = r"[\p{L}\p{N}][\p{L}\p{N}'’-]*"
 
@@ -123,13 +123,14 @@ def disclosures(docs: DataFrame, entities: DataFrame, text_col: str = "text", ne
     pairs = materialise(pairs.join(entity_texts, "entity").where(~F.col("entity").contains(F.col("term"))), "pairs")
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], "entity string, term string, action string, disclosure double")
-    wanted = pairs.select("term").distinct()
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.xxhash64(text).alias("t"), F.array_distinct(_terms(text)).alias("terms"))
-    corpus = docs.select(F.xxhash64(text).alias("t")).agg(F.count_distinct("t").alias("n")).first()["n"]
-    holding = texts.select("t", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    term_texts = holding.groupBy("term", "t").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # every text counts by its share among its copies, so that the counts of a term combine on the map side
+    copies = materialise(docs.select(F.xxhash64(text).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    corpus, several = copies.count(), copies.where("copies > 1")
+    if several.count() <= BROADCAST_COPIES:
+        several = F.broadcast(several)
+    shared = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(several, "t", "left")
+    holding = shared.select((1.0 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    term_texts = holding.groupBy("term").agg(F.round(F.sum("share")).alias("n_term"))
     total = F.lit(float(corpus))
     ic = F.log2(total / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
