@@ -7,9 +7,9 @@ order of their full score.
 
 No piece continues past a space that follows other characters, so the lattice of
 a text is a chain of small lattices, one per *chunk* (spaces and the characters up
-to the next space), and equal chunks have equal lattices.  The forward pass, the
-backward pass and the score gap to a chunk's second-best path run in numpy over
-all distinct chunks of a block at once.  A text's *n* best segmentations can only
+to the next space), and equal chunks have equal lattices.  The forward pass, with
+the score gap to a chunk's second-best path, runs in numpy over many distinct
+chunks at once.  A text's *n* best segmentations can only
 differ from its best in the ``n - 1`` chunk occurrences of smallest gap; the
 backward A-star search runs in those, and a second A-star search over the chain
 picks the *n* best combinations.  Both are exact.
@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .bytewords import BASE, Powers, blocks, mix, text_buffers
+from .bytewords import Powers, blocks, mix, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
@@ -73,75 +74,53 @@ def load(path: str) -> Vocabulary:
 
 
 class _Lookup:
-    """Hash tables of pieces by byte length."""
+    """Hash tables of pieces by byte length; :meth:`matches` finds the piece of each length at every byte of a block."""
+
+    NONE, BYTES = -1, -2
 
     def __init__(self, vocabulary: Vocabulary, powers: Powers):
-        by_length = {}
+        self.powers = powers
+        by_length = {length: [] for length in (1, 2, 3, 4)}  # a character may have to be spelt in bytes
         for i, p in enumerate(vocabulary.pieces):
             if p:
                 by_length.setdefault(len(p), []).append(i)
+        self.lengths = sorted(by_length)
         self.tables = []
-        for length, ids in sorted(by_length.items()):
+        for length in self.lengths:
+            ids = by_length[length]
             data = np.frombuffer(b"".join(vocabulary.pieces[i] for i in ids), np.uint8).reshape(-1, length)
             up, _ = powers.get(length + 1)
             h = mix(((data.astype(np.uint64) + np.uint64(1)) * up[:length]).sum(axis=1, dtype=np.uint64))
             order = np.argsort(h)
-            self.tables.append((length, h[order], np.array(ids)[order]))
-
-
-def _edges(data, start, end, lookup, powers, vocabulary):
-    """Edges of the lattices of chunks ``data[start:end]``: from, to (byte positions), id (-1: byte fallback) and score.
-
-    Chunks lie one after the other in ``data``.
-    """
-    n = len(data)
-    up, down = powers.get(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    limit = np.repeat(end, end - start)
-    at = np.flatnonzero((data & 0xC0) != 0x80)  # pieces are whole characters, so they match at character starts only
-    room = limit[at] - at
-    froms, tos, ids = [], [], []
-    single = np.zeros(n + 1, bool)
-    width = np.ones(n, np.int64)
-    width[data >= 0xC0] = 2
-    width[data >= 0xE0] = 3
-    width[data >= 0xF0] = 4
-    for length, hashes, own in lookup.tables:
-        p = at[room >= length]
-        if not len(p):
-            continue
-        h = mix((sums[p + length] - sums[p]) * down[p])
-        k = np.searchsorted(hashes, h)
-        k[k == len(hashes)] = 0
-        hit = hashes[k] == h
-        p, k = p[hit], k[hit]
-        froms.append(p)
-        tos.append(p + length)
-        ids.append(own[k])
-        single[p[width[p] == length]] = True
-    bare = at[~single[at]]
-    froms.append(bare)
-    tos.append(np.minimum(bare + width[bare], limit[bare]))
-    ids.append(np.full(len(bare), -1))
-    a, b, i = (np.concatenate(x) for x in (froms, tos, ids))
-    return a, b, i, np.where(i >= 0, vocabulary.scores[np.maximum(i, 0)], vocabulary.unknown_score)
-
-
-def _viterbi(a, b, s, origin, n):
-    """Best score of reaching each byte position from its chunk's start ``origin``, all chunks in step."""
-    best = np.full(n + 1, -np.inf)
-    best[np.unique(origin)] = 0.0
-    depth = b - origin
-    order = np.lexsort((b, depth))
-    a, b, s, depth = a[order], b[order], s[order], depth[order]
-    cuts = np.flatnonzero(np.diff(depth)) + 1
-    for x, y in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(a)]])):
-        if y > x:
-            score = best[a[x:y]] + s[x:y]
-            heads = np.flatnonzero(np.concatenate([[True], b[x + 1 : y] != b[x : y - 1]]))
-            best[b[x:y][heads]] = np.maximum.reduceat(score, heads)
-    return best
+            self.tables.append((h[order], np.array(ids, np.int32)[order]))
+        #: scores by piece; the last two are those of BYTES and NONE
+        self.scores = np.concatenate([vocabulary.scores, [vocabulary.unknown_score, -np.inf]])
+
+    def matches(self, data, limit):
+        """For each length the piece that starts at each byte and ends at ``limit`` at most, or NONE; BYTES for a character without a piece."""
+        n = len(data)
+        up, down = self.powers.get(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        at = np.flatnonzero((data & 0xC0) != 0x80)  # pieces are whole characters, so they match at character starts only
+        lead = data[at]
+        width = np.minimum(1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0), limit[at] - at)
+        out = []
+        for length, (hashes, own) in zip(self.lengths, self.tables):
+            found = np.full(n, self.NONE, np.int32)
+            room = limit[at] - at >= length
+            at_, width_ = at[room], width[room]
+            if len(hashes) and len(at_):
+                h = mix((sums[at_ + length] - sums[at_]) * down[at_])
+                k = np.searchsorted(hashes, h)
+                k[k == len(hashes)] = 0
+                found[at_] = np.where(hashes[k] == h, own[k], self.NONE)
+            if length <= 4:
+                bare = at_[(width_ == length) & (found[at_] == self.NONE)]
+                found[bare] = self.BYTES
+            out.append(found)
+            at, width = at_, width_
+        return out
 
 
 def a_star(edges_by_end: dict, forward, start: int, end: int, n: int):
@@ -163,13 +142,23 @@ def a_star(edges_by_end: dict, forward, start: int, end: int, n: int):
     return out
 
 
+#: Distinct chunks whose best paths a task keeps (some 100 bytes each), bytes of new chunks looked at together, and bytes of text per block.
+KEPT, TOGETHER, BLOCK = 400_000, 1 << 17, 1 << 18
+
+
 class _Coder:
-    """Segments blocks of texts; keeps the paths of the chunks that A-star has searched."""
+    """Segments blocks of texts; keeps the best paths of the chunks it has met, and the n best of those that A-star has searched."""
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.v, self.n, self.powers = vocabulary, n, Powers()
         self.lookup = _Lookup(vocabulary, self.powers)
-        self.paths = {}
+        self.by_piece = {p: i for i, p in enumerate(vocabulary.pieces) if p}
+        self._forget()
+
+    def _forget(self):
+        """Empty the caches: a chunk that left them is looked at again."""
+        self.known, self.paths = {}, {}
+        self.best, self.gap, self.flat, self.ends = np.zeros(0), np.zeros(0), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def block(self, data, offsets):
         """For each text of a block, up to ``n`` pairs of score and ids."""
@@ -190,15 +179,13 @@ class _Coder:
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
         key = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-        _, sample, kind = np.unique(key, return_index=True, return_inverse=True)
-        best, gap, ids, ends, lattice = self._chunks(data, start[sample], end[sample])
-        total = np.concatenate([[0.0], np.cumsum(best[kind])])
+        keys, sample, kind = np.unique(key, return_index=True, return_inverse=True)
+        kind = self._slots(keys, data, start[sample], end[sample])[kind]
         chunk = np.searchsorted(start, offsets)
-        pieces = ends[1:] - ends[:-1]
-        sizes = pieces[kind]
+        sizes = np.diff(self.ends)[kind]
         place = np.concatenate([[0], np.cumsum(sizes)])
         # the best ids of all chunks of the block, by one gather
-        flat = ids[np.repeat(ends[kind] - place[:-1], sizes) + np.arange(place[-1])]
+        flat = self.flat[np.repeat(self.ends[kind] - place[:-1], sizes) + np.arange(place[-1])]
         out = []
         for r in range(rows):
             a, b = chunk[r], chunk[r + 1]
@@ -206,86 +193,121 @@ class _Coder:
                 out.append([(0.0, np.zeros(0, np.int32))])
                 continue
             one = flat[place[a] : place[b]]
-            results = [(float(best[kind[a:b]].sum()), one)]
+            results = [(float(self.best[kind[a:b]].sum()), one)]
             if self.n > 1:
-                results = self._variants(results[0][0], one, kind[a:b], gap, place[a : b + 1] - place[a], lattice)
+                results = self._variants(results[0][0], one, self.gap[kind[a:b]], place[a : b + 1] - place[a], data, start[a:b], end[a:b])
             out.append(results)
         return out
 
+    def _slots(self, keys, data, start, end):
+        """Places of chunks in the caches; chunks not met before are looked at, some bytes together."""
+        if len(self.known) + len(keys) > KEPT:
+            self._forget()
+        known = self.known.get
+        slot = np.array([known(k, -1) for k in keys.tolist()], np.int64)
+        new = np.flatnonzero(slot < 0)
+        turn = np.cumsum(end[new] - start[new]) // TOGETHER
+        for part in np.split(new, np.flatnonzero(np.diff(turn)) + 1):
+            if not len(part):
+                continue
+            best, gap, ids, ends = self._chunks(data, start[part], end[part])
+            slot[part] = len(self.best) + np.arange(len(part))
+            self.known.update(zip(keys[part].tolist(), slot[part].tolist()))
+            self.best, self.gap = np.concatenate([self.best, best]), np.concatenate([self.gap, gap])
+            self.ends = np.concatenate([self.ends, ends[1:] + len(self.flat)])
+            self.flat = np.concatenate([self.flat, ids])
+        return slot
+
     def _chunks(self, data, start, end):
-        """Best score, gap to the second-best path, and best ids of each distinct chunk."""
-        sizes = end - start
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        joined = data[np.repeat(start - ends[:-1], sizes) + np.arange(ends[-1])]
-        n = len(joined)
-        a, b, i, s = _edges(joined, ends[:-1], ends[1:], self.lookup, self.powers, self.v)
-        # positions are per chunk: the end of one chunk must not be the start of the next
-        which = np.searchsorted(ends, a, "right") - 1
-        a, b = a + which, b + which
-        origin, goal = ends[:-1] + np.arange(len(sizes)), ends[1:] + np.arange(len(sizes))
-        size = n + len(sizes)
-        forward = _viterbi(a, b, s, origin[which], size)
-        backward = _viterbi(-b + size, -a + size, s, (size - goal)[which], size)[::-1]
-        best = forward[goal]
-        through = forward[a] + s + backward[b]
-        # the best path, walked back from all goals in step; equal scores: the shortest last piece, then the smaller id
-        arrive = np.lexsort((i, -a, -(forward[a] + s), b))
-        lead = np.flatnonzero(np.concatenate([[True], b[arrive][1:] != b[arrive][:-1]]))
-        into = np.full(size + 1, -1)
-        into[b[arrive[lead]]] = arrive[lead]
-        taken = np.zeros(len(a), bool)
-        at, steps = goal.copy(), []
-        live = np.arange(len(goal))
+        """Best score, gap to the second-best path, and best ids of each chunk.
+
+        Forward Viterbi with the two best scores of every position; all chunks
+        advance together, longest first, so that those still running are a prefix.
+        Equal scores go to the shortest last piece.
+        """
+        order = np.argsort(start - end, kind="stable")
+        size = (end - start)[order]
+        at = np.concatenate([[0], np.cumsum(size)])
+        joined = data[np.repeat(start[order] - at[:-1], size) + np.arange(at[-1])]
+        lengths, pieces, scores = self.lookup.lengths, self.lookup.matches(joined, np.repeat(at[1:], size)), self.lookup.scores
+        running = np.searchsorted(-size, -np.arange(size[0] + 1), "right")  # chunks of d bytes at least
+        node = at[:-1] + np.arange(len(size))  # a chunk has one position more than bytes
+        one = np.full(at[-1] + len(size), -np.inf)
+        two, back = one.copy(), np.zeros(len(one), np.int16)
+        one[node] = 0.0
+        for d in range(1, int(size[0]) + 1):
+            m = running[d]
+            best, second, arg = np.full(m, -np.inf), np.full(m, -np.inf), np.zeros(m, np.int16)
+            for j, length in enumerate(lengths):
+                if length > d:
+                    break
+                gain = scores[pieces[j][at[:m] + (d - length)]]
+                source = node[:m] + (d - length)
+                first, other = one[source] + gain, two[source] + gain
+                second = np.maximum(np.maximum(second, other), np.minimum(best, first))
+                arg[first > best] = j
+                best = np.maximum(best, first)
+            one[node[:m] + d], two[node[:m] + d], back[node[:m] + d] = best, second, arg
+        goal = node + size
+        with np.errstate(invalid="ignore"):
+            gap = np.maximum(one[goal] - two[goal], 0.0)
+        # walk back from all goals in step; a character without a piece gives its bytes
+        taken, depth, live = [], size.copy(), np.arange(len(size))
+        count = np.zeros(len(size), np.int64)
+        width_of = np.array(lengths)
         while len(live):
-            e = into[at[live]]
-            steps.append(np.stack([live, e]))
-            taken[e] = True
-            at[live] = a[e]
-            live = live[at[live] > origin[live]]
-        other = np.full(len(goal), -np.inf)
-        np.maximum.at(other, which[~taken], through[~taken])
-        gap = np.maximum(best - other, 0.0)
-        steps = np.concatenate(steps, axis=1)
-        # steps come last piece first; order by chunk, then position
-        order = np.lexsort((a[steps[1]], steps[0]))
-        chunk_of, edge = steps[0][order], steps[1][order]
-        expand = np.where(i[edge] >= 0, 1, b[edge] - a[edge])
-        out = np.repeat(i[edge], expand)
-        byte = np.flatnonzero(out < 0)
-        if len(byte):
-            offset = np.arange(len(out)) - np.repeat(np.cumsum(expand) - expand, expand)
-            source = (np.repeat(a[edge] - which[edge], expand) + offset)[byte]
-            out[byte] = self.v.byte_ids[joined[source]]
-        counts = np.bincount(chunk_of, weights=expand, minlength=len(goal)).astype(np.int64)
-        by_chunk = np.argsort(which, kind="stable")
-        bounds = np.searchsorted(which[by_chunk], np.arange(len(goal) + 1))
-        return best, gap, out.astype(np.int32), np.concatenate([[0], np.cumsum(counts)]), (a, b, i, s, forward, origin, goal, by_chunk, bounds, joined, ends)
-
-    def _search(self, c, lattice):
-        """The n best paths of a chunk by backward A-star, as score losses and ids; chunks of equal bytes share them."""
-        a, b, i, s, forward, origin, goal, by_chunk, bounds, joined, ends = lattice
-        name = joined[ends[c] : ends[c + 1]].tobytes()
+            j = back[node[live] + depth[live]]
+            depth[live] -= width_of[j]
+            source = at[live] + depth[live]
+            piece = np.empty(len(live), np.int32)
+            for k in np.unique(j):
+                piece[j == k] = pieces[k][source[j == k]]
+            n = np.where(piece == self.lookup.BYTES, width_of[j], 1)
+            count[live] += n
+            taken.append((live, piece, n, source))
+            live = live[depth[live] > 0]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids, tail = np.empty(ends[-1], np.int32), ends[1:].copy()
+        for live, piece, n, source in taken:
+            tail[live] -= n
+            whole = piece != self.lookup.BYTES
+            ids[tail[live[whole]]] = piece[whole]
+            for k in range(4):
+                spelt = ~whole & (n > k)
+                ids[tail[live[spelt]] + k] = self.v.byte_ids[joined[source[spelt] + k]]
+        # back in the order of the arguments
+        place = np.argsort(order, kind="stable")
+        sizes = count[place]
+        final = np.concatenate([[0], np.cumsum(sizes)])
+        return one[goal][place], gap[place], ids[np.repeat(ends[:-1][place] - final[:-1], sizes) + np.arange(final[-1])], final
+
+    def _search(self, name: bytes):
+        """The n best paths of a chunk by backward A-star, as score losses and ids."""
         if name not in self.paths:
-            if len(self.paths) > 200_000:  # a cache only: a chunk that left it is searched again
-                self.paths.clear()
-            by_end = {}
-            for e in by_chunk[bounds[c] : bounds[c + 1]]:
-                ids = (int(i[e]),) if i[e] >= 0 else tuple(int(self.v.byte_ids[x]) for x in joined[a[e] - c : b[e] - c])
-                by_end.setdefault(int(b[e]), []).append((int(a[e]), ids, float(s[e])))
-            flat = {end: [(x, t, y) for x, t, y in own] for end, own in by_end.items()}
-            found = a_star(flat, lambda p: float(forward[p]), int(origin[c]), int(goal[c]), self.n)
+            n, forward, by_end = len(name), [-math.inf] * (len(name) + 1), {}
+            forward[0] = 0.0
+            for a in range(n):
+                if name[a] & 0xC0 == 0x80:
+                    continue
+                width = min(n, a + 1 + (name[a] >= 0xC0) + (name[a] >= 0xE0) + (name[a] >= 0xF0))
+                edges = [(b, (i,), float(self.v.scores[i])) for b in (a + length for length in self.lookup.lengths) if b <= n and (i := self.by_piece.get(name[a:b])) is not None]
+                if all(b != width for b, _, _ in edges):
+                    edges.append((width, tuple(int(self.v.byte_ids[x]) for x in name[a:width]), self.v.unknown_score))
+                for b, ids, s in edges:
+                    forward[b] = max(forward[b], forward[a] + s)
+                    by_end.setdefault(b, []).append((a, ids, s))
+            found = a_star(by_end, forward.__getitem__, 0, n, self.n)
             self.paths[name] = [(found[0][0] - score, np.array([y for t in path for y in t], np.int32)) for score, path in found]
         return self.paths[name]
 
-    def _variants(self, top, one, kind, gap, place, lattice):
+    def _variants(self, top, one, own, place, data, start, end):
         """The n best segmentations of a text: A-star over the few chunk occurrences that can differ."""
-        own = gap[kind]
         k = min(self.n - 1, len(own))
         border = np.partition(own, k - 1)[k - 1]
         near = np.flatnonzero(own < border)
         near = np.concatenate([near, np.flatnonzero(own == border)[: k - len(near)]])
         near = np.sort(near[np.isfinite(own[near])])
-        choices = [self._search(int(kind[c]), lattice) for c in near]
+        choices = [self._search(data[start[c] : end[c]].tobytes()) for c in near]
         # hypotheses by loss; the loss of the chunks not yet decided is 0 at best, which is exact
         agenda, found = [(0.0, 0, ())], []
         while agenda and len(found) < self.n:
@@ -298,43 +320,42 @@ class _Coder:
         out = []
         for loss, picks in found:
             parts, at = [], 0
-            for c, p in zip(near, picks):
+            for c, paths, p in zip(near, choices, picks):
                 if p:
-                    parts += [one[at : place[c]], choices[np.searchsorted(near, c)][p][1]]
+                    parts += [one[at : place[c]], paths[p][1]]
                     at = place[c + 1]
             parts.append(one[at:])
             out.append((top - loss, np.concatenate(parts) if len(parts) > 1 else one))
         return out
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = 3, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``rank`` (from 1), ``score``, ``ids``: up to ``n`` rows per input row.
+def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = 3, text_col: str = "text", keep: tuple | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (all of them if not named) and ``rank`` (from 1), ``score``, ``ids``: up to ``n`` rows per input row.
 
     A null or empty text has one segmentation, the empty one, of score 0.  A text
     with fewer than ``n`` segmentations gives what it has.  Equal scores of one
     chunk go to the shorter last pieces in the best path, and then to smaller ids.
     """
-    names = docs.columns
-    at = names.index(text_col)
+    names = list(docs.columns if keep is None else keep)
+    kept = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
+    at = len(names)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*kept.schema.fields[:-1], T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         coder = _Coder(shared.value, n)
         for batch in batches:
             data, offsets = text_buffers(batch.column(at))
-            for a, b in blocks(offsets, 1 << 20):
+            for a, b in blocks(offsets, BLOCK):
                 coded = coder.block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 row = np.repeat(np.arange(a, b), [len(x) for x in coded])
                 flat = [y for x in coded for y in x]
                 ends = np.concatenate([[0], np.cumsum([len(ids) for _, ids in flat])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([ids for _, ids in flat])))
                 rank = pa.array([r for x in coded for r in range(1, len(x) + 1)], pa.int32())
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, rank, pa.array([s for s, _ in flat], pa.float64()), lists], names=[*names, "rank", "score", "ids"])
+                yield pa.RecordBatch.from_arrays([*batch.select(range(at)).take(pa.array(row)).columns, rank, pa.array([s for s, _ in flat], pa.float64()), lists], names=[*names, "rank", "score", "ids"])
 
-    return docs.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
@@ -342,8 +363,6 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> Da
     names = coded.columns
     at = names.index(ids_col)
     shared = coded.sparkSession.sparkContext.broadcast(vocabulary)
-    from pyspark.sql import types as T
-
     schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):
