@@ -143,7 +143,7 @@ def a_star(edges_by_end: dict, forward, start: int, end: int, n: int):
 
 
 #: Distinct chunks whose best paths a task keeps (some 100 bytes each), bytes of new chunks looked at together, and bytes of text per block.
-KEPT, TOGETHER, BLOCK = 400_000, 1 << 17, 1 << 18
+KEPT, TOGETHER, BLOCK = 200_000, 1 << 17, 1 << 18
 
 
 class _Coder:
@@ -329,31 +329,59 @@ class _Coder:
         return out
 
 
+class _Decoder:
+    """Bytes of piece ids; ids outside the vocabulary give nothing."""
+
+    def __init__(self, v: Vocabulary):
+        pieces = list(v.pieces)
+        for byte, i in enumerate(v.byte_ids):
+            pieces[i] = bytes([byte])
+        pieces = [p or b"" for p in pieces] + [b""]
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.size = np.array([len(p) for p in pieces])
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+
+    def raw(self, flat, ends):
+        """The bytes of all ids together, and where each list of them ends in those."""
+        last = len(self.size) - 1
+        flat = np.where((flat >= 0) & (flat < last), flat, last)
+        size = self.size[flat]
+        place = np.concatenate([[0], np.cumsum(size)])
+        return self.data[np.repeat(self.start[flat] - place[:-1], size) + np.arange(place[-1])].tobytes(), place[ends]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = 3, text_col: str = "text", keep: tuple | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (all of them if not named) and ``rank`` (from 1), ``score``, ``ids``: up to ``n`` rows per input row.
+    """Columns ``keep`` of ``docs`` (all of them if not named) and ``rank`` (from 1), ``score``, ``ids``, ``round_trip``: up to ``n`` rows per input row.
 
     A null or empty text has one segmentation, the empty one, of score 0.  A text
     with fewer than ``n`` segmentations gives what it has.  Equal scores of one
     chunk go to the shorter last pieces in the best path, and then to smaller ids.
+    ``round_trip`` tells whether the ids decode to the text, byte for byte.
     """
     names = list(docs.columns if keep is None else keep)
     kept = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
     at = len(names)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = T.StructType([*kept.schema.fields[:-1], T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    added = [T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
+    schema = T.StructType([*kept.schema.fields[:-1], *added])
 
     def run(batches):
-        coder = _Coder(shared.value, n)
+        coder, decoder = _Coder(shared.value, n), _Decoder(shared.value)
         for batch in batches:
             data, offsets = text_buffers(batch.column(at))
+            own = batch.select(range(at))
             for a, b in blocks(offsets, BLOCK):
                 coded = coder.block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 row = np.repeat(np.arange(a, b), [len(x) for x in coded])
                 flat = [y for x in coded for y in x]
                 ends = np.concatenate([[0], np.cumsum([len(ids) for _, ids in flat])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([ids for _, ids in flat])))
+                ids = np.concatenate([ids for _, ids in flat])
+                raw, bounds = decoder.raw(ids, ends)
+                texts = [data[offsets[r] : offsets[r + 1]].tobytes() for r in range(a, b)]
+                same = [raw[x:y] == (b" " + texts[r - a] if texts[r - a] else b"") for r, x, y in zip(row.tolist(), bounds.tolist(), bounds[1:].tolist())]
                 rank = pa.array([r for x in coded for r in range(1, len(x) + 1)], pa.int32())
-                yield pa.RecordBatch.from_arrays([*batch.select(range(at)).take(pa.array(row)).columns, rank, pa.array([s for s, _ in flat], pa.float64()), lists], names=[*names, "rank", "score", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*own.take(pa.array(row)).columns, rank, pa.array([s for s, _ in flat], pa.float64()), lists, pa.array(same)], names=[*names, "rank", "score", "ids", "round_trip"])
 
     return kept.mapInArrow(run, schema)
 
@@ -366,22 +394,11 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> Da
     schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        v = shared.value
-        pieces = list(v.pieces)
-        for byte, i in enumerate(v.byte_ids):
-            pieces[i] = bytes([byte])
-        pieces = [p or b"" for p in pieces] + [b""]
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        size = np.array([len(p) for p in pieces])
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        decoder = _Decoder(shared.value)
         for batch in batches:
             column = batch.column(at)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = np.where((flat >= 0) & (flat < len(pieces) - 1), flat, len(pieces) - 1)
             counts = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
-            place = np.concatenate([[0], np.cumsum(size[flat])])
-            raw = data[np.repeat(start[flat] - place[:-1], size[flat]) + np.arange(place[-1])].tobytes()
-            bounds = place[np.concatenate([[0], np.cumsum(counts)])]
+            raw, bounds = decoder.raw(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(counts)]))
             texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(bounds, bounds[1:])]
             texts = [None if not ok else t[1:] if t[:1] == " " else t for t, ok in zip(texts, column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
