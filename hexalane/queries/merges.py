@@ -1 +1,78 @@
-"""To be filled."""
+"""Imports, upserts and audits."""
+
+from pyspark.sql import functions as F
+
+from ..functions.numbers import count_where
+from ..operators import merge as mg
+from ..sources.fixtures import fixture
+from .registry import query
+
+COLUMNS = ["registration_number", "motor_number"]
+
+
+@query("""select coalesce(n.entry_key, o.entry_key) entry_key, case when n.entry_key is null then 'absent' when o.entry_key is null then 'create' when n.registration_number is not distinct from o.registration_number and n.motor_number is not distinct from o.motor_number then 'unchanged' else 'update' end as action
+ from official_new n full join official_old o on o.entry_key = n.entry_key""")
+def import_classify(spark, d):
+    return mg.classify(fixture(spark, d, "official_new"), fixture(spark, d, "official_old"), "entry_key", COLUMNS)
+
+
+@query("""select coalesce(n.entry_key, o.entry_key) entry_key, coalesce(n.registration_number, o.registration_number) registration_number, coalesce(n.motor_number, o.motor_number) motor_number, case when o.record_status = 'CONFIRMED' then 'CONFIRMED' else coalesce(n.record_status, o.record_status) end record_status
+ from official_new n full join official_old o on o.entry_key = n.entry_key""")
+def upsert_race(spark, d):
+    return mg.merge_non_null(fixture(spark, d, "official_new"), fixture(spark, d, "official_old"), "entry_key", [*COLUMNS, "record_status"], {"record_status": "CONFIRMED"})
+
+
+G = "case {}.exhibition_gate_status when 'PASS' then 4 when 'CAUTION' then 3 when 'FAIL' then 2 when 'MISSING' then 1 else 0 end"
+
+
+@query(f"""a as (select * from uichi_analysis where dup_no = 0), b as (select * from uichi_analysis where dup_no = 1),
+x as (select a.race_id, b.race_id is null or (a.race_id is not null and ((a.exhibition_ready and not b.exhibition_ready) or ({G.format('a')} >= 2 and {G.format('b')} = 1) or (a.judgment <> 'PENDING' and b.judgment = 'PENDING'))) keep, a.judgment ja, b.judgment jb, a.exhibition_gate_status ga, b.exhibition_gate_status gb, a.exhibition_ready ra, b.exhibition_ready rb from a join b on a.race_id = b.race_id)
+select race_id, case when keep then ja else jb end judgment, case when keep then ga else gb end exhibition_gate_status, case when keep then ra else rb end exhibition_ready from x""")
+def upsert_analysis(spark, d):
+    """Later analyses replace earlier ones unless they would be a step back."""
+    from ..streaming.ticks import upserted
+
+    a = fixture(spark, d, "uichi_analysis").select("race_id", "dup_no", "judgment", "exhibition_gate_status", "exhibition_ready")
+    return upserted(a.where("dup_no = 0").drop("dup_no"), a.where("dup_no = 1").drop("dup_no"), ["race_id"])
+
+
+@query("select r.race_id, coalesce(r.weather, x.weather) weather, coalesce(r.wind_speed, x.wind_speed) wind_speed from race r left join race_result x on x.race_id = r.race_id")
+def v2_to_v1(spark, d):
+    """Gaps of the working table filled from the official one; values that are there stay."""
+    x = fixture(spark, d, "race_result").select("race_id", F.col("weather").alias("w"), F.col("wind_speed").alias("s"))
+    return fixture(spark, d, "race").join(x, "race_id", "left").select("race_id", F.coalesce("weather", "w").alias("weather"), F.coalesce("wind_speed", "s").alias("wind_speed"))
+
+
+@query("select race_date, venue_code, cast(count(distinct race_number) as bigint) races, cast(count(*) filter (where not exhibition_ready) as bigint) waiting, case when count(distinct race_number) >= 12 then 'COMPLETE' when count(*) filter (where not exhibition_ready) = 0 then 'READY' else 'PARTIAL' end status from race group by 1, 2")
+def venue_readiness(spark, d):
+    n, open_ = F.col("races"), F.col("waiting")
+    per = fixture(spark, d, "race").groupBy("race_date", "venue_code").agg(F.count_distinct("race_number").alias("races"), count_where(~F.col("exhibition_ready")).alias("waiting"))
+    return per.withColumn("status", F.when(n >= 12, "COMPLETE").when(open_ == 0, "READY").otherwise("PARTIAL"))
+
+
+@query("""v as (select race_id, 'few_entries' as rule, cast(count(*) as bigint) n from race_entry where not is_scratched group by 1 having count(*) < 6 union all select race_id, 'pending_final', cast(count(*) as bigint) from uichi_analysis where stage = 'final' and judgment = 'PENDING' group by 1
+ union all select min(race_id), 'duplicate_race', cast(count(*) as bigint) from race group by race_date, venue_code, race_number having count(*) > 1) select * from v""")
+def integrity_check(spark, d):
+    """Violations of all rules as one table."""
+    from ..operators.quality import violations
+
+    e, a, r = (fixture(spark, d, t) for t in ("race_entry", "uichi_analysis", "race"))
+    return violations({
+        "few_entries": e.where("not is_scratched").groupBy("race_id").agg(F.count(F.lit(1)).alias("n")).where("n < 6"),
+        "pending_final": a.where("stage = 'final' and judgment = 'PENDING'").groupBy("race_id").agg(F.count(F.lit(1)).alias("n")),
+        "duplicate_race": r.groupBy("race_date", "venue_code", "race_number").agg(F.min("race_id").alias("race_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("race_id", "n"),
+    })
+
+
+@query("select race_id, case when status = 'finished' then 'resolved' when pre_grade is null then 'filtered_out' else 'active' end state from (select r.race_id, r.status, a.pre_grade from race r join (select race_id, max(pre_grade) pre_grade from alert group by 1) a on a.race_id = r.race_id)")
+def alert_state(spark, d):
+    a = fixture(spark, d, "alert").groupBy("race_id").agg(F.max("pre_grade").alias("pre_grade"))
+    state = F.when(F.col("status") == "finished", "resolved").when(F.col("pre_grade").isNull(), "filtered_out").otherwise("active")
+    return fixture(spark, d, "race").join(a, "race_id").select("race_id", state.alias("state"))
+
+
+@query("select race_id, dup_no, judgment from uichi_analysis where stage = 'final' and (judgment = 'BUY' or (judgment = 'WATCH' and expected_value >= 115)) and boat1_trust_score >= 60")
+def notify_candidates(spark, d):
+    """Judgments worth a message; sending is up to the caller."""
+    a = fixture(spark, d, "uichi_analysis")
+    return a.where((F.col("stage") == "final") & ((F.col("judgment") == "BUY") | ((F.col("judgment") == "WATCH") & (F.col("expected_value") >= 115))) & (F.col("boat1_trust_score") >= 60)).select("race_id", "dup_no", "judgment")

@@ -1 +1,36 @@
-"""To be filled."""
+"""Time-driven work and Structured Streaming."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..sources.fixtures import fixture
+from ..streaming import ticks
+from .registry import query
+
+
+@query("""select race_id, case when deadline > timestamp '1998-07-01 00:00:00' and deadline <= timestamp '1998-07-05 00:00:00' then 'exhibition' when deadline <= timestamp '1998-07-01 00:00:00' and status = 'scheduled' then 'result' end as work from race
+ where (deadline > timestamp '1998-07-01 00:00:00' and deadline <= timestamp '1998-07-05 00:00:00') or (deadline <= timestamp '1998-07-01 00:00:00' and status = 'scheduled')""")
+def due_work(spark, d):
+    """Races due for warm-up data soon, and past ones still without a result, as of a given moment."""
+    now, until = F.lit("1998-07-01 00:00:00").cast("timestamp_ntz"), F.lit("1998-07-05 00:00:00").cast("timestamp_ntz")
+    at = F.col("deadline").cast("timestamp_ntz")
+    work = F.when((at > now) & (at <= until), "exhibition").when((at <= now) & (F.col("status") == "scheduled"), "result")
+    return fixture(spark, d, "race").select("race_id", work.alias("work")).where("work is not null")
+
+
+@query("""t as (select distinct race_id, tick_id, captured_at from odds_snapshot), l as (select *, lag(captured_at) over (partition by race_id order by captured_at, tick_id) p from t) select race_id, tick_id from l where p is null or date_diff('second', p, captured_at) >= 120""")
+def tick_thinning(spark, d):
+    """Ticks at least two minutes after the one before."""
+    t = fixture(spark, d, "odds_snapshot").where("combo = '1-2-5'").select("race_id", "tick_id", "captured_at")
+    before = F.lag("captured_at").over(Window.partitionBy("race_id").orderBy("captured_at", "tick_id"))
+    gap = F.unix_timestamp("captured_at") - F.unix_timestamp(before)
+    return t.withColumn("gap", gap).where("gap is null or gap >= 120").select("race_id", "tick_id")
+
+
+@query("select event_type, cast(epoch(date_trunc('hour', ts)) as bigint) as hour_start, cast(count(*) as bigint) n from events group by 1, 2", derived=False)
+def stream_hourly(spark, d):
+    """A file stream of events counted per hour and type with a watermark, run over what is there."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = ticks.run_available(spark, ticks.windowed_counts(stream, "ts", ["event_type"], lateness="60 days"))
+    return out.select("event_type", F.unix_timestamp("window_start").alias("hour_start"), "n")
