@@ -27,7 +27,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     out = toxicity.held_out("doc_id", 5, 0)
-    model = toxicity.train(toxicity.labelled_rows(docs.where(~out), labels, "toxic"))
+    model = toxicity.train(toxicity.labelled_rows(docs, labels.where(~out), "toxic"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -50,7 +50,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     out = toxicity.held_out("doc_id", 3, 1)
-    model = line_crf.train(toxicity.labelled_rows(docs.where(~out), labels, "quality"))
+    model = line_crf.train(toxicity.labelled_rows(docs, labels.where(~out), "quality", max_rows=line_crf.MAX_ROWS))
     scored = line_crf.score(docs, model)
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines", "n_bad_lines")
 

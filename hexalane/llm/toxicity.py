@@ -141,10 +141,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
     return kept.mapInArrow(run, schema)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with their label, one row per id: repeated labels of an id are averaged and kept only if they agree."""
-    agreed = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("__low"), F.max(label_col).alias("__high")).where("__low = __high").select(id_col, F.col("__low").alias("__label"))
-    return docs.select(id_col, text_col).join(agreed, id_col).withColumnRenamed("__label", label_col)
+def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
+    """Documents of a bounded sample of labels: of each label the ``max_rows`` ids of smallest hash.
+
+    Repeated labels of an id count once and only if they agree; null labels and
+    ids are left out.  The sample is drawn from the labels alone, so its ids (at
+    most ``2 * max_rows``) are broadcast and no text but those of the sample moves.
+    """
+    agreed = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("__low"), F.max(label_col).alias("__high"))
+    agreed = agreed.where("__low = __high").select(id_col, F.col("__low").alias("__label"))
+    parts = [agreed.where(F.col("__label") == k).orderBy(F.xxhash64(F.lit("order"), id_col), id_col).limit(max_rows) for k in (0, 1)]
+    sample = F.broadcast(parts[0].unionByName(parts[1]))
+    return docs.select(id_col, text_col).join(sample, id_col).withColumnRenamed("__label", label_col)
 
 
 def held_out(id_col: str, folds: int, fold: int):
