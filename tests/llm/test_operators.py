@@ -1,0 +1,270 @@
+"""The training-data operators against brute force, exact round trips and held-out accuracy; edge cases of each."""
+
+import hashlib
+import itertools
+import re
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from hexalane.llm import ann, line_crf, minhash_dedup, nbest, packing, pii, quality_rules, queries, secret_scan, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def fold(t):
+    return (t or "").translate({c: c + 32 for c in range(65, 91)})
+
+
+def shingles(t):
+    w = WORD.findall(fold(t))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.fixture(scope="module")
+def table():
+    return pd.read_parquet(f"{SF}/documents.parquet")
+
+
+def edge_rows():
+    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    return [(1, None, None, None, None), (2, "", "en", "web", 0), (3, " \t\n", "en", None, 3), (4, "one two", "en", "web", 7), (4, "one two", "en", "web", 7), (5, long, "en", "web", len(long)), (6, long, None, "web", len(long)), (None, "no id here", "en", "web", 10)]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame(edge_rows(), DOCS).withColumn("id", F.lit("clash")).withColumn("score", F.lit(1)).withColumn("base", F.lit(2)).withColumn("key", F.lit("k"))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def brute_components(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            p, q = sorted((find(a), find(b)))
+            up[q] = p
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_near_duplicates_equal_brute_force(spark, table):
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(spark.createDataFrame(table, DOCS)).collect()}
+    assert got == brute_components(zip(table.doc_id, table.text))
+
+
+def test_large_groups_of_near_copies_lose_no_link(spark):
+    rng = np.random.default_rng(1)
+    base = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(140):
+        w = list(base)
+        for j in rng.choice(60, rng.integers(0, 4), replace=False):
+            w[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(w)))
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_duplicates_of_edge_cases(spark, edges, empty):
+    got = sorted((r["id"] or 0, r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(edges.drop("id")).collect())
+    assert [g for g in got if g[0] in (0, 1, 2, 3)] == [(0, 1, None), (1, 0, 1), (2, 0, 2), (3, 0, 3)]
+    assert [g[2] for g in got if g[0] in (5, 6)] == [5, 5] and [g[2] for g in got if g[0] == 4] == [4, 4]
+    assert minhash_dedup.near_duplicates(empty).count() == 0
+
+
+def brute_counts(t):
+    t = t or ""
+    w = WORD.findall(t)
+    tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    twice = {x for x in tri if tri.count(x) > 1} if len(tri) < 400 else {x for x, n in __import__("collections").Counter(tri).items() if n > 1}
+    covered = {j for i, x in enumerate(tri) if x in twice for j in (i, i + 1, i + 2)}
+    lines, seen, dup = t.split("\n"), set(), 0
+    for x in lines:
+        if WORD.search(x):
+            dup += x in seen
+            seen.add(x)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(covered)
+
+
+def test_quality_counts_equal_brute_force(spark, table, edges, empty):
+    got = {r["doc_id"]: tuple(r[c] for c in quality_rules.COUNTS) for r in queries.op2_quality_rules(spark, SF).collect()}
+    assert got == {i: brute_counts(t) for i, t in zip(table.doc_id, table.text)}
+    judged = quality_rules.quality_rules(edges).collect()
+    assert len(judged) == 8 and all(r["base_failed"] for r in judged if r["n_words"] < 50)
+    assert quality_rules.quality_rules(empty).count() == 0 and quality_rules.keep_good(empty).count() == 0
+
+
+def test_outliers_go_and_clean_rows_stay(spark):
+    rng = np.random.default_rng(2)
+    words = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "window", "garden", "paper"]
+    clean = [(i, " ".join(rng.choice(words, 90)) + f" w{i}", "en", "web", 1) for i in range(300)]
+    odd = [(1000 + i, " ".join(f"{rng.choice(words)}#$%&{i}{j}" for j in range(90)), "en", "web", 1) for i in range(5)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(clean + odd, DOCS)).collect()}
+    assert not any(kept[1000 + i] for i in range(5)) and sum(kept[i] for i in range(300)) >= 297
+
+
+@pytest.mark.parametrize("name, label", [("op3_toxicity", "toxic"), ("op7_line_crf", "quality")])
+def test_held_out_accuracy(spark, name, label):
+    sf = "/root/testdata/sf0.01"
+    got = queries.queries()[name](spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet").drop_duplicates("doc_id"), on="doc_id")
+    held = got[got.held_out]
+    assert got.score.between(0, 1).all() and (held.predicted == held[label]).mean() > max(held[label].mean(), 1 - held[label].mean(), 0.9)
+
+
+def test_classifiers_on_edge_cases(spark, edges, empty):
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (6, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(toxicity.labelled_rows(edges, labels, "toxic"))
+    assert toxicity.score(edges, model).where("score between 0 and 1").count() == 8 and toxicity.score(empty, model).count() == 0
+    none = toxicity.train(toxicity.labelled_rows(empty, labels, "toxic"))
+    assert {r["score"] for r in toxicity.score(edges, none).collect()} == {0.5}
+    crf = line_crf.train(toxicity.labelled_rows(edges, labels, "quality"))
+    assert line_crf.score(edges, crf).where("score between 0 and 1").count() == 8
+    assert {r["score"] for r in line_crf.score(edges, line_crf.train(toxicity.labelled_rows(empty, labels, "quality"))).collect()} == {0.5}
+
+
+def test_crf_marginals_equal_enumeration():
+    rng = np.random.default_rng(4)
+    emission, transition = rng.normal(size=4), rng.normal(size=(2, 2))
+    total, good = 0.0, np.zeros(4)
+    for y in itertools.product((0, 1), repeat=4):
+        p = np.exp(sum(e for e, v in zip(emission, y) if v) + sum(transition[a, b] for a, b in zip(y, y[1:])))
+        total += p
+        good += p * np.array(y)
+    got, _, logz = line_crf.marginals(emission, np.array([0, 4]), transition)
+    assert np.allclose(got, good / total) and np.isclose(logz[0], np.log(total))
+
+
+def test_warc_round_trip(spark, tmp_path):
+    body = "x" * 200
+    rows = [(3, "http://a", body), (1, "http://b", body), (2, None, "short"), (4, "http://c", "short"), (5, "http://d", None), (6, "http://e\r\n", "é" * 90)]
+    path = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = {r["page_id"]: r for r in warc.read_back(spark, path).collect()}
+    assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items()} == {1: ("response", None), 2: ("response", None), 3: ("revisit", 1), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
+    assert all(got[i]["payload_digest"] == hashlib.sha256((h or "").encode()).hexdigest() and got[i]["payload_bytes"] == len((h or "").encode()) for i, _, h in rows)
+    empty = warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
+    assert warc.read_back(spark, empty).count() == 0
+
+
+def test_packing_keeps_every_word_once(spark, table, edges, empty):
+    got = packing.pack(spark.createDataFrame(table, DOCS)).toPandas()
+    words = {i: len(WORD.findall(t or "")) for i, t in zip(table.doc_id, table.text)}
+    assert got.groupby("doc_id").length.sum().to_dict() == words
+    bins = got[got.bin_id.notna()].groupby("bin_id").agg(used=("length", "sum"), size=("bin_size", "first"), stated=("bin_used", "first"))
+    assert (bins.used == bins.stated).all() and (bins.used <= bins["size"]).all() and bins["size"].isin(packing.CAPACITIES).all()
+    assert packing.pack(empty).count() == 0 and packing.pack(edges.drop("id")).where("bin_id is null").count() == 3
+
+
+def test_best_fit_downsizes():
+    where, size, used, _ = packing.best_fit([200, 50, 6], (64, 256))
+    assert where == [0, 0, 0] and size == [256] and used == [256]
+    assert packing.pack_group([60], (64, 256))[1] == [64]
+
+
+def test_secrets_found_and_placeholders_left(spark, edges, empty):
+    model = secret_scan.train(secret_scan.labelled_findings(spark, 2000))
+    rows = [(1, "aws AKIA" + "Q2W3E4R5T6Y7U2I3", "a.env"), (2, "password=changeme12345678 ok", "docs/x.md"), (3, None, None), (4, "commit " + "a1b2c3d4" * 5, "x")]
+    got = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), model).collect()}
+    assert got[1]["__redacted"] == "aws [SECRET]" and got[2]["__redacted"] == rows[1][1] and got[3]["__redacted"] is None and not got[4]["__spans"]
+    assert secret_scan.scan(empty, model).count() == 0 and secret_scan.scan(edges, model).count() == 8
+
+
+def test_ann_recall_and_edges(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 3
+    x = centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16))
+    odd = [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] + [1.0] * 15), (9004, [None] + [1.0] * 15)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<double>")
+    good = ann.usable(frame, "vec_id", "embedding")
+    assert good.count() == 3000
+    got = ann.search(good, good.where("id % 20 = 0"), 20).toPandas()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s, kind="stable")[:20]) & set(own.vec_id))
+        assert own.sort_values("rank").score.is_monotonic_decreasing and np.allclose(own.score, x[own.vec_id] @ x[q])
+    assert hits / (20 * 150) >= 0.9
+    assert ann.search(good.limit(0), good.limit(0), 20).count() == 0
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(t):
+    def ok(kind, v):
+        d = re.sub("[^0-9]", "", v)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in v.split("."))
+        if kind == "card":
+            digits = [int(c) for c in reversed(d)]
+            return 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(digits)) % 10 == 0
+        return kind == "email" or 8 <= len(d) <= 15
+
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, t or "", re.A) if ok(k, m.group()))
+
+
+def test_base_spans_equal_brute_force(spark, table, edges, empty):
+    odd = ["mail a.b@c.de and 10.0.0.1, 999.1.1.1 +1 (555) 123-4567 card 4111 1111 1111 1111", "é😀 x@y.z", "1.2.3.4.5", "+12", None, "0000.1.2.3 a@b"]
+    docs = spark.createDataFrame([*zip(table.doc_id.tolist(), table.text.tolist()), *((10**6 + i, t) for i, t in enumerate(odd))], "doc_id long, text string")
+    got = {r["id"]: r["s"] for r in pii.sanitise(docs).select("id", pii.digest(F.col("base")).alias("s")).collect()}
+    assert got == {i: brute_spans(t) for i, t in [*zip(table.doc_id, table.text), *((10**6 + i, t) for i, t in enumerate(odd))]}
+    assert pii.sanitise(empty).count() == 0 and pii.sanitise(edges.drop("id", "base")).count() == 8
+
+
+def test_disclosing_terms_are_removed(spark):
+    rows = [(i, f"the agent Zorblatt wrote to spy@hidden.org on day {i}") for i in range(8)] + [(100 + i, f"the weather on day {i} was fine and the agent slept") for i in range(60)]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("id < 8").select("extra").collect()
+    assert all(any(s["value"] == "Zorblatt" and s["kind"] == "removed" for s in r["extra"]) and not any(s["value"] == "the" for s in r["extra"]) for r in got)
+
+
+def test_nbest_equals_enumeration_and_decodes(spark, edges, empty):
+    pieces = [b" ", b"a", b"b", b"ab", b" a", b" ab", b"ba", None]
+    v = nbest.Vocabulary(pieces, np.array([-3.0, -2.0, -2.1, -3.0, -2.6, -3.9, -3.3, -9.0]), np.full(256, 7), -20.0)
+
+    def paths(s):
+        if not s:
+            return [(0.0, ())]
+        return [(v.scores[i] + x, (i, *ids)) for i, p in enumerate(pieces) if p and s.startswith(p) for x, ids in paths(s[len(p) :])]
+
+    texts = ["ab ba abab", "a", "bab ab", "abba"]
+    got = nbest.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), v, 4).toPandas()
+    for i, t in enumerate(texts):
+        best = sorted((x for x, _ in paths(b" " + t.encode())), reverse=True)[:4]
+        assert np.allclose(got[got.doc_id == i].sort_values("rank").score, best)
+    real = nbest.load(nbest.MODEL)
+    back = nbest.decode(nbest.encode(edges, real, 2), real)
+    assert back.where(~(F.col("round_trip") & (F.col("decoded") == F.coalesce("text", F.lit(""))))).count() == 0
+    assert nbest.encode(empty, real, 2).count() == 0
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = docs.count()
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == cp.COLUMNS, name
+        assert docs.count() <= before
+        before = docs.count()
+    packed = cp.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    kept = docs.select("doc_id", "text").toPandas()
+    assert all(c == i for i, (_, c) in brute_components(zip(kept.doc_id, kept.text)).items())
+    empty = spark.createDataFrame([], DOCS)
+    assert all(stage(spark, empty, SF).count() == 0 for _, stage in cp.STAGES)
