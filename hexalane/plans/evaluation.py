@@ -66,8 +66,8 @@ def term_profile(terms: DataFrame) -> DataFrame:
 
 
 def _shrunk(score: Column, n: Column, least: int) -> Column:
-    """A raw score drawn towards 50 for small samples, rounded and held to 0..100."""
-    return num.score(50 + (score - 50) * F.least(F.lit(1.0), n / least))
+    """A raw score drawn towards 50 for small samples, rounded and held to 0..100; the ninth digit goes first, so that the order of sums does not show."""
+    return num.score(F.round(50 + (score - 50) * F.least(F.lit(1.0), n / least), 9))
 
 
 def in_strength(s: Column) -> Column:
@@ -122,7 +122,7 @@ def blended(scores: DataFrame) -> DataFrame:
     for name, (zone, _) in SCORES.items():
         n, least = F.col(f"n_{zone}"), 10 if name == "in_strength" else 8
         own = F.when(F.col(name).isNotNull(), weight * F.when(n >= least, 1.0).otherwise(F.greatest(F.lit(0.1), n / least)))
-        out.append(num.score(F.when(F.sum(own) > 0, F.sum(F.col(name) * own) / F.sum(own))).alias(name))
+        out.append(num.score(F.round(F.when(F.sum(own) > 0, F.sum(F.col(name) * own) / F.sum(own)), 9)).alias(name))
     return scores.groupBy("registration_number").agg(*out)
 
 

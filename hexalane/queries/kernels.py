@@ -161,13 +161,13 @@ c as (select registration_number, period, boat_number, count(*) n, count(*) filt
   avg(case when start_timing not in ('F', 'L') then cast(start_timing as double) end) st, count(*) filter (where start_timing = 'F') nf, count(*) filter (where start_timing = 'L') nl
   from race_entry cross join p where not is_scratched and race_date >= cast({REF} - to_months(months) as date) and race_date <= {REF} group by 1, 2, 3),
 z as (select registration_number, period, {ZONE} zone, sum(n) n, sum(f1) / sum(n) w, sum(f2) / sum(n) s, sum(f3) / sum(n) t, sum(f1 + f2) / sum(n) t2, sum(f1 + f2 + f3) / sum(n) t3, sum(af * n) / sum(n) af, sum(coalesce(st, 0) * n) / sum(n) st, sum(nf) nf, sum(nl) nl from c group by 1, 2, 3),
-raw as (select *, round(40 + w * 60 + (t2 - w) * 30 + case when st < 0.10 then 10 when st < 0.13 then 7 when st < 0.16 then 5 when st < 0.20 then 2 else 0 end + least(10, t3 * 20) - nf * 2 - nl, 7) ins,
-  round(30 + s * 80 + (t2 - s - w) * 30 - case when w > 0.15 then (w - 0.15) * 200 else 0 end + case when af < 2.5 then 5 when af < 3 then 3 else 0 end, 7) ms, round(30 + t * 80 + (t3 - t) * 30 + case when af < 3 then 5 else 0 end, 7) mt,
-  round(25 + t * 100 + (t3 - t) * 30 + case when af < 3.5 then 10 when af < 4 then 7 when af < 4.5 then 3 else 0 end + case when st < 0.15 then 5 else 0 end, 7) ot, round(20 + s * 120 + (t2 - s) * 30 + case when af < 3.5 then 10 when af < 4 then 5 else 0 end, 7) os from z)"""
+raw as (select *, 40 + w * 60 + (t2 - w) * 30 + case when st < 0.10 then 10 when st < 0.13 then 7 when st < 0.16 then 5 when st < 0.20 then 2 else 0 end + least(10, t3 * 20) - nf * 2 - nl ins,
+  30 + s * 80 + (t2 - s - w) * 30 - case when w > 0.15 then (w - 0.15) * 200 else 0 end + case when af < 2.5 then 5 when af < 3 then 3 else 0 end ms, 30 + t * 80 + (t3 - t) * 30 + case when af < 3 then 5 else 0 end mt,
+  25 + t * 100 + (t3 - t) * 30 + case when af < 3.5 then 10 when af < 4 then 7 when af < 4.5 then 3 else 0 end + case when st < 0.15 then 5 else 0 end ot, 20 + s * 120 + (t2 - s) * 30 + case when af < 3.5 then 10 when af < 4 then 5 else 0 end os from z)"""
 
 
 def _sc(x, least, zone):
-    return f"cast(max(case when zone = '{zone}' then greatest(0, least(100, floor(50 + ({x} - 50) * least(1, n / {least}) + 0.5))) end) as bigint)"
+    return f"cast(max(case when zone = '{zone}' then greatest(0, least(100, floor(round(50 + ({x} - 50) * least(1, n / {least}), 9) + 0.5))) end) as bigint)"
 
 
 PERIOD_ROWS = PERIOD_SQL + f""", sc as (select registration_number, period, {_sc('ins', 30, '1')} in_strength, {_sc('ms', 30, 'mid')} mid_second, {_sc('mt', 30, 'mid')} mid_third, {_sc('ot', 20, 'outer')} outside_third, {_sc('os', 20, 'outer')} outside_second,
@@ -186,7 +186,8 @@ def period_scores(spark, d):
 
 def _bl(name, zone, least):
     w = f"(case period when '6m' then 0.5e0 when '1y' then 0.3e0 else 0.2e0 end * case when n_{zone} >= {least} then 1 else greatest(0.1e0, n_{zone} / {least}) end)"
-    return f"cast(greatest(0, least(100, floor(sum({name} * {w}) / sum({w}) filter (where {name} is not null) + 0.5))) as bigint) {name}"
+    own = f"sum({w}) filter (where {name} is not null)"
+    return f"case when {own} > 0 then cast(greatest(0, least(100, floor(round(sum({name} * {w}) / {own}, 9) + 0.5))) as bigint) end {name}"
 
 
 @query(PERIOD_ROWS + f" select registration_number, {_bl('in_strength', '1', 10)}, {_bl('mid_second', 'mid', 8)}, {_bl('mid_third', 'mid', 8)}, {_bl('outside_third', 'outer', 8)}, {_bl('outside_second', 'outer', 8)} from sc group by 1")

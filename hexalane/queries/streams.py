@@ -30,7 +30,11 @@ def tick_thinning(spark, d):
 @query("select event_type, cast(epoch(date_trunc('hour', ts)) as bigint) as hour_start, cast(count(*) as bigint) n from events group by 1, 2", derived=False)
 def stream_hourly(spark, d):
     """A file stream of events counted per hour and type with a watermark, run over what is there."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    table = spark.read.parquet(f"{d}/events.parquet")
+    source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 64)
+    # a stream reads folders: the table's own, or the one that holds it if the table is a single file
+    alone = table.inputFiles()[0].rstrip("/").endswith("/events.parquet")
+    stream = source.option("pathGlobFilter", "events.parquet").parquet(d) if alone else source.parquet(f"{d}/events.parquet")
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     out = ticks.run_available(spark, ticks.windowed_counts(stream, "ts", ["event_type"], lateness="60 days"))
     return out.select("event_type", F.unix_timestamp("window_start").alias("hour_start"), "n")

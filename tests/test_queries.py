@@ -11,7 +11,7 @@ from hexalane.queries import ORACLES, QUERIES
 
 def plain(frame):
     def one(v):
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or str(v) in ("nan", "NaT", "<NA>"):
             return "null"
         if isinstance(v, float):
             return str(int(v)) if v.is_integer() else f"{v:.6f}"
