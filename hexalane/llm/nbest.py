@@ -329,6 +329,10 @@ class _Coder:
         return out
 
 
+#: Columns that encoding adds.
+ADDED = ("rank", "score", "ids", "round_trip")
+
+
 class _Decoder:
     """Bytes of piece ids; ids outside the vocabulary give nothing."""
 
@@ -356,9 +360,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = 3, text_col: str =
     A null or empty text has one segmentation, the empty one, of score 0.  A text
     with fewer than ``n`` segmentations gives what it has.  Equal scores of one
     chunk go to the shorter last pieces in the best path, and then to smaller ids.
-    ``round_trip`` tells whether the ids decode to the text, byte for byte.
+    ``round_trip`` tells whether the ids decode to the text, byte for byte.  Columns
+    of ``docs`` with the names of the added ones give way to them.
     """
-    names = list(docs.columns if keep is None else keep)
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
     kept = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
     at = len(names)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -388,6 +393,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = 3, text_col: str =
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
     """Adds ``decoded``: the text of each row's ids, without the dummy prefix; null ids give null, unknown ids nothing."""
+    coded = coded.drop("decoded")
     names = coded.columns
     at = names.index(ids_col)
     shared = coded.sparkSession.sparkContext.broadcast(vocabulary)

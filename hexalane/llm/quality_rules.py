@@ -278,4 +278,8 @@ def keep_good(docs: DataFrame, text_col: str = "text", cutoff: float = CUTOFF) -
     cells = model(stats)
     drop_path(docs.sparkSession, stats)
     names = tuple(docs.columns)
-    return judge(statistics(docs, text_col, names), cells, names, cutoff).where("kept").select(*names)
+    if not {*names} & {*COUNTS, *VECTOR, "__l", "__s", "__text", "centre", "inverse", "scale", "distance2", "base_failed", "kept"}:
+        return judge(statistics(docs, text_col, names), cells, names, cutoff).where("kept").select(*names)
+    # clashing names travel inside a struct
+    packed = docs.select(F.struct(*names).alias("__row"), "lang", "source", F.col(text_col).alias("__t"))
+    return judge(statistics(packed, "__t", ("__row", "lang", "source")), cells, ("__row",), cutoff).where("kept").select("__row.*")

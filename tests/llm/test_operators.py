@@ -81,7 +81,7 @@ def test_large_groups_of_near_copies_lose_no_link(spark):
 
 
 def test_near_duplicates_of_edge_cases(spark, edges, empty):
-    got = sorted((r["id"] or 0, r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(edges.drop("id")).collect())
+    got = sorted((r["id"] or 0, r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(edges).collect())
     assert [g for g in got if g[0] in (0, 1, 2, 3)] == [(0, 1, None), (1, 0, 1), (2, 0, 2), (3, 0, 3)]
     assert [g[2] for g in got if g[0] in (5, 6)] == [5, 5] and [g[2] for g in got if g[0] == 4] == [4, 4]
     assert minhash_dedup.near_duplicates(empty).count() == 0
@@ -116,6 +116,9 @@ def test_outliers_go_and_clean_rows_stay(spark):
     odd = [(1000 + i, " ".join(f"{rng.choice(words)}#$%&{i}{j}" for j in range(90)), "en", "web", 1) for i in range(5)]
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(clean + odd, DOCS)).collect()}
     assert not any(kept[1000 + i] for i in range(5)) and sum(kept[i] for i in range(300)) >= 297
+    clash = spark.createDataFrame(clean + odd, DOCS).withColumn("n_words", F.lit("mine")).withColumn("kept", F.lit(7))
+    good = quality_rules.keep_good(clash)
+    assert good.columns == clash.columns and {r["doc_id"] for r in good.collect()} == {i for i, k in kept.items() if k}
 
 
 @pytest.mark.parametrize("name, label", [("op3_toxicity", "toxic"), ("op7_line_crf", "quality")])
@@ -166,7 +169,7 @@ def test_packing_keeps_every_word_once(spark, table, edges, empty):
     assert got.groupby("doc_id").length.sum().to_dict() == words
     bins = got[got.bin_id.notna()].groupby("bin_id").agg(used=("length", "sum"), size=("bin_size", "first"), stated=("bin_used", "first"))
     assert (bins.used == bins.stated).all() and (bins.used <= bins["size"]).all() and bins["size"].isin(packing.CAPACITIES).all()
-    assert packing.pack(empty).count() == 0 and packing.pack(edges.drop("id")).where("bin_id is null").count() == 3
+    assert packing.pack(empty).count() == 0 and packing.pack(edges).where("bin_id is null").count() == 3
 
 
 def test_best_fit_downsizes():
@@ -223,7 +226,7 @@ def test_base_spans_equal_brute_force(spark, table, edges, empty):
     docs = spark.createDataFrame([*zip(table.doc_id.tolist(), table.text.tolist()), *((10**6 + i, t) for i, t in enumerate(odd))], "doc_id long, text string")
     got = {r["id"]: r["s"] for r in pii.sanitise(docs).select("id", pii.digest(F.col("base")).alias("s")).collect()}
     assert got == {i: brute_spans(t) for i, t in [*zip(table.doc_id, table.text), *((10**6 + i, t) for i, t in enumerate(odd))]}
-    assert pii.sanitise(empty).count() == 0 and pii.sanitise(edges.drop("id", "base")).count() == 8
+    assert pii.sanitise(empty).count() == 0 and pii.sanitise(edges).count() == 8
 
 
 def test_disclosing_terms_are_removed(spark):
