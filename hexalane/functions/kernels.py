@@ -73,21 +73,29 @@ def _mean(xs: list[Column]) -> Column:
     return total(xs) / len(xs)
 
 
-def program_intent(main_rate: Column, ura_rate: Column, races: Column) -> dict[str, Column]:
-    """What the programme of the race aims at: lane placement, strength and the habit of the venue and race number."""
-    s = [base_strength(boat(n)) for n in range(1, 7)]
-    mid, outer = _mean(s[1:4]), _mean(s[4:])
-    peak = F.greatest(s[4], s[5])
-    axis = clamp(45 + (s[0] - _mean(s[1:])) * 0.9, 0, 100)
-    main = clamp(55 + (mid - outer) * 0.85 + F.greatest(F.lit(0.0), peak - 45.0) * 0.25, 0, 100)
-    ura = clamp(45 + (peak - mid) * 1.15 + F.greatest(F.lit(0.0), mid - 45.0) * 0.30, 0, 100)
-    shrink = clamp(races / (races + 120), 0, 0.7)
-    habit = clamp((main_rate - ura_rate) * 420 * shrink, -24, 24)
-    m = half_up(clamp(axis * 0.35 + main * 0.50 + F.greatest(habit, F.lit(0.0)), 0, 100))
-    u = half_up(clamp(axis * 0.35 + ura * 0.50 + F.greatest(-habit, F.lit(0.0)), 0, 100))
-    gap = m - u
-    sure = half_up(clamp(F.abs(gap) * 2.4 + F.greatest(m, u) * 0.45 + F.abs(habit) * 0.8, 0, 100))
-    return {"main_intent": m, "ura_intent": u, "hypothesis": F.when(gap >= 10, "MAIN").when(gap <= -10, "URA").otherwise("NEUTRAL"), "intent_confidence": sure, "axis_placement": half_up(axis)}
+def program_intent(races: DataFrame, main_rate: str, ura_rate: str, n: str) -> DataFrame:
+    """What the programme of each race aims at: lane placement, strength and the habit of the venue and race number.
+
+    Adds ``main_intent``, ``ura_intent``, ``hypothesis``, ``intent_confidence`` and
+    ``axis_placement``.  Each stage is a projection of its own, so that no
+    sub-score is computed twice within one expression.
+    """
+    c = F.col
+    out = races.withColumns({f"_s{i}": base_strength(boat(i)) for i in range(1, 7)})
+    s = [c(f"_s{i}") for i in range(1, 7)]
+    habit = clamp((c(main_rate) - c(ura_rate)) * 420 * clamp(c(n) / (c(n) + 120), 0, 0.7), -24, 24)
+    out = out.withColumns({"_mid": _mean(s[1:4]), "_outer": _mean(s[4:]), "_others": _mean(s[1:]), "_peak": F.greatest(s[4], s[5]), "_habit": habit})
+    out = out.withColumns({
+        "_axis": clamp(45 + (c("_s1") - c("_others")) * 0.9, 0, 100),
+        "_main": clamp(55 + (c("_mid") - c("_outer")) * 0.85 + F.greatest(F.lit(0.0), c("_peak") - 45.0) * 0.25, 0, 100),
+        "_ura": clamp(45 + (c("_peak") - c("_mid")) * 1.15 + F.greatest(F.lit(0.0), c("_mid") - 45.0) * 0.30, 0, 100),
+    })
+    aim = lambda shape, own: half_up(clamp(c("_axis") * 0.35 + c(shape) * 0.50 + F.greatest(own, F.lit(0.0)), 0, 100))
+    out = out.withColumns({"main_intent": aim("_main", c("_habit")), "ura_intent": aim("_ura", -c("_habit"))})
+    gap = c("main_intent") - c("ura_intent")
+    sure = half_up(clamp(F.abs(gap) * 2.4 + F.greatest("main_intent", "ura_intent") * 0.45 + F.abs("_habit") * 0.8, 0, 100))
+    out = out.withColumns({"hypothesis": F.when(gap >= 10, "MAIN").when(gap <= -10, "URA").otherwise("NEUTRAL"), "intent_confidence": sure, "axis_placement": half_up(c("_axis"))})
+    return out.drop(*[x for x in out.columns if x.startswith("_") and x not in races.columns])
 
 
 def motor_support() -> dict[str, Column]:

@@ -30,8 +30,9 @@ BOATS = "from race_entry b1 " + " ".join(f"join race_entry b{n} on b{n}.race_id
 KERNEL_COLUMNS = ["race_id", "boat_number", "grade_class", "national_win_rate", "national_2rate", "national_3rate", "local_win_rate", "local_2rate", "local_3rate", "c1_win_rate", "motor_2rate", "motor_3rate", "boat_2rate", "boat_3rate", "avg_st", "f_count", "exhibition_time", "exhibition_st", "entry_course"]
 
 
-def _wide(spark, d):
-    return k.wide(fixture(spark, d, "race_entry").select(*KERNEL_COLUMNS))
+def _wide(spark, d, *columns):
+    """Wide rows with the columns that a kernel reads: fields of a struct are not pruned by the optimiser."""
+    return k.wide(fixture(spark, d, "race_entry").select(*(("race_id", "boat_number", *columns) if columns else KERNEL_COLUMNS)))
 
 
 def _named(columns):
@@ -98,8 +99,8 @@ w as (select *, cast({_r(_cl('ax * 0.35e0 + ms * 0.50e0 + greatest(habit, 0)', 0
 def program_intent(spark, d):
     r = fixture(spark, d, "race_result")
     habit = agg.venue_race_stats(agg.venue_race_partial(r)).select("venue_code", "race_number", "total_races", "uichi_rate", "ura_uichi_rate")
-    own = _wide(spark, d).join(r.select("race_id", "venue_code", "race_number"), "race_id").join(habit, ["venue_code", "race_number"])
-    return own.select("race_id", *_named(k.program_intent(F.col("uichi_rate"), F.col("ura_uichi_rate"), F.col("total_races"))))
+    own = _wide(spark, d, "grade_class", "national_win_rate", "national_2rate").join(r.select("race_id", "venue_code", "race_number"), "race_id").join(habit, ["venue_code", "race_number"])
+    return k.program_intent(own, "uichi_rate", "ura_uichi_rate", "total_races").select("race_id", "main_intent", "ura_intent", "hypothesis", "intent_confidence", "axis_placement")
 
 
 def _m(b, i):
@@ -115,7 +116,7 @@ def _pool(xs, peak, mean):
 select race_id, cast(own as bigint) boat1_motor, cast({_r(_cl(f"own * 0.35e0 + {_pool(['m22', 'm32', 'm42'], 0.60, 0.40)} * 0.35e0 + {_pool(['m53', 'm63'], 0.60, 0.40)} * 0.30e0", 0, 100))} as bigint) main_support,
  cast({_r(_cl(f"own * 0.35e0 + {_pool(['m52', 'm62'], 0.60, 0.40)} * 0.38e0 + {_pool(['m23', 'm33', 'm43'], 0.60, 0.40)} * 0.27e0", 0, 100))} as bigint) ura_support from o""")
 def motor_support(spark, d):
-    return _wide(spark, d).select("race_id", *_named(k.motor_support()))
+    return _wide(spark, d, "motor_2rate", "motor_3rate", "boat_2rate", "boat_3rate").select("race_id", *_named(k.motor_support()))
 
 
 @query(f"""f as (select race_id, min(exhibition_time) lo, max(exhibition_time) hi, avg(exhibition_st) st from race_entry where not is_scratched group by race_id),
