@@ -15,8 +15,8 @@ hold the entity.
 
 Everything is DataFrame functions: positions come from splitting a text at a
 pattern and adding up lengths.  Counts are map-side combined aggregates over all
-texts; the terms looked at are those next to entities, and joins meet aggregated
-counts only.
+texts; the terms looked at are all those of the texts that hold an entity, and
+only terms rare enough to disclose any entity meet the entities of their texts.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -35,11 +35,8 @@ PATTERNS = {
 }
 #: A text without a match of this cheap test has no base span of the kind.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]([\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Words to each side of an entity whose terms are looked at.
-NEAR = 6
-#: Texts (copies count once) that a term and an entity must share before their co-occurrence says anything.
-LEAST_TEXTS = 3
-#: Texts with copies whose numbers may be broadcast: 500,000 pairs of longs are 8 MB.
+#: Rows of a table of numbers or terms that may be broadcast: texts with copies, entities of several texts and frequent terms;
+#: 500,000 pairs of longs are 8 MB.
 BROADCAST_COPIES = 500_000
 REMOVE, GENERALISE = 0.95, 0.8
 TERM = r"[\p{L}\p{N}][\p{L}\p{N}'’-]*"
@@ -102,40 +99,65 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def disclosures(docs: DataFrame, entities: DataFrame, text_col: str = "text", near: int = NEAR, least_texts: int = LEAST_TEXTS, threshold: float = GENERALISE) -> DataFrame:
-    """``entity, term, action, disclosure`` for the terms that disclose an entity.
+def _outside(text: Column, base: Column) -> Column:
+    """The text with a line break in place of every base span."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(state, s):
+        kept = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], kept, F.lit("\n")).alias("out"))
+
+    spans = F.array_sort(F.transform(base, lambda s: F.struct(s["start"], s["end"])))
+    return F.aggregate(spans, start, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """Broadcast behind a count."""
+    return F.broadcast(table) if table.count() <= BROADCAST_COPIES else table
+
+
+def disclosures(docs: DataFrame, entities: DataFrame, text_col: str = "text", threshold: float = GENERALISE) -> DataFrame:
+    """``t, entity, term, action, disclosure``: the terms that disclose an entity, for every text ``t`` (a hash) with both.
 
     ``entities`` holds the texts with base spans (``text, base``), ``docs`` all
-    texts.  Counts are over distinct texts.
+    texts.  Counts are over distinct texts; a term counts where it stands outside
+    of base spans.  Every entity and every such term is judged, however rare.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    held = entities.select(F.xxhash64("text").alias("t"), "text", F.col("base").alias("spans"))
-    mentions = held.select("t", "text", F.explode("spans").alias("span")).select(
-        "t",
-        _entity(F.col("span")).alias("entity"),
-        # the terms to both sides, on the same line
-        F.slice(F.reverse(_terms(F.substring_index(F.expr("substring(text, greatest(1, span.start - 199), least(span.start, 200))"), "\n", -1))), 1, near).alias("left"),
-        F.slice(_terms(F.substring_index(F.expr("substring(text, span.end + 1, 200)"), "\n", 1)), 1, near).alias("right"),
-    )
-    found = materialise(mentions.select("t", "entity", F.array_distinct(F.concat("left", "right")).alias("terms")), "mentions")
-    entity_texts = found.groupBy("entity").agg(F.count_distinct("t").alias("n_entity")).where(F.col("n_entity") >= least_texts)
-    pairs = found.select("t", "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("t").alias("n_both")).where(F.col("n_both") >= least_texts)
-    pairs = materialise(pairs.join(entity_texts, "entity").where(~F.col("entity").contains(F.col("term"))), "pairs")
-    if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], "entity string, term string, action string, disclosure double")
+    none = docs.sparkSession.createDataFrame([], "t long, entity string, term string, action string, disclosure double")
+    held = entities.select(F.xxhash64("text").alias("t"), "text", "base").dropDuplicates(["t"])
+    every, free = _terms(F.col("text")), _terms(_outside(F.col("text"), F.col("base")))
+    held = held.select("t", F.array_distinct(F.transform("base", _entity)).alias("entities"), F.array_distinct(every).alias("every"), free.alias("free"))
+    found = materialise(held.select("t", "entities", F.array_intersect("every", "free").alias("free"), F.array_except("every", "free").alias("hidden")), "found")
+    n_found = found.count()
+    if not n_found:
+        return none
+    mentions = found.select("t", F.explode("entities").alias("entity"))
+    entity_texts = materialise(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where("n_entity > 1"), "entity_texts")
+    most = entity_texts.agg(F.max("n_entity")).first()[0] or 1
     # every text counts by its share among its copies, so that the counts of a term combine on the map side
     copies = materialise(docs.select(F.xxhash64(text).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("copies")), "copies")
-    corpus, several = copies.count(), copies.where("copies > 1")
-    if several.count() <= BROADCAST_COPIES:
-        several = F.broadcast(several)
-    shared = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(several, "t", "left")
+    corpus = float(copies.count())
+    shared = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(_small(copies.where("copies > 1")), "t", "left")
     holding = shared.select((1.0 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     term_texts = holding.groupBy("term").agg(F.round(F.sum("share")).alias("n_term"))
-    total = F.lit(float(corpus))
-    ic = F.log2(total / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    judged = pairs.join(term_texts, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
-    return judged.where(F.col("disclosure") >= threshold).select("entity", "term", F.when(F.col("disclosure") >= REMOVE, "removed").otherwise("generalised").alias("action"), "disclosure")
+    side = F.explode(F.concat(F.transform("free", lambda x: F.struct(x.alias("term"), F.lit(1).alias("free"))), F.transform("hidden", lambda x: F.struct(x.alias("term"), F.lit(0).alias("free")))))
+    beside = found.select(side.alias("x")).select("x.*").groupBy("term").agg(F.sum("free").alias("n_free"), F.sum(1 - F.col("free")).alias("n_hidden")).where("n_free > 0")
+    counted = beside.join(term_texts, "term").select("term", "n_free", (F.col("n_term") - F.col("n_hidden")).alias("n_term"))
+    # lossless: both are in at most min(n_free, n_entity) texts, so no entity can bring a term above this bound to the threshold
+    bound = F.pow(F.least(F.col("n_free"), F.lit(most)).cast("double"), F.lit(threshold)) * corpus ** (1 - threshold) * (1 + 1e-9)
+    counted = materialise(counted.withColumn("can", F.col("n_term") <= bound), "term_texts")
+    # of the terms that cannot, the frequent ones leave before the shuffle: at most 1,000 times the terms of a mean text
+    frequent = counted.where(~F.col("can") & (F.col("n_free") * 1000 > n_found)).select("term")
+    rare = found.select("t", F.explode("free").alias("term")).join(_small(frequent), "term", "left_anti").join(counted.where("can").select("term", "n_term"), "term")
+    both = materialise(rare.join(mentions, "t"), "both")
+    pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_term").alias("n_term")).join(_small(entity_texts), "entity", "left")
+    total, n_entity = F.lit(corpus), F.coalesce("n_entity", F.lit(1))
+    ic = F.log2(total / n_entity)
+    pmi = F.log2(F.col("n_both") * total / (n_entity * F.col("n_term")))
+    judged = pairs.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).where(F.col("disclosure") >= threshold)
+    action = F.when(F.col("disclosure") >= REMOVE, "removed").otherwise("generalised")
+    return both.select("t", "entity", "term").join(judged.select("entity", "term", "disclosure"), ["entity", "term"]).select("t", "entity", "term", action.alias("action"), "disclosure")
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
@@ -171,10 +193,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     plain = base.where(F.size("base") == 0).select("id", nothing.alias("base"), nothing.alias("extra"))
     if given.isEmpty():
         return plain.unionByName(with_entities.select("id", "base", nothing.alias("extra")))
-    # the terms that each text must lose: its entities' terms, gathered per text (at most 2 * NEAR for a mention)
+    # the terms that each text must lose, gathered per text
     keyed = with_entities.withColumn("t", F.xxhash64("text"))
-    text_terms = keyed.select("t", F.explode("base").alias("span")).select("t", _entity(F.col("span")).alias("entity")).distinct().join(given, "entity")
-    text_terms = text_terms.groupBy("t", "term").agg(F.max("action").alias("action")).groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("terms"))
+    text_terms = given.groupBy("t", "term").agg(F.max("action").alias("action")).groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("terms"))
     marked = keyed.join(text_terms, "t", "left")
     free = lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"]))
     extra = F.when(F.col("terms").isNull(), nothing).otherwise(F.filter(_term_spans(F.col("text"), F.col("terms")), free))

@@ -271,3 +271,10 @@ def test_pipeline_stages(spark):
     assert all(c == i for i, (_, c) in brute_components(zip(kept.doc_id, kept.text)).items())
     empty = spark.createDataFrame([], DOCS)
     assert all(stage(spark, empty, SF).count() == 0 for _, stage in cp.STAGES)
+
+
+def test_entities_of_one_text_are_judged_over_the_whole_text(spark):
+    told = "Zorblatt of Quuxville is known here.\n" + "the weather was fine and " * 12 + "call spy@hidden.org"
+    rows = [(0, told), (1, told)] + [(100 + i, "the weather was fine and here is known of call") for i in range(60)] + [(200 + i, f"the weather was fine {i} and here is known of call") for i in range(60)]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("id < 100").select("extra").collect()
+    assert [sorted((s["value"], s["kind"], s["start"]) for s in r["extra"]) for r in got] == [[("Quuxville", "removed", 12), ("Zorblatt", "removed", 0)]] * 2
