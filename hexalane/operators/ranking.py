@@ -54,3 +54,18 @@ def top_reasons(reasons: Column, k: int) -> Column:
     """The ``k`` strongest reasons of an array of ``(label, strength)``; equal ones in their given order, nulls left out."""
     indexed = F.transform(F.filter(reasons, lambda r: r.isNotNull()), lambda r, i: F.struct((-r["strength"]).alias("s"), i.alias("i"), r["label"].alias("label"), r["strength"].alias("strength")))
     return F.transform(F.slice(F.array_sort(indexed), 1, k), lambda r: F.struct(r["label"].alias("label"), r["strength"].alias("strength")))
+
+
+def repair_order(races: DataFrame, entries: DataFrame, now: Column, open_: Column, full: int = 6, minutes: int = 90) -> DataFrame:
+    """Open races of fewer than ``full`` entries (none at all is 0), most urgent first.
+
+    Deadlines within ``minutes`` of ``now`` lead, the nearest first; then venues that
+    have entries of any race of that day; then the deadline, unknown ones last.
+    """
+    venue = ["race_date", "venue_code"]
+    n = entries.groupBy("race_id").agg(F.count(F.lit(1)).alias("n_entries"))
+    counted = races.join(n, "race_id", "left").withColumn("n_entries", F.coalesce("n_entries", F.lit(0)))
+    filled = counted.groupBy(*venue).agg((F.sum("n_entries") > 0).alias("partly_filled"))
+    soon = F.coalesce((F.col("deadline") >= now) & (F.col("deadline") <= now + F.make_interval(mins=F.lit(minutes))), F.lit(False))
+    queue = counted.where(open_ & (F.col("n_entries") < full)).join(filled, venue).withColumn("soon", soon)
+    return queue.orderBy(F.desc("soon"), F.when(F.col("soon"), F.col("deadline")).asc_nulls_last(), F.desc("partly_filled"), F.asc_nulls_last("deadline"), "race_id")

@@ -51,6 +51,22 @@ def repair_queue(spark, d):
     return open_.orderBy(F.when(F.col("n_entries").between(1, 5), 0).otherwise(1), "deadline", "race_id").limit(48).select("race_id", "n_entries")
 
 
+@query("""n as (select race_id, count(*) n from race_entry where not is_scratched group by race_id),
+c as (select r.race_id, r.race_date, r.venue_code, r.status, r.deadline, coalesce(n.n, 0) n from race r left join n on n.race_id = r.race_id),
+v as (select race_date, venue_code, sum(n) filled from c group by all),
+t as (select c.*, v.filled > 0 as partly_filled, coalesce(c.deadline >= timestamp '1996-01-01 23:00:00' and c.deadline <= timestamp '1996-01-02 00:30:00', false) soon from c join v on v.race_date = c.race_date and v.venue_code = c.venue_code where c.status = 'scheduled' and c.n < 6)
+select race_id, cast(n as bigint) n_entries, soon, partly_filled from t order by soon desc, case when soon then deadline end nulls last, partly_filled desc, deadline nulls last, race_id""")
+def repair_queue_whole(spark, d):
+    """Every open race that lacks entries, in the order of repair; a caller takes as many as it can fetch.
+
+    ``repair_queue`` keeps the 48 rows that its SQL names.
+    """
+    from ..operators.ranking import repair_order
+
+    own = fixture(spark, d, "race_entry").where("not is_scratched")
+    return repair_order(fixture(spark, d, "race"), own, F.lit("1996-01-01 23:00:00").cast("timestamp"), F.col("status") == "scheduled").select("race_id", "n_entries", "soon", "partly_filled")
+
+
 @query("""x as (select race_date, venue_code, count(*) filter (where trifecta in ('1-2-5','1-2-6','1-3-5','1-3-6','1-4-5','1-4-6')) hits from race_result group by race_date, venue_code)
 select race_date, venue_code, cast(hits as bigint) as hits from x order by case when race_date >= date '1998-07-01' then 0 else 1 end, race_date desc, case when hits > 0 then 0 else 1 end, venue_code limit 100""")
 def enrich_queue(spark, d):
