@@ -39,7 +39,13 @@ def sort_limit(spark, d):
 
 @query("select race_id, race_date, deadline, race_number from race where status = 'finished' order by race_date desc, deadline desc, race_number desc, race_id limit 200")
 def verification_order(spark, d):
-    return fixture(spark, d, "race").where("status = 'finished'").orderBy(F.desc("race_date"), F.desc("deadline"), F.desc("race_number"), "race_id").limit(200).select("race_id", "race_date", "deadline", "race_number")
+    """The first 200 rows of ``verification_order_whole``, as its SQL names them."""
+    return verification_order_whole(spark, d).limit(200)
+
+
+@query("select race_id, race_date, deadline, race_number from race where status = 'finished' order by race_date desc, deadline desc, race_number desc, race_id")
+def verification_order_whole(spark, d):
+    return fixture(spark, d, "race").where("status = 'finished'").orderBy(F.desc("race_date"), F.desc("deadline"), F.desc("race_number"), "race_id").select("race_id", "race_date", "deadline", "race_number")
 
 
 @query("""n as (select race_id, count(*) n from race_entry where not is_scratched group by race_id)
@@ -70,13 +76,20 @@ def repair_queue_whole(spark, d):
 @query("""x as (select race_date, venue_code, count(*) filter (where trifecta in ('1-2-5','1-2-6','1-3-5','1-3-6','1-4-5','1-4-6')) hits from race_result group by race_date, venue_code)
 select race_date, venue_code, cast(hits as bigint) as hits from x order by case when race_date >= date '1998-07-01' then 0 else 1 end, race_date desc, case when hits > 0 then 0 else 1 end, venue_code limit 100""")
 def enrich_queue(spark, d):
+    """The first 100 rows of ``enrich_queue_whole``, as its SQL names them."""
+    return enrich_queue_whole(spark, d).limit(100)
+
+
+@query("""x as (select race_date, venue_code, count(*) filter (where trifecta in ('1-2-5','1-2-6','1-3-5','1-3-6','1-4-5','1-4-6')) hits from race_result group by race_date, venue_code)
+select race_date, venue_code, cast(hits as bigint) as hits from x order by case when race_date >= date '1998-07-01' then 0 else 1 end, race_date desc, case when hits > 0 then 0 else 1 end, venue_code""")
+def enrich_queue_whole(spark, d):
     """Venue days to enrich: recent ones first, then newest, those with hits first."""
     from ..functions.numbers import count_where
     from ..functions.patterns import hit
 
     days = fixture(spark, d, "race_result").groupBy("race_date", "venue_code").agg(count_where(hit("MAIN", "trifecta")).alias("hits"))
     recent = F.col("race_date") >= F.lit("1998-07-01").cast("date")
-    return days.orderBy(F.when(recent, 0).otherwise(1), F.desc("race_date"), F.when(F.col("hits") > 0, 0).otherwise(1), "venue_code").limit(100)
+    return days.orderBy(F.when(recent, 0).otherwise(1), F.desc("race_date"), F.when(F.col("hits") > 0, 0).otherwise(1), "venue_code")
 
 
 @query("select race_id, 'v2' as source, result_1 from race_result where race_id % 2 = 0 union all select r.race_id, 'v1', r.result_1 from race_result r where r.race_id % 3 = 0 and r.race_id % 2 <> 0")

@@ -27,3 +27,9 @@ def test_repair_queue_holds_only_incomplete_races_in_order(spark, data):
     assert [(x["race_id"], x["n_entries"]) for x in got] == [(3, 0), (1, 0), (6, 1), (4, 0), (7, 0), (5, 0)]
     got, want = in_order(spark, data, "repair_queue_whole")
     assert got == want and len(got) > 48
+
+
+def test_ordered_lists_are_not_cut(spark, data):
+    for name, cut in (("verification_order_whole", 200), ("enrich_queue_whole", 100)):
+        got, want = in_order(spark, data, name)
+        assert got == want and len(got) > cut
