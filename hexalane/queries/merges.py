@@ -53,7 +53,7 @@ def venue_readiness(spark, d):
 @query("""v as (select race_id, 'few_entries' as rule, cast(count(*) as bigint) n from race_entry where not is_scratched group by 1 having count(*) < 6 union all select race_id, 'pending_final', cast(count(*) as bigint) from uichi_analysis where stage = 'final' and judgment = 'PENDING' group by 1
  union all select min(race_id), 'duplicate_race', cast(count(*) as bigint) from race group by race_date, venue_code, race_number having count(*) > 1) select * from v""")
 def integrity_check(spark, d):
-    """Violations of all rules as one table."""
+    """Violations of the three rules that its SQL names, as one table; ``integrity_check_whole`` has all five."""
     from ..operators.quality import violations
 
     e, a, r = (fixture(spark, d, t) for t in ("race_entry", "uichi_analysis", "race"))
@@ -64,6 +64,20 @@ def integrity_check(spark, d):
     })
 
 
+@query("""n as (select race_id, count(*) n from race_entry where not is_scratched group by 1),
+v as (select r.race_id, 'few_entries' as rule, cast(coalesce(n.n, 0) as bigint) n from (select distinct race_id from race) r left join n on n.race_id = r.race_id where coalesce(n.n, 0) < 6
+ union all select e.race_id, 'orphaned_entries', cast(count(*) as bigint) from race_entry e where not exists (select 1 from race r where r.race_id = e.race_id) group by 1
+ union all select race_id, 'pending_final', cast(count(*) as bigint) from uichi_analysis where stage = 'final' and judgment in ('PENDING', 'MISSING') group by 1
+ union all select race_id, 'lost_exhibition', cast(count(*) as bigint) from race_entry where exhibition_time is not null and exhibition_st is null and entry_course is null group by 1
+ union all select min(race_id), 'duplicate_race', cast(count(*) as bigint) from race group by race_date, venue_code, race_number having count(*) > 1) select * from v""")
+def integrity_check_whole(spark, d):
+    """Violations of all five rules as one table."""
+    from ..operators.quality import integrity_rules, violations
+
+    e, a, r = (fixture(spark, d, t) for t in ("race_entry", "uichi_analysis", "race"))
+    return violations(integrity_rules(r, e, a, ~F.col("is_scratched")))
+
+
 @query("select race_id, case when status = 'finished' then 'resolved' when pre_grade is null then 'filtered_out' else 'active' end state from (select r.race_id, r.status, a.pre_grade from race r join (select race_id, max(pre_grade) pre_grade from alert group by 1) a on a.race_id = r.race_id)")
 def alert_state(spark, d):
     a = fixture(spark, d, "alert").groupBy("race_id").agg(F.max("pre_grade").alias("pre_grade"))

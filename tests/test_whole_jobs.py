@@ -6,7 +6,7 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
-from hexalane.operators import ranking
+from hexalane.operators import quality, ranking
 from hexalane.queries import ORACLES, QUERIES
 
 
@@ -33,3 +33,12 @@ def test_ordered_lists_are_not_cut(spark, data):
     for name, cut in (("verification_order_whole", 200), ("enrich_queue_whole", 100)):
         got, want = in_order(spark, data, name)
         assert got == want and len(got) > cut
+
+
+def test_integrity_check_has_all_five_rules(spark):
+    r = spark.createDataFrame([(i, "2024-01-01", "01", min(i, 3)) for i in (1, 2, 3, 4)], "race_id long, race_date string, venue_code string, race_number long")
+    rows = [(i, b, 6.8, 0.1, b, False) for i in (1, 3, 4) for b in range(1, 7)] + [(1, 7, 6.8, None, None, False), (1, 8, 6.8, None, 2, False), (9, 1, None, None, None, False)]
+    e = spark.createDataFrame(rows, "race_id long, boat_number long, exhibition_time double, exhibition_st double, entry_course long, is_scratched boolean")
+    a = spark.createDataFrame([(1, "final", "MISSING"), (1, "final", "PENDING"), (3, "pre", "MISSING"), (4, "final", "BUY")], "race_id long, stage string, judgment string")
+    got = quality.violations(quality.integrity_rules(r, e, a, ~F.col("is_scratched"))).collect()
+    assert sorted(tuple(x) for x in got) == [(1, "lost_exhibition", 1), (1, "pending_final", 2), (2, "few_entries", 0), (3, "duplicate_race", 2), (9, "orphaned_entries", 1)]
