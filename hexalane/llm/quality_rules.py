@@ -7,15 +7,19 @@ squared Mahalanobis distance passes a chi-square cutoff are rejected.
 
 The estimator is the deterministic variant of the concentration algorithm
 (Hubert, Rousseeuw and Verdonck, 2012): two robust starting points per cell, then
-concentration steps that keep the ``h`` closest rows and re-estimate.  A step
-needs one quantile sketch and one set of moment sums per cell, both of which
-combine on the map side, so a cell may hold any share of the corpus.
+concentration steps that keep the nearest ``H_SHARE`` of the rows and re-estimate
+until nothing moves, and one reweighting step.  Every cell is estimated from its
+own rows, however few; its estimate is then drawn towards that of its language as
+if ``PRIOR`` rows of it were the cell's own (regularised MCD), so a small cell is
+ruled by its language and a large one by itself.  A step is one hash aggregation of
+moment sums over bins of distance, which combines on the map side, so a cell may
+hold any share of the corpus.
 """
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import Powers, Words, blocks, text_buffers, windows
@@ -31,15 +35,17 @@ SPACES = " \t\n\v\f\r"
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 VECTOR = ["v_length", "v_symbols", "v_lines", "v_repeats", "v_capitals"]
-#: Least spread of each statistic: below it, differences between documents carry no meaning.
-FLOOR = [0.12, 0.12, 0.12, 0.12, 0.12]
+#: Least spread in any direction of the statistics: below it, differences between documents carry no meaning.
+FLOOR = 0.12
 #: Share of a cell's rows that the concentration steps keep.
 H_SHARE = 0.75
-#: Cells with fewer rows are estimated together with the rest of their language, then with all such rows.
-LEAST_ROWS = 200
-#: Chi-square quantile of order 1 - 1e-12 for 5 degrees of freedom (fixed value), and the median.
-CUTOFF, MEDIAN = 66.4, 4.351
-STEPS = 4
+# Fixed values for 5 degrees of freedom: factors that make the scatter of the nearest 75 % and of the rows within the
+# 97.5 % quantile consistent for normal data, that quantile, and the quantile of order 1 - 1e-6 that is the cut-off.
+H_FACTOR, REWEIGHT_FACTOR, REWEIGHT_CUT, CUTOFF = 1.41207, 1.05553, 12.8325, 35.888
+#: Rows that the estimate of the next wider level counts for in that of a cell.
+PRIOR = 25.0
+#: Concentration steps go on until no log-determinant moves by more than this; the number is a guard only.
+SETTLED, MOST_STEPS = 0.01, 30
 
 
 def _counts(data, offsets, powers, texts):
@@ -131,31 +137,60 @@ def _key(stats: DataFrame) -> DataFrame:
     return stats.withColumn("__l", F.coalesce(F.col("lang").cast("string"), F.lit("\0"))).withColumn("__s", F.coalesce(F.col("source").cast("string"), F.lit("\0")))
 
 
-def _cells(stats: DataFrame) -> DataFrame:
-    """``__l, __s, cell``: a cell per language and source; small ones share their language's, small languages one common cell."""
-    sized = stats.groupBy("__l", "__s").agg(F.count(F.lit(1)).alias("n"))
-    small = sized.where(F.col("n") < LEAST_ROWS).groupBy("__l").agg(F.sum("n").alias("m"))
-    own, shared = F.concat_ws("\1", F.lit("c"), "__l", "__s"), F.concat_ws("\1", F.lit("l"), "__l")
-    return sized.join(small, "__l", "left").select("__l", "__s", F.when(F.col("n") >= LEAST_ROWS, own).when(F.col("m") >= LEAST_ROWS, shared).otherwise("all").alias("cell"))
-
-
 P = len(VECTOR)
 UPPER_TRIANGLE = [(i, j) for i in range(P) for j in range(i, P)]
-PARAMS = "cell string, start int, centre array<double>, inverse array<double>, logdet double"
+PARAMS = "cell string, start int, n double, centre array<double>, scatter array<double>, inverse array<double>, logdet double, moved double"
+
+
+def _levels() -> Column:
+    """The cells that a row is counted in: its language and source, its language, and all rows."""
+    return F.array(F.concat_ws("\1", F.lit("c"), "__l", "__s"), F.concat_ws("\1", F.lit("l"), "__l"), F.lit("all"))
+
+
+def floored(scatter: np.ndarray) -> np.ndarray:
+    """The scatter with no direction's spread below ``FLOOR``; spreads above it stay as they are."""
+    values, axes = np.linalg.eigh(scatter)
+    return (axes * np.maximum(values, FLOOR * FLOOR)[..., None, :]) @ np.swapaxes(axes, -1, -2)
+
+
+def _params(cells: pd.DataFrame, centre: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
+    """Rows of ``PARAMS`` for stacked centres and scatters; ``cells`` has ``cell``, ``start``, ``n`` and the ``logdet`` before."""
+    scatter = floored(scatter)
+    logdet = np.linalg.slogdet(scatter)[1]
+    flat = lambda x: list(x.reshape(len(cells), -1))
+    return pd.DataFrame({
+        "cell": cells["cell"], "start": cells["start"], "n": cells["n"], "centre": flat(centre), "scatter": flat(scatter),
+        "inverse": flat(np.linalg.inv(scatter)), "logdet": logdet, "moved": np.abs(logdet - cells["logdet"].fillna(np.inf)),
+    })
+
 
+def _square(pdf: pd.DataFrame) -> np.ndarray:
+    """The symmetric matrices whose upper triangles are in columns ``q<i>_<j>``."""
+    out = np.zeros((len(pdf), P, P))
+    for i, j in UPPER_TRIANGLE:
+        out[:, i, j] = out[:, j, i] = pdf[f"q{i}_{j}"]
+    return out
 
-def _estimates(moments: pd.DataFrame) -> pd.DataFrame:
-    """Centre, inverse scatter and log-determinant of each cell from its moment sums."""
-    out = []
-    for row in moments.itertuples(index=False):
-        n = row.n
-        centre = np.array([getattr(row, f"s{i}") for i in range(P)]) / n
-        cov = np.zeros((P, P))
-        for i, j in UPPER_TRIANGLE:
-            cov[i, j] = cov[j, i] = getattr(row, f"q{i}_{j}") / n - centre[i] * centre[j]
-        cov += np.diag(np.square(FLOOR))
-        out.append((row.cell, row.start, centre.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
-    return pd.DataFrame(out, columns=["cell", "start", "centre", "inverse", "logdet"])
+
+def _estimates(bins: DataFrame, share: float, factor: float) -> DataFrame:
+    """``PARAMS`` of every cell and start from the moment sums of its bins: of the nearest ``share`` of its rows.
+
+    Whole bins count as far as they go, and of the next one the part that is
+    missing; a cell has a few hundred bins at most.
+    """
+    own = Window.partitionBy("cell", "start")
+    below = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.ceil(F.sum("n").over(own) * share) - below) / F.col("n")))
+    sums = [f"s{i}" for i in range(P)] + [f"q{i}_{j}" for i, j in UPPER_TRIANGLE]
+    summed = bins.withColumn("w", weight).groupBy("cell", "start").agg(F.first("logdet").alias("logdet"), F.sum("n").alias("n"), F.sum(F.col("w") * F.col("n")).alias("near"), *[F.sum(F.col("w") * F.col(c)).alias(c) for c in sums])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        near = pdf["near"].to_numpy()
+        centre = pdf[[f"s{i}" for i in range(P)]].to_numpy() / near[:, None]
+        scatter = _square(pdf) / near[:, None, None] - centre[:, :, None] * centre[:, None, :]
+        return _params(pdf, centre, scatter * factor)
+
+    return summed.mapInPandas(_in_pandas(run), PARAMS)
 
 
 def _in_pandas(f):
@@ -166,10 +201,21 @@ def _in_pandas(f):
     return run
 
 
-def _moments(rows: DataFrame) -> DataFrame:
+def _placed(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Every row with the estimates of its cells and its squared distances to them."""
+    named = rows.select(F.explode(_levels()).alias("cell"), *VECTOR)
+    return named.join(_bounded(params), "cell").withColumn("d2", _distance())
+
+
+def _bins(placed: DataFrame) -> DataFrame:
+    """Moment sums per cell, start and bin of distance.
+
+    One hash aggregation that combines on the map side; the bins, an eighth of an
+    octave wide, also spread a cell of a large share of all rows over tasks.
+    """
     sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(VECTOR)]
     squares = [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q{i}_{j}") for i, j in UPPER_TRIANGLE]
-    return rows.groupBy("cell", "start").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums, *squares).mapInPandas(_in_pandas(_estimates), PARAMS)
+    return placed.groupBy("cell", "start", "logdet", F.floor(F.log2(F.col("d2") + 2.0**-20) * 8).alias("bin")).agg(F.count(F.lit(1)).cast("double").alias("n"), *sums, *squares)
 
 
 def _distance() -> Column:
@@ -184,73 +230,96 @@ def _distance() -> Column:
 
 def _starts(rows: DataFrame) -> DataFrame:
     """Two deterministic starting points per cell: median and MAD, and the same with the correlations of tanh scores."""
-    centre = rows.groupBy("cell").agg(*[F.percentile_approx(v, 0.5, 2000).alias(f"m{i}") for i, v in enumerate(VECTOR)])
-    spread = rows.join(centre, "cell").groupBy("cell").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i, v in enumerate(VECTOR)])
-    scaled = rows.join(spread, "cell")
-    z = [F.tanh((F.col(v) - F.col(f"m{i}")) / (1.4826 * F.col(f"d{i}") + FLOOR[i])) for i, v in enumerate(VECTOR)]
-    agg = scaled.groupBy("cell").agg(
-        *[F.first(f"{k}{i}").alias(f"{k}{i}") for k in "md" for i in range(P)], *[F.sum(z[i] * z[j]).alias(f"q{i}_{j}") for i, j in UPPER_TRIANGLE]
-    )
+    named = rows.select(F.explode(_levels()).alias("cell"), *VECTOR)
+    centre = materialise(named.groupBy("cell").agg(*[F.percentile_approx(v, 0.5, 1000).alias(f"m{i}") for i, v in enumerate(VECTOR)]), "mcd")
+    near = named.join(_bounded(centre), "cell")
+    spread = near.groupBy("cell", *[f"m{i}" for i in range(P)]).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, v in enumerate(VECTOR)])
+    spread = materialise(spread, "mcd")
+    z = [F.tanh((F.col(v) - F.col(f"m{i}")) / F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOOR))) for i, v in enumerate(VECTOR)]
+    known = ["cell", "n", *[f"{k}{i}" for k in "md" for i in range(P)]]
+    agg = named.join(_bounded(spread), "cell").groupBy(*known).agg(*[F.sum(z[i] * z[j]).alias(f"q{i}_{j}") for i, j in UPPER_TRIANGLE])
 
     def start(x: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in x.itertuples(index=False):
-            m = [getattr(row, f"m{i}") for i in range(P)]
-            d = np.array([1.4826 * getattr(row, f"d{i}") + FLOOR[i] for i in range(P)])
-            s = np.zeros((P, P))
-            for i, j in UPPER_TRIANGLE:
-                s[i, j] = s[j, i] = getattr(row, f"q{i}_{j}")
-            scale = np.sqrt(np.maximum(np.diag(s), 1e-12))
-            corr = s / np.outer(scale, scale)
-            np.fill_diagonal(corr, 1.0)
-            corr = 0.9 * corr + 0.1 * np.eye(P)
-            for k, cov in enumerate((np.diag(d * d), corr * np.outer(d, d))):
-                out.append((row.cell, k, m, np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
-        return pd.DataFrame(out, columns=["cell", "start", "centre", "inverse", "logdet"])
+        centre = x[[f"m{i}" for i in range(P)]].to_numpy(float)
+        spread = np.maximum(1.4826 * x[[f"d{i}" for i in range(P)]].to_numpy(float), FLOOR)
+        joint = _square(x)
+        scale = np.sqrt(np.maximum(np.diagonal(joint, axis1=1, axis2=2), 1e-12))
+        corr = joint / (scale[:, :, None] * scale[:, None, :])
+        corr[:, range(P), range(P)] = 1.0
+        plain = np.broadcast_to(np.eye(P), corr.shape)
+        area = spread[:, :, None] * spread[:, None, :]
+        return pd.concat([_params(x.assign(start=k, logdet=np.nan), centre, c * area) for k, c in enumerate((plain, corr))])
 
     return agg.mapInPandas(_in_pandas(start), PARAMS)
 
 
-def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """``cell, centre, inverse, scale`` from ``rows`` (``cell`` and the vector): the start of smaller determinant wins."""
+def mcd(rows: DataFrame, most_steps: int = MOST_STEPS) -> DataFrame:
+    """``cell`` and its estimate from ``rows`` (``__l, __s`` and the vector), for every cell of every level.
+
+    Concentration steps run until no cell's log-determinant moves; after two of
+    them only the start of smaller determinant goes on.  One last step estimates
+    from all rows within the 97.5 % quantile of the distances (reweighting).
+    """
+    spark = rows.sparkSession
     params = materialise(_starts(rows), "mcd")
-    for _ in range(steps):
-        near = rows.join(params, "cell").withColumn("d2", _distance())
-        cut = near.groupBy("cell", "start").agg(F.percentile_approx("d2", H_SHARE, 1000).alias("cut"))
-        kept = near.join(cut, ["cell", "start"]).where("d2 <= cut")
-        after = materialise(_moments(kept), "mcd")
-        drop_path(rows.sparkSession, params)
+    for step in range(most_steps):
+        if step == 2:
+            best = params.groupBy("cell").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+            params = materialise(params.join(best, ["cell", "start"]).select(params.columns), "mcd")
+        after = materialise(_estimates(_bins(_placed(rows, params)), H_SHARE, H_FACTOR), "mcd")
+        drop_path(spark, params)
         params = after
-    best = params.groupBy("cell").agg(F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("b")).select("cell", "b.centre", "b.inverse")
-    middle = rows.join(best, "cell").withColumn("d2", _distance()).groupBy("cell").agg(F.percentile_approx("d2", 0.5, 2000).alias("middle"))
-    # a cell whose typical distance is below the chi-square median is ruled by the floors; it is not sharpened further
-    return best.join(middle, "cell").select("cell", "centre", "inverse", F.greatest(F.col("middle") / MEDIAN, F.lit(1.0)).alias("scale"))
+        if step > 2 and (params.agg(F.max("moved")).first()[0] or 0.0) < SETTLED:
+            break
+    inner = _bins(_placed(rows, params).where(F.col("d2") <= REWEIGHT_CUT))
+    return materialise(_estimates(inner, 1.0, REWEIGHT_FACTOR).select("cell", "n", "centre", "scatter"), "mcd")
 
 
-#: Cells that may be broadcast: 20,000 rows of 31 doubles and two names are under 10 MB.
+#: Rows of a table of cells that may be broadcast: 20,000 estimates of some 65 doubles are 10 MB.
 BROADCAST_CELLS = 20_000
 
 
+def _bounded(cells: DataFrame) -> DataFrame:
+    """A broadcast hint behind a count; a table of more cells is joined by a shuffle."""
+    return F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+
+
+def _shrunk(cells: DataFrame) -> DataFrame:
+    """Estimates per language and source, drawn to their language's as if ``PRIOR`` rows of it were theirs, and that one to all rows'."""
+    fields = ["n", "centre", "scatter"]
+    level = lambda name: [F.col(c).alias(f"{name}_{c}") for c in fields]
+    parts = F.split("cell", "\1", -1)
+    own = cells.where(F.col("cell").startswith("c\1")).select(parts[1].alias("__l"), parts[2].alias("__s"), *level("own"))
+    lang = cells.where(F.col("cell").startswith("l\1")).select(parts[1].alias("__l"), *level("lang"))
+    every = cells.where("cell = 'all'").select("cell", *level("all"))
+    joined = own.withColumn("cell", F.lit("all")).join(lang, "__l").join(F.broadcast(every), "cell").drop("cell")  # ``every`` is one row
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in x.itertuples(index=False):
+            x_, own_, lang_ = row[:2], row[2:5], row[5:8]
+            at, spread = np.array(row[9]), np.array(row[10])
+            for n, centre, scatter in (lang_, own_):
+                at, spread = ((n * np.array(v) + PRIOR * u) / (n + PRIOR) for v, u in ((centre, at), (scatter, spread)))
+            out.append((*x_, at.tolist(), np.linalg.inv(floored(spread.reshape(P, P))).ravel().tolist()))
+        return pd.DataFrame(out, columns=["__l", "__s", "centre", "inverse"])
+
+    return joined.mapInPandas(_in_pandas(run), "__l string, __s string, centre array<double>, inverse array<double>")
+
+
 def model(stats: DataFrame) -> DataFrame:
-    """``__l, __s, centre, inverse, scale`` for every language and source among the rows of ``stats`` that pass the base rule."""
-    passed = _key(stats.where(~base_failed()).select("lang", "source", *VECTOR))
-    cells = materialise(_cells(passed), "cells")
-    rows = materialise(_by_cell(passed, cells).select("cell", *VECTOR), "vectors")
-    found = materialise(cells.join(mcd(rows), "cell").drop("cell"), "model")
+    """``__l, __s, centre, inverse`` for every language and source among the rows of ``stats`` that pass the base rule."""
+    rows = materialise(_key(stats.where(~base_failed()).select("lang", "source", *VECTOR)).select("__l", "__s", *VECTOR), "vectors")
+    found = materialise(_shrunk(mcd(rows)), "model")
     drop_path(stats.sparkSession, rows)
     return found
 
 
-def _by_cell(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    small = cells.count() <= BROADCAST_CELLS
-    return rows.join(F.broadcast(cells) if small else cells, ["__l", "__s"], "left")
-
-
 def judge(stats: DataFrame, cells: DataFrame, keep: tuple, cutoff: float = CUTOFF) -> DataFrame:
     """Adds ``base_failed``, ``distance2`` and ``kept`` to rows of :func:`statistics`."""
     failed = base_failed()
-    distance = F.when(~failed, _distance() / F.col("scale"))
-    rows = _by_cell(_key(stats), cells)
+    distance = F.when(~failed, _distance())
+    rows = _key(stats).join(_bounded(cells), ["__l", "__s"], "left")
     return rows.withColumn("distance2", distance).select(*keep, *COUNTS, failed.alias("base_failed"), "distance2", F.coalesce(F.col("distance2") <= cutoff, F.lit(False)).alias("kept"))
 
 
@@ -278,7 +347,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", cutoff: float = CUTOFF) -
     cells = model(stats)
     drop_path(docs.sparkSession, stats)
     names = tuple(docs.columns)
-    if not {*names} & {*COUNTS, *VECTOR, "__l", "__s", "__text", "centre", "inverse", "scale", "distance2", "base_failed", "kept"}:
+    if not {*names} & {*COUNTS, *VECTOR, "__l", "__s", "__text", "centre", "inverse", "distance2", "base_failed", "kept"}:
         return judge(statistics(docs, text_col, names), cells, names, cutoff).where("kept").select(*names)
     # clashing names travel inside a struct
     packed = docs.select(F.struct(*names).alias("__row"), "lang", "source", F.col(text_col).alias("__t"))
