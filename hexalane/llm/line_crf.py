@@ -34,10 +34,15 @@ STOP[list(b".,;:")] = True
 CLASSES = np.stack([LETTER, UPPER, DIGIT, SYMBOL, MARK, STOP])
 BASE_FEATURES = 17
 FEATURES = 3 * BASE_FEATURES + 1
+#: Lines whose features are held at a time when a text is scored: some 10 MB.
+LINES = 65_536
+#: Bound of the transition weights.  Where all lines of a document share its label, the likelihood grows with them for ever;
+#: the bound lets a run of a few clear lines outweigh its neighbours.
+MOST_TRANSITION = 2.0
 
 
-def line_features(data, offsets, powers):
-    """Feature matrix of all lines of a block, line lengths, and the first line of each text.
+def _own_features(data, offsets, powers):
+    """Features of the lines themselves in a block, line lengths, and the first line of each text.
 
     Lines end at ``\\n``; every text has at least one line, which may be empty.
     """
@@ -90,14 +95,54 @@ def line_features(data, offsets, powers):
             count < 3,
         ]
     ).astype(np.float64)
-    head, tail = np.zeros(len(start), bool), np.zeros(len(start), bool)
+    return base, length, first
+
+
+def _beside(own, first):
+    """Rows of the lines before and after each line within its text, zeros where there is none."""
+    head, tail = np.zeros(len(own), bool), np.zeros(len(own), bool)
     head[first[:-1]] = True
     tail[first[1:] - 1] = True
-    before = np.vstack([np.zeros((1, base.shape[1])), base[:-1]])
+    before = np.concatenate([own[:1] * 0, own[:-1]])
     before[head] = 0
-    after = np.vstack([base[1:], np.zeros((1, base.shape[1]))])
+    after = np.concatenate([own[1:], own[:1] * 0])
     after[tail] = 0
-    return np.hstack([base, before, after, np.ones((len(start), 1))]), length, first
+    return before, after
+
+
+def line_features(data, offsets, powers):
+    """Feature matrix of all lines of a block (own, before, after, constant), line lengths, and the first line of each text."""
+    own, length, first = _own_features(data, offsets, powers)
+    return np.hstack([own, *_beside(own, first), np.ones((len(own), 1))]), length, first
+
+
+def emissions(data, offsets, powers, w):
+    """Scores of *good* of all lines of a block, line lengths, and the first line of each text.
+
+    The same numbers as ``line_features(...) @ w``, but features are held for
+    ``LINES`` lines at a time: three numbers a line are enough to add up the
+    lines' own parts and those of their neighbours.
+    """
+    parts = w[: 3 * BASE_FEATURES].reshape(3, BASE_FEATURES).T
+    breaks = int(np.count_nonzero(data == 0x0A))
+    if breaks + len(offsets) <= 2 * LINES:
+        own, length, first = _own_features(data, offsets, powers)
+        own = own @ parts
+    else:
+        first = np.concatenate([[0], np.cumsum([1 + np.count_nonzero(data[a:b] == 0x0A) for a, b in zip(offsets[:-1], offsets[1:])])])
+        own, length = np.zeros((first[-1], 3)), np.zeros(first[-1])
+        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+            at, text = first[i], data[a:b]
+            ends = np.flatnonzero(text == 0x0A) + 1
+            cuts = [0, *ends[LINES - 1 :: LINES].tolist(), len(text)]
+            for k, (x, y) in enumerate(zip(cuts, cuts[1:]), 2):
+                # the line break that ends a range is the border to the next one; the last range may be one empty line
+                piece = text[x : y - 1] if k < len(cuts) else text[x:y]
+                some, size, _ = _own_features(piece, np.array([0, len(piece)]), powers)
+                own[at : at + len(some)], length[at : at + len(some)] = some @ parts, size
+                at += len(some)
+    before, after = _beside(own, first)
+    return own[:, 0] + before[:, 1] + after[:, 2] + w[-1], length, first
 
 
 def _log_sum(a, b):
@@ -170,7 +215,7 @@ def fit_crf(x, first, labels, epochs: int = EPOCHS):
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             delta = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w, t = w - delta[:-4], t - delta[-4:].reshape(2, 2)
-            t = np.clip(t, -2.0, 2.0)
+            t = np.clip(t, -MOST_TRANSITION, MOST_TRANSITION)
     return w, t
 
 
@@ -208,7 +253,12 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
 
 
 def score(docs: DataFrame, model, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """``keep``, ``score``, ``n_lines`` and ``n_bad_lines`` for every row; a null or empty text is one empty line."""
+    """``keep``, ``score``, ``n_lines`` and ``n_bad_lines`` for every row.
+
+    A null or empty text is one empty line.  Rows are mapped one by one: repeated
+    rows get equal scores, an empty table gives no rows, and columns that are not
+    kept may have any name.  Long texts are read whole, ``LINES`` lines at a time.
+    """
     kept = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["score double", "n_lines long", "n_bad_lines long"])
     w, t = model
@@ -219,8 +269,8 @@ def score(docs: DataFrame, model, text_col: str = "text", keep: tuple = ("doc_id
             out, lines, bad = np.empty(batch.num_rows), np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
             data, offsets = text_buffers(batch.column(batch.num_columns - 1))
             for a, b in blocks(offsets):
-                x, length, first = line_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], powers)
-                good, _, _ = marginals(x @ w, first, t)
+                own, length, first = emissions(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], powers, w)
+                good, _, _ = marginals(own, first, t)
                 weight = length + 1.0
                 out[a:b] = np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
                 lines[a:b] = np.diff(first)

@@ -2,7 +2,7 @@
 
 A document's length is its number of words (``[^\\x20\\x09-\\x0D]+``) unless a
 length column is named.  Documents longer than the largest permitted sequence are
-cut into pieces; nothing is dropped.  Pieces are dealt by hash to groups of about
+cut into pieces; nothing is dropped.  Pieces are dealt by a salted hash to groups of about
 ``GROUP`` pieces, and each group is packed on its own with bounded memory, so the
 work spreads over any number of tasks whatever the lengths' distribution; a group
 costs at most a few partly filled sequences.
@@ -88,10 +88,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """``doc_id, piece, start, length, bin_id, bin_size, bin_used, bin_offset`` for every piece of every row.
 
     Null texts and texts without words have one piece of length 0 that lies in no
-    bin (null ``bin_id``).  Repeated rows are packed as often as they occur; equal
-    lengths are taken by id, then piece.  An empty table gives no rows.
+    bin (null ``bin_id``).  Repeated rows and null ids are packed as often as they
+    occur, and dealt like any others: the hash that deals pieces to groups takes in
+    a row's place in the input.  Equal lengths are taken by id, then piece.  Long
+    texts are cut.  An empty table gives no rows; other columns are ignored.
     """
-    cut = materialise(pieces(docs, id_col, text_col, length_col, capacities[-1]), "pieces")
+    cut = pieces(docs, id_col, text_col, length_col, capacities[-1]).withColumn("turn", F.monotonically_increasing_id())
+    cut = materialise(cut, "pieces")
     filled = cut.where("length > 0")
     groups = max(1, -(-filled.count() // group))
     sizes = tuple(sorted(capacities))
@@ -108,7 +111,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, bin_id long, bin_size long, bin_used long, bin_offset long"
-    dealt = filled.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)))
+    dealt = filled.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "turn"), F.lit(groups)))
     packed = dealt.groupBy("g").applyInPandas(run, schema)
     nothing = cut.where("length = 0").select("doc_id", "piece", "start", "length", *[F.lit(None).cast("long").alias(c) for c in ("bin_id", "bin_size", "bin_used", "bin_offset")])
     return packed.unionByName(nothing)

@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from .work import materialise
 
 # The base kinds in their order, with their patterns.  Repeated groups are possessive: nothing follows
-# them, so they match the same, but Java's regex engine does not recurse once per repetition on very long runs.
+# them, so they match the same, but Java's regex engine does not recurse once per repetition on very long runs.  An e-mail
+# address or a number begins where its run of characters does, or right after the match before (\G); saying so matches the
+# same, too, and keeps a long run without a match from being tried from each of its characters.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
-    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -39,22 +41,40 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]([\x20-]?[0-9]){15
 #: 500,000 pairs of longs are 8 MB.
 BROADCAST_COPIES = 500_000
 REMOVE, GENERALISE = 0.95, 0.8
+#: Numbers that a running total takes at a time.
+CHUNK = 256
 TERM = r"[\p{L}\p{N}][\p{L}\p{N}'’-]*"
 
 
-def _spans_of(text: Column, kind: str) -> Column:
-    """``array<struct<kind, start, end, value>>`` of all leftmost matches of a kind's pattern, unfiltered."""
-    values = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    gaps = F.transform(F.split(text, PATTERNS[kind], -1), F.char_length)
+def _running(numbers: Column, op) -> Column:
+    """What ``op`` makes of the numbers before each one, beginning with 0.
+
+    In chunks: appending to an array copies it, so a single fold would take the
+    square of the length.
+    """
+    none = F.array().cast("array<int>")
+    starts = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / CHUNK).cast("int"))
+    chunks = F.transform(starts, lambda i: F.slice(numbers, i * CHUNK + 1, F.lit(CHUNK)))
+    empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    local = F.transform(chunks, lambda c: F.aggregate(c, empty, lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))))
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    merged = F.aggregate(local, whole, lambda s, c: F.struct(op(s["at"], c["at"]).alias("at"), F.concat(s["out"], F.array(F.transform(c["out"], lambda o: op(s["at"], o)))).alias("out")))
+    return F.when(F.size(numbers) > 0, F.flatten(merged["out"])).otherwise(none)
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """``array<struct<value, start, end>>`` of all leftmost matches of a pattern, in code points, end exclusive."""
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     paired = F.arrays_zip(values.alias("value"), F.slice(gaps, F.lit(1), F.size(values)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("spans"))
+    before = _running(F.transform(paired, lambda x: x["gap"] + F.char_length(x["value"])), lambda a, x: a + x)
+    placed = F.arrays_zip(paired.alias("m"), before.alias("at"))
+    return F.transform(placed, lambda x: F.struct(x["m"]["value"].alias("value"), (x["at"] + x["m"]["gap"]).alias("start"), (x["at"] + x["m"]["gap"] + F.char_length(x["m"]["value"])).alias("end")))
 
-    def add(state, x):
-        begin = state["at"] + x["gap"]
-        end = begin + F.char_length(x["value"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
 
-    return F.aggregate(paired, start, add, lambda s: s["spans"])
+def _spans_of(text: Column, kind: str) -> Column:
+    """``array<struct<kind, start, end, value>>`` of all leftmost matches of a kind's pattern, unfiltered."""
+    return F.transform(_matches(text, PATTERNS[kind]), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
 
 
 def _digits(value: Column) -> Column:
@@ -99,16 +119,21 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def _outside(text: Column, base: Column) -> Column:
-    """The text with a line break in place of every base span."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _between(text: Column, spans: Column, shown) -> Column:
+    """The text with what ``shown`` makes of a span in place of every one; a span that begins within an earlier one is left out.
 
-    def add(state, s):
-        kept = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], kept, F.lit("\n")).alias("out"))
+    ``spans`` are structs of ``start, end`` and more fields, sorted.
+    """
+    reached = _running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+    placed = F.arrays_zip(spans.alias("s"), reached.alias("at"))
+    kept = F.transform(placed, lambda x: F.concat(F.substring(text, x["at"] + 1, F.greatest(x["s"]["start"] - x["at"], F.lit(0))), F.when(x["s"]["start"] >= x["at"], shown(x["s"])).otherwise(F.lit(""))))
+    last = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+    return F.concat(F.array_join(kept, ""), F.substring(text, last + 1, F.char_length(text)))
 
-    spans = F.array_sort(F.transform(base, lambda s: F.struct(s["start"], s["end"])))
-    return F.aggregate(spans, start, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+
+def _outside(text: Column, base: Column) -> Column:
+    """The text with a line break in place of every base span."""
+    return _between(text, F.array_sort(F.transform(base, lambda s: F.struct(s["start"], s["end"]))), lambda s: F.lit("\n"))
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -162,19 +187,8 @@ def disclosures(docs: DataFrame, entities: DataFrame, text_col: str = "text", th
 
 def _term_spans(text: Column, terms: Column) -> Column:
     """Spans of the disclosing terms in a text: whole words, any case."""
-    pieces = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    gaps = F.transform(F.split(text, TERM, -1), F.char_length)
-    paired = F.arrays_zip(pieces.alias("value"), F.slice(gaps, F.lit(1), F.size(pieces)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("spans"))
-
-    def add(state, x):
-        begin = state["at"] + x["gap"]
-        end = begin + F.char_length(x["value"])
-        kind = F.element_at(terms, F.lower(x["value"]))
-        one = F.array(F.struct(kind.alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(kind.isNotNull(), F.concat(state["spans"], one)).otherwise(state["spans"]).alias("spans"))
-
-    return F.aggregate(paired, start, add, lambda s: s["spans"])
+    named = F.transform(_matches(text, TERM), lambda m: F.struct(F.element_at(terms, F.lower(m["value"])).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+    return F.filter(named, lambda s: s["kind"].isNotNull())
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,7 +198,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     value; those added have the kinds ``removed`` and ``generalised`` and never
     overlap a base span.  A null text counts as empty and has no spans; null ids
     stay; repeated rows get equal spans.  A text without base spans gets none
-    added.  An empty table gives no rows.
+    added.  Terms of equal disclosure are all treated alike, so ties need no rule.
+    Texts are read whole; the work on one grows with its length times the number
+    of its spans at most.  An empty table gives no rows; other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("base", base_spans(F.col("text")))
     with_entities = materialise(base.where(F.size("base") > 0), "entities")
@@ -202,19 +218,16 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return plain.unionByName(marked.select("id", "base", extra.alias("extra")))
 
 
-def redact(text: Column, base: Column, extra: Column) -> Column:
-    """The text with base spans replaced by their kind, generalised terms by ``[TERM]``, and removed terms left out."""
-    spans = F.array_sort(F.transform(F.concat(base, extra), lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    safe = F.coalesce(text, F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def general(value: Column) -> Column:
+    """The next wider concept of a term, by its form: a number, a name (written with a capital letter), or any term."""
+    return F.when(value.rlike(r"^\p{N}"), "[NUMBER]").when(value.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
 
-    def add(state, s):
-        shown = F.when(s["kind"] == "removed", "").when(s["kind"] == "generalised", "[TERM]").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        kept = F.substring(safe, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        over = s["start"] < state["at"]
-        return F.when(over, F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(state["out"], kept, shown).alias("out")))
 
-    return F.aggregate(spans, start, add, lambda s: F.concat(s["out"], F.substring(safe, s["at"] + 1, F.char_length(safe))))
+def redact(text: Column, base: Column, extra: Column) -> Column:
+    """The text with base spans replaced by their kind, generalised terms by their wider concept, and removed terms left out."""
+    spans = F.array_sort(F.transform(F.concat(base, extra), lambda s: F.struct(s["start"], s["end"], s["kind"], s["value"])))
+    shown = lambda s: F.when(s["kind"] == "removed", "").when(s["kind"] == "generalised", general(s["value"])).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    return _between(F.coalesce(text, F.lit("")), spans, shown)
 
 
 def digest(spans: Column) -> Column:

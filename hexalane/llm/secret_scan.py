@@ -13,6 +13,7 @@ scanning tasks evaluate next to the texts: one pass, no join, no shuffle.
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,17 @@ from .work import fresh_path
 
 TREES, DEPTH, SEED = 24, 8, 11
 THRESHOLD = 0.5
-#: Characters around a candidate from which neighbouring words are taken.
-CONTEXT = 48
 REDACTED = "[SECRET]"
 
-ASSIGNED = re.compile(r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[\w-]{0,16}[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?([^\s\"'<>]{8,})")
-LONG_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}")
+KEY_NAME = re.compile(r"(?i)passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|credential")
+#: A name and the sign after it; a name begins where its run of letters does, so that no run is tried twice.
+NAMED = re.compile(r"(?<![\w-])[\w-]{3,}+[\"']?[ \t]*+[=:][ \t]*+[\"']?")
+VALUE = re.compile(r"[^\s\"'<>]{8,}")
+LONG_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+DIGIT = re.compile("[0-9]")
 KEY_ID = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}")
+#: Kinds of candidates; where two hits overlap, the lower one stays.
+KEY, VALUE_OF_KEY, RUN = range(3)
 
 # Words that mark a secret, words that mark a harmless value, and common parts of identifiers.
 KEY_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "access_key", "credential", "credentials", "auth", "bearer", "private", "login")
@@ -46,8 +51,8 @@ WORDS = re.compile(r"[A-Za-z_]{2,}")
 N_FEATURES = 20
 
 
-def features(candidate: str, before: str, after: str, path: str) -> list[float]:
-    """The forest's inputs for one candidate."""
+def features(candidate: str, tail: str, near: list[str], later: list[str], path: str) -> list[float]:
+    """The forest's inputs for a candidate, the last character before it, and the three words before and two after it."""
     n = len(candidate)
     lower = candidate.lower()
     kinds = ["d" if c.isdigit() else "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "s" for c in candidate]
@@ -64,9 +69,6 @@ def features(candidate: str, before: str, after: str, path: str) -> list[float]:
         while at >= 0:
             covered[at : at + len(word)] = b"\1" * len(word)
             at = lower.find(word, at + 1)
-    near = [w.lower() for w in WORDS.findall(before)[-3:]]
-    later = [w.lower() for w in WORDS.findall(after)[:2]]
-    tail = before.rstrip(" \t\"'")
     return [
         float(min(n, 128)),
         kinds.count("d") / n,
@@ -84,26 +86,61 @@ def features(candidate: str, before: str, after: str, path: str) -> list[float]:
         float(candidate[:4] in ("AKIA", "ASIA", "ghp_", "gho_", "xoxb", "xoxp") or candidate[:3] in ("sk-", "eyJ")),
         float(any(k in w for w in near for k in KEY_WORDS)),
         float(any(w in HARMLESS_WORDS for w in near + later)),
-        float(tail[-1:] in ("=", ":")),
+        float(tail in ("=", ":")),
         float(candidate.count("-") == 4 and n == 36),
         float(bool(re.search(r"(?i)(^|[/_.-])(tests?|docs?|examples?|fixtures?|samples?)([/_.-]|$)", path))),
         float(bool(re.search(r"(?i)\.(env|ya?ml|json|ini|cfg|conf|properties|pem|key|tf)$", path))),
     ]
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans that may be secrets, in order, without overlaps (an assigned value wins over a run inside it)."""
-    spans = {m.span(1) for m in ASSIGNED.finditer(text)}
-    found = sorted(spans | {m.span() for p in (LONG_RUN, KEY_ID) for m in p.finditer(text)}, key=lambda s: (s[0], -s[1]))
-    out = []
-    for s in found:
-        if not out or s[0] >= out[-1][1]:
-            out.append(s)
+def candidates(text: str) -> list[tuple[int, int, int]]:
+    """``start, end, kind`` of every span that may be a secret, overlapping ones too: key ids, values given to a telling name, long runs with a digit."""
+    found = {m.span(): KEY for m in KEY_ID.finditer(text)}
+    named = [m for m in NAMED.finditer(text) if KEY_NAME.search(text, m.start(), m.end())]
+    for m, later in zip(named, [*(n.start() for n in named[1:]), len(text)]):
+        # a value ends where the next telling name begins, so that chains of names are read once
+        value = VALUE.match(text, m.end(), max(later, m.end()))
+        if value:
+            found.setdefault(value.span(), VALUE_OF_KEY)
+    for m in LONG_RUN.finditer(text):
+        if DIGIT.search(text, m.start(), m.end()):
+            found.setdefault(m.span(), RUN)
+    return sorted((s, e, kind) for (s, e), kind in found.items())
+
+
+def chosen(hits: list[tuple[int, int, int, float]]) -> list[tuple[int, int, float]]:
+    """Hits ``start, end, kind, probability`` without overlaps, in order: lower kinds first, then the more probable, then the earlier."""
+    starts, ends, out = [], [], []
+    for s, e, _, q in sorted(hits, key=lambda h: (h[2], -h[3], h[0], h[1])):
+        i = bisect_left(ends, s + 1)
+        if i == len(starts) or starts[i] >= e:
+            starts.insert(i, s)
+            ends.insert(i, e)
+            out.insert(i, (s, e, q))
     return out
 
 
+class Neighbours:
+    """The words of a text, to look up those next to a span whatever their distance."""
+
+    def __init__(self, text: str):
+        self.text = text
+        spans = [m.span() for m in WORDS.finditer(text)]
+        self.starts, self.ends = [s for s, _ in spans], [e for _, e in spans]
+
+    def features(self, start: int, end: int, path: str) -> list[float]:
+        last, first = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        word = lambda i: self.text[self.starts[i] : self.ends[i]].lower()
+        at = start - 1
+        while at >= 0 and self.text[at] in " \t\"'":
+            at -= 1
+        near = [word(i) for i in range(max(0, last - 3), last)]
+        later = [word(i) for i in range(first, min(first + 2, len(self.starts)))]
+        return features(self.text[start:end], self.text[at : at + 1] if at >= 0 else "", near, later, path)
+
+
 def span_features(text: str, start: int, end: int, path: str) -> list[float]:
-    return features(text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT], path)
+    return Neighbours(text).features(start, end, path)
 
 
 def labelled_findings(spark: SparkSession, n: int = 6_000, seed: int = 5) -> DataFrame:
@@ -244,10 +281,14 @@ def probability(model: dict, x: np.ndarray) -> np.ndarray:
 def scan(docs: DataFrame, model: dict, text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` and ``__n_candidates``, ``__spans`` (``start``, ``end``, ``probability``) and ``__redacted``.
 
-    Spans are in code points, end exclusive, in order, without overlaps.  A null
-    text has no candidates and stays null; a null path counts as an empty one.
-    Rows are mapped one by one: repeated rows and empty tables need no rule.
+    Spans are in code points, end exclusive, in order, without overlaps: of
+    overlapping hits the one of the surer kind stays, then the more probable, then
+    the earlier.  A null text has no candidates and stays null; a null path counts
+    as an empty one; texts are read whole.  Rows are mapped one by one: repeated
+    rows and empty tables need no rule.  Columns of ``docs`` that are named like
+    the three added ones give way to them.
     """
+    docs = docs.drop("__n_candidates", "__spans", "__redacted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     text_at, path_at = names.index(text_col), names.index(path_col)
@@ -260,14 +301,20 @@ def scan(docs: DataFrame, model: dict, text_col: str = "text", path_col: str = "
         for batch in batches:
             texts, paths = batch.column(text_at).to_pylist(), batch.column(path_at).to_pylist()
             found = [candidates(t) if t else [] for t in texts]
-            x = [span_features(texts[i], s, e, str(paths[i] or "")) for i, spans in enumerate(found) for s, e in spans]
+            x = []
+            for text, path, own in zip(texts, paths, found):
+                if own:
+                    words = Neighbours(text)
+                    x += [words.features(s, e, str(path or "")) for s, e, _ in own]
             p = iter(probability(forest, np.array(x)) if x else ())
             spans, out = [], []
             for text, own in zip(texts, found):
-                hits = [(s, e, q) for (s, e), q in ((span, next(p)) for span in own) if q >= threshold]
-                spans.append([{"start": s, "end": e, "probability": float(q)} for s, e, q in hits])
-                for s, e, _ in reversed(hits):
-                    text = text[:s] + REDACTED + text[e:]
+                scored = [(s, e, kind, float(next(p))) for s, e, kind in own]
+                hits = chosen([h for h in scored if h[3] >= threshold])
+                spans.append([{"start": s, "end": e, "probability": q} for s, e, q in hits])
+                if hits:
+                    cuts = [0, *(at for s, e, _ in hits for at in (s, e)), len(text)]
+                    text = REDACTED.join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
                 out.append(text)
             extra = [pa.array([len(f) for f in found], pa.int64()), pa.array(spans, kind), pa.array(out, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, "__n_candidates", "__spans", "__redacted"])

@@ -97,8 +97,9 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     """Non-zero places and weights (the bias has place ``2 ** BITS``).
 
     At most ``max_rows`` rows are used: up to a third from label 1, the rest from
-    label 0, each by smallest hash of the id.  No labelled rows: a model that
-    scores 0.5 everywhere.  Rows with a null label are left out.
+    label 0, each by smallest hash of the id and text.  No labelled rows: a model
+    that scores 0.5 everywhere.  Rows with a null label are left out; a repeated
+    row counts as often as it occurs; equal hashes go by label.
     """
     chosen = labelled.where(F.col(label_col).isin(0, 1)).withColumn("turn", F.xxhash64(F.lit("order"), id_col, text_col))
     parts = [chosen.where(F.col(label_col) == k).orderBy("turn").limit(m) for k, m in ((1, max_rows // 3), (0, max_rows - max_rows // 3))]
@@ -116,7 +117,12 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``score`` for every row; a null or empty text gets the score of the bias alone."""
+    """Columns ``keep`` and ``score`` for every row.
+
+    A null or empty text gets the score of the bias alone.  Rows are mapped one by
+    one: texts are read whole, repeated rows get equal scores, an empty table gives
+    no rows, and columns that are not kept may have any name.
+    """
     kept = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["score double"])
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.int64), model[1]))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .work import fresh_path
+from .work import fresh_path, materialise
 
 SCHEMA = "warc_type string, record_id string, target_uri string, warc_date string, payload_digest string, refers_to string, payload_length long, headers map<string,string>, payload binary"
 ARROW = pa.schema(
@@ -69,13 +69,14 @@ def record_bytes(row: dict) -> bytes:
     data = packer.compress(body) + packer.compress(payload) + packer.compress(b"\r\n\r\n") + packer.flush()
     crc = zlib.crc32(b"\r\n\r\n", zlib.crc32(payload, zlib.crc32(body)))
     size = 10 + 2 + 8 + len(data) + 8
-    return b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\x00\xff" + struct.pack("<H", 8) + b"SL" + struct.pack("<HI", 4, size) + data + struct.pack("<II", crc, (len(body) + len(payload) + 4) & 0xFFFFFFFF)
+    stated = size < 1 << 32  # a longer member has no such field and is found by reading on
+    extra = struct.pack("<H", 8) + b"SL" + struct.pack("<HI", 4, size) if stated else b""
+    return b"\x1f\x8b\x08" + (b"\x04" if stated else b"\0") + b"\0" * 4 + b"\x00\xff" + extra + data + struct.pack("<II", crc, (len(body) + len(payload) + 4) & 0xFFFFFFFF)
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    file: str
-    records: int
+    files: list
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -89,13 +90,23 @@ class WarcWriter(DataSourceArrowWriter):
         context = TaskContext.get()
         folder = f"{root}/_temporary/{self.job}"
         fs.create_dir(folder, recursive=True)
-        file, records = f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}.warc.gz", 0
-        with fs.open_output_stream(file, compression=None) as out:
+        files, out, room = [], None, 0
+        try:
             for batch in iterator:
                 for row in batch.to_pylist():
-                    out.write(record_bytes(row))
-                    records += 1
-        return Written(file, records)
+                    data = record_bytes(row)
+                    # a file that is full gives way to the next one, so that readers have files of about a partition each
+                    if out is None or room < len(data):
+                        if out is not None:
+                            out.close()
+                        files.append(f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}-{len(files):04d}.warc.gz")
+                        out, room = fs.open_output_stream(files[-1], compression=None), SPLIT_BYTES
+                    out.write(data)
+                    room -= len(data)
+        finally:
+            if out is not None:
+                out.close()
+        return Written(files)
 
     def commit(self, messages):
         fs, root = _filesystem(self.path)
@@ -104,8 +115,8 @@ class WarcWriter(DataSourceArrowWriter):
                 if old.type == pafs.FileType.File:
                     fs.delete_file(old.path)
         for m in messages:
-            if m is not None and m.records:
-                fs.move(m.file, f"{root}/{basename(m.file)}")
+            for file in m.files if m is not None else ():
+                fs.move(file, f"{root}/{basename(file)}")
         self._clear(fs, root)
         with fs.open_output_stream(f"{root}/_SUCCESS"):
             pass
@@ -353,13 +364,15 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """A record per row: response, or revisit of the smallest id with the same payload.
 
     A null html is an empty payload.  A null id never is the one revisited unless
-    no other is there; rows that share the smallest id all are responses.
+    no other is there; rows that share the smallest id all are responses.  Long
+    texts are stored whole; an empty table gives no records; other columns are
+    ignored, whatever their names.
     """
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("target_uri"), payload.alias("payload"))
     rows = rows.select("id", "target_uri", "payload", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_length"))
     first = rows.where(F.col("payload_length") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
-    first = first.persist()
+    first = materialise(first, "digests")
     repeated = F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first
     joined = rows.join(repeated, "payload_digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))

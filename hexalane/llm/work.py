@@ -2,24 +2,18 @@
 
 Lineage is cut by writing Parquet below the folder the cluster names in
 ``spark.checkpoint.dir``: every executor and the driver can read it, so a lost
-executor costs at most the running tasks.  A session without that setting (a
-test on one machine) gets a folder of its own.
+executor costs at most the running tasks.  A session without that setting uses its
+warehouse, which driver and executors share as well.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's setting, or one made once per session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("hexalane.work.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="hexalane-")
-        spark.conf.set("hexalane.work.dir", named)
+    """The folder for intermediate tables: the cluster's checkpoint folder, or one in the session's warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/hexalane-work"
     return named.rstrip("/")
 
 
