@@ -16,37 +16,63 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the base rule or the multivariate outlier rule rejects go."""
+    """Rows that the base rule or the multivariate outlier rule rejects go: null and empty texts among them.
+
+    Equal rows get equal verdicts; an empty table stays empty.
+    """
     return quality_rules.keep_good(docs.select(COLUMNS))
 
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows scored toxic (0.5 or more) go."""
+    """Rows scored toxic (0.5 or more) go.
+
+    The model learns from the labelled rows of ``docs``; without any, all rows
+    score 0.5 by default and stay.  Null and empty texts score the model's bias;
+    rows of null or repeated ids are scored like any others.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(toxicity.labelled_rows(docs, labels, "toxic"))
     return toxicity.score(docs, model, keep=tuple(COLUMNS)).where("score < 0.5").select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates stays: a row of the smallest id (rows without an id all stay)."""
-    groups = materialise(minhash_dedup.near_duplicates(docs).select(F.col("id").alias("doc_id"), (F.col("id") != F.col("component_id")).alias("gone")), "groups")
-    gone = groups.where("gone").select("doc_id").distinct()
-    twice = materialise(groups.where("not gone").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    rest = docs.join(minhash_dedup.small(gone), "doc_id", "left_anti").select(COLUMNS)
-    if twice.isEmpty():
-        return rest
-    return rest.join(twice, "doc_id", "left_anti").unionByName(rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(COLUMNS)
+    """One row of each group of near-duplicates stays: that of the smallest id.
+
+    Rows without an id and texts without words all stay, since they are linked with
+    nothing.  Where an id occurs several times, each of its distinct texts is a
+    document of its own with a negative key made from both, so no text is lost for
+    its id alone; of rows equal in id and text the one of the smallest lang, source
+    and n_chars stays.
+    """
+    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = materialise(ids, "twice")
+    if not twice.isEmpty():
+        own = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row")).select("doc_id", "text", "row.*")
+        key = F.xxhash64("doc_id", "text").bitwiseOR(F.lit(-(1 << 63)))
+        docs = docs.join(twice, "doc_id", "left_anti").select(*COLUMNS, F.col("doc_id").cast("long").alias("key")).unionByName(own.select(*COLUMNS, key.alias("key")))
+        docs = materialise(docs, "keyed")
+    else:
+        docs = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("key"))
+    groups = minhash_dedup.near_duplicates(docs, "key").where(F.col("id") != F.col("component_id")).select(F.col("id").alias("key"))
+    gone = materialise(groups, "gone")
+    return docs.join(minhash_dedup.small(gone), "key", "left_anti").select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced; ``n_chars`` follows the new text."""
+    """Secrets in the texts are replaced; ``n_chars`` follows the new text.
+
+    No row goes; null texts stay null, and rows without a secret stay as they are.
+    """
     model = secret_scan.train(secret_scan.labelled_findings(spark))
     found = secret_scan.scan(docs.select(COLUMNS), model)
     return found.select("doc_id", F.col("__redacted").alias("text"), "lang", "source", F.when(F.size("__spans") > 0, F.length("__redacted").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept text, cut where it is longer than the largest sequence, in training sequences."""
+    """Every kept text, cut where it is longer than the largest sequence, in training sequences.
+
+    Texts without words lie in no sequence; repeated rows are packed as often as they occur.
+    """
     return packing.pack(docs)
 
 
