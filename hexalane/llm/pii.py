@@ -46,6 +46,11 @@ CHUNK = 256
 TERM = r"[\p{L}\p{N}][\p{L}\p{N}'’-]*"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body (or a function within it) reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _running(numbers: Column, op) -> Column:
     """What ``op`` makes of the numbers before each one, beginning with 0.
 
@@ -53,23 +58,30 @@ def _running(numbers: Column, op) -> Column:
     square of the length.
     """
     none = F.array().cast("array<int>")
-    starts = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / CHUNK).cast("int"))
-    chunks = F.transform(starts, lambda i: F.slice(numbers, i * CHUNK + 1, F.lit(CHUNK)))
     empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    local = F.transform(chunks, lambda c: F.aggregate(c, empty, lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))))
     whole = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
-    merged = F.aggregate(local, whole, lambda s, c: F.struct(op(s["at"], c["at"]).alias("at"), F.concat(s["out"], F.array(F.transform(c["out"], lambda o: op(s["at"], o)))).alias("out")))
-    return F.when(F.size(numbers) > 0, F.flatten(merged["out"])).otherwise(none)
+
+    def totals(given):
+        starts = F.sequence(F.lit(0), F.floor((F.size(given) - 1) / CHUNK).cast("int"))
+        chunks = F.transform(starts, lambda i: F.slice(given, i * CHUNK + 1, F.lit(CHUNK)))
+        local = F.transform(chunks, lambda c: F.aggregate(c, empty, lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))))
+        merged = F.aggregate(local, whole, lambda s, c: F.struct(op(s["at"], c["at"]).alias("at"), F.concat(s["out"], F.array(F.transform(c["out"], lambda o: op(s["at"], o)))).alias("out")), lambda s: s["out"])
+        return F.when(F.size(given) > 0, F.flatten(merged)).otherwise(none)
+
+    return _let(numbers, totals)
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """``array<struct<value, start, end>>`` of all leftmost matches of a pattern, in code points, end exclusive."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    paired = F.arrays_zip(values.alias("value"), F.slice(gaps, F.lit(1), F.size(values)).alias("gap"))
-    before = _running(F.transform(paired, lambda x: x["gap"] + F.char_length(x["value"])), lambda a, x: a + x)
-    placed = F.arrays_zip(paired.alias("m"), before.alias("at"))
-    return F.transform(placed, lambda x: F.struct(x["m"]["value"].alias("value"), (x["at"] + x["m"]["gap"]).alias("start"), (x["at"] + x["m"]["gap"] + F.char_length(x["m"]["value"])).alias("end")))
+    sized = lambda x, gap: F.struct(x.alias("value"), gap.alias("gap"), F.char_length(x).alias("size"))
+    paired = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.zip_with(v, F.slice(gaps, F.lit(1), F.size(v)), sized))
+
+    def placed(found):
+        before = _running(F.transform(found, lambda x: x["gap"] + x["size"]), lambda a, x: a + x)
+        return F.zip_with(found, before, lambda x, at: F.struct(x["value"].alias("value"), (at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end")))
+
+    return _let(paired, placed)
 
 
 def _spans_of(text: Column, kind: str) -> Column:
@@ -124,11 +136,14 @@ def _between(text: Column, spans: Column, shown) -> Column:
 
     ``spans`` are structs of ``start, end`` and more fields, sorted.
     """
-    reached = _running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
-    placed = F.arrays_zip(spans.alias("s"), reached.alias("at"))
-    kept = F.transform(placed, lambda x: F.concat(F.substring(text, x["at"] + 1, F.greatest(x["s"]["start"] - x["at"], F.lit(0))), F.when(x["s"]["start"] >= x["at"], shown(x["s"])).otherwise(F.lit(""))))
-    last = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
-    return F.concat(F.array_join(kept, ""), F.substring(text, last + 1, F.char_length(text)))
+
+    def pieces(given):
+        reached = _running(F.transform(given, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        kept = F.zip_with(given, reached, lambda s, at: F.concat(F.substring(text, at + 1, F.greatest(s["start"] - at, F.lit(0))), F.when(s["start"] >= at, shown(s)).otherwise(F.lit(""))))
+        last = F.coalesce(F.array_max(F.transform(given, lambda s: s["end"])), F.lit(0))
+        return F.concat(F.array_join(kept, ""), F.substring(text, last + 1, F.char_length(text)))
+
+    return _let(spans, pieces)
 
 
 def _outside(text: Column, base: Column) -> Column:
