@@ -28,6 +28,8 @@ from .work import fresh_path
 TREES, DEPTH, SEED = 24, 8, 11
 THRESHOLD = 0.5
 REDACTED = "[SECRET]"
+#: Rows whose texts a task holds as Python strings at a time.
+ROWS = 512
 
 KEY_NAME = re.compile(r"(?i)passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|credential")
 #: A name and the sign after it; a name begins where its run of letters does, so that no run is tried twice.
@@ -298,7 +300,8 @@ def scan(docs: DataFrame, model: dict, text_col: str = "text", path_col: str = "
     def run(batches):
         forest = shared.value
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
-        for batch in batches:
+        # some rows at a time: their texts exist as Python strings twice
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts, paths = batch.column(text_at).to_pylist(), batch.column(path_at).to_pylist()
             found = [candidates(t) if t else [] for t in texts]
             x = []
