@@ -13,10 +13,36 @@ from .numbers import clamp, half_up, peak_and_mean, rate, score, total
 GRADES = {"A1": 1.0, "A2": 0.85, "B1": 0.65, "B2": 0.45}
 
 
+# Text fields of boats with their possible values; they travel through the aggregation as numbers.
+CODES = {"grade_class": ("A1", "A2", "B1", "B2")}
+
+
 def wide(entries: DataFrame, key: str = "race_id") -> DataFrame:
-    """One row per race with structs ``b1`` to ``b6`` (null where a boat is missing); one aggregation on the race."""
+    """One row per race with structs ``b1`` to ``b6``, whose field ``here`` is null where a boat is missing (see :func:`missing`).
+
+    One hash aggregation on the race: every field of every boat is a maximum of
+    fixed width, which text would not be, so coded texts go as numbers (one that is
+    not listed comes back as ``OTHER``).  A boat that occurs twice gets the greater
+    value of each field.
+    """
     rest = [c for c in entries.columns if c not in (key, "boat_number")]
-    return entries.groupBy(key).agg(*[F.first(F.when(F.col("boat_number") == n, F.struct(*rest)), ignorenulls=True).alias(f"b{n}") for n in range(1, 7)])
+    coded = [c for c in rest if c in CODES]
+    numbers = entries.withColumns({c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.array_position(F.array(*map(F.lit, CODES[c])), F.upper(c)).cast("int")) for c in coded})
+    # the structs are never null themselves: the optimiser then reads their fields as plain columns
+    here = [F.max(F.when(F.col("boat_number") == n, F.lit(1))).alias(f"_{n}") for n in range(1, 7)]
+    best = numbers.groupBy(key).agg(*here, *[F.max(F.when(F.col("boat_number") == n, F.col(c))).alias(f"_{n}_{c}") for n in range(1, 7) for c in rest])
+
+    def field(n: int, c: str) -> Column:
+        value = F.col(f"_{n}_{c}")
+        if c in coded:
+            value = F.when(value > 0, F.element_at(F.array(*map(F.lit, CODES[c])), F.greatest(value, F.lit(1)))).when(value == 0, "OTHER")
+        return value.alias(c)
+
+    return best.select(key, *[F.struct(F.col(f"_{n}").alias("here"), *[field(n, c) for c in rest]).alias(f"b{n}") for n in range(1, 7)])
+
+
+def missing(b: Column) -> Column:
+    return b["here"].isNull()
 
 
 def boat(n: int) -> Column:
@@ -44,7 +70,7 @@ def boat1_grade(b: Column) -> Column:
     points = part(zero(b["national_win_rate"]), 8, 30) + part(zero(b["local_win_rate"]), 8, 20) + part(zero(b["c1_win_rate"]), 70, 25)
     points = points + part(0.25 - F.coalesce(F.nullif(b["avg_st"], F.lit(0.0)), F.lit(0.25)), 0.15, 15) - F.when(zero(b["f_count"]) > 0, 10).otherwise(0)
     points = points + F.when(zero(b["exhibition_time"]) > 0, part(6.6 - b["exhibition_time"], 0.6, 10)).otherwise(0.0)
-    return F.when(b.isNull(), "D").when(points >= 80, "S").when(points >= 65, "A").when(points >= 50, "B").when(points >= 35, "C").otherwise("D")
+    return F.when(missing(b), "D").when(points >= 80, "S").when(points >= 65, "A").when(points >= 50, "B").when(points >= 35, "C").otherwise("D")
 
 
 def outer_score(b: Column) -> Column:
@@ -66,7 +92,7 @@ def outer_potential() -> dict[str, Column]:
 
 
 def base_strength(b: Column) -> Column:
-    return F.when(b.isNull(), F.lit(0).cast("long")).otherwise(score(F.coalesce(grade_points(b["grade_class"]), F.lit(0.5)) * 55 + part(zero(b["national_win_rate"]), 8, 30) + part(zero(b["national_2rate"]), 60, 15)))
+    return F.when(missing(b), F.lit(0).cast("long")).otherwise(score(F.coalesce(grade_points(b["grade_class"]), F.lit(0.5)) * 55 + part(zero(b["national_win_rate"]), 8, 30) + part(zero(b["national_2rate"]), 60, 15)))
 
 
 def _mean(xs: list[Column]) -> Column:

@@ -125,7 +125,7 @@ select race_id, cast(place as int) exhibition_rank, cast({_r(_cl(f"{_cl('100 - (
 def exhibition_gate(spark, d):
     e = fixture(spark, d, "race_entry").where("not is_scratched").select(*KERNEL_COLUMNS)
     field = e.groupBy("race_id").agg(F.collect_list(F.struct("exhibition_time", "exhibition_st")).alias("boats"))  # six boats at most
-    return k.wide(e).where("b1 is not null").join(field, "race_id").select("race_id", *_named(k.exhibition()))
+    return k.wide(e).where("b1.here is not null").join(field, "race_id").select("race_id", *_named(k.exhibition()))
 
 
 CM = ["b.national_win_rate >= 6", "b.local_win_rate >= 6", "b.avg_st <= 0.13e0", "b.motor_2rate >= 40", "b.c1_win_rate >= 55", "b.f_count = 0"]

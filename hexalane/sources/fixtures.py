@@ -7,6 +7,8 @@ projection of ``orders`` or ``events``; nothing is cached or collected.
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.patterns import PATTERNS, combos
+
 FIXTURES = """
 h as (select o_orderkey k, o_custkey c, cast(o_orderdate as date) race_date, o_orderdate ots, o_totalprice p,
   (o_orderkey*7919 + o_custkey*104729) % 1000 q, (o_orderkey*31 + o_custkey*17) % 5 h2, (o_orderkey*13 + o_custkey*7) % 4 h3,
@@ -41,8 +43,26 @@ race_entry as (select k race_id, race_date, venue_code, race_number, b.boat_numb
   cast(10 + (k*7 + b.boat_number*3) % 16 as double)/100 avg_st, case when (k + b.boat_number) % 13 = 0 then 1 else 0 end f_count,
   cast(660 + (k*3 + b.boat_number*7) % 40 as double)/100 exhibition_time, cast(5 + (k*5 + b.boat_number*11) % 25 as double)/100 exhibition_st,
   case when (k + b.boat_number) % 23 = 0 then 2 else b.boat_number end entry_course, (k + b.boat_number) % 31 = 0 is_scratched,
-  1 + (k + b.boat_number*5) % 6 finish_order, case when (k + b.boat_number) % 29 = 0 then 'F' when (k + b.boat_number) % 37 = 0 then 'L' else concat('0.', cast(10 + (k*7 + b.boat_number*3) % 16 as string)) end start_timing
+  1 + (k + b.boat_number*5) % 6 finish_order, case when (k + b.boat_number) % 29 = 0 then 'F' when (k + b.boat_number) % 37 = 0 then 'L' else concat('0.', cast(10 + (k*7 + b.boat_number*3) % 16 as string)) end start_timing,
+  case when (k + b.boat_number) % 3 = 0 then null else cast(500 + (k*13 + b.boat_number*31) % 450 as double)/10 end c1_2rate,
+  case when (k + b.boat_number) % 4 = 0 then null else cast((k*3 + b.boat_number*11) % 500 as double)/10 end term_course_first, case when (k + b.boat_number) % 5 = 0 then null else cast((k*5 + b.boat_number*13) % 400 as double)/10 end term_first,
+  case when (k + b.boat_number) % 4 = 1 then null else cast((k*7 + b.boat_number*17) % 300 as double)/10 end term_course_second, cast((k*9 + b.boat_number*19) % 280 as double)/10 term_second,
+  case when (k + b.boat_number) % 4 = 2 then null else cast((k*11 + b.boat_number*23) % 300 as double)/10 end term_course_third, cast((k*15 + b.boat_number*29) % 280 as double)/10 term_third,
+  case when (k + b.boat_number) % 3 = 1 then null else cast(100 + (k*17 + b.boat_number*31) % 550 as double)/10 end term_course_top2, case when (k + b.boat_number) % 8 = 0 then null else cast(100 + (k*19 + b.boat_number*37) % 520 as double)/10 end term_top2,
+  case when (k + b.boat_number) % 3 = 2 then null else cast(200 + (k*21 + b.boat_number*41) % 600 as double)/10 end term_course_top3, case when (k + b.boat_number) % 9 = 0 then null else cast(200 + (k*23 + b.boat_number*43) % 580 as double)/10 end term_top3,
+  case when (k + b.boat_number) % 6 = 0 then null else cast(300 + (k*25 + b.boat_number*47) % 350 as double)/10 end term_ability, case when (k + b.boat_number) % 7 = 1 then null else cast(10 + (k*27 + b.boat_number*53) % 14 as double)/100 end term_st,
+  case when (k + b.boat_number) % 5 = 1 then null else cast(300 + (k*29 + b.boat_number*59) % 500 as double)/100 end term_win, cast((k*31 + b.boat_number*61) % 120 - 60 as double)/10 term_ability_trend, cast((k*33 + b.boat_number*67) % 200 - 100 as double)/100 term_win_trend,
+  cast((k + b.boat_number*5) % 3 as double)/2 term_f, cast((k + b.boat_number*7) % 4 as double)/2 term_l, cast((k*35 + b.boat_number*71) % 100 as double)/10 term_championship_entry, cast((k*37 + b.boat_number*73) % 40 as double)/10 term_championship_win,
+  case when (k + b.boat_number) % 10 = 3 then null else (k + b.boat_number*3) % 6 end series_runs, cast((k*39 + b.boat_number*79) % 1000 as double)/10 series_score, case when (k + b.boat_number) % 11 = 0 then null else cast((k*41 + b.boat_number*83) % 1000 as double)/10 end series_pressure,
+  cast(10 + (k*43 + b.boat_number*89) % 50 as double)/10 series_avg_lane, (k + b.boat_number) % 4 series_inner_lanes, (k + b.boat_number) % 14 = 0 series_exclusion,
+  case when (k + b.boat_number) % 4 = 0 then cast(race_date - interval '2' day as date) else cast(race_date - interval '1' day as date) end series_as_of,
+  case when (k*3 + b.boat_number) % 17 = 0 then null else cast(660 + (k*3 + b.boat_number*7) % 40 as double)/100 end warmup_time, case when (k*5 + b.boat_number) % 19 = 0 then null else cast(2 + (k*5 + b.boat_number*11) % 25 as double)/100 end warmup_st,
+  (k + b.boat_number) % 16 = 0 warmup_false_start, case when (k + b.boat_number) % 4 <> 0 then 0 else 1 + (k + b.boat_number) % 6 end warmup_rank
   from h cross join (values (1), (2), (3), (4), (5), (6)) b(boat_number)),
+race_head as (select k race_id, race_date, venue_code, race_number, case k % 12 when 0 then '準優勝戦' when 1 then '優勝戦' when 2 then '特選' when 3 then '選抜戦' when 4 then '一般戦' when 5 then null else '予選' end race_name,
+  case k % 9 when 0 then 'SEMIFINAL' when 1 then 'FINAL' when 2 then null else 'OTHER' end race_phase, 1 + (k % 35) % 6 series_day, case k % 5 when 0 then 'SG' when 1 then 'G1' when 2 then 'G3' else 'GENERAL' end grade, (k*3) % 7 <> 0 exhibition_ready, k % 20 = 0 has_scratch,
+  case k % 4 when 0 then '晴' when 1 then '曇' when 2 then '雨' else null end weather, case when k % 7 = 0 then null else cast(k % 9 as double) end wind_speed from h),
+odds_final as (select k race_id, x.combo, case when (k + x.i) % 23 = 0 then null when (k + x.i) % 29 = 0 then 0.0e0 else cast(60 + (k*31 + x.i*17) % 900 as double)/10 end odds from h cross join (values @combos) x(i, combo)),
 uichi_analysis as (select k race_id, race_date, venue_code, race_number, case when (k + v.n) % 3 = 0 then 'pre' else 'final' end stage, v.n dup_no,
   case (k*7 + v.n) % 4 when 0 then 'BUY' when 1 then 'WATCH' when 2 then 'SKIP' else 'PENDING' end judgment,
   case when k % 19 = 0 then null else cast(80 + (k*37 + v.n*11) % 160 as double) end expected_value, ots captured_at,
@@ -76,7 +96,7 @@ official_old as (select k, concat(cast(race_date as string), '_', venue_code, '_
 official_new as (select k, concat(cast(race_date as string), '_', venue_code, '_', lpad(cast(race_number as string), 2, '0'), '_', cast(k as string)) entry_key, venue_code, race_number,
   case when k % 83 = 0 then '9999' else cast(4000 + (c + 37) % 500 as string) end registration_number, case when k % 6 = 0 then null else k % 50 end motor_number, 'PROVISIONAL' record_status
   from h where k % 89 <> 1)
-"""
+""".replace("@combos", ", ".join(f"({i}, '{c}')" for i, c in enumerate(c for p in PATTERNS for c in combos(p))))
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
