@@ -54,6 +54,11 @@ def scaled(x, by: float) -> Column:
     return blank_to_null(x).try_cast("double") / by
 
 
+def combination(x) -> Column:
+    """A bet's combination without white space of any width."""
+    return F.regexp_replace(col(x), r"[\s\u3000]", "")
+
+
 def two(x) -> Column:
     return F.lpad(col(x).cast("string"), 2, "0")
 

@@ -133,3 +133,43 @@ def race_structure(boats: DataFrame) -> DataFrame:
     main = F.col("s") * 0.4 + F.col("m2") * 0.3 + F.col("o3") * 0.3 - F.when(F.col("m2") < 60, 10).otherwise(0) - F.when(F.col("o3") < 55, 10).otherwise(0)
     ura = F.col("s") * 0.4 + F.col("o2") * 0.35 + F.col("m3") * 0.25 - F.when(F.col("o2") < 55, 15).otherwise(0) - F.when(F.col("m3") < 55, 10).otherwise(0)
     return sums.select("race_id", num.score(main).alias("main_structure"), num.score(ura).alias("ura_structure"))
+
+
+def best_course(stats: DataFrame) -> DataFrame:
+    """Per racer the course of the best rate over periods (first places in 1, first two in 2-4, first three beyond)."""
+    c = F.col("course")
+    suits = F.round(F.when(c == 1, F.col("win_rate") * 100).when(c <= 4, F.col("top2_rate") * 80).otherwise(F.col("top3_rate") * 100), 9)
+    turn = F
+    for i, p in enumerate(PERIOD_WEIGHTS):
+        turn = turn.when(F.col("period") == p, -i)
+    return stats.groupBy("registration_number").agg(F.max(F.struct(suits.alias("s"), turn.alias("p"), (-c).alias("c"))).alias("b")).select("registration_number", (-F.col("b.c")).alias("best_course"))
+
+
+# Points of a finish, and what a lane adds to a good and to a bad one; gains of a start against the field.
+FINISH_POINTS = (8, 5, 2, -1, -4, -7)
+LANE_GOOD, LANE_BAD = (-1.5, -0.5, 0.0, 1.0, 2.0, 3.0), (-3.0, -2.0, -1.0, 0.0, 0.5, 1.0)
+SERIES_LABELS = (("HOT", 75), ("UP", 60), ("NEUTRAL", 42), ("DOWN", 28))
+
+
+def series_scores(history: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Form over a series from ``lane, finish, adv`` (hundredths of a second gained on the field at the start) of each race.
+
+    The mean over all races counts 70 %, that of the last three 30 %; few races
+    draw the score to 50.  Only a race's place from the end needs its key's order.
+    """
+    from pyspark.sql import Window
+
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(float(v)) for v in values]), i)
+    lane, finish, adv = F.col("lane").cast("int"), F.col("finish").cast("int"), F.col("adv")
+    start = F.when(adv >= 5, 1.25).when(adv >= 3, 0.75).when(adv <= -5, -1.0).when(adv <= -3, -0.5).otherwise(0.0)
+    delta = pick(FINISH_POINTS, finish) + F.when(finish <= 3, pick(LANE_GOOD, lane)).otherwise(pick(LANE_BAD, lane)) + start
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    own = history.where(lane.between(1, 6) & finish.between(1, 6)).withColumns({"delta": delta, "back": back})
+    last = F.when(F.col("back") <= 3, num.half_up("delta", 1))
+    per = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("m"), F.avg(last).alias("r"), count_where(F.col("lane") <= 3).alias("inner_lanes"))
+    raw = num.clamp(num.clamp(50 + F.col("m") * 5, 0, 100) * 0.7 + num.clamp(50 + F.col("r") * 5, 0, 100) * 0.3, 0, 100)
+    s = F.round(50 + (raw - 50) * (F.col("n") / (F.col("n") + 2)), 9)
+    label = F
+    for name, least in SERIES_LABELS:
+        label = label.when(F.col("s") >= least, name)
+    return per.withColumn("s", s).select(*keys, "n", num.half_up("s", 1).alias("series_score"), label.otherwise("COLD").alias("series_label"), "inner_lanes")

@@ -62,6 +62,16 @@ race_entry as (select k race_id, race_date, venue_code, race_number, b.boat_numb
 race_head as (select k race_id, race_date, venue_code, race_number, case k % 12 when 0 then '準優勝戦' when 1 then '優勝戦' when 2 then '特選' when 3 then '選抜戦' when 4 then '一般戦' when 5 then null else '予選' end race_name,
   case k % 9 when 0 then 'SEMIFINAL' when 1 then 'FINAL' when 2 then null else 'OTHER' end race_phase, 1 + (k % 35) % 6 series_day, case k % 5 when 0 then 'SG' when 1 then 'G1' when 2 then 'G3' else 'GENERAL' end grade, (k*3) % 7 <> 0 exhibition_ready, k % 20 = 0 has_scratch,
   case k % 4 when 0 then '晴' when 1 then '曇' when 2 then '雨' else null end weather, case when k % 7 = 0 then null else cast(k % 9 as double) end wind_speed from h),
+file_fields as (select k, 1 + k % 6 boat, cast(4000 + c % 500 as string) reg, 20 + k % 40 age, 45 + k % 20 weight, case k % 4 when 0 then 'A1' when 1 then 'A2' when 2 then 'B1' else 'B2' end grade, 300 + (k*17) % 500 nat, 1000 + (k*19) % 4000 n2, 300 + (k*29) % 500 loc, 1000 + (k*31) % 4000 l2,
+  10 + (k*7) % 170 motor, 1000 + (k*37) % 4000 m2, 10 + (k*11) % 170 bno, 1000 + (k*41) % 4000 b2, k % 13 = 0 short from h),
+file_stats as (select *, concat(@nat, ' ', @n2, ' ', @loc, case when short then '' else concat(' ', @l2, case when motor >= 100 then '' else ' ' end, cast(motor as string), ' ', @m2, case when bno >= 100 then '' else ' ' end, cast(bno as string), ' ', @b2, ' ', case k % 4 when 0 then '123 5' when 1 then '7' when 2 then 'F12' else '1 2 3 11' end) end) stats_line from file_fields),
+file_lines as (select *, case when k % 10 = 0 then '-----' else concat(cast(boat as string), ' ', reg, '山田　太郎', cast(age as string), '福岡', cast(weight as string), grade, ' ', stats_line) end program_line,
+  case when k % 10 = 0 then '  a line of another kind, long enough to be looked at by its places' else concat('  ', case when k % 7 < 4 then lpad(cast(1 + k % 6 as string), 2, '0') when k % 7 = 4 then 'S1' when k % 7 = 5 then 'F ' else 'K0' end, '  ', cast(boat as string), ' ', reg, ' ', '山田　太郎　　　', ' ', case when k % 9 = 0 then ' -' else lpad(cast(motor % 100 as string), 2, ' ') end, '   ', lpad(cast(bno % 100 as string), 2, ' '), ' ', '6.', cast(60 + k % 40 as string), ' ', '   ', cast(boat as string), '    ', '0.12', '     ', case when k % 5 = 0 then '転覆　　　　' when k % 5 = 1 then '落水　　　　' else '1.49.8' end) end result_line,
+  case when k % 6 = 0 then '払戻金' else concat('   ', cast(1 + k % 12 as string), 'R       ', case k % 2 when 0 then '予　選' else '一般戦' end, '        H1800m  ', case k % 3 when 0 then '晴' else '雨' end, '  風  南西   ', cast(k % 9 as string), 'm  波   ', cast(k % 11 as string), 'cm') end header_line,
+  case k % 7 when 0 then concat(' 単勝     4     ', cast(100 + k % 900 as string)) when 1 then concat('複勝     1   ', cast(100 + k % 900 as string), case when k % 14 = 1 then '  2   110' else '' end) when 2 then concat('2連単   4-1   ', cast(100 + k % 900 as string), '  人気     ', cast(1 + k % 20 as string)) when 3 then concat('3連複   1-2-3   ', cast(100 + k % 900 as string), '  人気     ', cast(1 + k % 20 as string))
+    when 4 then concat('拡連複   1-4   ', cast(100 + k % 900 as string), '  人気     ', cast(1 + k % 20 as string)) when 5 then concat('         4-5   ', cast(100 + k % 900 as string), '  人気     ', cast(1 + k % 20 as string)) else '2連複      特払い   70' end payout_line,
+  concat(reg, repeat('n', 16), repeat('k', 15), 'FKOK', 'B1', 'H', '850101', '1', lpad(cast(age as string), 2, '0'), '170', '52', 'A ', lpad(cast(nat as string), 4, '0'), lpad(cast(n2 % 1000 as string), 4, '0'), case when k % 8 = 0 then ' - ' else lpad(cast(k % 200 as string), 3, '0') end, '012', cast(100 + k % 100 as string), '03', '01', lpad(cast(10 + k % 16 as string), 3, '0'),
+    repeat(' ', 78), 'A2', 'B1', 'B1', '0500', lpad(cast(m2 as string), 4, '0'), '2020', '1', '20191101', '20200430', '088', lpad(cast(k % 50 as string), 3, '0'), repeat('0', 31), repeat('0', 34), '000000', lpad(cast(k % 7 as string), 3, '0'), repeat('0', 25), repeat('0', 102), repeat(' ', 14)) term_line from file_stats),
 odds_final as (select k race_id, x.combo, case when (k + x.i) % 23 = 0 then null when (k + x.i) % 29 = 0 then 0.0e0 else cast(60 + (k*31 + x.i*17) % 900 as double)/10 end odds from h cross join (values @combos) x(i, combo)),
 uichi_analysis as (select k race_id, race_date, venue_code, race_number, case when (k + v.n) % 3 = 0 then 'pre' else 'final' end stage, v.n dup_no,
   case (k*7 + v.n) % 4 when 0 then 'BUY' when 1 then 'WATCH' when 2 then 'SKIP' else 'PENDING' end judgment,
@@ -97,6 +107,8 @@ official_new as (select k, concat(cast(race_date as string), '_', venue_code, '_
   case when k % 83 = 0 then '9999' else cast(4000 + (c + 37) % 500 as string) end registration_number, case when k % 6 = 0 then null else k % 50 end motor_number, 'PROVISIONAL' record_status
   from h where k % 89 <> 1)
 """.replace("@combos", ", ".join(f"({i}, '{c}')" for i, c in enumerate(c for p in PATTERNS for c in combos(p))))
+for _n in ("nat", "n2", "loc", "l2", "m2", "b2"):  # hundredths as text with two decimals
+    FIXTURES = FIXTURES.replace(f"@{_n},", f"concat(cast(cast(floor({_n} / 100) as bigint) as string), '.', lpad(cast({_n} % 100 as string), 2, '0')),")
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
