@@ -63,6 +63,16 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])), offsets - offsets[0]
 
 
+def tidy(run):
+    """A ``mapInArrow`` function that hands memory back when its task ends: Python workers are reused, and their Arrow pool keeps freed pages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def blocks(offsets: np.ndarray, limit: int = BLOCK):
     """Ranges of rows whose texts hold about ``limit`` bytes together; at least one row each."""
     row, n = 0, len(offsets) - 1

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import Powers, Words, blocks, text_buffers
+from .bytewords import Powers, Words, blocks, text_buffers, tidy
 
 #: Labelled documents that learning may see, and the passes over them.
 MAX_ROWS = 6_000
@@ -245,7 +245,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
             w, t = fit_crf(np.vstack(parts).astype(float), first, np.array([y for _, y, _ in got]), epochs)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w) + 4)), pa.array(np.concatenate([w, t.ravel()]))], names=["i", "w"])
 
-    packed = rows.repartition(16, "turn").mapInArrow(features, "turn long, label int, lines binary")
+    packed = rows.repartition(16, "turn").mapInArrow(tidy(features), "turn long, label int, lines binary")
     model = packed.repartition(1).mapInArrow(fit, "i long, w double").toPandas().sort_values("i")["w"].to_numpy()
     if not len(model):
         model = np.zeros(FEATURES + 4)
@@ -277,4 +277,4 @@ def score(docs: DataFrame, model, text_col: str = "text", keep: tuple = ("doc_id
                 bad[a:b] = np.add.reduceat((good < 0.5).astype(np.int64), first[:-1])
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(out), pa.array(lines), pa.array(bad)], names=[*keep, "score", "n_lines", "n_bad_lines"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)

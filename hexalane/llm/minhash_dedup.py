@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import LOWER, Powers, Words, blocks, mix, shingle_sets, text_buffers
+from .bytewords import LOWER, Powers, Words, blocks, mix, shingle_sets, text_buffers, tidy
 from .components import components
 from .work import drop_path, materialise
 
@@ -92,7 +92,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(filled) if filled else np.zeros(0, np.int64)), mask=pa.array([k is None for k in keys]))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], names=["id", "n_shingles", "d1", "d2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), SKETCH)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -135,7 +135,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                             break
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["u", "v"])
 
-    return ready.mapInArrow(run, "u long, v long")
+    return ready.mapInArrow(tidy(run), "u long, v long")
 
 
 def small(ids: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _verify_blocks(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFram
                         out += [(reps[i], v) for v in block.links(s, comps[i], percent)]
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
 
-    return ready.mapInArrow(run, "u long, v long")
+    return ready.mapInArrow(tidy(run), "u long, v long")
 
 
 class _Block:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import Powers, Words, blocks, text_buffers, windows
+from .bytewords import Powers, Words, blocks, text_buffers, tidy, windows
 from .work import drop_path, materialise
 
 SYMBOL = np.zeros(256, bool)
@@ -126,7 +126,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: tuple = ("doc_id",
                 arrays += [pa.array(counts[:, i]) for i in range(5)] + [pa.array(vector[:, i]) for i in range(5)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def base_failed() -> Column:

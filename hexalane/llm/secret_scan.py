@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bytewords import tidy
 from .work import fresh_path
 
 TREES, DEPTH, SEED = 24, 8, 11
@@ -322,4 +323,4 @@ def scan(docs: DataFrame, model: dict, text_col: str = "text", path_col: str = "
             extra = [pa.array([len(f) for f in found], pa.int64()), pa.array(spans, kind), pa.array(out, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, "__n_candidates", "__spans", "__redacted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

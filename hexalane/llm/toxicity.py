@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import BASE, LOWER, NON_WORD, Powers, Words, blocks, mix, text_buffers
+from .bytewords import BASE, LOWER, NON_WORD, Powers, Words, blocks, mix, text_buffers, tidy
 
 BITS = 20
 BEGINNING = 5
@@ -66,7 +66,7 @@ def feature_rows(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(ends, pa.array((key & ((1 << BITS) - 1)).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), lists], names=["turn", "label", "places"])
 
-    return rows.select(F.col(text_col).cast("string").alias("text"), "turn", F.col(label_col).cast("double").alias("label")).mapInArrow(run, "turn long, label double, places array<int>")
+    return rows.select(F.col(text_col).cast("string").alias("text"), "turn", F.col(label_col).cast("double").alias("label")).mapInArrow(tidy(run), "turn long, label double, places array<int>")
 
 
 def ftrl(examples, epochs: int = EPOCHS, alpha=ALPHA, beta=BETA, l1=L1, l2=L2):
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
                 scores[a:b] = 1.0 / (1.0 + np.exp(-np.clip(margin, -35, 35)))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(scores)], names=[*keep, "score"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
