@@ -7,7 +7,7 @@ digit; every expression stays inside generated code.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numbers import clamp, half_up, peak_and_mean, rate, score, total
+from .numbers import clamp, half_up, peak_and_mean, score, total
 
 # Strength of the racer classes.
 GRADES = {"A1": 1.0, "A2": 0.85, "B1": 0.65, "B2": 0.45}
@@ -137,51 +137,6 @@ def motor_support() -> dict[str, Column]:
     }
 
 
-def exhibition(field: str = "boats") -> dict[str, Column]:
-    """Scores of lane 1 in the warm-up from an array of the field's ``(exhibition_time, exhibition_st)`` and ``b1``."""
-    b = boat(1)
-    times = F.transform(field, lambda x: x["exhibition_time"])
-    best, worst = F.array_min(times), F.array_max(times)
-    place = F.size(F.filter(times, lambda t: t < b["exhibition_time"])) + 1
-    relative = clamp(100 - (b["exhibition_time"] - best) / F.greatest(worst - best, F.lit(0.01)) * 80, 20, 100)
-    mean = F.aggregate(field, F.lit(0.0), lambda a, x: a + x["exhibition_st"]) / F.size(field)
-    start = clamp(55 + (mean - b["exhibition_st"]) * 220, 20, 95)
-    course = F.when(b["entry_course"] == 1, 100).when(b["entry_course"] == 2, 35).otherwise(10)
-    whole = half_up(clamp(relative * 0.38 + clamp(110 - place * 15, 20, 100) * 0.22 + start * 0.25 + course * 0.15, 0, 100))
-    return {"exhibition_rank": place, "exhibition_score": whole, "course_score": course}
-
-
-def condition_match() -> dict[str, Column]:
-    """Share of the conditions known for lane 1 that speak for it."""
-    b = boat(1)
-    checks = [b["national_win_rate"] >= 6.0, b["local_win_rate"] >= 6.0, F.when(b["avg_st"] > 0, b["avg_st"] <= 0.13), b["motor_2rate"] >= 40, b["c1_win_rate"] >= 55, b["f_count"] == 0]
-    known = total([c.isNotNull().cast("int") for c in checks])
-    good = total([F.coalesce(c, F.lit(False)).cast("int") for c in checks])
-    return {"conditions": known, "matched": good, "condition_match": half_up(rate(good, known) * 100)}
-
-
-def trust_score() -> Column:
-    """Trust in lane 1: rounded components over those that can be evaluated, less a penalty for false starts."""
-    b = boat(1)
-
-    def component(most: int, items: list[tuple[Column, float, float]]) -> tuple[Column, Column]:
-        got = [F.when(x.isNotNull(), part(x, top, weight)) for x, top, weight in items]
-        weight = total([F.when(x.isNotNull(), w).otherwise(0) for x, _, w in items])
-        points = half_up(rate(total([F.coalesce(g, F.lit(0.0)) for g in got]), weight) * most)
-        return F.when(weight > 0, points).otherwise(0), F.when(weight > 0, most).otherwise(0)
-
-    # Maximum points and, per item, the value for full points and its weight.
-    parts = [
-        component(20, [(b["national_win_rate"], 8, 50), (b["national_2rate"], 60, 20), (grade_points(b["grade_class"]), 1, 30)]),
-        component(20, [(b["c1_win_rate"], 70, 35)]),
-        component(15, [(b["local_win_rate"], 8, 50), (b["local_2rate"], 60, 50)]),
-        component(10, [(F.when(b["avg_st"] > 0, 0.25 - b["avg_st"]), 0.20, 1)]),
-        component(10, [(b["motor_2rate"], 50, 60), (b["motor_3rate"], 70, 40)]),
-    ]
-    points = total([p for p, _ in parts]) - F.least(zero(b["f_count"]) * 4, F.lit(15.0))
-    return half_up(rate(points, total([m for _, m in parts])) * 100)
-
-
 def rank_pressure(rank: Column, remaining: Column, day: Column, days: Column, cut: int = 18) -> Column:
     """How much is at stake near the qualifying cut."""
     d = rank - cut

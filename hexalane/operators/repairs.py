@@ -115,3 +115,22 @@ def checked(rules: dict[str, tuple[DataFrame, str, Column]]) -> DataFrame:
     """``rule, unit, n`` for rules ``name -> (rows, unit column, condition)``: rows at fault per unit, one aggregation per table."""
     parts = [df.where(test).groupBy(F.col(unit).cast("string").alias("unit")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "unit", "n") for name, (df, unit, test) in rules.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def inferred_scratches(odds: DataFrame) -> DataFrame:
+    """``race_id, scratched, n_odds, consistent`` from ``race_id, combo, odds``: boats that no odds above 1 name, comma-joined."""
+    valid = odds.withColumn("boats", F.when(F.col("odds") > 1, F.split("combo", "-").cast("array<int>")))
+    boat = lambda n: F.max(F.coalesce(F.array_contains("boats", n), F.lit(False)).cast("int")).alias(f"b{n}")
+    per = valid.groupBy("race_id").agg(F.count_if(F.col("odds") > 1).alias("n_odds"), *[boat(n) for n in range(1, 7)])
+    lost = F.array_compact(F.array(*[F.when(F.col(f"b{n}") == 0, F.lit(str(n))) for n in range(1, 7)]))
+    active = 6 - F.size(lost)
+    return per.where("n_odds > 0").select("race_id", F.nullif(F.array_join(lost, ","), F.lit("")).alias("scratched"), "n_odds", ((active < 6) & (active * (active - 1) * (active - 2) == F.col("n_odds"))).alias("consistent"))
+
+
+def rebuilt(table: DataFrame, root: str) -> DataFrame:
+    """A full rebuild: the table written whole under a new name below ``root`` and read from there; readers of the old one go on until it is dropped."""
+    import uuid
+
+    spark, path = table.sparkSession, f"{root.rstrip('/')}/rebuilt-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)

@@ -109,6 +109,8 @@ def period_scores(entries: DataFrame, day: Column) -> DataFrame:
     per_course = course_stats(in_periods(entries, day), "period")
     zone = F.when(F.col("course") == 1, "1").when(F.col("course") <= 4, "mid").otherwise("outer")
     zones = over_courses(per_course.withColumn("zone", zone), ["registration_number", "period", "zone"])
+    # means are compared with thresholds: the order of a sum must not decide
+    zones = zones.withColumns({c: F.round(c, 9) for c in ("avg_finish", "avg_st")})
     wide = zones.groupBy("registration_number", "period").agg(*[F.first(F.when(F.col("zone") == z, F.struct("race_count", *MEANS, "f_count", "l_count")), ignorenulls=True).alias(f"z_{z}") for z in ("1", "mid", "outer")])
     return wide.select("registration_number", "period", *[f(F.col(f"z_{z}")).alias(n) for n, (z, f) in SCORES.items()], *[F.coalesce(F.col(f"z_{z}")["race_count"], F.lit(0)).alias(f"n_{z}") for z in ("1", "mid", "outer")])
 
@@ -126,13 +128,40 @@ def blended(scores: DataFrame) -> DataFrame:
     return scores.groupBy("registration_number").agg(*out)
 
 
+# Kinds of racers, the score and least value of each, and the courses whose year must hold 20 races.
+PLAYER_TYPES = {"IN_SPECIALIST": ("in_strength", 75, "n_1"), "MID_SECOND_SPECIALIST": ("mid_second", 70, "n_mid"), "MID_THIRD_SPECIALIST": ("mid_third", 70, "n_mid")}
+
+
+def player_types(scores: DataFrame, entries: DataFrame, day: Column) -> DataFrame:
+    """Current scores with ``player_types``, the kinds of racer that they and the last year's courses make."""
+    year = in_periods(entries, day).where("period = '1y'")
+    c = F.col("course")
+    groups = {"1": c == 1, "mid": c.between(2, 4), "outer": c >= 5, "all": F.lit(True)}
+    n = lambda test: F.sum(F.when(test, F.col("race_count")))
+    mean = lambda test, x: F.sum(F.when(test, F.coalesce(x, F.lit(0.0)) * F.col("race_count"))) / n(test)
+    per = course_stats(year).groupBy("registration_number").agg(*[n(t).alias(f"n_{g}") for g, t in groups.items()], (F.sum(F.when(groups["outer"], F.col("f1"))) / n(groups["outer"])).alias("w_outer"), mean(groups["all"], F.col("std_finish")).alias("std_all"))
+    both = scores.join(per, "registration_number", "left")
+    kinds = [F.when((F.col(s) >= least) & (F.col(count) >= 20), name) for name, (s, least, count) in PLAYER_TYPES.items()]
+    kinds += [
+        F.when((F.col("outside_third") >= 65) & (F.coalesce("outside_second", F.lit(0)) < 55), "UICHI_OUTSIDE_SPECIALIST"), F.when(F.col("outside_second") >= 65, "URA_UICHI_OUTSIDE_SPECIALIST"),
+        F.when((F.col("w_outer") > 0.08) & (F.col("n_outer") >= 20), "OUTSIDE_DANGER"), F.when((F.round("std_all", 9) > 1.8) & (F.col("n_all") >= 20), "UNSTABLE"),
+    ]
+    return both.select(*scores.columns, F.array_compact(F.array(*kinds)).alias("player_types"))
+
+
 def race_structure(boats: DataFrame) -> DataFrame:
-    """Two structure indices per race from the six boats' evaluations (``boat_number`` and the five scores)."""
-    best = lambda c, lo, hi: F.coalesce(F.max(F.when(F.col("boat_number").between(lo, hi), F.col(c))), F.lit(50))
-    sums = boats.groupBy("race_id").agg(best("in_strength", 1, 1).alias("s"), best("mid_second", 2, 4).alias("m2"), best("outside_third", 5, 6).alias("o3"), best("outside_second", 5, 6).alias("o2"), best("mid_third", 2, 4).alias("m3"))
-    main = F.col("s") * 0.4 + F.col("m2") * 0.3 + F.col("o3") * 0.3 - F.when(F.col("m2") < 60, 10).otherwise(0) - F.when(F.col("o3") < 55, 10).otherwise(0)
-    ura = F.col("s") * 0.4 + F.col("o2") * 0.35 + F.col("m3") * 0.25 - F.when(F.col("o2") < 55, 15).otherwise(0) - F.when(F.col("m3") < 55, 10).otherwise(0)
-    return sums.select("race_id", num.score(main).alias("main_structure"), num.score(ura).alias("ura_structure"))
+    """Two structure indices per race from the six boats' evaluations (``boat_number``, the five scores and ``player_types``)."""
+    c = F.col
+    inner, outer = c("boat_number").between(2, 4), c("boat_number") >= 5
+    best = lambda x, test: F.coalesce(F.max(F.when(test, c(x))), F.lit(50))
+    kind = lambda name, test: count_where(test & F.array_contains("player_types", name))
+    sums = boats.groupBy("race_id").agg(
+        best("in_strength", c("boat_number") == 1).alias("s"), best("mid_second", inner).alias("m2"), best("outside_third", outer).alias("o3"), best("outside_second", outer).alias("o2"), best("mid_third", inner).alias("m3"),
+        kind("OUTSIDE_DANGER", outer).alias("danger"), kind("UNSTABLE", inner).alias("unstable"),
+    )
+    main = c("s") * 0.4 + c("m2") * 0.3 + c("o3") * 0.3 - c("danger") * 5 - c("unstable") * 3 - F.when(c("m2") < 60, 10).otherwise(0) - F.when(c("o3") < 55, 10).otherwise(0)
+    ura = c("s") * 0.4 + c("o2") * 0.35 + c("m3") * 0.25 - F.when(c("o2") < 55, 15).otherwise(0) - F.when(c("m3") < 55, 10).otherwise(0)
+    return sums.select("race_id", num.score(F.round(main, 9)).alias("main_structure"), num.score(F.round(ura, 9)).alias("ura_structure"))
 
 
 def best_course(stats: DataFrame) -> DataFrame:

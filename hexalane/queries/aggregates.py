@@ -197,15 +197,30 @@ def range_summary(spark, d):
     return fixture(spark, d, "race").groupBy("race_date").agg(F.count(F.lit(1)).alias("races"), count_where(done).alias("finished"), F.count_distinct("venue_code").alias("venues"), F.bool_and(done).alias("all_done"))
 
 
-@query("""x as (select case when datediff('day', race_date, date '1998-08-02') < 30 then '0-29' when datediff('day', race_date, date '1998-08-02') < 90 then '30-89' when datediff('day', race_date, date '1998-08-02') < 180 then '90-179' end tier, status from race where race_date <= date '1998-08-02')
-select tier, cast(count(*) as bigint) total, cast(count(*) filter (where status = 'finished') as bigint) done from x where tier is not null group by tier""")
+DETAIL = "case when race_id % 7 = 0 then 'error' when race_id % 5 = 0 then 'pending' when race_id % 3 = 0 then 'done' end"
+
+
+@query(f"""x as (select case when datediff('day', race_date, date '1998-08-02') < 30 then '0-29' when datediff('day', race_date, date '1998-08-02') < 90 then '30-89' else '90-179' end tier, {DETAIL} s, boat1_racer_name from race_result where datediff('day', race_date, date '1998-08-02') between 1 and 179)
+select tier, cast(count(*) as bigint) total, cast(count(*) filter (where s = 'done' or (s is null and boat1_racer_name is not null)) as bigint) done, cast(count(*) filter (where s = 'error') as bigint) error, cast(count(*) filter (where s is null or s = 'pending') as bigint) pending, round(count(*) filter (where s = 'done' or (s is null and boat1_racer_name is not null)) / count(*), 6) rate from x group by tier""")
 def backfill_tiers(spark, d):
-    today = F.lit("1998-08-02").cast("date")
-    age = F.datediff(today, "race_date")
+    """Detail of past results by age, yesterday the newest: done, failed and open ones."""
     from ..operators.joins import bin_of
 
-    own = fixture(spark, d, "race").where(F.col("race_date") <= today).withColumn("tier", bin_of(age, [("0-29", 0, 30), ("30-89", 30, 90), ("90-179", 90, 180)]))
-    return own.where("tier is not null").groupBy("tier").agg(F.count(F.lit(1)).alias("total"), count_where(F.col("status") == "finished").alias("done"))
+    age = F.datediff(F.lit("1998-08-02").cast("date"), "race_date")
+    own = fixture(spark, d, "race_result").withColumn("tier", bin_of(age, [("0-29", 1, 30), ("30-89", 30, 90), ("90-179", 90, 180)])).where("tier is not null").withColumn("s", F.expr(DETAIL))
+    done = F.coalesce(F.col("s") == "done", F.col("boat1_racer_name").isNotNull())
+    per = own.groupBy("tier").agg(F.count(F.lit(1)).alias("total"), count_where(done).alias("done"), count_where(F.col("s") == "error").alias("error"), count_where(F.coalesce("s", F.lit("pending")) == "pending").alias("pending"))
+    return per.withColumn("rate", F.round(F.col("done") / F.col("total"), 6))
+
+
+@query("""d as (select race_date, venue_code, bool_and(status = 'finished') whole, count(*) n, count(*) filter (where status = 'finished') f from race group by 1, 2), s as (select race_date, bool_and(whole) whole, sum(n) n, sum(f) f from d group by 1)
+select cast(year(race_date) as int) year_, cast(count(*) as bigint) n_days, cast(count(*) filter (where whole) as bigint) days_done, cast(sum(n) as bigint) races, cast(sum(f) as bigint) finished from s group by 1""")
+def historical_summary(spark, d):
+    """Days, and days of which every venue is done, per year."""
+    done = F.col("status") == "finished"
+    venues = fixture(spark, d, "race").groupBy("race_date", "venue_code").agg(F.bool_and(done).alias("whole"), F.count(F.lit(1)).alias("n"), count_where(done).alias("f"))
+    days = venues.groupBy("race_date").agg(F.bool_and("whole").alias("whole"), F.sum("n").alias("n"), F.sum("f").alias("f"))
+    return days.groupBy(F.year("race_date").alias("year_")).agg(F.count(F.lit(1)).alias("n_days"), count_where(F.col("whole")).alias("days_done"), F.sum("n").alias("races"), F.sum("f").alias("finished"))
 
 
 @query("select race_date, cast(count(*) filter (where stage = 'pre') as bigint) pre, cast(count(*) filter (where stage = 'final') as bigint) final_, cast(count(*) filter (where stage = 'final' and judgment = 'BUY') as bigint) buy, cast(count(*) filter (where stage = 'pre' and pre_grade in ('S', 'A')) as bigint) candidates from uichi_analysis group by race_date")

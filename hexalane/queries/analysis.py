@@ -199,12 +199,19 @@ TRUST_COLUMNS = ["trust_raw", "trust_most", "trust_score", "conditions", "matche
 
 
 @query(f"{WIDE}, {HEADED}, {LOOKUPS.format('hw')}, {TRUST} select race_id, {_ints(*[(n, n) for n in TRUST_COLUMNS])}, trust_reliability from tn")
-def trust_score_full(spark, d):
+def trust_score(spark, d):
     """Trust in lane 1 with the records at the venue, over all and in this weather, and all eight conditions."""
     out = ra.with_trust(_with_lookups(spark, d, _wide(spark, d, "grade_class", *RATES)))
     return out.select("race_id", *[F.col(n).cast("long").alias(n) for n in TRUST_COLUMNS], "trust_reliability")
 
 
+@query(f"{WIDE}, {HEADED}, {LOOKUPS.format('hw')}, {TRUST} select race_id, {_ints(*[(n, n) for n in ('conditions', 'matched', 'condition_match')])} from tn")
+def condition_match(spark, d):
+    """Share of the eight conditions known for lane 1 that speak for it."""
+    out = ra.with_trust(_with_lookups(spark, d, _wide(spark, d, "grade_class", *RATES)))
+    return out.select("race_id", *[F.col(n).cast("long").alias(n) for n in ("conditions", "matched", "condition_match")])
+
+
 ON = [f"(not is_scratched_{n} and warmup_time_{n} is not null)" for n in range(1, 7)]
 SON = [f"(not is_scratched_{n} and warmup_st_{n} is not null)" for n in range(1, 7)]
 GATE = f"""g1 as (select *, {' + '.join(f'(case when {x} then 1 else 0 end)' for x in SON)} n_st, {' + '.join(f'(case when {x} then warmup_st_{n} else 0e0 end)' for n, x in enumerate(SON, 1))} s_st,
@@ -217,7 +224,7 @@ g7 as (select *, case when not ready then 'MISSING' when entry_course_1 <> 1 or
 
 
 @query(f"{RACERS}, {CONTEXT}, {INTENT}, {LOOKUPS.format('db')}, {TRUST}, {GATE} select race_id, exhibition_gate_status, " + ", ".join(f"case when ready then cast({x} as bigint) end {n}" for n, x in (("exhibition_rank", "rk"), ("exhibition_score", "ex"), ("weather_score", "ws"), ("final_escape_score", "fin"))) + " from g7")
-def exhibition_gate_full(spark, d):
+def exhibition_gate(spark, d):
     """The gate after the warm-up with its status, the weather's record and the total score."""
     out = _analysed(spark, d)
     return out.select("race_id", "exhibition_gate_status", *[F.col(n).cast("long").alias(n) for n in ("exhibition_rank", "exhibition_score", "weather_score", "final_escape_score")])

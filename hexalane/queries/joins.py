@@ -58,10 +58,10 @@ def id_remap(spark, d):
     return r.join(r.groupBy(*keys).agg(F.min("race_id").alias("canonical")), keys).where("race_id <> canonical").select("race_id", "canonical")
 
 
-@query("""p as (select race_id, max(boat1_trust_score) t from uichi_analysis where stage = 'pre' group by 1) select a.race_id, a.dup_no, a.boat1_trust_score - p.t delta from uichi_analysis a left join p on p.race_id = a.race_id where a.stage = 'final'""")
+@query("""p as (select race_id, arg_max(boat1_trust_score, dup_no) t from uichi_analysis where stage = 'pre' group by 1) select a.race_id, a.dup_no, a.boat1_trust_score - p.t delta from uichi_analysis a left join p on p.race_id = a.race_id where a.stage = 'final'""")
 def pre_final_delta(spark, d):
     a = fixture(spark, d, "uichi_analysis")
-    pre = a.where("stage = 'pre'").groupBy("race_id").agg(F.max("boat1_trust_score").alias("t"))
+    pre = a.where("stage = 'pre'").groupBy("race_id").agg(F.max(F.struct("captured_at", "dup_no", "boat1_trust_score")).alias("latest")).select("race_id", F.col("latest.boat1_trust_score").alias("t"))
     return a.where("stage = 'final'").join(pre, "race_id", "left").select("race_id", "dup_no", (F.col("boat1_trust_score") - F.col("t")).alias("delta"))
 
 
@@ -86,8 +86,8 @@ def feature_join(spark, d):
     return jn.lookup(jn.lookup(r, vrs, ["venue_code", "race_number"]), rvs, ["boat1_registration_number", "venue_code"]).select("race_id", "total_races", "racer_races")
 
 
-@query("""t as (select registration_number, max(term_no) term_no from racer_term group by 1) select e.race_id, e.boat_number, t.term_no from race_entry e left join t on t.registration_number = e.registration_number where e.boat_number <= 2""")
+@query("""t as (select registration_number, max(term_no) term_no from racer_term group by 1) select e.race_id, e.boat_number, t.term_no from race_entry e left join t on t.registration_number = e.registration_number""")
 def entry_eval_join(spark, d):
-    e = fixture(spark, d, "race_entry").where("boat_number <= 2").select("race_id", "boat_number", "registration_number")
+    e = fixture(spark, d, "race_entry").select("race_id", "boat_number", "registration_number")
     last = latest(fixture(spark, d, "racer_term").select("registration_number", "term_no", "term_code"), ["registration_number"], "term_no").select("registration_number", "term_no")
     return jn.lookup(e, last, ["registration_number"]).select("race_id", "boat_number", "term_no")

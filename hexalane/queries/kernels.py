@@ -26,8 +26,10 @@ def _gp(b):
     return f"(case {b}.grade_class when 'A1' then 1e0 when 'A2' then 0.85e0 when 'B1' then 0.65e0 when 'B2' then 0.45e0 else 0.5e0 end)"
 
 
-BOATS = "from race_entry b1 " + " ".join(f"join race_entry b{n} on b{n}.race_id = b1.race_id and b{n}.boat_number = {n}" for n in range(2, 7)) + " {} where b1.boat_number = 1"
 KERNEL_COLUMNS = ["race_id", "boat_number", "grade_class", "national_win_rate", "national_2rate", "national_3rate", "local_win_rate", "local_2rate", "local_3rate", "c1_win_rate", "motor_2rate", "motor_3rate", "boat_2rate", "boat_3rate", "avg_st", "f_count", "exhibition_time", "exhibition_st", "entry_course"]
+# one row per race with a struct per boat, from one aggregation
+_STRUCT = "{" + ", ".join(f"'{c}': {c}" for c in dict.fromkeys((*KERNEL_COLUMNS, "venue_code", "race_number"))) + "}"
+BOATS = "from (select " + ", ".join(f"any_value({_STRUCT}) filter (where boat_number = {n}) b{n}" for n in range(1, 7)).replace("{", "{{").replace("}", "}}") + " from race_entry group by race_id) bb {}"
 
 
 def _wide(spark, d, *columns):
@@ -119,37 +121,6 @@ def motor_support(spark, d):
     return _wide(spark, d, "motor_2rate", "motor_3rate", "boat_2rate", "boat_3rate").select("race_id", *_named(k.motor_support()))
 
 
-@query(f"""f as (select race_id, min(exhibition_time) lo, max(exhibition_time) hi, avg(exhibition_st) st from race_entry where not is_scratched group by race_id),
-x as (select b.*, f.lo, f.hi, f.st, (select count(*) from race_entry o where o.race_id = b.race_id and not o.is_scratched and o.exhibition_time < b.exhibition_time) + 1 place from race_entry b join f on f.race_id = b.race_id where b.boat_number = 1 and not b.is_scratched)
-select race_id, cast(place as int) exhibition_rank, cast({_r(_cl(f"{_cl('100 - (exhibition_time - lo) / greatest(hi - lo, 0.01e0) * 80', '20e0', '100e0')} * 0.38e0 + {_cl('110 - place * 15', 20, 100)} * 0.22e0 + round({_cl('55 + (st - exhibition_st) * 220e0', '20e0', '95e0')} * 0.25e0, 9) + (case entry_course when 1 then 100 when 2 then 35 else 10 end) * 0.15e0", 0, 100))} as bigint) exhibition_score, case entry_course when 1 then 100 when 2 then 35 else 10 end course_score from x""")
-def exhibition_gate(spark, d):
-    e = fixture(spark, d, "race_entry").where("not is_scratched").select(*KERNEL_COLUMNS)
-    field = e.groupBy("race_id").agg(F.collect_list(F.struct("exhibition_time", "exhibition_st")).alias("boats"))  # six boats at most
-    return k.wide(e).where("b1.here is not null").join(field, "race_id").select("race_id", *_named(k.exhibition()))
-
-
-CM = ["b.national_win_rate >= 6", "b.local_win_rate >= 6", "b.avg_st <= 0.13e0", "b.motor_2rate >= 40", "b.c1_win_rate >= 55", "b.f_count = 0"]
-
-
-@query("c as (select race_id, " + " + ".join(f"case when ({x}) is null then 0 else 1 end" for x in CM) + " conditions, " + " + ".join(f"case when {x} then 1 else 0 end" for x in CM) + " matched from race_entry b where boat_number = 1) select *, cast(floor(matched / conditions * 100 + 0.5) as bigint) condition_match from c")
-def condition_match(spark, d):
-    return _wide(spark, d).select("race_id", *_named(k.condition_match()))
-
-
-def _comp(most, items):
-    got = " + ".join(f"case when ({x}) is null then 0e0 else {_part(x, top, w)} end" for x, top, w in items)
-    weight = " + ".join(f"case when ({x}) is null then 0 else {w} end" for x, _, w in items)
-    return f"case when {weight} > 0 then floor(({got}) / nullif({weight}, 0) * {most}e0 + 0.5e0) else 0 end", f"case when {weight} > 0 then {most} else 0 end"
-
-
-PARTS = [_comp(20, [("b.national_win_rate", 8, 50), ("b.national_2rate", 60, 20), (_gp("b"), 1, 30)]), _comp(20, [("b.c1_win_rate", 70, 35)]), _comp(15, [("b.local_win_rate", 8, 50), ("b.local_2rate", 60, 50)]), _comp(10, [("0.25e0 - b.avg_st", 0.20, 1)]), _comp(10, [("b.motor_2rate", 50, 60), ("b.motor_3rate", 70, 40)])]
-
-
-@query(f"select race_id, cast(floor((({' + '.join(p for p, _ in PARTS)}) - least(f_count * 4, 15)) / ({' + '.join(m for _, m in PARTS)}) * 100 + 0.5) as bigint) trust_score from race_entry b where boat_number = 1")
-def trust_score(spark, d):
-    return _wide(spark, d).select("race_id", k.trust_score().alias("trust_score"))
-
-
 @query("""select point_id, floor(greatest(0, least(100, (case when rank_no - 18 <= -8 then 25 when rank_no - 18 <= -4 then 40 when rank_no - 18 <= 0 then 75 when rank_no - 18 <= 3 then 90 when rank_no - 18 <= 7 then 75 else 45 end) + races_run / 5e0 * 8 + case when 5 - races_run <= 1 then 5 else 0 end)) * 10 + 0.5) / 10 pressure from series_point""")
 def rank_pressure(spark, d):
     return fixture(spark, d, "series_point").select("point_id", k.rank_pressure(F.col("rank_no"), 5 - F.col("races_run"), F.col("races_run") + 1, F.lit(6)).alias("pressure"))
@@ -161,7 +132,7 @@ PERIOD_SQL = f"""p(period, months) as (values ('6m', 6), ('1y', 12), ('3y', 36))
 c as (select registration_number, period, boat_number, count(*) n, count(*) filter (where finish_order = 1) f1, count(*) filter (where finish_order = 2) f2, count(*) filter (where finish_order = 3) f3, avg(finish_order) af,
   avg(case when start_timing not in ('F', 'L') then cast(start_timing as double) end) st, count(*) filter (where start_timing = 'F') nf, count(*) filter (where start_timing = 'L') nl
   from race_entry cross join p where not is_scratched and race_date >= cast({REF} - to_months(months) as date) and race_date <= {REF} group by 1, 2, 3),
-z as (select registration_number, period, {ZONE} zone, sum(n) n, sum(f1) / sum(n) w, sum(f2) / sum(n) s, sum(f3) / sum(n) t, sum(f1 + f2) / sum(n) t2, sum(f1 + f2 + f3) / sum(n) t3, sum(af * n) / sum(n) af, sum(coalesce(st, 0) * n) / sum(n) st, sum(nf) nf, sum(nl) nl from c group by 1, 2, 3),
+z as (select registration_number, period, {ZONE} zone, sum(n) n, sum(f1) / sum(n) w, sum(f2) / sum(n) s, sum(f3) / sum(n) t, sum(f1 + f2) / sum(n) t2, sum(f1 + f2 + f3) / sum(n) t3, round(sum(af * n) / sum(n), 9) af, round(sum(coalesce(st, 0) * n) / sum(n), 9) st, sum(nf) nf, sum(nl) nl from c group by 1, 2, 3),
 raw as (select *, 40 + w * 60 + (t2 - w) * 30 + case when st < 0.10 then 10 when st < 0.13 then 7 when st < 0.16 then 5 when st < 0.20 then 2 else 0 end + least(10, t3 * 20) - nf * 2 - nl ins,
   30 + s * 80 + (t2 - s - w) * 30 - case when w > 0.15 then (w - 0.15) * 200 else 0 end + case when af < 2.5 then 5 when af < 3 then 3 else 0 end ms, 30 + t * 80 + (t3 - t) * 30 + case when af < 3 then 5 else 0 end mt,
   25 + t * 100 + (t3 - t) * 30 + case when af < 3.5 then 10 when af < 4 then 7 when af < 4.5 then 3 else 0 end + case when st < 0.15 then 5 else 0 end ot, 20 + s * 120 + (t2 - s) * 30 + case when af < 3.5 then 10 when af < 4 then 5 else 0 end os from z)"""
@@ -196,12 +167,34 @@ def blend_scores(spark, d):
     return evaluation.blended(_scores(spark, d))
 
 
-@query("""b as (select race_id, boat_number, (race_id * 7 + boat_number * 13) % 101 s1, (race_id * 11 + boat_number * 17) % 101 s2, (race_id * 3 + boat_number * 19) % 101 s3, (race_id * 5 + boat_number * 23) % 101 s4, (race_id * 13 + boat_number * 29) % 101 s5 from race_entry),
-m as (select race_id, max(s1) filter (where boat_number = 1) s, max(s2) filter (where boat_number between 2 and 4) m2, max(s3) filter (where boat_number >= 5) o3, max(s4) filter (where boat_number >= 5) o2, max(s5) filter (where boat_number between 2 and 4) m3 from b group by 1)
-select race_id, cast(greatest(0, least(100, floor(s * 0.4e0 + m2 * 0.3e0 + o3 * 0.3e0 - case when m2 < 60 then 10 else 0 end - case when o3 < 55 then 10 else 0 end + 0.5))) as bigint) main_structure,
- cast(greatest(0, least(100, floor(s * 0.4e0 + o2 * 0.35e0 + m3 * 0.25e0 - case when o2 < 55 then 15 else 0 end - case when m3 < 55 then 10 else 0 end + 0.5))) as bigint) ura_structure from m""")
+def _total(test):
+    """Means over a racer's courses of the last year, weighted by races."""
+    return f"(select registration_number, sum(n) n, sum(f1) / sum(n) w, sum(sd * n) / sum(n) sd from cs where {test} group by 1)"
+
+
+TYPES = PERIOD_ROWS + f""", bl as (select registration_number, {_bl('in_strength', '1', 10)}, {_bl('mid_second', 'mid', 8)}, {_bl('mid_third', 'mid', 8)}, {_bl('outside_third', 'outer', 8)}, {_bl('outside_second', 'outer', 8)} from sc group by 1),
+cs as (select registration_number, boat_number c, count(*) n, count(*) filter (where finish_order = 1) f1, stddev_pop(finish_order) sd from race_entry where not is_scratched and race_date >= cast({REF} - to_months(12) as date) and race_date <= {REF} group by 1, 2),
+ty as (select bl.*, coalesce(in_strength >= 75 and x1.n >= 20, false) t1, coalesce(mid_second >= 70 and xm.n >= 20, false) t2, coalesce(mid_third >= 70 and xm.n >= 20, false) t3, coalesce(outside_third >= 65 and coalesce(outside_second, 0) < 55, false) t4, coalesce(outside_second >= 65, false) t5, coalesce(xo.w > 0.08e0 and xo.n >= 20, false) t6, coalesce(round(xa.sd, 9) > 1.8e0 and xa.n >= 20, false) t7
+  from bl left join {_total('c = 1')} x1 on x1.registration_number = bl.registration_number left join {_total('c between 2 and 4')} xm on xm.registration_number = bl.registration_number left join {_total('c >= 5')} xo on xo.registration_number = bl.registration_number left join {_total('true')} xa on xa.registration_number = bl.registration_number)"""
+NAMES = ("IN_SPECIALIST", "MID_SECOND_SPECIALIST", "MID_THIRD_SPECIALIST", "UICHI_OUTSIDE_SPECIALIST", "URA_UICHI_OUTSIDE_SPECIALIST", "OUTSIDE_DANGER", "UNSTABLE")
+
+
+def _typed(spark, d):
+    entries = fixture(spark, d, "race_entry").where("not is_scratched").withColumnRenamed("boat_number", "course")
+    return evaluation.player_types(evaluation.blended(_scores(spark, d)), entries, F.lit("1998-08-02").cast("date"))
+
+
+@query(TYPES + " select registration_number, concat_ws(',', " + ", ".join(f"case when t{i} then '{n}' end" for i, n in enumerate(NAMES, 1)) + ") types from ty")
+def player_types(spark, d):
+    """What kind of racer someone is, by current scores and the last year's courses."""
+    return _typed(spark, d).select("registration_number", F.array_join("player_types", ",").alias("types"))
+
+
+@query(TYPES + """, m as (select e.race_id, coalesce(max(in_strength) filter (where boat_number = 1), 50) s, coalesce(max(mid_second) filter (where boat_number between 2 and 4), 50) m2, coalesce(max(outside_third) filter (where boat_number >= 5), 50) o3, coalesce(max(outside_second) filter (where boat_number >= 5), 50) o2, coalesce(max(mid_third) filter (where boat_number between 2 and 4), 50) m3,
+  count(*) filter (where boat_number >= 5 and t6) danger, count(*) filter (where boat_number between 2 and 4 and t7) unstable from race_entry e left join ty on ty.registration_number = e.registration_number group by 1)
+select race_id, cast(greatest(0, least(100, floor(round(s * 0.4e0 + m2 * 0.3e0 + o3 * 0.3e0 - danger * 5 - unstable * 3 - case when m2 < 60 then 10 else 0 end - case when o3 < 55 then 10 else 0 end, 9) + 0.5))) as bigint) main_structure,
+ cast(greatest(0, least(100, floor(round(s * 0.4e0 + o2 * 0.35e0 + m3 * 0.25e0 - case when o2 < 55 then 15 else 0 end - case when m3 < 55 then 10 else 0 end, 9) + 0.5))) as bigint) ura_structure from m""")
 def race_structure(spark, d):
-    e = fixture(spark, d, "race_entry")
-    mix = {"in_strength": (7, 13), "mid_second": (11, 17), "outside_third": (3, 19), "outside_second": (5, 23), "mid_third": (13, 29)}
-    boats = e.select("race_id", "boat_number", *[((F.col("race_id") * a + F.col("boat_number") * b) % 101).alias(n) for n, (a, b) in mix.items()])
+    """Structure of every race from the evaluations and kinds of its racers."""
+    boats = fixture(spark, d, "race_entry").select("race_id", "boat_number", "registration_number").join(_typed(spark, d), "registration_number", "left")
     return evaluation.race_structure(boats)

@@ -36,11 +36,13 @@ def upsert_analysis(spark, d):
     return upserted(a.where("dup_no = 0").drop("dup_no"), a.where("dup_no = 1").drop("dup_no"), ["race_id"])
 
 
-@query("select r.race_id, coalesce(r.weather, x.weather) weather, coalesce(r.wind_speed, x.wind_speed) wind_speed from race r left join race_result x on x.race_id = r.race_id")
+@query("""o as (select * from race where race_id % 5 <> 0), n as (select race_id, weather, wind_speed, venue_code from race_result where race_id % 7 <> 0)
+select coalesce(o.race_id, n.race_id) race_id, o.race_id is null created, coalesce(o.venue_code, n.venue_code) venue_code, coalesce(o.weather, n.weather) weather, coalesce(o.wind_speed, n.wind_speed) wind_speed from o full join n on n.race_id = o.race_id""")
 def v2_to_v1(spark, d):
-    """Gaps of the working table filled from the official one; values that are there stay."""
-    x = fixture(spark, d, "race_result").select("race_id", F.col("weather").alias("w"), F.col("wind_speed").alias("s"))
-    return fixture(spark, d, "race").join(x, "race_id", "left").select("race_id", F.coalesce("weather", "w").alias("weather"), F.coalesce("wind_speed", "s").alias("wind_speed"))
+    """The official table taken into the working one: missing races are added, gaps filled; values that are there stay."""
+    n = fixture(spark, d, "race_result").where("race_id % 7 <> 0").select("race_id", F.col("venue_code").alias("v"), F.col("weather").alias("w"), F.col("wind_speed").alias("s"))
+    o = fixture(spark, d, "race").where("race_id % 5 <> 0").select("race_id", "venue_code", "weather", "wind_speed", F.lit(False).alias("created"))
+    return o.join(n, "race_id", "full").select("race_id", F.coalesce("created", F.lit(True)).alias("created"), F.coalesce("venue_code", "v").alias("venue_code"), F.coalesce("weather", "w").alias("weather"), F.coalesce("wind_speed", "s").alias("wind_speed"))
 
 
 @query("select race_date, venue_code, cast(count(distinct race_number) as bigint) races, cast(count(*) filter (where not exhibition_ready) as bigint) waiting, case when count(distinct race_number) >= 12 then 'COMPLETE' when count(*) filter (where not exhibition_ready) = 0 then 'READY' else 'PARTIAL' end status from race group by 1, 2")
@@ -50,18 +52,18 @@ def venue_readiness(spark, d):
     return per.withColumn("status", F.when(n >= 12, "COMPLETE").when(open_ == 0, "READY").otherwise("PARTIAL"))
 
 
-@query("""v as (select race_id, 'few_entries' as rule, cast(count(*) as bigint) n from race_entry where not is_scratched group by 1 having count(*) < 6 union all select race_id, 'pending_final', cast(count(*) as bigint) from uichi_analysis where stage = 'final' and judgment = 'PENDING' group by 1
+@query("""n as (select race_id, count(*) n from race_entry where not is_scratched group by 1),
+v as (select r.race_id, 'few_entries' as rule, cast(coalesce(n.n, 0) as bigint) n from (select distinct race_id from race) r left join n on n.race_id = r.race_id where coalesce(n.n, 0) < 6
+ union all select e.race_id, 'orphaned_entries', cast(count(*) as bigint) from race_entry e where not exists (select 1 from race r where r.race_id = e.race_id) group by 1
+ union all select race_id, 'pending_final', cast(count(*) as bigint) from uichi_analysis where stage = 'final' and judgment in ('PENDING', 'MISSING') group by 1
+ union all select race_id, 'lost_exhibition', cast(count(*) as bigint) from race_entry where exhibition_time is not null and exhibition_st is null and entry_course is null group by 1
  union all select min(race_id), 'duplicate_race', cast(count(*) as bigint) from race group by race_date, venue_code, race_number having count(*) > 1) select * from v""")
 def integrity_check(spark, d):
-    """Violations of the three rules that its SQL names, as one table; ``integrity_check_whole`` has all five."""
-    from ..operators.quality import violations
+    """Violations of all five rules as one table."""
+    from ..operators.quality import integrity_rules, violations
 
     e, a, r = (fixture(spark, d, t) for t in ("race_entry", "uichi_analysis", "race"))
-    return violations({
-        "few_entries": e.where("not is_scratched").groupBy("race_id").agg(F.count(F.lit(1)).alias("n")).where("n < 6"),
-        "pending_final": a.where("stage = 'final' and judgment = 'PENDING'").groupBy("race_id").agg(F.count(F.lit(1)).alias("n")),
-        "duplicate_race": r.groupBy("race_date", "venue_code", "race_number").agg(F.min("race_id").alias("race_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("race_id", "n"),
-    })
+    return violations(integrity_rules(r, e, a, ~F.col("is_scratched")))
 
 
 @query("""n as (select race_id, count(*) n from race_entry where not is_scratched group by 1),
@@ -71,11 +73,7 @@ v as (select r.race_id, 'few_entries' as rule, cast(coalesce(n.n, 0) as bigint)
  union all select race_id, 'lost_exhibition', cast(count(*) as bigint) from race_entry where exhibition_time is not null and exhibition_st is null and entry_course is null group by 1
  union all select min(race_id), 'duplicate_race', cast(count(*) as bigint) from race group by race_date, venue_code, race_number having count(*) > 1) select * from v""")
 def integrity_check_whole(spark, d):
-    """Violations of all five rules as one table."""
-    from ..operators.quality import integrity_rules, violations
-
-    e, a, r = (fixture(spark, d, t) for t in ("race_entry", "uichi_analysis", "race"))
-    return violations(integrity_rules(r, e, a, ~F.col("is_scratched")))
+    return integrity_check(spark, d)
 
 
 @query("select race_id, case when status = 'finished' then 'resolved' when pre_grade is null then 'filtered_out' else 'active' end state from (select r.race_id, r.status, a.pre_grade from race r join (select race_id, max(pre_grade) pre_grade from alert group by 1) a on a.race_id = r.race_id)")

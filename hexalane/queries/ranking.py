@@ -102,5 +102,5 @@ def rolling_error_rate(spark, d):
 
 @query("select race_id, tick_id from (select race_id, tick_id, row_number() over (partition by race_id order by captured_at, tick_id) w from (select distinct race_id, tick_id, captured_at from odds_snapshot)) where w <= 10")
 def odds_history(spark, d):
-    t = fixture(spark, d, "odds_snapshot").where("combo = '1-2-5'")
+    t = fixture(spark, d, "odds_snapshot").select("race_id", "tick_id", "captured_at").distinct()
     return rk.first_n(t, ["race_id"], 10, F.col("captured_at"), F.col("tick_id")).select("race_id", "tick_id")

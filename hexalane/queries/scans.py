@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import repairs as of
 from ..sources.fixtures import fixture
 from .registry import query
 
@@ -37,24 +38,25 @@ def sort_limit(spark, d):
     return fixture(spark, d, "race_result").orderBy(F.desc("payout_trifecta"), "race_id").limit(50).select("race_id", "payout_trifecta")
 
 
-@query("select race_id, race_date, deadline, race_number from race where status = 'finished' order by race_date desc, deadline desc, race_number desc, race_id limit 200")
+@query("select race_id, race_date, deadline, race_number from race where status = 'finished' order by race_date desc, deadline desc, race_number desc, race_id")
 def verification_order(spark, d):
-    """The first 200 rows of ``verification_order_whole``, as its SQL names them."""
-    return verification_order_whole(spark, d).limit(200)
+    """Finished races, newest first."""
+    return fixture(spark, d, "race").where("status = 'finished'").orderBy(F.desc("race_date"), F.desc("deadline"), F.desc("race_number"), "race_id").select("race_id", "race_date", "deadline", "race_number")
 
 
 @query("select race_id, race_date, deadline, race_number from race where status = 'finished' order by race_date desc, deadline desc, race_number desc, race_id")
 def verification_order_whole(spark, d):
-    return fixture(spark, d, "race").where("status = 'finished'").orderBy(F.desc("race_date"), F.desc("deadline"), F.desc("race_number"), "race_id").select("race_id", "race_date", "deadline", "race_number")
+    return verification_order(spark, d)
 
 
-@query("""n as (select race_id, count(*) n from race_entry where not is_scratched group by race_id)
-select r.race_id, cast(n.n as bigint) as n_entries from race r join n on n.race_id = r.race_id where r.status = 'scheduled'
-order by case when n.n between 1 and 5 then 0 else 1 end, r.deadline, r.race_id limit 48""")
+@query("""n as (select race_id, count(*) n from race_entry where not is_scratched group by race_id),
+c as (select r.race_id, r.race_date, r.venue_code, r.status, r.deadline, coalesce(n.n, 0) n from race r left join n on n.race_id = r.race_id),
+v as (select race_date, venue_code, sum(n) filled from c group by all),
+t as (select c.*, v.filled > 0 as partly_filled, coalesce(c.deadline >= timestamp '1996-01-01 23:00:00' and c.deadline <= timestamp '1996-01-02 00:30:00', false) soon from c join v on v.race_date = c.race_date and v.venue_code = c.venue_code where c.status = 'scheduled' and c.n < 6)
+select race_id, cast(n as bigint) n_entries, soon, partly_filled from t order by soon desc, case when soon then deadline end nulls last, partly_filled desc, deadline nulls last, race_id limit 48""")
 def repair_queue(spark, d):
-    n = fixture(spark, d, "race_entry").where("not is_scratched").groupBy("race_id").agg(F.count(F.lit(1)).alias("n_entries"))
-    open_ = fixture(spark, d, "race").where("status = 'scheduled'").join(n, "race_id")
-    return open_.orderBy(F.when(F.col("n_entries").between(1, 5), 0).otherwise(1), "deadline", "race_id").limit(48).select("race_id", "n_entries")
+    """The 48 open races to repair first: a round's share of ``repair_queue_whole``."""
+    return repair_queue_whole(spark, d).limit(48)
 
 
 @query("""n as (select race_id, count(*) n from race_entry where not is_scratched group by race_id),
@@ -63,10 +65,7 @@ v as (select race_date, venue_code, sum(n) filled from c group by all),
 t as (select c.*, v.filled > 0 as partly_filled, coalesce(c.deadline >= timestamp '1996-01-01 23:00:00' and c.deadline <= timestamp '1996-01-02 00:30:00', false) soon from c join v on v.race_date = c.race_date and v.venue_code = c.venue_code where c.status = 'scheduled' and c.n < 6)
 select race_id, cast(n as bigint) n_entries, soon, partly_filled from t order by soon desc, case when soon then deadline end nulls last, partly_filled desc, deadline nulls last, race_id""")
 def repair_queue_whole(spark, d):
-    """Every open race that lacks entries, in the order of repair; a caller takes as many as it can fetch.
-
-    ``repair_queue`` keeps the 48 rows that its SQL names.
-    """
+    """Every open race that lacks entries, in the order of repair; a caller takes as many as it can fetch."""
     from ..operators.ranking import repair_order
 
     own = fixture(spark, d, "race_entry").where("not is_scratched")
@@ -74,10 +73,10 @@ def repair_queue_whole(spark, d):
 
 
 @query("""x as (select race_date, venue_code, count(*) filter (where trifecta in ('1-2-5','1-2-6','1-3-5','1-3-6','1-4-5','1-4-6')) hits from race_result group by race_date, venue_code)
-select race_date, venue_code, cast(hits as bigint) as hits from x order by case when race_date >= date '1998-07-01' then 0 else 1 end, race_date desc, case when hits > 0 then 0 else 1 end, venue_code limit 100""")
+select race_date, venue_code, cast(hits as bigint) as hits from x order by case when race_date >= date '1998-07-01' then 0 else 1 end, race_date desc, case when hits > 0 then 0 else 1 end, venue_code""")
 def enrich_queue(spark, d):
-    """The first 100 rows of ``enrich_queue_whole``, as its SQL names them."""
-    return enrich_queue_whole(spark, d).limit(100)
+    """Venue days to enrich: recent ones first, then newest, those with hits first."""
+    return enrich_queue_whole(spark, d)
 
 
 @query("""x as (select race_date, venue_code, count(*) filter (where trifecta in ('1-2-5','1-2-6','1-3-5','1-3-6','1-4-5','1-4-6')) hits from race_result group by race_date, venue_code)
@@ -107,12 +106,19 @@ def missing_races(spark, d):
     return have.select("race_date", "venue_code", F.explode(F.array_except(F.sequence(F.lit(1), F.lit(12)).cast("array<bigint>"), "have")).alias("missing"))
 
 
-@query("""b as (select race_id, unnest(string_split(combo, '-')) boat from odds_snapshot), s as (select race_id, list(distinct cast(boat as int)) seen from b group by race_id)
-select race_id, n.n as boat from s cross join (values (1), (2), (3), (4), (5), (6)) n(n) where not list_contains(seen, n.n)""")
+TRIFECTAS = "(select concat(a.n, '-', b.n, '-', c.n) combo from six a, six b, six c where a.n <> b.n and b.n <> c.n and a.n <> c.n)"
+
+
+@query(f"""six as (select cast(unnest(range(1, 7)) as varchar) n), t as {TRIFECTAS}, m as (select r.race_id, t.combo, case when r.race_id % 20 = 0 and t.combo like concat('%', cast(1 + r.race_id % 6 as varchar), '%') then 0e0 when r.race_id % 50 = 0 and t.combo = '2-3-4' then 1e0 else 5e0 end odds from race r, t where r.race_id % 10 = 0),
+s as (select race_id, list(distinct cast(x as int)) seen from (select race_id, unnest(string_split(combo, '-')) x from m where odds > 1) group by race_id), c as (select race_id, count(*) filter (where odds > 1) n from m group by race_id)
+select c.race_id, string_agg(cast(i.n as varchar), ',' order by i.n) filter (where not list_contains(s.seen, i.n)) scratched, cast(c.n as bigint) n_odds, len(s.seen) < 6 and len(s.seen) * (len(s.seen) - 1) * (len(s.seen) - 2) = c.n consistent from c join s on s.race_id = c.race_id cross join (values (1), (2), (3), (4), (5), (6)) i(n) group by c.race_id, c.n, s.seen""")
 def scratched_boats(spark, d):
-    """Boats that no combination with odds names."""
-    seen = fixture(spark, d, "odds_snapshot").select("race_id", F.explode(F.split("combo", "-")).alias("b")).groupBy("race_id").agg(F.collect_set(F.col("b").cast("int")).alias("seen"))
-    return seen.select("race_id", F.explode(F.array_except(F.sequence(F.lit(1), F.lit(6)), "seen")).alias("boat"))
+    """Boats that no combination with odds above 1 names, and whether the others' combinations are all there."""
+    six = "transform(sequence(1, 6), a -> cast(a as string))"
+    every = F.expr(f"filter(flatten(transform({six}, a -> flatten(transform({six}, b -> transform({six}, c -> case when a <> b and b <> c and a <> c then concat(a, '-', b, '-', c) end))))), x -> x is not null)")
+    odds = "case when race_id % 20 = 0 and instr(combo, cast(1 + race_id % 6 as string)) > 0 then 0.0D when race_id % 50 = 0 and combo = '2-3-4' then 1.0D else 5.0D end"
+    m = fixture(spark, d, "race").where("race_id % 10 = 0").select("race_id", F.explode(every).alias("combo")).withColumn("odds", F.expr(odds))
+    return of.inferred_scratches(m)
 
 
 @query("select race_id, count(distinct boat_number) = 6 as all_present, cast(count(*) filter (where exhibition_time > 6.9) as bigint) as slow from race_entry where not is_scratched group by race_id")

@@ -1,6 +1,5 @@
 """Time-driven work and Structured Streaming."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.fixtures import fixture
@@ -18,13 +17,33 @@ def due_work(spark, d):
     return fixture(spark, d, "race").select("race_id", work.alias("work")).where("work is not null")
 
 
-@query("""t as (select distinct race_id, tick_id, captured_at from odds_snapshot), l as (select *, lag(captured_at) over (partition by race_id order by captured_at, tick_id) p from t) select race_id, tick_id from l where p is null or date_diff('second', p, captured_at) >= 120""")
+@query("""t as (select distinct race_id, tick_id, captured_at from odds_snapshot), c as (select t.*, row_number() over (partition by race_id order by captured_at, tick_id) i from t),
+k as (with recursive k as (select race_id, captured_at, tick_id from c where i = 1 union all select n.race_id, n.captured_at, n.tick_id from (select t.race_id, t.captured_at, t.tick_id, row_number() over (partition by t.race_id order by t.captured_at, t.tick_id) w from k join t on t.race_id = k.race_id and t.captured_at > k.captured_at + interval 120 second) n where n.w = 1) select * from k) select race_id, tick_id from k""")
 def tick_thinning(spark, d):
-    """Ticks at least two minutes after the one before."""
-    t = fixture(spark, d, "odds_snapshot").where("combo = '1-2-5'").select("race_id", "tick_id", "captured_at")
-    before = F.lag("captured_at").over(Window.partitionBy("race_id").orderBy("captured_at", "tick_id"))
-    gap = F.unix_timestamp("captured_at") - F.unix_timestamp(before)
-    return t.withColumn("gap", gap).where("gap is null or gap >= 120").select("race_id", "tick_id")
+    """Complete ticks more than two minutes after the last one kept."""
+    from ..operators.repairs import spaced
+
+    t = fixture(spark, d, "odds_snapshot").groupBy("race_id", "tick_id", "captured_at").agg(F.count_distinct("combo").alias("n")).where("n = 6")
+    return spaced(t, "race_id", "captured_at", "tick_id", 120)
+
+
+@query("""select r.race_id, r.race_date from race r where r.race_date between date '1998-07-01' and date '1998-07-02' and r.status = 'scheduled' and not exists (select 1 from race_result x where x.race_id = r.race_id and x.race_id % 2 = 0)""")
+def late_results(spark, d):
+    """Races of today and yesterday that still have no result: tried again at every tick."""
+    today = F.lit("1998-07-02").cast("date")
+    known = fixture(spark, d, "race_result").where("race_id % 2 = 0").select("race_id")
+    return fixture(spark, d, "race").where(F.col("race_date").between(F.date_sub(today, 1), today) & (F.col("status") == "scheduled")).join(known, "race_id", "left_anti").select("race_id", "race_date")
+
+
+@query("""a as (select * from uichi_analysis where dup_no = 0), b as (select * from uichi_analysis where dup_no = 1), g(s, o) as (values ('PASS', 4), ('CAUTION', 3), ('FAIL', 2), ('MISSING', 1), ('PRE', 0)),
+x as (select a.race_id, (a.exhibition_ready and not b.exhibition_ready) or (ga.o >= 2 and gb.o = 1) or (a.judgment <> 'PENDING' and b.judgment = 'PENDING') keep, a.judgment ja, b.judgment jb, a.exhibition_gate_status sa, b.exhibition_gate_status sb, a.exhibition_ready ra, b.exhibition_ready rb from a join b on a.race_id = b.race_id join g ga on ga.s = a.exhibition_gate_status join g gb on gb.s = b.exhibition_gate_status)
+select race_id, case when keep then ja else jb end judgment, case when keep then sa else sb end exhibition_gate_status, case when keep then ra else rb end exhibition_ready from x""")
+def stream_upsert(spark, d):
+    """A stream of analyses merged into a stored table batch by batch, refusing steps back."""
+    columns = ["race_id", "judgment", "exhibition_gate_status", "exhibition_ready"]
+    feed = ticks.landed(fixture(spark, d, "uichi_analysis").where("dup_no = 1").select(columns), files=3)
+    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(ticks.folder_of(feed))
+    return ticks.upsert_available(stream, fixture(spark, d, "uichi_analysis").where("dup_no = 0").select(columns), ["race_id"])
 
 
 @query("select event_type, cast(epoch(date_trunc('hour', ts)) as bigint) as hour_start, cast(count(*) as bigint) n from events group by 1, 2", derived=False)

@@ -1,6 +1,5 @@
 """Structured Streaming over odds ticks and results: windows, late data, de-duplication, guarded upserts."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +26,46 @@ def upserted(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, chosen.alias("row")).select(*keys, "row.*")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the session's checkpoint folder or, without one, its warehouse: both are shared by the cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def landed(table: DataFrame, files: int) -> DataFrame:
+    """A table written as ``files`` files of a landing folder, to be read as a stream."""
+    path = _folder(table.sparkSession)
+    table.repartition(files).write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def folder_of(table: DataFrame) -> str:
+    """The folder of a table made by :func:`landed`."""
+    return table.inputFiles()[0].rsplit("/", 1)[0]
+
+
 def run_available(spark: SparkSession, counts: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return its last state, kept below the session's checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hexalane-stream-")
-    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """Run a stream over what is there and return its last state."""
+    path = _folder(spark)
     done = counts.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     done.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/table")).start().awaitTermination()
     return spark.read.parquet(f"{path}/table")
+
+
+def upsert_available(stream: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a stream of analyses over what is there, merge every micro-batch into the table, and return the table.
+
+    Each batch writes a version named by its number, so a batch that runs again
+    after a failure replaces its own version and merges into the one before.
+    """
+    spark, path = stored.sparkSession, _folder(stored.sparkSession)
+    stored.write.parquet(f"{path}/v0")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.schema(stored.schema).parquet(f"{path}/v{number}")
+        upserted(before, batch, keys).write.mode("overwrite").parquet(f"{path}/v{number + 1}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(merge).start()
+    query.awaitTermination()
+    last = query.lastProgress["batchId"] if query.lastProgress else -1
+    return spark.read.schema(stored.schema).parquet(f"{path}/v{last + 1}")
