@@ -16,7 +16,8 @@ def spark():
     work = tempfile.mkdtemp(prefix="spark-test-")
     session = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.warehouse.dir", f"{work}/warehouse").config("spark.local.dir", f"{work}/local").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.sql.warehouse.dir", f"{work}/warehouse").config("spark.local.dir", f"{work}/local").config("spark.driver.memory", "4g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
