@@ -45,11 +45,54 @@ def v2_to_v1(spark, d):
     return o.join(n, "race_id", "full").select("race_id", F.coalesce("created", F.lit(True)).alias("created"), F.coalesce("venue_code", "v").alias("venue_code"), F.coalesce("weather", "w").alias("weather"), F.coalesce("wind_speed", "s").alias("wind_speed"))
 
 
-@query("select race_date, venue_code, cast(count(distinct race_number) as bigint) races, cast(count(*) filter (where not exhibition_ready) as bigint) waiting, case when count(distinct race_number) >= 12 then 'COMPLETE' when count(*) filter (where not exhibition_ready) = 0 then 'READY' else 'PARTIAL' end status from race group by 1, 2")
+@query("""c as (select race_date, venue_code, race_number, min(race_id) race_id, count(*) over (partition by race_date, venue_code) x, bool_or(exhibition_ready) warmed_up from race group by 1, 2, 3),
+e as (select e.race_id, count(distinct boat_number) filter (where not is_scratched) = 6 all_boats, bool_and(warmup_time is not null) core, bool_and(t.registration_number is not null) evaluated from race_entry e left join (select distinct registration_number from racer_term where term_no < 7) t on t.registration_number = e.registration_number group by 1),
+f as (select c.race_date, c.venue_code, c.race_id, case when c.x > 1 then 2 else 1 end expected, e.all_boats, e.core and e.all_boats core, e.evaluated, exists (select 1 from player_structure s where s.race_id = c.race_id and s.race_id % 6 <> 0) structured, exists (select 1 from uichi_analysis a where a.race_id = c.race_id and a.stage = 'pre') pre, c.warmed_up,
+  exists (select 1 from odds_final o where o.race_id = c.race_id and o.odds > 1) odds, exists (select 1 from uichi_analysis a where a.race_id = c.race_id and a.stage = 'final' and a.judgment <> 'PENDING') final_ from c join e on e.race_id = c.race_id),
+g as (select race_date, venue_code, max(expected) expected, count(*) races, count(*) filter (where all_boats) n_all_boats, count(*) filter (where core) n_core, count(*) filter (where evaluated) n_evaluated, count(*) filter (where structured) n_structured, count(*) filter (where pre) n_pre, count(*) filter (where warmed_up) n_warmed_up, count(*) filter (where odds) n_odds, count(*) filter (where final_) n_final from f group by 1, 2)
+select *, case when races = expected and n_all_boats = expected and n_core = expected and n_evaluated = expected and n_structured = expected and n_pre = expected then case when n_warmed_up = expected and n_odds = expected and n_final = expected then 'COMPLETE' else 'PRE_RACE_COMPLETE' end else 'WAITING' end status from g""")
 def venue_readiness(spark, d):
-    n, open_ = F.col("races"), F.col("waiting")
-    per = fixture(spark, d, "race").groupBy("race_date", "venue_code").agg(F.count_distinct("race_number").alias("races"), count_where(~F.col("exhibition_ready")).alias("waiting"))
-    return per.withColumn("status", F.when(n >= 12, "COMPLETE").when(open_ == 0, "READY").otherwise("PARTIAL"))
+    """How far every venue day is, from the flags of its races."""
+    from pyspark.sql import Window
+
+    from ..plans.backfill import readiness
+
+    day = ["race_date", "venue_code"]
+    own = fixture(spark, d, "race").groupBy(*day, "race_number").agg(F.min("race_id").alias("race_id"), F.bool_or("exhibition_ready").alias("warmed_up"))
+    own = own.withColumn("expected", F.when(F.count(F.lit(1)).over(Window.partitionBy(*day)) > 1, 2).otherwise(1))
+    known = fixture(spark, d, "racer_term").where("term_no < 7").select("registration_number").distinct().withColumn("_known", F.lit(True))
+    e = fixture(spark, d, "race_entry").join(known, "registration_number", "left").groupBy("race_id").agg(
+        (F.count_distinct(F.when(~F.col("is_scratched"), F.col("boat_number"))) == 6).alias("all_boats"), F.bool_and(F.col("warmup_time").isNotNull()).alias("whole"), F.bool_and(F.coalesce("_known", F.lit(False))).alias("evaluated")
+    )
+    a, o = fixture(spark, d, "uichi_analysis"), fixture(spark, d, "odds_final")
+    out = own.join(e, "race_id").withColumn("core", F.col("whole") & F.col("all_boats"))
+    for name, rows in (("structured", fixture(spark, d, "player_structure").where("race_id % 6 <> 0")), ("pre", a.where("stage = 'pre'")), ("odds", o.where("odds > 1")), ("final", a.where("stage = 'final' and judgment <> 'PENDING'"))):
+        out = out.join(rows.select("race_id").distinct().withColumn(name, F.lit(True)), "race_id", "left")
+    return readiness(out, day)
+
+
+@query("""p as (select venue_code, count(distinct race_date) done_days, cast(venue_code as int) v from race group by 1), q as (select venue_code, done_days, 400 target_days, case when v % 3 = 0 then 3 when v % 3 = 1 then 2 else 1 end phase, case v % 4 when 0 then 'TURBO' when 1 then 'SAFE' when 2 then 'DEFERRED' else 'NORMAL' end as "mode", v % 5 errors, v n_durations from p),
+b as (select *, case phase when 3 then 8 when 2 then 5 else 3 end b0 from q), c as (select *, case "mode" when 'TURBO' then least(10, floor(b0 * 1.5 + 0.5)) when 'SAFE' then least(3, b0) else b0 end b1 from b),
+e as (select *, case when "mode" = 'DEFERRED' then 0 when errors >= 3 then 1 when errors >= 1 then greatest(1, floor(b1 / 2)) else b1 end bs from c), f as (select *, case when n_durations >= 5 then floor(round(bs * case when "mode" = 'SAFE' then 12 else 30 end * 0.8e0, 6) + 0.5e0) end h from e)
+select venue_code, cast(bs as bigint) batch_size, cast(h as bigint) venue_days_per_hour, cast(ceil(greatest(target_days - done_days, 0) * 5 / nullif(h, 0) / 24) as bigint) remaining_days from f""")
+def eta(spark, d):
+    """Batch size, pace and days to go of each venue's backfill."""
+    from ..plans.backfill import with_eta
+
+    v = F.col("venue_code").cast("int")
+    p = fixture(spark, d, "race").groupBy("venue_code").agg(F.count_distinct("race_date").alias("done_days"))
+    p = p.select("venue_code", "done_days", F.lit(400).alias("target_days"), F.when(v % 3 == 0, 3).when(v % 3 == 1, 2).otherwise(1).alias("phase"), F.when(v % 4 == 0, "TURBO").when(v % 4 == 1, "SAFE").when(v % 4 == 2, "DEFERRED").otherwise("NORMAL").alias("mode"), (v % 5).alias("errors"), v.alias("n_durations"))
+    return with_eta(p).select("venue_code", "batch_size", "venue_days_per_hour", "remaining_days")
+
+
+@query("select venue_code, race_number, cast(count(*) as bigint) total_races, cast(count(*) filter (where result_1 = 1) as bigint) boat1_wins from race_result group by 1, 2")
+def rebuild_aggregates(spark, d):
+    """A full rebuild written whole and read back from its new place."""
+    from ..operators import aggregates as agg
+    from ..operators.repairs import rebuilt
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return rebuilt(agg.venue_race_partial(fixture(spark, d, "race_result")), root).select("venue_code", "race_number", "total_races", "boat1_wins")
 
 
 @query("""n as (select race_id, count(*) n from race_entry where not is_scratched group by 1),
