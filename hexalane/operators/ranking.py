@@ -1,8 +1,9 @@
 """Ranking and de-duplication per key, always with a total order.
 
 A key of a large share of all rows is no problem for the aggregate forms
-(:func:`latest`, :func:`merged`), which combine on the map side; the window forms
-keep at most ``n`` rows per key and group limits reach below the shuffle.
+(:func:`latest`, :func:`merged`), which combine before and after the shuffle (by
+sorting, since Spark hashes no buffers of structs); the window forms keep at most
+``n`` rows per key, and group limits reach below the shuffle.
 """
 
 from functools import reduce
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """The row of each key with the greatest ``order`` columns; one aggregation, no sort of whole groups."""
+    """The row of each key with the greatest ``order`` columns, in one aggregation with partial results."""
     rest = [c for c in df.columns if c not in keys]
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row"))
     return best.select(*keys, "row.*")
@@ -69,3 +70,24 @@ def repair_order(races: DataFrame, entries: DataFrame, now: Column, open_: Colum
     soon = F.coalesce((F.col("deadline") >= now) & (F.col("deadline") <= now + F.make_interval(mins=F.lit(minutes))), F.lit(False))
     queue = counted.where(open_ & (F.col("n_entries") < full)).join(filled, venue).withColumn("soon", soon)
     return queue.orderBy(F.desc("soon"), F.when(F.col("soon"), F.col("deadline")).asc_nulls_last(), F.desc("partly_filled"), F.asc_nulls_last("deadline"), "race_id")
+
+
+def in_runs(df: DataFrame, key: str, order: str, width: int, n: int, size: int = 65_536) -> tuple[DataFrame, "Window"]:
+    """``df`` dealt to runs of ``size`` rows per key in its order, and the window of the last ``n`` rows within a run.
+
+    A rolling window over few keys would be as many tasks as keys.  Here rows are
+    numbered within slices of ``width`` of the integer ``order``, the slices' sizes
+    (a row each) give every row its place in its key, and each run also holds the
+    ``n - 1`` rows before it, marked ``_own`` false: keep ``_own`` rows after
+    applying the window.
+    """
+    sliced = df.withColumn("_slice", F.floor(F.col(order) / width))
+    sizes = sliced.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sliced.withColumn("_in", F.row_number().over(Window.partitionBy(key, "_slice").orderBy(order)) - 1).join(sizes.select(key, "_slice", before.alias("_before")), [key, "_slice"])
+    at = F.col("_before") + F.col("_in")
+    run = F.floor(at / size)
+    later = F.when(at % size >= size - (n - 1), F.struct((run + 1).alias("run"), F.lit(False).alias("own")))
+    both = placed.withColumn("_at", at).withColumn("_r", F.explode(F.array_compact(F.array(F.struct(run.alias("run"), F.lit(True).alias("own")), later))))
+    out = both.select(*df.columns, "_at", F.col("_r.run").alias("_run"), F.col("_r.own").alias("_own"))
+    return out, Window.partitionBy(key, "_run").orderBy("_at").rowsBetween(-(n - 1), 0)

@@ -131,3 +131,24 @@ def scalar_functions(spark, d):
         text.time_slot(hour).alias("slot"), left.alias("minutes_left"), (left <= 10).alias("can_judge"), clamp_or_zero(e("case when k % 2 = 0 then '45' else 'x' end")).alias("clamped"),
         (F.size(e("case when k % 3 = 0 then array(1) else array(1, 2, 3) end")) >= 3).alias("has_three"), text.int_or_null(e("case when k % 4 = 0 then '-' else cast(k % 4 as string) end")).alias("dashed"),
     )
+
+
+@query("select k, 1 + k % 12 race_number, case when k % 3 = 0 then '1-2-3' else '4-1-6' end trifecta, case when k % 4 = 0 then null else cast(1000 + k % 9000 as bigint) end payout from file_lines where k % 5 <> 0")
+def parse_resultlist(spark, d):
+    html = F.expr("concat('<table><tr><th>x</th></tr><tr class=\"a\"><td><a href=\"raceresult?rno=', cast(1 + k % 12 as string), '\">R</a></td>\n<td> ', case when k % 5 = 0 then '1-2' when k % 3 = 0 then '<b>1</b>-<b>2</b>-<b>3</b>' else '4-1-6' end, '</td><td>&yen;', case when k % 4 = 0 then '' else format_number(1000 + k % 9000, 0) end, '</td></tr></table>')")
+    return _lines(spark, d).select("k", F.explode(of.result_list(html)).alias("r")).select("k", "r.*")
+
+
+@query("select k, case when k % 6 = 0 then null else cast(1 + k % 50 as int) end as rank, reg registration_number, case when k % 7 = 0 then null else nat / 100e0 end point_rate, cast(k % 90 as double) total_points, case when k % 3 = 0 then 5e0 else 0e0 end penalty_points from file_lines where k % 10 <> 0")
+def parse_pointrank(spark, d):
+    row = "concat('<td>', case when k % 6 = 0 then '-' else translate(cast(1 + k % 50 as string), '0123456789', '０１２３４５６７８９') end, '</td><td><a href=\"?toban=', reg, '\">x</a></td><td>n</td><td>A1</td><td>', case when k % 7 = 0 then '-' else cast(nat / 100 as string) end, '</td><td>1 2</td><td>', cast(k % 90 as string), '</td><td>', case when k % 3 = 0 then '5' else '' end, '</td>')"
+    html = F.expr(f"case when k % 10 = 0 then 'none' else concat('<tbody>\n<tr class=\"is-p10-0\">', {row}, '</tr></tbody>') end")
+    ranks = _lines(spark, d).select("k", F.explode(of.point_ranks(html)).alias("r")).select("k", "r.*")
+    return ranks.drop("n")
+
+
+@query("select k, reg registration_number, '山田太郎' racer_name, grade grade_class, '福岡' branch, age * 1e0 age, nat / 100e0 national_win_rate, motor * 1e0 motor_number, k % 9 = 0 is_scratched, case when k % 2 = 0 then '1,2,3,.11,1|2,2,2,.10,3' else '' end season_record from file_lines")
+def parse_card_feed(spark, d):
+    line = F.expr("array_join(array(reg, '山田　太郎', 'x', '福岡:東京', cast(age as string), grade, case when k % 9 = 0 then '欠' else ' ' end, '', '', '.15', cast(nat / 100 as string), '', '', '', '', '', '0', cast(motor as string), '', '', '', '', '', '', '', case when k % 2 = 0 then '1,2,3,.11,1' else '' end, '', case when k % 2 = 0 then '2,2,2,.10,3' else '' end), '\t')")
+    c = _lines(spark, d).select("k", of.card(line).alias("c"))
+    return c.select("k", *[f"c.{n}" for n in ("registration_number", "racer_name", "grade_class", "branch", "age", "national_win_rate", "motor_number", "is_scratched", "season_record")])

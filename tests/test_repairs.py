@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hexalane.functions import kernels, official
-from hexalane.operators import repairs
+from hexalane.operators import ranking, repairs
 from hexalane.plans import evaluation, race_analysis
 
 
@@ -88,3 +88,17 @@ def test_wide_rows_of_missing_boats_and_other_grades(spark):
 def test_alert_gate(spark):
     a = spark.createDataFrame([("S", "SKIP"), ("B", "WATCH"), (None, "BUY")], "pre_grade string, judgment string")
     assert [a.where(race_analysis.alert_gate(s)).count() for s in ("pre", "final")] == [1, 2]
+
+
+def test_runs_give_the_rolling_means_of_whole_keys(spark):
+    rows = [(k, i * 7 + k, (i * 31 + k) % 17) for k in (1, 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "key long, at long, v long")
+    runs, w = ranking.in_runs(df, "key", "at", 100, 10, size=60)
+    got = {(r["key"], r["at"]): r["m"] for r in runs.withColumn("m", F.avg("v").over(w)).where("_own").collect()}
+    want = {}
+    for k in (1, 2):
+        own = sorted((a, v) for q, a, v in rows if q == k)
+        for i, (a, _) in enumerate(own):
+            last = [v for _, v in own[max(0, i - 9) : i + 1]]
+            want[k, a] = sum(last) / len(last)
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
