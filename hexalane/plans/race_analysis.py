@@ -313,7 +313,11 @@ def alert_gate(stage: str) -> Column:
 
 
 def analysed(races: DataFrame) -> DataFrame:
-    """All stages over wide rows with their look-ups (see each stage for the columns it reads)."""
+    """All stages over wide rows with their look-ups (see each stage for the columns it reads).
+
+    Store the result before filtering on it: the optimiser would push the filter
+    down through all stages, with every score that it needs worked out in it.
+    """
     motor = k.motor_support()
     out = k.program_intent(races, "main_base", "ura_base", "n_similar").withColumns(motor)
     out = with_trust(with_direction(with_series_context(with_racer_execution(out))))

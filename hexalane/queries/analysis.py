@@ -7,6 +7,7 @@ from ..functions import kernels as k
 from ..functions import patterns
 from ..functions.text import wind_group
 from ..operators import aggregates as agg
+from ..operators.repairs import rebuilt
 from ..plans import race_analysis as ra
 from ..sources.fixtures import fixture
 from .registry import query, sql_in
@@ -263,7 +264,12 @@ def race_analysis(spark, d):
 
 @query(WHOLE + " select race_id, 'pre' as stage, pre_grade as verdict from qb where pre_grade in ('S', 'A') union all select race_id, 'final', judgment from qb where judgment in ('BUY', 'WATCH')")
 def alert_gate(spark, d):
-    """Races that raise an alert at either stage."""
-    out = _analysed(spark, d).select("race_id", F.col("pre_grade"), F.col("judgment"))
+    """Races that raise an alert at either stage, from the stored verdicts.
+
+    The analysis is a table of its own: a filter on it as a view would be pushed
+    through all its stages and work every score out again.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    out = rebuilt(_analysed(spark, d).select("race_id", "pre_grade", "judgment"), root)
     stages = [out.where(ra.alert_gate(s)).select("race_id", F.lit(s).alias("stage"), F.col(v).alias("verdict")) for s, v in (("pre", "pre_grade"), ("final", "judgment"))]
     return stages[0].unionByName(stages[1])
