@@ -59,19 +59,33 @@ def recent_n(spark, d):
     return rk.first_n(r, ["boat1_registration_number"], 10, F.desc("race_date"), F.desc("race_id")).select("boat1_registration_number", "race_id", "place")
 
 
-@query("""s as (select race_id, race_id % 7 a, race_id % 5 b, race_id % 11 c, race_id % 3 e from race) select race_id, case greatest(a, b, c, e) when a then 'MAIN' when b then 'URA' when c then 'NEW_MAIN' else 'NEW_URA' end best from s""")
+@query("""v as (select venue_code, race_number, round(count(*) filter (where trifecta in ('1-2-5','1-2-6','1-3-5','1-3-6','1-4-5','1-4-6')) / count(*), 6) a, round(count(*) filter (where trifecta in ('1-5-2','1-5-3','1-5-4','1-6-2','1-6-3','1-6-4')) / count(*), 6) b,
+  round(count(*) filter (where trifecta in ('1-3-2','1-4-2','1-5-2','1-6-2')) / count(*), 6) c, round(count(*) filter (where trifecta in ('2-1-3','2-1-4','2-1-5','2-1-6')) / count(*), 6) e from race_result group by 1, 2)
+select r.race_id, case greatest(a, b, c, e) when a then 'MAIN' when b then 'URA' when c then 'NEW_MAIN' else 'NEW_URA' end best from race r join v on v.venue_code = r.venue_code and v.race_number = r.race_number""")
 def argmax_pattern(spark, d):
-    k = F.col("race_id")
-    return fixture(spark, d, "race").select("race_id", rk.argmax({"MAIN": k % 7, "URA": k % 5, "NEW_MAIN": k % 11, "NEW_URA": k % 3}).alias("best"))
+    """The pattern of the highest rate at each race's venue and number; of equal ones the first."""
+    from ..operators import aggregates as agg
 
+    rates = agg.venue_race_stats(agg.venue_race_partial(fixture(spark, d, "race_result")))
+    both = fixture(spark, d, "race").select("race_id", "venue_code", "race_number").join(rates, ["venue_code", "race_number"])
+    return both.select("race_id", rk.argmax({p: F.col(c) for p, c in agg.RATES.items()}).alias("best"))
 
-@query("""r as (select race_id, unnest([{'l': 'grade', 's': race_id % 7, 'i': 0}, {'l': 'rate', 's': race_id % 5, 'i': 1}, {'l': 'motor', 's': case when race_id % 4 = 0 then null else race_id % 6 end, 'i': 2}, {'l': 'start', 's': race_id % 3, 'i': 3}]) x from race)
-select race_id, string_agg(x.l, ',' order by w) reasons from (select race_id, x, row_number() over (partition by race_id order by x.s desc, x.i) w from r where x.s is not null) where w <= 3 group by race_id""")
+
+@query("""b as (select *, case grade_class when 'A1' then 1e0 when 'A2' then 0.85e0 when 'B1' then 0.65e0 else 0.45e0 end g from race_entry where boat_number = 5),
+r as (select race_id, unnest([{'l': 'grade', 's': floor(g * 15 + 0.5), 'i': 0}, {'l': 'national', 's': floor(least(1e0, national_3rate / 65e0) * 25e0 + 0.5e0), 'i': 1}, {'l': 'local', 's': floor(least(1e0, local_3rate / 65e0) * 20e0 + 0.5e0), 'i': 2}, {'l': 'motor3', 's': floor(least(1e0, motor_3rate / 60e0) * 20e0 + 0.5e0), 'i': 3}, {'l': 'motor2', 's': floor(least(1e0, motor_2rate / 45e0) * 10e0 + 0.5e0), 'i': 4}]) x, national_3rate n3 from b)
+select race_id, string_agg(x.l, ',' order by w) reasons from (select race_id, x, row_number() over (partition by race_id order by x.s desc, x.i) w from r where not (x.l = 'national' and n3 is null)) where w <= 3 group by race_id""")
 def topk_reasons(spark, d):
-    k = F.col("race_id")
-    reason = lambda label, s: F.when(s.isNotNull(), F.struct(F.lit(label).alias("label"), s.alias("strength")))
-    all_ = F.array(reason("grade", k % 7), reason("rate", k % 5), reason("motor", F.when(k % 4 != 0, k % 6)), reason("start", k % 3))
-    return fixture(spark, d, "race").select("race_id", F.array_join(F.transform(rk.top_reasons(all_, 3), lambda r: r["label"]), ",").alias("reasons"))
+    """The three strongest reasons for the boat in lane 5, equal ones in their given order."""
+    from ..functions.kernels import grade_points, part
+    from ..functions.numbers import half_up
+
+    reason = lambda label, s: F.when(s.isNotNull(), F.struct(F.lit(label).alias("label"), half_up(s).alias("strength")))
+    c = F.col
+    all_ = F.array(
+        reason("grade", grade_points(c("grade_class")) * 15), reason("national", part(c("national_3rate"), 65, 25)), reason("local", part(c("local_3rate"), 65, 20)),
+        reason("motor3", part(c("motor_3rate"), 60, 20)), reason("motor2", part(c("motor_2rate"), 45, 10)),
+    )
+    return fixture(spark, d, "race_entry").where("boat_number = 5").select("race_id", F.array_join(F.transform(rk.top_reasons(all_, 3), lambda r: r["label"]), ",").alias("reasons"))
 
 
 @query("select race_id, boat1_trust_score from uichi_analysis where stage = 'final' order by boat1_trust_score desc, race_id, dup_no limit 40")
