@@ -282,7 +282,7 @@ def with_judgment(races: DataFrame) -> DataFrame:
     odds = F.when(c("has_scratch"), 0.0).otherwise(F.coalesce(_of("recommended_pattern", {p: F.coalesce(f"{low[p]}_odds", F.lit(0.0)) for p in low}), F.lit(0.0)))
     neutral = c("recommended_pattern") == "NEUTRAL"
     out = races.withColumns({"synthetic_odds": odds})
-    out = out.withColumns({"expected_value": F.when(~neutral & ~c("has_scratch"), F.round(c("recommended_rate") * c("synthetic_odds") * 100, 6))})
+    out = out.withColumns({"expected_value": F.when(~neutral & ~c("has_scratch"), half_up(F.round(c("recommended_rate") * c("synthetic_odds") * 100, 9), 4))})
     strict = (c("weighted_probability") >= _of("recommended_pattern", GATE_PROBABILITY)) & (c("trust_score") >= _of("recommended_pattern", GATE_TRUST)) & (c("condition_match") >= GATE_MATCH)
     strict = F.coalesce(strict & (c("recommended_structure") >= GATE_STRUCTURE) & (c("exhibition_gate_status") == "PASS") & (c("expected_value") >= BUY_EV), F.lit(False))
     judged = patterns.judge("expected_value", "n_similar")

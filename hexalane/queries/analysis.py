@@ -243,7 +243,7 @@ q7 as (select *, case when top <= 0 then 'NEUTRAL' {' '.join(f"when {p}_score =
 os as (select race_id, {', '.join(f"round(sum(1 / odds) filter (where combo in {sql_in(p)}), 12) {p.lower()}_inv" for p in patterns.PATTERNS)} from odds_final where odds > 1 group by race_id),
 q8 as (select q7.*, {', '.join(f'case recommended_pattern {" ".join(f"when {chr(39)}{p.upper()}{chr(39)} then {p}_{kind}" for p in LOW)} else greatest({", ".join(f"{p}_{kind}" for p in LOW)}) end recommended_{kind}' for kind in ("rate", "structure"))},
  case when has_scratch then 0e0 else coalesce(case recommended_pattern {' '.join(f"when '{p.upper()}' then 1 / {p}_inv" for p in LOW)} end, 0e0) end synthetic_odds from q7 left join os on os.race_id = q7.race_id),
-q9 as (select *, round(recommended_rate * (0.55e0 + trust_score / 400 + recommended_structure / 500 + direction_confidence / 1000), 9) weighted_probability, case when recommended_pattern <> 'NEUTRAL' and not has_scratch then round(recommended_rate * synthetic_odds * 100, 6) end expected_value, round(recommended_rate * 100, 7) pct,
+q9 as (select *, round(recommended_rate * (0.55e0 + trust_score / 400 + recommended_structure / 500 + direction_confidence / 1000), 9) weighted_probability, case when recommended_pattern <> 'NEUTRAL' and not has_scratch then floor(round(recommended_rate * synthetic_odds * 100, 9) * 10000e0 + 0.5e0) / 10000e0 end expected_value, round(recommended_rate * 100, 7) pct,
  case when recommended_pattern = 'URA' then ura_support else main_support end sup, scenario_status = 'VALID' and recommended_pattern <> 'NEUTRAL' valid from q8),
 qa as (select *, coalesce(weighted_probability >= case when recommended_pattern like 'NEW%' then 0.18e0 else 0.22e0 end and trust_score >= case when recommended_pattern = 'NEW_URA' then 62 else 68 end and condition_match >= 60 and recommended_structure >= 58 and exhibition_gate_status = 'PASS' and expected_value >= 115, false) buy_gate,
  case when expected_value is null then 'PENDING' when expected_value >= 110 then case when n_similar < 100 then 'WATCH' else 'BUY' end when expected_value >= 100 then 'WATCH' else 'SKIP' end j0,
