@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import official as of
 from ..functions import text
+from ..sources import official_files as of_files
 from ..sources.fixtures import fixture
 from .registry import query
 
@@ -152,3 +153,43 @@ def parse_card_feed(spark, d):
     line = F.expr("array_join(array(reg, '山田　太郎', 'x', '福岡:東京', cast(age as string), grade, case when k % 9 = 0 then '欠' else ' ' end, '', '', '.15', cast(nat / 100 as string), '', '', '', '', '', '0', cast(motor as string), '', '', '', '', '', '', '', case when k % 2 = 0 then '1,2,3,.11,1' else '' end, '', case when k % 2 = 0 then '2,2,2,.10,3' else '' end), '\t')")
     c = _lines(spark, d).select("k", of.card(line).alias("c"))
     return c.select("k", *[f"c.{n}" for n in ("registration_number", "racer_name", "grade_class", "branch", "age", "national_win_rate", "motor_number", "is_scratched", "season_record")])
+
+
+
+@query("""v as (select distinct file_name, venue_code, code, shown, m9 from day_section)
+select concat('B', file_name) file, 'venue' as kind, code as key, concat_ws('|', coalesce(shown, '-'), 'シリーズ', cast(1 + m9 as varchar)) fields from v
+union all select concat('B', file_name), 'race', race_key, concat_ws('|', cast(race_number as varchar), '予 選', '1800', case when shown is null then '-' else concat(shown, 'T1', cast(k % 10 as varchar), ':', lpad(cast(k % 60 as varchar), 2, '0'), ':00+09:00') end) from day_race where not odd_head
+union all select concat('B', file_name), 'entry', concat(race_key, '_', cast(boat as varchar)), concat_ws('|', reg, '山田 太郎', cast(age as varchar), '福岡', cast(weight as varchar), case k % 2 when 0 then 'A1' else 'B2' end, '24', '158', '56', '5') from day_boat where not odd_head
+union all select concat('B', file_name), 'error', race_key, 'no_date' from day_race where not odd_head and shown is null
+union all select concat('B', file_name), 'error', race_key, 'not_six' from day_race where not odd_head and boats < 6""")
+def program_files(spark, d):
+    """Whole programme files: venues, races, entries and errors with the keys that stand on the lines above them."""
+    t = of_files.tables(of_files.parse_program_b(_lines(spark, d, "b_lines")))
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    venues = t["venues"].select("file", F.lit("venue").alias("kind"), F.col("venue_code").alias("key"), F.concat_ws("|", *map(some, ("race_date", "series_title", "series_day_number"))).alias("fields"))
+    races = t["races"].select("file", F.lit("race").alias("kind"), F.col("race_key").alias("key"), F.concat_ws("|", *map(some, ("race_number", "race_name", "race_distance", "deadline_time"))).alias("fields"))
+    own = ("registration_number", "racer_name", "age", "branch", "weight", "grade_class", "motor_number", "boat_number_official", "series_results_raw", "early_race_number")
+    entries = t["entries"].select("file", F.lit("entry").alias("kind"), F.col("entry_key").alias("key"), F.concat_ws("|", *map(some, own)).alias("fields"))
+    return venues.unionByName(races).unionByName(entries).unionByName(t["errors"].select("file", F.lit("error").alias("kind"), F.col("unit").alias("key"), F.col("rule").alias("fields")))
+
+
+@query("""n as (select distinct file_name, code, shown, venue_code from day_section), b as (select * from day_boat where not odd_head and k % 29 <> 0), r as (select * from day_race where not odd_head),
+p as (select r.*, x.i from r cross join (values (0), (1), (2)) x(i) where k % 29 <> 0)
+select concat('K', file_name) file, 'venue' as kind, code as key, coalesce(shown, '-') fields from n
+union all select concat('K', file_name), 'race', race_key, concat_ws('|', '予選', '1800', '逃げ', '晴', '南西', cast(k % 9 as varchar), cast(k % 11 as varchar), case when k % 29 = 0 then 'PENDING' else 'CONFIRMED' end) from r
+union all select concat('K', file_name), 'entry', concat(race_key, '_', cast(boat as varchar)), concat_ws('|', reg, '山田太郎', cast(case when k % 31 = 0 and boat = 2 then 1 + k % 6 else 1 + (k + boat - 1) % 6 end as varchar), 'FINISHED', cast(boat as varchar), '0.12', '1.49.8') from b
+union all select concat('K', file_name), 'payout', race_key, case i when 0 then concat('単勝|1|', cast(100 + k % 900 as varchar), '|-') when 1 then concat('拡連複|1-4|', cast(200 + k % 900 as varchar), '|1') else concat('拡連複|4-5|', cast(300 + k % 900 as varchar), '|7') end from p
+union all select concat('K', file_name), 'unparsed', '-', 'noted' from day_race where k % 23 = 0 and k % 29 <> 0
+union all select concat('K', file_name), 'error', race_key, 'no_date' from r where shown is null""")
+def result_files(spark, d):
+    """Whole result files: venues, races, results, payouts, errors, and the remarks among unparsed lines."""
+    t = of_files.tables(of_files.parse_program_k(_lines(spark, d, "k_lines")))
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+
+    def part(table, kind, key, *fields):
+        return t[table].select("file", F.lit(kind).alias("kind"), key.alias("key"), F.concat_ws("|", *map(some, fields)).alias("fields"))
+
+    out = part("venues", "venue", F.col("venue_code"), "race_date").unionByName(part("races", "race", F.col("race_key"), "race_name", "race_distance", "winning_method", "weather", "wind_direction", "wind_speed", "wave_height", "result_status"))
+    out = out.unionByName(part("entries", "entry", F.col("entry_key"), "registration_number", "racer_name", "finish_order", "finish_status", "start_course", "start_timing", "race_time"))
+    out = out.unionByName(part("payouts", "payout", F.col("race_key"), "bet_type", "combination", "payout_amount", "popularity")).unionByName(part("errors", "error", F.col("unit"), "rule"))
+    return out.unionByName(part("unparsed", "unparsed", F.lit("-"), "content").where("fields = 'noted'"))

@@ -72,6 +72,27 @@ file_lines as (select *, case when k % 10 = 0 then '-----' else concat(cast(boat
     when 4 then concat('拡連複   1-4   ', cast(100 + k % 900 as string), '  人気     ', cast(1 + k % 20 as string)) when 5 then concat('         4-5   ', cast(100 + k % 900 as string), '  人気     ', cast(1 + k % 20 as string)) else '2連複      特払い   70' end payout_line,
   concat(reg, repeat('n', 16), repeat('k', 15), 'FKOK', 'B1', 'H', '850101', '1', lpad(cast(age as string), 2, '0'), '170', '52', 'A ', lpad(cast(nat as string), 4, '0'), lpad(cast(n2 % 1000 as string), 4, '0'), case when k % 8 = 0 then ' - ' else lpad(cast(k % 200 as string), 3, '0') end, '012', cast(100 + k % 100 as string), '03', '01', lpad(cast(10 + k % 16 as string), 3, '0'),
     repeat(' ', 78), 'A2', 'B1', 'B1', '0500', lpad(cast(m2 as string), 4, '0'), '2020', '1', '20191101', '20200430', '088', lpad(cast(k % 50 as string), 3, '0'), repeat('0', 31), repeat('0', 34), '000000', lpad(cast(k % 7 as string), 3, '0'), repeat('0', 25), repeat('0', 102), repeat(' ', 14)) term_line from file_stats),
+day_venue as (select *, substr(cast(race_date as string), 3, 2) yy, substr(cast(race_date as string), 6, 2) mm, substr(cast(race_date as string), 9, 2) dd, (cast(venue_code as int) + cast(substr(cast(race_date as string), 9, 2) as int)) % 9 m9,
+  case when (cast(venue_code as int) * cast(substr(cast(race_date as string), 9, 2) as int)) % 31 = 0 then '25' else venue_code end code from (select distinct race_date, venue_code from h)),
+day_section as (select *, case m9 when 0 then null when 1 then '2026-01-01' else cast(race_date as string) end shown, concat(yy, mm, dd, '.TXT') file_name from day_venue),
+day_race as (select s.*, h.k, h.c, h.race_number, k % 17 = 0 odd_head, case when k % 19 = 0 then 5 else 6 end boats, case when m9 = 0 then concat(code, '_', lpad(cast(h.race_number as string), 2, '0')) else concat(shown, '_', code, '_', lpad(cast(h.race_number as string), 2, '0')) end race_key
+  from h join day_section s on s.race_date = h.race_date and s.venue_code = h.venue_code),
+day_boat as (select r.*, b.n boat, cast(4000 + (c + b.n * 37) % 500 as string) reg, 20 + (k + b.n) % 40 age, 45 + (k + b.n) % 20 weight from day_race r cross join (values (1), (2), (3), (4), (5), (6)) b(n) where b.n <= r.boats),
+b_text as (select distinct file_name, '' v, 0 part, 0 rn, 0 k, 0 seq, 'STARTB' text from day_section
+  union all select file_name, venue_code, 1, 0, 0, x.i, case x.i when 0 then concat(code, 'BBGN') when 1 then '  シリーズ　' when 2 then concat('   第　', cast(1 + m9 as string), '日        ', case when m9 = 0 then '' when m9 = 1 then '２０２６年　１月　１日' else concat(substr(cast(race_date as string), 1, 4), '年　', cast(cast(mm as int) as string), '月', cast(cast(dd as int) as string), '日') end) else '' end
+    from day_section cross join (values (0), (1), (2), (3)) x(i)
+  union all select file_name, venue_code, 2, race_number, k, 0, concat('　', cast(race_number as string), 'Ｒ  予　選    Ｈ１８００ｍ  ', case when odd_head then '' else concat('電話投票締切予定1', cast(k % 10 as string), ':', lpad(cast(k % 60 as string), 2, '0')) end) from day_race
+  union all select file_name, venue_code, 2, race_number, k, boat, concat(cast(boat as string), ' ', reg, '山田　太郎', cast(age as string), '福岡', cast(weight as string), case k % 2 when 0 then 'A1' else 'B2' end, ' 5.40 34.13 5.33 38.10 24 57.14158 42.86 56           5') from day_boat
+  union all select file_name, venue_code, 3, 0, 0, 0, concat(code, 'BEND') from day_section),
+b_lines as (select concat('B', file_name) file, cast(row_number() over (partition by file_name order by v, part, rn, k, seq) as int) line, text from b_text),
+k_text as (select distinct file_name, '' v, 0 part, 0 rn, 0 k, 0 seq, 'STARTK' text from day_section
+  union all select file_name, venue_code, 1, 0, 0, x.i, case x.i when 0 then concat(code, 'KBGN') when 1 then concat('　第 ', cast(1 + m9 as string), '日     ', case when m9 = 0 then '' when m9 = 1 then '2026/ 1/ 1' else concat(substr(cast(race_date as string), 1, 4), '/', lpad(cast(cast(mm as int) as string), 2, ' '), '/', lpad(cast(cast(dd as int) as string), 2, ' ')) end) when 2 then '   [払戻金] 1R  2026/ 5/ 5' else '' end
+    from day_section cross join (values (0), (1), (2), (3)) x(i)
+  union all select file_name, venue_code, 2, race_number, k, x.i, case x.i when 0 then concat('   ', cast(race_number as string), 'R       予　選      H1800m  ', case when odd_head then '晴' else concat('晴  風  南西  ', cast(k % 9 as string), 'm  波   ', cast(k % 11 as string), 'cm') end) when 1 then '  着 艇 登番 選　手　名　　ﾓｰﾀｰ ﾎﾞｰﾄ 展示 進入 ｽﾀｰﾄﾀｲﾐﾝｸﾞ ﾚｰｽﾀｲﾑ 逃げ' when 2 then '------' when 10 then '' when 11 then concat('     単勝     1          ', cast(100 + k % 900 as string)) when 12 then concat('     拡連複   1-4        ', cast(200 + k % 900 as string), '  人気     1') when 13 then concat('              4-5        ', cast(300 + k % 900 as string), '  人気     7') when 16 then case when k % 23 = 0 then ' noted' else '' end else '' end
+    from day_race cross join (values (0), (1), (2), (10), (11), (12), (13), (14), (15), (16)) x(i) where k % 29 <> 0 or x.i in (0, 1, 2)
+  union all select file_name, venue_code, 2, race_number, k, 3 + boat, concat('  ', lpad(cast(case when k % 31 = 0 and boat = 2 then 1 + k % 6 else 1 + (k + boat - 1) % 6 end as string), 2, '0'), '  ', cast(boat as string), ' ', reg, ' 山田　太郎　　　 ', lpad(cast(age as string), 2, ' '), '   ', lpad(cast(weight as string), 2, ' '), ' 6.7', cast(boat as string), '    ', cast(boat as string), '    0.12     1.49.8') from day_boat where k % 29 <> 0
+  union all select file_name, venue_code, 3, 0, 0, 0, concat(code, 'KEND') from day_section),
+k_lines as (select concat('K', file_name) file, cast(row_number() over (partition by file_name order by v, part, rn, k, seq) as int) line, text from k_text),
 odds_final as (select k race_id, x.combo, case when (k + x.i) % 23 = 0 then null when (k + x.i) % 29 = 0 then 0.0e0 else cast(60 + (k*31 + x.i*17) % 900 as double)/10 end odds from h cross join (values @combos) x(i, combo)),
 uichi_analysis as (select k race_id, race_date, venue_code, race_number, case when (k + v.n) % 3 = 0 then 'pre' else 'final' end stage, v.n dup_no,
   case (k*7 + v.n) % 4 when 0 then 'BUY' when 1 then 'WATCH' when 2 then 'SKIP' else 'PENDING' end judgment,
