@@ -23,6 +23,7 @@ least score.  A literal U+2581 is written in bytes, too, so decoding is exact.
 
 import heapq
 import math
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,6 +65,9 @@ def load(path: str) -> Vocabulary:
         else:
             pieces.append(piece.replace(MARK, " ").encode())
         scores.append(model.get_score(i))
+    # the lattice of a text falls into chunks at spaces only if no piece goes on after one
+    if any(p and b" " in p.lstrip(b" ") for p in pieces):
+        raise ValueError(f"{path}: a piece holds a space between other characters")
     scores = np.array(scores)
     real = np.array([p is not None for p in pieces])
     if len(scores) and real.any() and scores[real].min() < -1000:  # merge ranks
@@ -123,27 +127,40 @@ class _Lookup:
         return out
 
 
-def a_star(edges_by_end: dict, forward, start: int, end: int, n: int):
-    """Up to ``n`` best paths from ``start`` to ``end``: ``(score, ids)`` in falling order.
+def a_star(edges, forward, start: int, end: int, n: int):
+    """Up to ``n`` best paths from ``start`` to ``end``: ``(score, ids of each edge)`` in falling order.
 
-    Backward search: a hypothesis is a position and the pieces from there to the
+    ``edges(at)`` gives the edges that end at a position as ``(from, ids, score)``.
+    Backward search: a hypothesis stands for the pieces from its position to the
     end; its priority is its own score plus the forward score of the position,
-    which is exactly the best full score it can have.  Equal scores go to the
-    smaller tuple of piece ids.
+    which is exactly the best full score it can have.  Of equal priorities the one
+    nearest to the start goes on, then the one met first.  Hypotheses share their
+    tails, and no position is left more than ``n`` times: paths through any further
+    one are no better than those ``n``.
     """
-    agenda, out = [(-forward(end), (), 0.0, end)], []
+    agenda, out, left, met = [(-forward(end), end, 0, 0.0, None)], [], {}, 0
     while agenda and len(out) < n:
-        full, ids, done, at = heapq.heappop(agenda)
+        full, at, _, done, tail = heapq.heappop(agenda)
+        if left.get(at, 0) == n:
+            continue
+        left[at] = left.get(at, 0) + 1
         if at == start:
-            out.append((-full, ids))
+            path = []
+            while tail is not None:
+                path.append(tail[0])
+                tail = tail[1]
+            out.append((-full, path))
             continue
-        for a, i, s in edges_by_end.get(at, ()):
-            heapq.heappush(agenda, (-(done + s + forward(a)), (i, *ids), done + s, a))
+        for a, ids, s in edges(at):
+            met += 1
+            heapq.heappush(agenda, (-(done + s + forward(a)), a, met, done + s, (ids, tail)))
     return out
 
 
 #: Distinct chunks whose best paths a task keeps (some 100 bytes each), bytes of new chunks looked at together, and bytes of text per block.
 KEPT, TOGETHER, BLOCK = 200_000, 1 << 17, 1 << 18
+#: Bytes of a chunk from which it is looked at on its own, and ids of best paths that a task keeps.
+LONG, KEPT_IDS = 256, 4_000_000
 
 
 class _Coder:
@@ -201,10 +218,15 @@ class _Coder:
 
     def _slots(self, keys, data, start, end):
         """Places of chunks in the caches; chunks not met before are looked at, some bytes together."""
-        if len(self.known) + len(keys) > KEPT:
+        if len(self.known) + len(keys) > KEPT or len(self.flat) > KEPT_IDS:
             self._forget()
         known = self.known.get
         slot = np.array([known(k, -1) for k in keys.tolist()], np.int64)
+        for i in np.flatnonzero((slot < 0) & (end - start > LONG)):
+            best, gap, ids = self._long(data[start[i] : end[i]].tobytes())
+            slot[i] = self.known[int(keys[i])] = len(self.best)
+            self.best, self.gap = np.append(self.best, best), np.append(self.gap, gap)
+            self.ends, self.flat = np.append(self.ends, len(self.flat) + len(ids)), np.concatenate([self.flat, ids])
         new = np.flatnonzero(slot < 0)
         turn = np.cumsum(end[new] - start[new]) // TOGETHER
         for part in np.split(new, np.flatnonzero(np.diff(turn)) + 1):
@@ -281,23 +303,60 @@ class _Coder:
         final = np.concatenate([[0], np.cumsum(sizes)])
         return one[goal][place], gap[place], ids[np.repeat(ends[:-1][place] - final[:-1], sizes) + np.arange(final[-1])], final
 
+    def _edges(self, name: bytes):
+        """The edges of a chunk's lattice that end at a position, shortest first; a character without a piece is spelt in bytes."""
+        lengths, piece, scores, byte_ids, unknown = self.lookup.lengths, self.by_piece.get, self.v.scores, self.v.byte_ids, self.v.unknown_score
+
+        def at(b: int):
+            if b < len(name) and name[b] & 0xC0 == 0x80:
+                return
+            for length in lengths:
+                a = b - length
+                if a < 0:
+                    return
+                if (i := piece(name[a:b])) is not None:
+                    yield a, (i,), float(scores[i])
+                elif length <= 4 and name[a] & 0xC0 != 0x80 and length == 1 + (name[a] >= 0xC0) + (name[a] >= 0xE0) + (name[a] >= 0xF0):
+                    yield a, tuple(int(byte_ids[x]) for x in name[a:b]), unknown
+
+        return at
+
+    def _forward(self, name: bytes):
+        """Best and second-best score of reaching every position of a chunk, and the length of the last piece of the best."""
+        none = array("d", [-math.inf])
+        one, two, back, edges = none * (len(name) + 1), none * (len(name) + 1), array("i", [0]) * (len(name) + 1), self._edges(name)
+        one[0] = 0.0
+        for b in range(1, len(name) + 1):
+            best = second = -math.inf
+            for a, _, s in edges(b):
+                first, other = one[a] + s, two[a] + s
+                if first > best:
+                    best, second, back[b] = first, max(best, other), b - a
+                else:
+                    second = max(second, first, other)
+            one[b], two[b] = best, second
+        return one, two, back
+
+    def _long(self, name: bytes):
+        """Best score, gap to the second-best path, and best ids of one long chunk: one step per position, whatever else runs."""
+        one, two, back = self._forward(name)
+        edges, out, b = self._edges(name), [], len(name)
+        while b:
+            a = b - back[b]
+            out.append(next(ids for x, ids, _ in edges(b) if x == a))
+            b = a
+        gap = max(one[-1] - two[-1], 0.0) if two[-1] > -math.inf else math.inf
+        return one[-1], gap, np.array([i for ids in reversed(out) for i in ids], np.int32)
+
     def _search(self, name: bytes):
         """The n best paths of a chunk by backward A-star, as score losses and ids."""
         if name not in self.paths:
-            n, forward, by_end = len(name), [-math.inf] * (len(name) + 1), {}
-            forward[0] = 0.0
-            for a in range(n):
-                if name[a] & 0xC0 == 0x80:
-                    continue
-                width = min(n, a + 1 + (name[a] >= 0xC0) + (name[a] >= 0xE0) + (name[a] >= 0xF0))
-                edges = [(b, (i,), float(self.v.scores[i])) for b in (a + length for length in self.lookup.lengths) if b <= n and (i := self.by_piece.get(name[a:b])) is not None]
-                if all(b != width for b, _, _ in edges):
-                    edges.append((width, tuple(int(self.v.byte_ids[x]) for x in name[a:width]), self.v.unknown_score))
-                for b, ids, s in edges:
-                    forward[b] = max(forward[b], forward[a] + s)
-                    by_end.setdefault(b, []).append((a, ids, s))
-            found = a_star(by_end, forward.__getitem__, 0, n, self.n)
-            self.paths[name] = [(found[0][0] - score, np.array([y for t in path for y in t], np.int32)) for score, path in found]
+            one, _, _ = self._forward(name)
+            found = a_star(self._edges(name), one.__getitem__, 0, len(name), self.n)
+            paths = [(found[0][0] - score, np.array([y for t in path for y in t], np.int32)) for score, path in found]
+            if len(name) > LONG:
+                return paths
+            self.paths[name] = paths
         return self.paths[name]
 
     def _variants(self, top, one, own, place, data, start, end):
@@ -357,9 +416,12 @@ class _Decoder:
 def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = 3, text_col: str = "text", keep: tuple | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all of them if not named) and ``rank`` (from 1), ``score``, ``ids``, ``round_trip``: up to ``n`` rows per input row.
 
-    A null or empty text has one segmentation, the empty one, of score 0.  A text
-    with fewer than ``n`` segmentations gives what it has.  Equal scores of one
-    chunk go to the shorter last pieces in the best path, and then to smaller ids.
+    A null or empty text has one segmentation, the empty one, of score 0; an empty
+    table gives no rows.  Long texts without spaces are one chunk each: time and
+    memory grow with its length.  A text
+    with fewer than ``n`` segmentations gives what it has.  Of equal scores of one
+    chunk the best path has the shorter last pieces, and the others come as the
+    search meets them, shorter last pieces first.
     ``round_trip`` tells whether the ids decode to the text, byte for byte.  Columns
     of ``docs`` with the names of the added ones give way to them.
     """

@@ -218,3 +218,57 @@ def test_shift_table_skips_most_words():
     real = text.span_hash
     text.span_hash = lambda s, e: seen.append(len(s)) or real(s, e)
     assert len(patterns.search(text)[0]) == 0 and sum(seen) < 900 * 2 / 9 * 1.3
+
+
+# n-best segmentation of texts without spaces
+
+
+def test_nbest_of_one_long_chunk_grows_with_its_length():
+    """300,000 letters without a space: the best three decode to the text, and memory stays far below a path per hypothesis."""
+    import tracemalloc
+
+    from hexalane.llm import nbest
+
+    r = np.random.default_rng(1)
+    v = nbest.load(nbest.MODEL)
+    text = "".join("abcdefghij山川"[k] for k in r.integers(0, 12, 300_000)).encode()
+    coder, decoder = nbest._Coder(v, 3), nbest._Decoder(v)
+    tracemalloc.start()
+    out = coder.block(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 3 and all(a >= b for (a, _), (b, _) in zip(out, out[1:])) and most < 1 << 30
+    for _, ids in out:
+        assert decoder.raw(ids, np.array([0, len(ids)]))[0] == b" " + text
+
+
+def test_long_chunks_equal_the_vectorised_pass(monkeypatch):
+    from hexalane.llm import nbest
+
+    v = nbest.load(nbest.MODEL)
+    r = np.random.default_rng(3)
+    texts = ["".join("abcde é山▁\U0001f600"[k] for k in r.integers(0, 10, int(n))).encode() for n in r.integers(1, 600, 40)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    monkeypatch.setattr(nbest, "LONG", 1 << 30)
+    want = nbest._Coder(v, 3).block(data, offsets)
+    monkeypatch.setattr(nbest, "LONG", 3)
+    got = nbest._Coder(v, 3).block(data, offsets)
+    for a, b in zip(got, want):
+        assert np.allclose([s for s, _ in a], [s for s, _ in b]) and (a[0][1] == b[0][1]).all()
+
+
+def test_models_with_pieces_across_spaces_are_refused(monkeypatch):
+    import sentencepiece
+
+    from hexalane.llm import nbest
+
+    class Model:
+        def __init__(self, model_file):
+            pass
+
+        get_piece_size, unk_id, get_score, id_to_piece = lambda self: 1, lambda self: 0, lambda self, i: -1.0, lambda self, i: "a▁b"
+        is_byte = is_control = is_unknown = is_unused = lambda self, i: False
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    with pytest.raises(ValueError, match="space"):
+        nbest.load("x")
