@@ -144,3 +144,41 @@ def rank_pressure(rank: Column, remaining: Column, day: Column, days: Column, cu
     base = F.when(d <= -8, 25).when(d <= -4, 40).when(d <= 0, 75).when(d <= 3, 90).when(d <= 7, 75).otherwise(45)
     progress = F.when(days > 1, (day - 1) / F.when(days > 1, days - 1)).otherwise(0.0)
     return F.when(rank.isNull() | (rank < 1), 50.0).otherwise(half_up(clamp(base + progress * 8 + F.when(remaining <= 1, 5).otherwise(0), 0, 100), 1))
+
+
+# Weights of the parts of the short trust score; per part, the fields with the value that counts in full and their points.
+TRUST_WEIGHTS = {"basic": 20, "lane1": 20, "venue": 15, "st": 10, "motor": 10}
+TRUST_FIELDS = {
+    "basic": (("national_win_rate", 8, 50), ("national_2rate", 60, 20)),
+    "lane1": (("c1_win_rate", 70, 60), ("c1_2rate", 90, 40)),
+    "venue": (("local_win_rate", 8, 50), ("local_2rate", 60, 50)),
+    "motor": (("motor_2rate", 50, 60), ("motor_3rate", 70, 40)),
+}
+
+
+def trust_lite(b: Column, weights: dict[str, int] | None = None) -> dict[str, Column]:
+    """Trust in the boat of lane 1 from its entry alone: ``score, raw_score, max_possible, evaluated_count``.
+
+    A part counts if one of its fields is there, and its fields share its weight; the
+    score is the share of what the parts that count can give.  False starts take
+    four points each, fifteen at most.
+    """
+    w = TRUST_WEIGHTS | (weights or {})
+    parts = []
+    for name, most in w.items():
+        if name == "st":
+            parts.append((b["avg_st"] > 0, half_up(clamp((0.25 - b["avg_st"]) / 0.20, 0, 1) * most), most))
+            continue
+        given = [(b[c].isNotNull(), part(b[c], full, points), points) for c, full, points in TRUST_FIELDS[name]]
+        if name == "basic":
+            grade = grade_points(b["grade_class"])
+            given.append((grade.isNotNull(), grade * 30, 30))
+        points = total([F.when(there, x).otherwise(F.lit(0.0)) for there, x, _ in given])
+        share = total([F.when(there, F.lit(p)).otherwise(F.lit(0)) for there, _, p in given])
+        parts.append((share > 0, half_up(points / F.when(share > 0, share) * most), most))
+    sums = lambda value: total([F.when(there, value(x, most)).otherwise(F.lit(0)) for there, x, most in parts])
+    faults = F.coalesce(b["f_count"].cast("int"), F.lit(0))
+    raw = sums(lambda x, most: x) - F.when(faults > 0, F.least(faults * 4, F.lit(15))).otherwise(0)
+    reach = sums(lambda x, most: F.lit(most))
+    out = {"score": F.when(reach > 0, half_up(raw / F.when(reach > 0, reach) * 100)).otherwise(0), "raw_score": raw, "max_possible": reach, "evaluated_count": sums(lambda x, most: F.lit(1))}
+    return {k: F.when(~missing(b), v.cast("long")) for k, v in out.items()}
