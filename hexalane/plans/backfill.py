@@ -39,3 +39,17 @@ def readiness(races: DataFrame, venue: list[str]) -> DataFrame:
     before = whole(flags[:5]) & (F.col("races") == F.col("expected"))
     status = F.when(before & whole(flags[5:]), "COMPLETE").when(before, "PRE_RACE_COMPLETE").otherwise("WAITING")
     return per.select(*venue, "expected", "races", *[f"n_{f}" for f in flags], status.alias("status"))
+
+
+def due(deadline: Column, now: Column, unresolved: Column, short: Column, minutes: dict[str, int], grace: int = 1) -> Column:
+    """What a race calls for at ``now``, as an array of works.
+
+    ``exhibition``, ``final`` and ``scratch_guard`` in the minutes before the
+    deadline, ``urgent_entries`` there for races ``short`` of boats (on the deadline
+    still), and ``result`` from ``grace`` minutes after it while it is ``unresolved``.  A
+    race without a deadline calls for nothing.
+    """
+    left = (F.unix_micros(deadline) - F.unix_micros(now)) / 60e6
+    tests = {w: (left > 0) & (left <= minutes[w]) for w in ("exhibition", "final", "scratch_guard")}
+    tests |= {"urgent_entries": short & (left >= 0) & (left <= minutes["urgent_entries"]), "result": unresolved & (left <= -grace)}
+    return F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))

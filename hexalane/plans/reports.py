@@ -1,6 +1,6 @@
 """Read-side reports: statistics, trends, back-tests of judgments, learning metrics."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_where, half_up, rate
@@ -131,3 +131,24 @@ def learning_metrics(samples: DataFrame) -> DataFrame:
         "dimension", "value", "sample_count", *[f"{f}_count" for f in flags], argmax(rates).alias("candidate_pattern"), F.round(F.greatest(*rates.values()), 6).alias("candidate_lift"),
         F.when(n >= RELIABLE, "RELIABLE").when(n >= CANDIDATE, "CANDIDATE").otherwise("LEARNING").alias("candidate_status"), (n >= RELIABLE).alias("reliable"),
     )
+
+
+def notifications(analyses: DataFrame, told: dict[str, Column], watch: bool = False, least_ev: float = 110.0, least_trust: float = 0, only_strong: bool = False, strong: float = 85) -> Column:
+    """The channels on which the latest analysis of a race and stage is worth a message, as an array.
+
+    ``push`` takes final BUYs (and WATCHes with ``watch``) whose expected value and
+    trust, where known, reach their thresholds; with ``only_strong`` the trust has to
+    be known and reach ``strong``.  ``chat_pre`` takes grades S and A before the race,
+    ``chat_final`` final BUYs and WATCHes, ``chat_result`` final BUYs.  ``told`` says per
+    channel what was sent before: that is not sent again.
+    """
+    c = F.col
+    final, judgment = c("stage") == "final", c("judgment")
+    wanted = judgment.isin("BUY", "WATCH") if watch else judgment == "BUY"
+    push = final & wanted & (c("expected_value").isNull() | (c("expected_value") >= least_ev))
+    if least_trust > 0:
+        push = push & (c("boat1_trust_score").isNull() | (c("boat1_trust_score") >= least_trust))
+    if only_strong:
+        push = push & F.coalesce(c("boat1_trust_score") >= strong, F.lit(False))
+    tests = {"push": push, "chat_pre": (c("stage") == "pre") & c("pre_grade").isin("S", "A"), "chat_final": final & judgment.isin("BUY", "WATCH"), "chat_result": final & (judgment == "BUY")}
+    return F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)) & ~told[name], name) for name, test in tests.items()]))

@@ -126,8 +126,21 @@ def alert_state(spark, d):
     return fixture(spark, d, "race").join(a, "race_id").select("race_id", state.alias("state"))
 
 
-@query("select race_id, dup_no, judgment from uichi_analysis where stage = 'final' and (judgment = 'BUY' or (judgment = 'WATCH' and expected_value >= 115)) and boat1_trust_score >= 60")
+NOTIFY = {"watch": True, "least_ev": 110.0, "least_trust": 60, "only_strong": False, "strong": 85}
+
+
+@query("""l as (select * from (select *, row_number() over (partition by race_id, stage order by captured_at desc, dup_no desc) w from uichi_analysis) where w = 1),
+n as (select race_id, max(case when status = 'resolved' and dup_no = 0 and final_judgment is not null then 1 else 0 end) = 1 told from alert group by 1)
+select l.race_id, 'push' as channel, l.judgment from l left join n on n.race_id = l.race_id where stage = 'final' and judgment in ('BUY', 'WATCH') and coalesce(expected_value, 110) >= 110 and coalesce(boat1_trust_score, 60) >= 60 and not coalesce(n.told, false)
+union all select l.race_id, concat('chat_', l.stage), l.judgment from l left join n on n.race_id = l.race_id where not coalesce(n.told, false) and ((stage = 'pre' and pre_grade in ('S', 'A')) or (stage = 'final' and judgment in ('BUY', 'WATCH')))
+union all select l.race_id, 'chat_result', l.judgment from l left join n on n.race_id = l.race_id where not coalesce(n.told, false) and stage = 'final' and judgment = 'BUY'""")
 def notify_candidates(spark, d):
-    """Judgments worth a message; sending is up to the caller."""
-    a = fixture(spark, d, "uichi_analysis")
-    return a.where((F.col("stage") == "final") & ((F.col("judgment") == "BUY") | ((F.col("judgment") == "WATCH") & (F.col("expected_value") >= 115))) & (F.col("boat1_trust_score") >= 60)).select("race_id", "dup_no", "judgment")
+    """Judgments worth a message, per channel; what was told once is not told again, and sending is up to the caller."""
+    from ..operators.ranking import latest
+    from ..plans.reports import notifications
+
+    last = latest(fixture(spark, d, "uichi_analysis"), ["race_id", "stage"], "captured_at", "dup_no")
+    told = fixture(spark, d, "alert").groupBy("race_id").agg(F.max((F.col("status") == "resolved") & (F.col("dup_no") == 0) & F.col("final_judgment").isNotNull()).alias("told"))
+    a = last.join(told, "race_id", "left").withColumn("told", F.coalesce("told", F.lit(False)))
+    flags = {channel: F.col("told") for channel in ("push", "chat_pre", "chat_final", "chat_result")}
+    return a.select("race_id", "judgment", F.explode(notifications(a, flags, **NOTIFY)).alias("channel"))

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import is_downgrade
+from ..operators.merge import GATES, gate_order, is_downgrade
 
 
 def windowed_counts(stream: DataFrame, stamp: str, keys: list[str], width: str = "1 hour", lateness: str = "1 day") -> DataFrame:
@@ -13,19 +13,89 @@ def windowed_counts(stream: DataFrame, stamp: str, keys: list[str], width: str =
     return stream.withWatermark(stamp, lateness).groupBy(F.window(stamp, width), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), *keys, "n")
 
 
-def thinned(stream: DataFrame, keys: list[str], stamp: str, lateness: str = "1 day") -> DataFrame:
-    """Each key once within the watermark, whatever the number of times it is delivered."""
-    return stream.withWatermark(stamp, lateness).dropDuplicatesWithinWatermark(keys)
+def strongest(batch: DataFrame, keys: list[str]) -> DataFrame:
+    """One analysis per key: what has the warm-up first, then the better gate, then a judgment; the other columns break ties."""
+    rest = [c for c in batch.columns if c not in keys]
+    rank = [F.coalesce("exhibition_ready", F.lit(False)).alias("_ready"), gate_order(F.col("exhibition_gate_status")).alias("_gate"), (F.coalesce("judgment", F.lit("PENDING")) != "PENDING").alias("_judged")]
+    return batch.groupBy(*keys).agg(F.max(F.struct(*rank, *rest)).alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def upserted(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """A micro-batch merged into a table of analyses, refusing downgrades; for ``foreachBatch``."""
+    """A micro-batch merged into a table of analyses, refusing downgrades; for ``foreachBatch``.
+
+    A key that the batch repeats counts once, by :func:`strongest`; the stored table
+    holds a key once.
+    """
     rest = [c for c in stored.columns if c not in keys]
-    both = stored.select(*keys, F.struct(*rest).alias("old")).join(batch.select(*keys, F.struct(*rest).alias("new")), keys, "full")
+    one = strongest(batch.select(*keys, *rest), keys)
+    both = stored.select(*keys, F.struct(*rest).alias("old")).join(one.select(*keys, F.struct(*rest).alias("new")), keys, "full")
     chosen = F.when(F.col("new").isNull() | is_downgrade(F.col("old"), F.col("new")), F.col("old")).otherwise(F.col("new"))
     return both.select(*keys, chosen.alias("row")).select(*keys, "row.*")
 
 
+STATE = "judgment string, exhibition_gate_status string, exhibition_ready boolean"
+
+
+def guarded(stream: DataFrame, key: str, order: str, stamp: str, lateness: str = "1 day", keep: str = "2 days") -> DataFrame:
+    """The accepted changes of a stream of analyses: ``key, order`` and the three columns of ``STATE``, in append mode.
+
+    The last accepted analysis of each key is state; a row that would take back what
+    it has established is refused, and a repeated one changes nothing.  Rows of a
+    key within a batch are taken in their order.  Rows later than ``lateness`` are
+    dropped, and a key's state goes ``keep`` after its last row, so state is bounded
+    by what is under way.  Only changes are written: :func:`current` reads the last.
+    """
+    import pandas as pd
+
+    field = stream.schema[key].dataType.simpleString()
+    number = stream.schema[order].dataType.simpleString()
+    span = int(pd.Timedelta(keep).total_seconds() * 1000)
+
+    def fold(who, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.get if state.exists else None
+        latest, out = 0, []
+        for part in parts:
+            latest = max(latest, int(part[stamp].max().timestamp() * 1000))
+            for row in part.sort_values(order).itertuples(index=False):
+                new = (row.judgment, row.exhibition_gate_status, None if row.exhibition_ready is None else bool(row.exhibition_ready))
+                if new != now and not (now and _steps_back(now, new)):
+                    now = new
+                    out.append((who[0], getattr(row, order), *new))
+        state.update(now or (None, None, None))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + span)
+        yield pd.DataFrame(out, columns=[key, order, "judgment", "exhibition_gate_status", "exhibition_ready"])
+
+    rows = stream.withWatermark(stamp, lateness).select(key, order, stamp, "judgment", "exhibition_gate_status", "exhibition_ready")
+    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {field}, {order} {number}, {STATE}", STATE, "append", "EventTimeTimeout")
+
+
+def _steps_back(old: tuple, new: tuple) -> bool:
+    """The rule of :func:`is_downgrade` for two analyses in hand."""
+    return bool(old[2] and not new[2]) or (GATES.get(old[1], 0) >= 2 and GATES.get(new[1], 0) == 1) or (old[0] not in (None, "PENDING") and new[0] == "PENDING")
+
+
+def current(changes: DataFrame, key: str, order: str) -> DataFrame:
+    """The last accepted analysis of every key."""
+    last = changes.groupBy(key).agg(F.max(F.struct(order, "judgment", "exhibition_gate_status", "exhibition_ready")).alias("row"))
+    return last.select(key, "row.judgment", "row.exhibition_gate_status", "row.exhibition_ready")
+
+
+def awaited(races: DataFrame, results: DataFrame, key: str, deadline: str, stamp: str, wait: str = "1 day", lateness: str = "10 minutes") -> DataFrame:
+    """Races with the result that came within ``wait`` of the deadline, or with nulls once it can no longer come.
+
+    Two streams joined by key and time: watermarks on both tell when a race is given
+    up, so state holds the races of the last ``wait`` only.  Results later than the
+    watermark are dropped.
+    """
+    r = results.withWatermark(stamp, lateness).withColumnRenamed(key, f"_{key}")
+    race = races.withWatermark(deadline, lateness)
+    inside = (F.col(key) == F.col(f"_{key}")) & (F.col(stamp) >= F.col(deadline)) & (F.col(stamp) <= F.col(deadline) + F.expr(f"interval {wait}"))
+    return race.join(r, inside, "leftOuter").drop(f"_{key}")
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder below the session's checkpoint folder or, without one, its warehouse: both are shared by the cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
@@ -44,12 +114,33 @@ def folder_of(table: DataFrame) -> str:
     return table.inputFiles()[0].rsplit("/", 1)[0]
 
 
-def run_available(spark: SparkSession, counts: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return its last state."""
+def run_available(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Run a stream over what is there, appending what it settles, and return that.
+
+    Files are committed per batch, so a batch that runs again after a failure adds
+    nothing twice.
+    """
     path = _folder(spark)
-    done = counts.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    done.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/table")).start().awaitTermination()
-    return spark.read.parquet(f"{path}/table")
+    done = rows.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").option("path", f"{path}/table")
+    done.start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/table")
+
+
+def run_updates(spark: SparkSession, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream over what is there in update mode, and return the last row of every key.
+
+    A batch writes the keys it changed, under its number: one that runs again after
+    a failure replaces its own rows.  The watermark drops late rows and old state.
+    """
+    path = _folder(spark)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/batch={number}")
+
+    counts.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    rest = [c for c in counts.columns if c not in keys]
+    changed = spark.read.option("basePath", f"{path}/table").parquet(f"{path}/table")
+    return changed.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("row")).select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest])
 
 
 def upsert_available(stream: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
