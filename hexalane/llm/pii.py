@@ -19,10 +19,12 @@ texts; the terms looked at are all those of the texts that hold an entity, and
 only terms rare enough to disclose any entity meet the entities of their texts.
 """
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import materialise
+from .work import drop_path, materialise
 
 # The base kinds in their order, with their patterns.  Repeated groups are possessive: nothing follows
 # them, so they match the same, but Java's regex engine does not recurse once per repetition on very long runs.  An e-mail
@@ -156,25 +158,45 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_COPIES else table
 
 
-def disclosures(docs: DataFrame, entities: DataFrame, text_col: str = "text", threshold: float = GENERALISE) -> DataFrame:
-    """``t, entity, term, action, disclosure``: the terms that disclose an entity, for every text ``t`` (a hash) with both.
+#: Pairs of a text's terms and entities that are counted in one place.
+PAIRS = 1 << 22
 
-    ``entities`` holds the texts with base spans (``text, base``), ``docs`` all
-    texts.  Counts are over distinct texts; a term counts where it stands outside
-    of base spans.  Every entity and every such term is judged, however rare.
+
+def _same_texts(inside: Column | None = None) -> list[Column]:
+    """Two hashes of the set of texts ``t``; with their number they tell sets apart."""
+    inside = F.lit(True) if inside is None else inside
+    mark = lambda seed: F.bit_xor(F.when(inside, F.xxhash64("t", F.lit(seed)))).alias(f"x{seed}")
+    return [mark(1), mark(2)]
+
+
+@dataclass
+class _Judged:
+    """What the corpus says: ``terms`` (``t, tc, term``), ``entities`` (``t, ec, entity``) and ``pairs`` (``t, ec, tc, disclosure``).
+
+    Terms that stand in the same texts are one class ``tc``, and so are entities,
+    ``ec``: all members of a class disclose alike.  The terms and the entities of one
+    text only are thus one class each, whatever their number.
     """
+
+    terms: DataFrame
+    entities: DataFrame
+    pairs: DataFrame
+
+
+def _judged(docs: DataFrame, entities: DataFrame, text_col: str, threshold: float) -> _Judged | None:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    none = docs.sparkSession.createDataFrame([], "t long, entity string, term string, action string, disclosure double")
     held = entities.select(F.xxhash64("text").alias("t"), "text", "base").dropDuplicates(["t"])
     every, free = _terms(F.col("text")), _terms(_outside(F.col("text"), F.col("base")))
     held = held.select("t", F.array_distinct(F.transform("base", _entity)).alias("entities"), F.array_distinct(every).alias("every"), free.alias("free"))
-    found = materialise(held.select("t", "entities", F.array_intersect("every", "free").alias("free"), F.array_except("every", "free").alias("hidden")), "found")
+    found = held.select("t", "entities", F.array_intersect("every", "free").alias("free"), F.array_except("every", "free").alias("hidden"))
+    places = F.ceil(F.size("entities").cast("double") * F.size("free") / PAIRS).cast("int")
+    found = materialise(found.withColumn("places", F.greatest(places, F.lit(1))), "found")
     n_found = found.count()
     if not n_found:
-        return none
-    mentions = found.select("t", F.explode("entities").alias("entity"))
-    entity_texts = materialise(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where("n_entity > 1"), "entity_texts")
-    most = entity_texts.agg(F.max("n_entity")).first()[0] or 1
+        return None
+    mentions = found.select("t", "places", F.explode("entities").alias("entity"))
+    several = materialise(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), *_same_texts()).where("n_entity > 1"), "entity_texts")
+    most = several.agg(F.max("n_entity")).first()[0] or 1
     # every text counts by its share among its copies, so that the counts of a term combine on the map side
     copies = materialise(docs.select(F.xxhash64(text).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("copies")), "copies")
     corpus = float(copies.count())
@@ -182,22 +204,50 @@ def disclosures(docs: DataFrame, entities: DataFrame, text_col: str = "text", th
     holding = shared.select((1.0 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     term_texts = holding.groupBy("term").agg(F.round(F.sum("share")).alias("n_term"))
     side = F.explode(F.concat(F.transform("free", lambda x: F.struct(x.alias("term"), F.lit(1).alias("free"))), F.transform("hidden", lambda x: F.struct(x.alias("term"), F.lit(0).alias("free")))))
-    beside = found.select(side.alias("x")).select("x.*").groupBy("term").agg(F.sum("free").alias("n_free"), F.sum(1 - F.col("free")).alias("n_hidden")).where("n_free > 0")
-    counted = beside.join(term_texts, "term").select("term", "n_free", (F.col("n_term") - F.col("n_hidden")).alias("n_term"))
+    beside = found.select("t", side.alias("x")).select("t", "x.*").groupBy("term").agg(F.sum("free").alias("n_free"), F.sum(1 - F.col("free")).alias("n_hidden"), *_same_texts(F.col("free") == 1)).where("n_free > 0")
+    counted = beside.join(term_texts, "term").select("term", "n_free", (F.col("n_term") - F.col("n_hidden")).alias("n_term"), F.xxhash64("n_free", "x1", "x2", F.col("n_term") - F.col("n_hidden")).alias("tc"))
     # lossless: both are in at most min(n_free, n_entity) texts, so no entity can bring a term above this bound to the threshold
     bound = F.pow(F.least(F.col("n_free"), F.lit(most)).cast("double"), F.lit(threshold)) * corpus ** (1 - threshold) * (1 + 1e-9)
     counted = materialise(counted.withColumn("can", F.col("n_term") <= bound), "term_texts")
     # of the terms that cannot, the frequent ones leave before the shuffle: at most 1,000 times the terms of a mean text
     frequent = counted.where(~F.col("can") & (F.col("n_free") * 1000 > n_found)).select("term")
-    rare = found.select("t", F.explode("free").alias("term")).join(_small(frequent), "term", "left_anti").join(counted.where("can").select("term", "n_term"), "term")
-    both = materialise(rare.join(mentions, "t"), "both")
-    pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_term").alias("n_term")).join(_small(entity_texts), "entity", "left")
-    total, n_entity = F.lit(corpus), F.coalesce("n_entity", F.lit(1))
-    ic = F.log2(total / n_entity)
-    pmi = F.log2(F.col("n_both") * total / (n_entity * F.col("n_term")))
+    rare = found.select("t", "places", F.explode("free").alias("term")).join(_small(frequent), "term", "left_anti").join(counted.where("can").select("term", "n_term", "tc"), "term")
+    rare = materialise(rare, "rare")
+    # an entity of one text is of the class of that text
+    known = several.select("entity", "n_entity", F.xxhash64("n_entity", "x1", "x2").alias("ec"))
+    named = mentions.join(_small(known), "entity", "left").select("t", "places", "entity", F.coalesce("ec", F.xxhash64("t", F.lit("alone"))).alias("ec"), F.coalesce("n_entity", F.lit(1)).alias("n_entity"))
+    named = materialise(named, "named")
+    # classes meet within their text, a text of many of both in several places; the sizes on disk say nothing, so no side is broadcast
+    left = rare.select("t", "places", "tc", "n_term").dropDuplicates(["t", "tc"]).withColumn("place", F.pmod("tc", F.col("places")).cast("int")).drop("places")
+    right = named.dropDuplicates(["t", "ec"]).select("t", "ec", "n_entity", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+    both = materialise(left.hint("merge").join(right.hint("merge"), ["t", "place"]).drop("place"), "both")
+    pairs = both.groupBy("ec", "tc").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_term").alias("n_term"), F.max("n_entity").alias("n_entity"))
+    total = F.lit(corpus)
+    ic = F.log2(total / F.col("n_entity"))
+    pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
     judged = pairs.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).where(F.col("disclosure") >= threshold)
-    action = F.when(F.col("disclosure") >= REMOVE, "removed").otherwise("generalised")
-    return both.select("t", "entity", "term").join(judged.select("entity", "term", "disclosure"), ["entity", "term"]).select("t", "entity", "term", action.alias("action"), "disclosure")
+    met = both.select("t", "ec", "tc").hint("merge").join(judged.select("ec", "tc", "disclosure").hint("merge"), ["ec", "tc"])
+    for done in (found, several, copies, counted):
+        drop_path(docs.sparkSession, done)
+    return _Judged(rare.select("t", "tc", "term"), named.select("t", "ec", "entity"), met)
+
+
+def _action(disclosure: Column) -> Column:
+    return F.when(disclosure >= REMOVE, "removed").otherwise("generalised")
+
+
+def disclosures(docs: DataFrame, entities: DataFrame, text_col: str = "text", threshold: float = GENERALISE) -> DataFrame:
+    """``t, entity, term, action, disclosure``: the terms that disclose an entity, for every text ``t`` (a hash) with both.
+
+    ``entities`` holds the texts with base spans (``text, base``), ``docs`` all
+    texts.  Counts are over distinct texts; a term counts where it stands outside
+    of base spans.  Every entity and every such term is judged, however rare.  A row
+    per text, entity and term: :func:`sanitise` does not write them out.
+    """
+    given = _judged(docs, entities, text_col, threshold)
+    if given is None:
+        return docs.sparkSession.createDataFrame([], "t long, entity string, term string, action string, disclosure double")
+    return given.pairs.join(given.terms, ["t", "tc"]).join(given.entities, ["t", "ec"]).select("t", "entity", "term", _action(F.col("disclosure")).alias("action"), "disclosure")
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
@@ -206,31 +256,65 @@ def _term_spans(text: Column, terms: Column) -> Column:
     return F.filter(named, lambda s: s["kind"].isNotNull())
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, base, extra`` for every row: base spans and the spans that the method adds.
+#: Characters times terms or base spans of a text up to which its words are looked up where they stand.
+SHORT = 1 << 27
+
+
+def _far_spans(texts: DataFrame, given: DataFrame) -> DataFrame:
+    """``t, extra``: spans of the disclosing terms of long texts (``t, text, base``), by joins and one window per text.
+
+    A word overlaps a base span if, of the base spans that begin before its end, the
+    furthest ends after its start.
+    """
+    word = texts.select("t", F.explode(_matches(F.col("text"), TERM)).alias("m")).select("t", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("value"), F.lower("m.value").alias("term"))
+    named = word.join(given, ["t", "term"]).select("t", F.col("end").alias("at"), F.lit(0).alias("side"), "start", "end", "value", "action")
+    base = texts.select("t", F.explode("base").alias("b")).select("t", F.col("b.start").alias("at"), F.lit(1).alias("side"), F.col("b.start").alias("start"), F.col("b.end").alias("end"))
+    reach = F.max(F.when(F.col("side") == 1, F.col("end"))).over(Window.partitionBy("t").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    free = named.unionByName(base, allowMissingColumns=True).withColumn("reach", reach).where((F.col("side") == 0) & (F.coalesce("reach", F.lit(0)) <= F.col("start")))
+    spans = F.array_sort(F.collect_list(F.struct("start", "end", "action", "value")))
+    return free.groupBy("t").agg(F.transform(spans, lambda x: F.struct(x["action"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))).alias("extra"))
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """``id, base, extra`` (and the ``text``) for every row: base spans and the spans that the method adds.
 
     Spans are structs of kind, start and end in code points (end exclusive) and
     value; those added have the kinds ``removed`` and ``generalised`` and never
     overlap a base span.  A null text counts as empty and has no spans; null ids
     stay; repeated rows get equal spans.  A text without base spans gets none
     added.  Terms of equal disclosure are all treated alike, so ties need no rule.
-    Texts are read whole; the work on one grows with its length times the number
-    of its spans at most.  An empty table gives no rows; other columns are ignored.
+    Texts are read whole; the words of texts long in characters, terms and spans are
+    looked up by joins.  An empty table gives no rows; other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("base", base_spans(F.col("text")))
-    with_entities = materialise(base.where(F.size("base") > 0), "entities")
+    kept = ["id", "base", "extra", *(["text"] if with_text else [])]
+    with_entities = base.where(F.size("base") > 0).withColumns({"t": F.xxhash64("text"), "n_chars": F.char_length("text"), "n_base": F.size("base")})
+    with_entities = materialise(with_entities, "entities")
     nothing = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    given = materialise(disclosures(docs, with_entities, text_col), "disclosures")
-    plain = base.where(F.size("base") == 0).select("id", nothing.alias("base"), nothing.alias("extra"))
-    if given.isEmpty():
-        return plain.unionByName(with_entities.select("id", "base", nothing.alias("extra")))
+    plain = base.where(F.size("base") == 0).withColumns({"base": nothing, "extra": nothing}).select(*kept)
+    known = _judged(docs, with_entities, text_col, GENERALISE)
+    if known is None:
+        return plain.unionByName(with_entities.withColumn("extra", nothing).select(*kept))
+    # the strongest disclosure of each class of a text is that of its terms
+    best = known.pairs.groupBy("t", "tc").agg(F.max("disclosure").alias("disclosure"))
+    given = materialise(known.terms.hint("merge").join(best.hint("merge"), ["t", "tc"]).select("t", "term", _action(F.col("disclosure")).alias("action")), "disclosures")
     # the terms that each text must lose, gathered per text
-    keyed = with_entities.withColumn("t", F.xxhash64("text"))
-    text_terms = given.groupBy("t", "term").agg(F.max("action").alias("action")).groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("terms"))
-    marked = keyed.join(text_terms, "t", "left")
+    text_terms = given.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("terms"), F.count(F.lit(1)).alias("n_terms"))
+    long = F.col("n_chars").cast("double") * F.greatest("n_terms", "n_base") > SHORT
+    heavy = materialise(with_entities.select("t", "n_chars", "n_base").distinct().join(given.groupBy("t").agg(F.count(F.lit(1)).alias("n_terms")), "t").where(long).select("t"), "long")
+    far = not heavy.isEmpty()
+    marked = with_entities.join(text_terms, "t", "left")
+    if far:
+        marked = marked.join(_small(heavy.withColumn("far", F.lit(True))), "t", "left")
     free = lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"]))
-    extra = F.when(F.col("terms").isNull(), nothing).otherwise(F.filter(_term_spans(F.col("text"), F.col("terms")), free))
-    return plain.unionByName(marked.select("id", "base", extra.alias("extra")))
+    near = F.col("far").isNull() if far else F.lit(True)
+    extra = F.when(F.col("terms").isNotNull() & near, F.filter(_term_spans(F.col("text"), F.col("terms")), free)).otherwise(nothing)
+    marked = marked.withColumn("extra", extra)
+    if far:
+        texts = with_entities.join(_small(heavy), "t", "left_semi").select("t", "text", "base").dropDuplicates(["t"])
+        spans = _far_spans(texts, given.join(_small(heavy), "t", "left_semi")).withColumnRenamed("extra", "beyond")
+        marked = marked.join(spans, "t", "left").withColumn("extra", F.coalesce("beyond", "extra"))
+    return plain.unionByName(marked.select(*kept))
 
 
 def general(value: Column) -> Column:

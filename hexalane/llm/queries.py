@@ -61,14 +61,14 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.sanitise(_table(spark, sf_dir, "documents"))
+    found = pii.sanitise(_table(spark, sf_dir, "documents"), with_text=True)
 
     def count(kind):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = pii.digest(F.col("base"))
     spans = pii.digest(F.concat("base", F.array_sort(F.col("extra"))))
-    return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.sha2(pii.redact(F.col("text"), F.col("base"), F.col("extra")), 256).alias("sanitised_sha256"))
 
 
 def op10_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,3 +272,39 @@ def test_models_with_pieces_across_spaces_are_refused(monkeypatch):
     monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
     with pytest.raises(ValueError, match="space"):
         nbest.load("x")
+
+
+# personal data in texts of very many entities and terms
+
+
+def spans_of(row):
+    return sorted((s["start"], s["end"], s["kind"], s["value"]) for s in row["extra"])
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """One text of 30,000 addresses and 30,000 rare terms, among texts of common words, some of which share addresses with it."""
+    text = " ".join(f"u{i}@x{i}.org Rare{i}q" for i in range(30_000))
+    rows = [(0, text), (1, text)] + [(10 + i, f"plain words of every day u{i}@x{i}.org {i % 7}") for i in range(300)] + [(1000 + i, f"plain words of every day {i}") for i in range(300)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_a_text_of_many_entities_and_terms(crowded):
+    from hexalane.llm import pii
+
+    got = {r["id"]: r for r in pii.sanitise(crowded).where("id < 12").collect()}
+    assert len(got[0]["base"]) == 30_000 and spans_of(got[0]) == spans_of(got[1])
+    kinds = {s["value"]: s["kind"] for s in got[0]["extra"]}
+    assert all(kinds.get(f"Rare{i}q") == "removed" for i in (0, 1, 299, 300, 29_999)) and len(got[0]["extra"]) == 30_000
+    assert "plain" not in {s["value"] for s in got[10]["extra"]}
+
+
+def test_long_texts_by_joins_equal_lookups(spark, monkeypatch):
+    from hexalane.llm import pii
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    near = {r["id"]: (spans_of(r), r["base"]) for r in pii.sanitise(docs).collect()}
+    monkeypatch.setattr(pii, "SHORT", 200)
+    monkeypatch.setattr(pii, "PAIRS", 3)
+    far = {r["id"]: (spans_of(r), r["base"]) for r in pii.sanitise(docs).collect()}
+    assert sum(len(s) for s, _ in near.values()) > 50 and near == far
