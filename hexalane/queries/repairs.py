@@ -6,7 +6,8 @@ from ..functions.numbers import count_where, half_up, score
 from ..operators import joins as jn
 from ..operators import ranking as rk
 from ..operators import repairs as rp
-from ..plans import evaluation
+from ..plans import audits, evaluation
+from ..sources import official_files as files
 from ..sources.fixtures import fixture
 from .registry import query
 
@@ -269,78 +270,139 @@ def venue_complete(spark, d):
     return per.select("race_date", "venue_code", ((F.col("entries") == 72) & (F.col("races") == 12)).alias("complete"), "races", "entries")
 
 
-AUDIT = "(select race_date, venue_code, case when race_id % 101 = 0 then null else race_number end race_number, concat(cast(race_date as varchar), '_', venue_code, '_', cast(race_number as varchar)) race_key, race_id from race)"
+def told(*rules):
+    """SQL text ``rule:count`` of the rules at fault."""
+    return "concat_ws(',', " + ", ".join(f"case when {r} > 0 then concat('{r}:', cast({r} as varchar)) end" for r in rules) + ")"
 
 
-@query(f"""r as {AUDIT}, k as (select race_date, race_key, count(*) n from r group by 1, 2 having count(*) > 1), o as (select e.race_date from race_entry e where e.race_id % 77 = 0),
-u as (select race_date, 'race_key_twice' as rule, count(*) n from k group by 1 union all select race_date, 'no_race_number', count(*) from r where race_number is null group by 1 union all select race_date, 'orphan_entries', count(*) from o group by 1 union all select race_date, 'scratched_first_lane', count(*) from race_entry where boat_number = 1 and is_scratched group by 1)
-select d.race_date, cast(coalesce(sum(n), 0) as bigint) faults, case when coalesce(sum(n), 0) = 0 then 'PASS' else 'FAIL' end overall from (select distinct race_date from race) d left join u on u.race_date = d.race_date group by 1""")
+def day_table(spark, d, name, sql):
+    """A stored table with planted faults, derived from a table by SQL that both engines run."""
+    return fixture(spark, d, name).selectExpr(*sql)
+
+
+# planted faults; the same texts run on both engines
+A_RACE = ["race_date", "case when race_id % 103 = 0 then '' else venue_code end as venue_code", "case when race_id % 101 = 0 then null else race_number end as race_number", "concat(cast(race_date as string), '_', venue_code, '_', cast(race_number as string), '_', cast(race_id as string), case when race_id % 83 = 0 then 'x' else '' end) as race_key", "race_id"]
+A_ENTRY = ["race_date", "concat(cast(race_date as string), '_', venue_code, '_', cast(race_number as string), '_', cast(race_id as string)) as race_key", "concat(cast(race_date as string), '_', venue_code, '_', cast(race_number as string), '_', cast(race_id as string), '_', cast(case when race_id % 61 = 0 and boat_number = 3 then 2 else boat_number end as string)) as entry_key",
+           "case when (race_id + boat_number) % 211 = 0 then null else boat_number end as boat_number", "case when (race_id + boat_number) % 223 = 0 then '' else registration_number end as registration_number", "race_id"]
+DAYS = "days as (select distinct race_date from race union all select cast('2030-01-01' as date))"
+A_SQL = f"{DAYS}, ar as (select {', '.join(A_RACE)} from race), ae as (select {', '.join(A_ENTRY)} from race_entry)"
+
+
+@query(A_SQL + f""", k1 as (select race_date, race_key, count(*) n from ar group by 1, 2), k2 as (select race_date, entry_key, count(*) n from ae group by 1, 2),
+c as (select d.race_date, coalesce((select count(*) from ar where ar.race_date = d.race_date), 0) n_races, coalesce((select count(*) from ae where ae.race_date = d.race_date), 0) n_entries,
+ (select count(*) from k1 where k1.race_date = d.race_date and n > 1) race_key_twice, (select count(*) from k2 where k2.race_date = d.race_date and n > 1) entry_key_twice, (select count(*) from ar where ar.race_date = d.race_date and venue_code = '') no_venue, (select count(*) from ar where ar.race_date = d.race_date and race_number is null) no_race_number,
+ (select count(*) from ae where ae.race_date = d.race_date and boat_number is null) no_boat, (select count(*) from ae where ae.race_date = d.race_date and registration_number = '') no_registration, (select count(*) from ae anti join ar on ar.race_key = ae.race_key where ae.race_date = d.race_date) orphan_entries from days d),
+f as (select *, {told('race_key_twice', 'entry_key_twice', 'no_venue', 'no_race_number', 'no_boat', 'no_registration', 'orphan_entries')} faults from c)
+select cast(race_date as varchar) unit, case when n_races = 0 then 'EMPTY' when faults = '' then 'PASS' else 'FAIL' end verdict, n_races, n_entries, faults from f""")
 def audit_b(spark, d):
-    """Daily audit of the programme: keys given twice, missing numbers, orphans; a day passes if it has none."""
-    r = fixture(spark, d, "race").select("race_date", "race_id", F.expr("case when race_id % 101 = 0 then null else race_number end").alias("race_number"), F.expr("concat(cast(race_date as string), '_', venue_code, '_', cast(race_number as string))").alias("race_key"))
-    twice = r.groupBy("race_date", "race_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    e = fixture(spark, d, "race_entry")
-    lost = jn.orphans(e, r.where("race_id % 77 <> 0"), ["race_id"])
-    always = F.lit(True)
-    rules = {"race_key_twice": (twice, "race_date", always), "no_race_number": (r, "race_date", F.col("race_number").isNull()), "orphan_entries": (lost, "race_date", always), "scratched_first_lane": (e, "race_date", F.expr("boat_number = 1 and is_scratched"))}
-    per = rp.checked(rules).groupBy("unit").agg(F.sum("n").alias("n"))
-    days = r.select("race_date").distinct()
-    faults = F.coalesce("n", F.lit(0)).cast("long")
-    return days.join(per, F.col("race_date").cast("string") == F.col("unit"), "left").select("race_date", faults.alias("faults"), F.when(faults == 0, "PASS").otherwise("FAIL").alias("overall"))
-
-
-@query("""f as (select race_date, race_id, finish_order, count(*) n from race_entry where not is_scratched group by 1, 2, 3), t as (select race_date, 'finish_twice' as rule, count(*) n from f where n > 1 group by 1 union all select race_date, 'no_winner', count(*) from (select race_date, race_id from race_entry where not is_scratched group by 1, 2 having count(*) filter (where finish_order = 1) = 0) group by 1
- union all select race_date, 'no_boat_timing', count(*) from race_entry where start_timing in ('F', 'L') group by 1 union all select r.race_date, 'not_in_programme', count(*) from race_result r where r.race_id % 89 = 0 group by 1)
-select cast(race_date as varchar) unit, rule, cast(n as bigint) n from t""")
+    """Daily audit of the stored programme; a day without races is empty."""
+    days = fixture(spark, d, "race").select("race_date").distinct().unionAll(spark.sql("select date '2030-01-01'"))
+    return audits.audit_program(days, day_table(spark, d, "race", A_RACE), day_table(spark, d, "race_entry", A_ENTRY)).select("unit", "verdict", "n_races", "n_entries", "faults")
+
+
+KEY = "concat(cast(race_date as string), '_', venue_code, '_', cast(race_number as string), '_', cast(race_id as string))"
+K_RESULT = ["race_date", f"concat({KEY}, case when race_id % 2 = 0 then '' else '!' end) as result_key", f"concat({KEY}, case when race_id % 89 = 0 then 'x' else '' end) as race_key", "case when race_id % 103 = 0 then null else venue_code end as venue_code", "race_number", "case when race_id % 71 = 0 then '' else 'escape' end as winning_method", "race_id % 3 <> 0 as official_confirmed", "case when race_id % 73 = 0 then 'PENDING' else 'CONFIRMED' end as result_status", "race_id"]
+K_ENTRY = ["race_date", f"concat({KEY}, '_', cast(boat_number as string)) as entry_key", f"concat({KEY}, '_', cast(case when race_id % 61 = 0 and boat_number = 3 then 2 else boat_number end as string)) as entry_result_key", f"{KEY} as race_key", "case when (race_id + boat_number) % 211 = 0 then 1 + boat_number % 6 else boat_number end as boat_number", "case when (race_id + boat_number) % 223 = 0 then '' when (race_id + boat_number) % 229 = 0 then '9999' else registration_number end as registration_number",
+           "case when race_id % 5 = 0 then finish_order else boat_number end as finish_order", "case when start_timing in ('F', 'L') then 'DISQUALIFIED' else 'FINISHED' end as finish_status", "race_id"]
+K_PLAN = ["race_date", f"{KEY} as race_key", f"concat({KEY}, '_', cast(boat_number as string)) as entry_key", "boat_number", "registration_number", "race_id"]
+K_PAY = ["race_date", f"concat({KEY}, '_', case when race_id % 31 = 0 then '' else cast(boat_number as string) end) as payout_key"]
+K_SQL = f"{DAYS}, kr as (select {', '.join(K_RESULT)} from race), ke as (select {', '.join(K_ENTRY)} from race_entry where race_id % 97 <> 0 and not (race_id % 59 = 0 and boat_number = 4)), kp as (select {', '.join(K_PLAN)} from race_entry where race_id % 79 <> 0), ky as (select {', '.join(K_PAY)} from race_entry where boat_number < 4), kb as (select distinct race_date, 'IMPORTING' status from race where race_id % 107 = 0)"
+K_RULES = ("result_key_twice", "entry_key_twice", "payout_key_twice", "not_in_programme", "entry_mismatch", "entry_missing", "no_winning_method", "no_venue", "no_race_number", "no_boat", "no_registration", "finish_twice", "confirmed_without_entries", "confirmed_but_pending", "stuck_import")
+
+
+@query(K_SQL + f""", x as (
+ select race_date, 'result_key_twice' r, count(*) n from (select race_date, result_key from kr group by 1, 2 having count(*) > 1) group by 1 union all select race_date, 'entry_key_twice', count(*) from (select race_date, entry_result_key from ke group by 1, 2 having count(*) > 1) group by 1
+ union all select race_date, 'payout_key_twice', count(*) from (select race_date, payout_key from ky group by 1, 2 having count(*) > 1) group by 1 union all select kr.race_date, 'not_in_programme', count(*) from kr anti join kp on kp.race_key = kr.race_key group by 1
+ union all select ke.race_date, 'entry_mismatch', count(*) from ke left join kp on kp.entry_key = ke.entry_key where kp.entry_key is null or kp.boat_number <> ke.boat_number or kp.registration_number <> ke.registration_number group by 1
+ union all select kp.race_date, 'entry_missing', count(*) from kp anti join ke on ke.entry_key = kp.entry_key group by 1 union all select race_date, 'no_winning_method', count(*) from kr where official_confirmed and winning_method = '' group by 1 union all select race_date, 'no_venue', count(*) from kr where venue_code is null group by 1
+ union all select race_date, 'no_registration', count(*) from ke where registration_number = '' group by 1 union all select race_date, 'finish_twice', sum(n - 1) from (select race_date, race_key, finish_order, count(*) n from ke where finish_status = 'FINISHED' group by 1, 2, 3) where n > 1 group by 1
+ union all select kr.race_date, 'confirmed_without_entries', count(*) from kr anti join ke on ke.race_key = kr.race_key where official_confirmed group by 1 union all select race_date, 'confirmed_but_pending', count(*) from kr where official_confirmed and result_status = 'PENDING' group by 1 union all select race_date, 'stuck_import', 1 from kb
+ union all select race_date, 'no_winner', count(*) from (select race_date, race_key from ke where finish_status = 'FINISHED' group by 1, 2 having count(*) filter (where finish_order = 1) = 0) group by 1),
+p as (select d.race_date, {', '.join(f"cast(coalesce(sum(n) filter (where r = '{r}'), 0) as bigint) {r}" for r in (*K_RULES, 'no_winner'))} from days d left join x on x.race_date = d.race_date group by 1),
+q as (select p.*, (select count(*) from kr where kr.race_date = p.race_date) n_results, (select count(*) from kr where kr.race_date = p.race_date and official_confirmed) n_confirmed, (select count(*) from ke where ke.race_date = p.race_date) n_entries, (select count(*) from ky where ky.race_date = p.race_date) n_payouts, {told(*K_RULES)} faults, {told('no_winner')} warnings from p)
+select cast(race_date as varchar) unit, case when n_results = 0 then 'EMPTY' when faults = '' then 'PASS' else 'FAIL' end verdict, n_results, n_confirmed, n_entries, n_payouts, faults, warnings from q""")
 def audit_k(spark, d):
-    """Daily audit of results: places given twice, races without a winner, starts without a time, races that the programme lacks."""
-    e, r = fixture(spark, d, "race_entry"), fixture(spark, d, "race_result")
-    own = e.where("not is_scratched")
-    twice = own.groupBy("race_date", "race_id", "finish_order").agg(F.count(F.lit(1)).alias("n"))
-    races = own.groupBy("race_date", "race_id").agg(count_where(F.col("finish_order") == 1).alias("winners"))
-    unknown = jn.orphans(r, fixture(spark, d, "race").where("race_id % 89 <> 0"), ["race_id"])
-    return rp.checked({"finish_twice": (twice, "race_date", F.col("n") > 1), "no_winner": (races, "race_date", F.col("winners") == 0), "no_boat_timing": (e, "race_date", F.col("start_timing").isin("F", "L")), "not_in_programme": (unknown, "race_date", F.lit(True))})
+    """Daily audit of stored results against the programme: fifteen rules, and races without a winner."""
+    days = fixture(spark, d, "race").select("race_date").distinct().unionAll(spark.sql("select date '2030-01-01'"))
+    plan = fixture(spark, d, "race_entry").where("race_id % 79 <> 0").selectExpr(*K_PLAN)
+    entries = fixture(spark, d, "race_entry").where("race_id % 97 <> 0 and not (race_id % 59 = 0 and boat_number = 4)").selectExpr(*K_ENTRY)
+    payouts = fixture(spark, d, "race_entry").where("boat_number < 4").selectExpr(*K_PAY)
+    batches = fixture(spark, d, "race").where("race_id % 107 = 0").select("race_date", F.lit("IMPORTING").alias("status")).distinct()
+    return audits.audit_results(days, day_table(spark, d, "race", K_RESULT), entries, payouts, plan.select("race_date", "race_key"), plan, batches)
 
 
-@query("""t as (select *, case when term_no % 7 = 3 and cast(registration_number as int) % 5 = 0 then 'other' else registration_number end as racer_name from racer_term)
-select rule, unit, cast(n as bigint) n from (select 'no_ability' as rule, term_code unit, count(*) n from t where ability_index is null group by 2 union all select 'few_races', term_code, count(*) from t where race_count < 25 group by 2 union all select 'several_names', registration_number, count(distinct racer_name) from t group by 2 having count(distinct racer_name) > 1)""")
-def audit_term(spark, d):
-    """Audit of half-year records: missing numbers, thin records, racers of several names."""
-    t = fixture(spark, d, "racer_term").withColumn("racer_name", F.expr("case when term_no % 7 = 3 and cast(registration_number as int) % 5 = 0 then 'other' else registration_number end"))
-    names = t.groupBy("registration_number").agg(F.count_distinct("racer_name").alias("n")).where("n > 1").select(F.lit("several_names").alias("rule"), F.col("registration_number").alias("unit"), "n")
-    return rp.checked({"no_ability": (t, "term_code", F.col("ability_index").isNull()), "few_races": (t, "term_code", F.col("race_count") < 25)}).unionByName(names)
+T_ROW = ["case when registration_number = '4007' and term_no = 2 then '' else registration_number end as registration_number", "term_code", "concat(term_code, '_', case when cast(registration_number as int) % 50 = 3 then '4003' else registration_number end) as racer_term_key", "case when cast(registration_number as int) % 90 = 5 then null else concat('racer ', registration_number) end as racer_name", "case when cast(registration_number as int) % 70 = 6 then '' else 'A1' end as racer_class", "case when cast(registration_number as int) % 80 = 9 then null else win_rate end as win_rate", "race_count", "first_place_count"]
+T_TWICE = [x.replace("concat('racer ', registration_number)", "'other'").replace("concat(term_code, '_', ", "concat(term_code, '#', ") for x in T_ROW]
+T_SQL = f"tr as (select {', '.join(T_ROW)} from racer_term union all select {', '.join(T_TWICE)} from racer_term where cast(registration_number as int) % 60 = 2 and term_no = 4), terms as (select distinct term_code from racer_term union all select 'T99')"
 
 
-@query("""e as (select *, case when race_id % 50 = 0 then 9 else boat_number end b, case when race_id % 60 = 0 then 'x' else registration_number end reg from race_entry where not is_scratched), c as (select race_id, count(*) n, count(distinct b) m from e group by 1)
-select rule, unit, cast(n as bigint) n from (select 'bad_racer' as rule, cast(race_id as varchar) unit, count(*) n from e where not regexp_full_match(reg, '[0-9]{4}') group by 2 union all select 'bad_boat', cast(race_id as varchar), count(*) from e where b not between 1 and 6 group by 2 union all select 'not_six', cast(race_id as varchar), 1 from c where n <> 6 union all select 'boat_twice', cast(race_id as varchar), 1 from c where n <> m
- union all select 'few_races', concat(cast(race_date as varchar), '/', venue_code), 1 from race group by race_date, venue_code having count(distinct race_number) <> 12)""")
-def validate_b(spark, d):
-    """Rules that a programme must meet before it is imported, one row per rule and race or venue day at fault."""
-    e = fixture(spark, d, "race_entry").where("not is_scratched").select("race_id", F.expr("case when race_id % 50 = 0 then 9 else boat_number end").alias("b"), F.expr("case when race_id % 60 = 0 then 'x' else registration_number end").alias("reg"))
-    c = e.groupBy("race_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("b").alias("m"))
-    v = fixture(spark, d, "race").groupBy(F.concat_ws("/", F.col("race_date").cast("string"), "venue_code").alias("day")).agg(F.count_distinct("race_number").alias("n"))
-    return rp.checked({"bad_racer": (e, "race_id", ~F.col("reg").rlike(r"^\d{4}$")), "bad_boat": (e, "race_id", ~F.col("b").between(1, 6)), "not_six": (c, "race_id", F.col("n") != 6), "boat_twice": (c, "race_id", F.col("n") != F.col("m")), "few_races": (v, "day", F.col("n") != 12)})
+def _terms(spark, d):
+    t = fixture(spark, d, "racer_term")
+    return t.selectExpr(*T_ROW).unionAll(t.where("cast(registration_number as int) % 60 = 2 and term_no = 4").selectExpr(*T_TWICE)), t.select("term_code").distinct().unionAll(spark.sql("select 'T99'"))
 
 
-@query("""e as (select * from race_entry where not is_scratched and start_timing not in ('F', 'L')), f as (select race_id, finish_order, count(*) n from e group by 1, 2)
-select rule, unit, cast(n as bigint) n from (select 'finish_twice' as rule, cast(race_id as varchar) unit, count(*) n from f where n > 1 group by 2 union all select 'no_payout', cast(race_id as varchar), count(*) from race_result where payout_trifecta < 20000 group by 2 union all select 'bad_combination', cast(race_id as varchar), count(*) from race_result where race_id % 70 = 0 group by 2)""")
-def validate_k(spark, d):
-    """Rules that a result file must meet: places given once among finishers, payouts, combinations of three boats."""
-    e = fixture(spark, d, "race_entry").where("not is_scratched and start_timing not in ('F', 'L')")
-    f = e.groupBy("race_id", "finish_order").agg(F.count(F.lit(1)).alias("n"))
-    r = fixture(spark, d, "race_result").withColumn("trifecta", F.expr("case when race_id % 70 = 0 then '1-1-2' else trifecta end"))
-    three = F.size(F.array_distinct(F.split("trifecta", "-"))) == 3
-    return rp.checked({"finish_twice": (f, "race_id", F.col("n") > 1), "no_payout": (r, "race_id", F.col("payout_trifecta") < 20000), "bad_combination": (r, "race_id", ~three)})
+@query(T_SQL + f""", x as (select term_code, 'key_twice' r, sum(n - 1) n from (select term_code, racer_term_key, count(*) n from tr group by 1, 2) where n > 1 group by 1 union all select term_code, 'no_registration', count(*) from tr where registration_number = '' group by 1 union all select term_code, 'no_number', count(*) from tr where win_rate is null group by 1
+ union all select 'T3', 'stuck_import', 1 union all select term_code, 'no_name', count(*) from tr where racer_name is null group by 1 union all select term_code, 'no_class', count(*) from tr where racer_class = '' group by 1
+ union all select term_code, 'racer_twice', count(*) from (select term_code, registration_number from tr where registration_number <> '' group by 1, 2 having count(*) > 1) group by 1 union all select term_code, 'several_names', count(*) from (select term_code, registration_number from tr where registration_number <> '' group by 1, 2 having count(distinct coalesce(racer_name, '')) > 1) group by 1),
+p as (select d.term_code, (select count(*) from tr where tr.term_code = d.term_code) n_records, {', '.join(f"cast(coalesce(sum(n) filter (where r = '{r}'), 0) as bigint) {r}" for r in ('key_twice', 'no_registration', 'no_number', 'stuck_import', 'no_name', 'no_class', 'racer_twice', 'several_names'))} from terms d left join x on x.term_code = d.term_code group by 1),
+q as (select *, {told('key_twice', 'no_registration', 'no_number', 'stuck_import')} faults, {told('no_name', 'no_class', 'racer_twice', 'several_names')} warnings from p)
+select term_code unit, case when n_records = 0 then 'EMPTY' when faults = '' then 'PASS' else 'FAIL' end verdict, n_records, faults, warnings from q""")
+def audit_term(spark, d):
+    """Audit of stored half-year records, a row per term."""
+    records, terms = _terms(spark, d)
+    return audits.audit_terms(terms, records, spark.sql("select 'T3' term_code, 'IMPORTING' status union all select 'T4', 'COMPLETED'"))
 
 
-@query("""select rule, unit, cast(n as bigint) n from (select 'short_file' as rule, term_code unit, 1 n from racer_term group by term_code having count(*) < 405 union all select 'racer_twice', registration_number, count(*) from (select registration_number from racer_term union all select registration_number from racer_term where term_no = 3 and race_count % 9 = 0) group by registration_number having count(*) > 6)""")
+@query(T_SQL + f""", f as (select term_code as file, case when term_code = 'T5' then null else term_code end code from terms), rr as (select term_code as file, registration_number, case when term_code = 'T6' and registration_number like '%11' then null else racer_term_key end k from tr),
+p as (select f.file, code, (select count(*) from rr where rr.file = f.file) n_racers, (select coalesce(sum(n - 1), 0) from (select registration_number, count(*) n from rr where rr.file = f.file group by 1)) racer_twice, (select count(*) from rr where rr.file = f.file and k is null) no_key from f),
+q as (select file, n_racers, cast(racer_twice as bigint) racer_twice, no_key, case when code is null then 1 else 0 end no_term_code, case when n_racers = 0 then 1 else 0 end no_racers, case when n_racers between 1 and 99 then 1 else 0 end few_racers, case when n_racers > 2000 then 1 else 0 end many_racers from p),
+w as (select *, {told('racer_twice', 'no_key', 'no_term_code', 'no_racers')} faults, {told('few_racers', 'many_racers')} warnings from q)
+select file unit, case when faults = '' then 'PASS' else 'FAIL' end verdict, n_racers, faults, warnings from w""")
 def validate_term(spark, d):
-    """Rules that a term file must meet: enough records, each racer once a term."""
-    t = fixture(spark, d, "racer_term").select("registration_number", "term_code", "term_no", "race_count")
-    both = t.unionByName(t.where("term_no = 3 and race_count % 9 = 0"))
-    files = t.groupBy("term_code").agg(F.count(F.lit(1)).alias("n"))
-    racers = both.groupBy("registration_number").agg(F.count(F.lit(1)).alias("n")).where("n > 6").select(F.lit("racer_twice").alias("rule"), F.col("registration_number").alias("unit"), "n")
-    return rp.checked({"short_file": (files, "term_code", F.col("n") < 405)}).unionByName(racers)
+    """Half-year files before their import, a row per file."""
+    records, terms = _terms(spark, d)
+    files = terms.select(F.col("term_code").alias("file"), F.when(F.col("term_code") != "T5", F.col("term_code")).alias("term_code"))
+    racers = records.select(F.col("term_code").alias("file"), "registration_number", F.when(~((F.col("term_code") == "T6") & F.col("registration_number").like("%11")), F.col("racer_term_key")).alias("racer_term_key"))
+    return audits.validate_terms(racers, files).select("unit", "verdict", "n_racers", "faults", "warnings")
+
+
+def _stored(spark, parsed):
+    """The parsed files as a table of their own: every rule reads them."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return files.tables(rp.rebuilt(parsed, root))
+
+
+FILE_SQL = """sec as (select file_name, code, shown, concat('20', yy, '-', mm, '-', dd) named, row_number() over (partition by file_name order by venue_code) i from day_section),
+race_ok as (select * from day_race where not odd_head), boat_ok as (select * from day_boat where not odd_head{0}), venues as (select file_name, code, count(*) n, any_value(shown) shown from sec group by 1, 2),
+nums as (select file_name, code, race_number, count(*) n from race_ok group by 1, 2, 3), keys as (select file_name, race_key, count(*) n from race_ok group by 1, 2), ekeys as (select file_name, race_key, boat, count(*) n from boat_ok group by 1, 2, 3),
+c as (select s.file_name, count(*) n_venues, count(distinct shown) n_dates, max(shown) filter (where i = 1) source_date, max(named) named, count(*) filter (where cast(code as int) > 24) venue_out_of_range from sec s group by 1)"""
+
+
+@query(FILE_SQL.format("") + f""", x as (select c.*, (select count(*) from race_ok r where r.file_name = c.file_name) n_races, (select count(*) from boat_ok b where b.file_name = c.file_name) n_entries, (select coalesce(sum(n - 1), 0) from nums where nums.file_name = c.file_name) race_twice, (select coalesce(sum(n - 1), 0) from keys where keys.file_name = c.file_name) race_key_twice,
+ (select sum(v.n * (12 - coalesce(m.k, 0))) from venues v left join (select file_name, code, count(*) k from nums group by 1, 2) m on m.file_name = v.file_name and m.code = v.code where v.file_name = c.file_name) race_missing,
+ (select coalesce(sum(k.n * (6 - coalesce(e.k, 0))), 0) from keys k left join (select file_name, race_key, count(*) k from ekeys group by 1, 2) e on e.file_name = k.file_name and e.race_key = k.race_key where k.file_name = c.file_name) boat_missing,
+ (select coalesce(sum(k.n), 0) from keys k join (select file_name, race_key, sum(n) k from ekeys group by 1, 2) e on e.file_name = k.file_name and e.race_key = k.race_key where k.file_name = c.file_name and e.k > 6) boats_over_six, (select coalesce(sum(n - 1), 0) from ekeys where ekeys.file_name = c.file_name) entry_key_twice,
+ (select count(*) filter (where shown is null) + count(*) filter (where boats < 6) from race_ok r where r.file_name = c.file_name) parser_errors from c),
+y as (select file_name, n_venues, n_races, n_entries, cast(venue_out_of_range as bigint) venue_out_of_range, cast(race_twice as bigint) race_twice, cast(race_missing as bigint) race_missing, cast(boat_missing as bigint) boat_missing, cast(boats_over_six as bigint) boats_over_six, cast(race_key_twice as bigint) race_key_twice, cast(entry_key_twice as bigint) entry_key_twice, cast(parser_errors as bigint) parser_errors,
+ case when source_date <> named then 1 else 0 end other_date, case when n_dates > 1 then 1 else 0 end dates_differ, case when n_races <> n_venues * 12 then 1 else 0 end race_count, case when n_races > 0 and n_entries <> n_races * 6 then 1 else 0 end entry_count from x),
+z as (select *, {told('venue_out_of_range', 'race_twice', 'race_missing', 'boat_missing', 'boats_over_six', 'race_key_twice', 'entry_key_twice', 'parser_errors', 'other_date', 'dates_differ', 'race_count', 'entry_count')} faults from y)
+select concat('B', file_name) unit, case when faults = '' then 'PASS' else 'FAIL' end verdict, n_venues, n_races, n_entries, faults from z""")
+def validate_b(spark, d):
+    """Programme files before their import: all rules over the parsed files, a row per file."""
+    parsed = _stored(spark, files.parse_program_b(fixture(spark, d, "b_lines")))
+    return audits.validate_program(parsed).select("unit", "verdict", "n_venues", "n_races", "n_entries", "faults")
+
+
+@query(FILE_SQL.format(" and k % 29 <> 0") + f""", fin as (select file_name, race_key, case when k % 31 = 0 and boat = 2 then 1 + k % 6 else 1 + (k + boat - 1) % 6 end f, count(*) n from boat_ok group by 1, 2, 3),
+x as (select c.*, (select count(*) from race_ok r where r.file_name = c.file_name) n_races, (select count(*) from boat_ok b where b.file_name = c.file_name) n_entries, (select count(*) * 3 from race_ok r where r.file_name = c.file_name and k % 29 <> 0) n_payouts, (select coalesce(sum(n - 1), 0) from nums where nums.file_name = c.file_name) race_twice, (select coalesce(sum(n - 1), 0) from keys where keys.file_name = c.file_name) race_key_twice,
+ (select coalesce(sum(n - 1), 0) from ekeys where ekeys.file_name = c.file_name) entry_key_twice, (select coalesce(sum(n - 1), 0) from fin where fin.file_name = c.file_name) finish_twice, (select count(*) filter (where shown is null) from race_ok r where r.file_name = c.file_name) parser_errors from c),
+y as (select file_name, n_venues, n_races, n_entries, n_payouts, cast(venue_out_of_range as bigint) venue_out_of_range, cast(race_twice as bigint) race_twice, cast(race_key_twice as bigint) race_key_twice, cast(entry_key_twice as bigint) entry_key_twice, cast(finish_twice as bigint) finish_twice, cast(parser_errors as bigint) parser_errors, case when source_date <> named then 1 else 0 end other_date, case when n_dates > 1 then 1 else 0 end dates_differ from x),
+z as (select *, {told('venue_out_of_range', 'race_twice', 'race_key_twice', 'entry_key_twice', 'finish_twice', 'parser_errors', 'other_date', 'dates_differ')} faults from y)
+select concat('K', file_name) unit, case when faults = '' then 'PASS' else 'FAIL' end verdict, n_venues, n_races, n_entries, n_payouts, faults from z""")
+def validate_k(spark, d):
+    """Result files before their import: all rules over the parsed files, a row per file."""
+    parsed = _stored(spark, files.parse_program_k(fixture(spark, d, "k_lines")))
+    return audits.validate_results(parsed).select("unit", "verdict", "n_venues", "n_races", "n_entries", "n_payouts", "faults")
 
 
 @query("""select race_id, case when race_number > 11 then true else false end number_out_of_range, venue_code = '24' venue_unknown, cast(n as bigint) boats_twice from (select r.race_id, r.race_number, r.venue_code, coalesce(x.n, 0) n from race r left join (select race_id, count(*) n from race_entry where entry_course <> boat_number group by 1) x on x.race_id = r.race_id) where race_number > 11 or venue_code = '24' or n > 0""")
