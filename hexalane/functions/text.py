@@ -23,7 +23,7 @@ def strip_tags(x) -> Column:
     out = F.regexp_replace(col(x), "<[^>]*>", " ")
     for name, plain in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(plain))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))  # wide and fixed spaces, too
 
 
 def leading_int(x) -> Column:

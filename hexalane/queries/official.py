@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import official as of
-from ..functions import text
+from ..functions import pages, text
 from ..sources import official_files as of_files
 from ..sources.fixtures import fixture
 from .registry import query
@@ -193,3 +193,121 @@ def result_files(spark, d):
     out = out.unionByName(part("entries", "entry", F.col("entry_key"), "registration_number", "racer_name", "finish_order", "finish_status", "start_course", "start_timing", "race_time"))
     out = out.unionByName(part("payouts", "payout", F.col("race_key"), "bet_type", "combination", "payout_amount", "popularity")).unionByName(part("errors", "error", F.col("unit"), "rule"))
     return out.unionByName(part("unparsed", "unparsed", F.lit("-"), "content").where("fields = 'noted'"))
+
+
+def _boats(spark, d, *columns):
+    """Boats of each race as an array of structs in order, from which a page is written."""
+    e = fixture(spark, d, "race_entry").select("race_id", "boat_number", *columns)
+    return e.groupBy("race_id").agg(F.array_sort(F.collect_list(F.struct("boat_number", *columns))).alias("boats"))  # six at most
+
+
+def _cell(text, attrs='class="c" rowspan="4"'):
+    return F.concat(F.lit(f"<td {attrs}>"), F.coalesce(text, F.lit("")), F.lit("</td>"))
+
+
+def _number_cell(b):
+    return F.concat(F.lit('<td class="is-fs14 is-boatColor" rowspan="4">'), F.translate(b["boat_number"].cast("string"), "123456", "１２３４５６"), F.lit("</td>"))
+
+
+def _one_decimal(x):
+    return F.format_string("%.1f", x)
+
+
+@query("""select race_id, boat_number, registration_number, case when race_id % 5 = 0 then null else grade_class end grade_class, national_win_rate, local_win_rate, case when (race_id + boat_number) % 8 = 3 then null else motor_2rate end motor_2rate, avg_st, f_count, concat(cast(race_date as varchar), 'T1', cast(race_id % 12 % 10 as varchar), ':30:00+09:00') deadline, 'QUALIFYING' race_phase from race_entry where (race_id + boat_number) % 9 <> 4""")
+def parse_racelist(spark, d):
+    """Race cards: the boats whose block is whole, with missing fields, and the deadline of the race among twelve."""
+    join = lambda *parts: F.concat_ws("<br>", *parts)
+    two = lambda x: F.when(x.isNull(), "-").otherwise(F.format_string("%.2f", x))
+
+    def body(b, k):
+        n = b["boat_number"]
+        grade = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(" / "), b["grade_class"]))
+        info = F.concat(F.lit("<div>"), b["registration_number"], grade, F.lit("</div><div><a href='#'>山田　太郎</a></div><div>福岡/福岡 <br>34歳/52.0kg</div>"))
+        cells = F.concat(_cell(F.lit("photo")), _cell(info), _cell(join(F.concat(F.lit("F"), b["f_count"].cast("string")), F.lit("L0"), two(b["avg_st"]))), _cell(join(two(b["national_win_rate"]), F.lit("45.20"))), _cell(join(two(b["local_win_rate"]), F.lit("30.00"))), _cell(join(F.lit("23"), F.when((k + n) % 8 == 3, "-").otherwise(_one_decimal(b["motor_2rate"])))), F.when((k + n) % 9 == 4, "").otherwise(_cell(F.lit("14<br>33.30"))))
+        return F.concat(F.lit('<tbody class="is-fs12 x"><tr>'), _number_cell(b), cells, F.lit("</tr></tbody>"))
+
+    rows = _boats(spark, d, "race_date", "registration_number", "grade_class", "national_win_rate", "local_win_rate", "motor_2rate", "avg_st", "f_count")
+    times = "".join(f"<td>1{i % 10}:30</td>" for i in range(12))
+    html = F.concat(F.lit(f'<h3 class="title16_x">予選</h3>締切予定時刻{times}'), F.array_join(F.transform("boats", lambda b: body(b, F.col("race_id"))), ""))
+    read = rows.select("race_id", pages.race_card(html, F.col("race_id") % 12 + 1, F.col("boats")[0]["race_date"]).alias("p"))
+    own = ("boat_number", "registration_number", "grade_class", "national_win_rate", "local_win_rate", "motor_2rate", "avg_st", "f_count")
+    return read.select("race_id", "p.deadline", "p.race_phase", F.explode("p.entries").alias("e")).select("race_id", *[f"e.{c}" for c in own], "deadline", "race_phase")
+
+
+@query("""x as (select *, case when (race_id + boat_number) % 6 = 2 then null else exhibition_time end t from race_entry), c as (select *, row_number() over (partition by race_id order by (boat_number + race_id) % 6, boat_number) course from x where (race_id + boat_number) % 11 <> 5),
+n as (select race_id, count(*) n from c group by 1)
+select x.race_id, x.boat_number, x.t exhibition_time, case when x.t is not null then row_number() over (partition by x.race_id order by x.t nulls last, x.boat_number) end exhibition_rank, c.course entry_course, case when c.course is not null then case when x.boat_number = 3 then -x.exhibition_st else x.exhibition_st end end exhibition_st, c.course is null or x.t is null is_scratched,
+ n.n >= 3 and max(x.t) over (partition by x.race_id) is not null exhibition_ready, case when x.race_id % 4 = 0 then null else '晴' end weather, case when x.race_id % 9 = 0 then '無風' else '北東' end wind_dir, cast(x.race_id % 9 as double) wind_speed from x left join c on c.race_id = x.race_id and c.boat_number = x.boat_number join n on n.race_id = x.race_id""")
+def parse_beforeinfo(spark, d):
+    """Warm-up pages: times and ranks, starts in the order of the courses, scratches, weather with missing parts."""
+    k = F.col("race_id")
+
+    def body(b):
+        time = F.when((k + b["boat_number"]) % 6 == 2, "").otherwise(F.format_string("%.2f", b["exhibition_time"]))
+        return F.concat(F.lit('<tbody class="is-fs12"><tr>'), _number_cell(b), _cell(F.lit("p")), _cell(F.lit("n")), _cell(time), _cell(F.lit("-0.5")), F.lit("</tr></tbody>"))
+
+    def start(b):
+        n = b["boat_number"].cast("string")
+        st = F.concat(F.when(n == "3", "F").otherwise(""), F.substring(F.format_string("%.2f", b["exhibition_st"]), 2, 3))
+        return F.concat(F.lit('<span class="table1_boatImage1Number is-type'), n, F.lit('">'), n, F.lit('</span><i></i><span class="table1_boatImage1Time is-x">'), st, F.lit("</span>"))
+
+    rows = _boats(spark, d, "exhibition_time", "exhibition_st")
+    order = F.array_sort(F.transform(F.filter("boats", lambda b: (k + b["boat_number"]) % 11 != 5), lambda b: F.struct(((b["boat_number"] + k) % 6).alias("o"), b["boat_number"].alias("n"), b.alias("b"))))
+    sky = F.when(k % 4 == 0, "").otherwise('<div class="weather1_bodyUnit is-weather"><span class="weather1_bodyUnitLabelTitle">晴</span></div>')
+    wind = F.concat(F.lit('<div class="weather1_bodyUnit is-windDirection"><p class="weather1_bodyUnitImage is-wind11"></p></div><span>風速</span><span class="d">'), (k % 9).cast("string"), F.lit("m</span>"))
+    html = F.concat(F.array_join(F.transform("boats", body), ""), F.lit("スタート展示"), F.array_join(F.transform(order, lambda o: start(o["b"])), ""), F.lit("水面気象情報"), sky, wind)
+    read = rows.select("race_id", pages.before_info(html).alias("p")).select("race_id", F.explode("p.entries").alias("e"), "p.exhibition_ready", "p.weather", "p.wind_dir", "p.wind_speed")
+    return read.select("race_id", *[f"e.{c}" for c in ("boat_number", "exhibition_time", "exhibition_rank", "entry_course", "exhibition_st", "is_scratched")], "exhibition_ready", "weather", "wind_dir", "wind_speed")
+
+
+@query("""x as (select race_id, boat_number, registration_number, case when (race_id + boat_number) % 13 = 0 then null else 1 + (boat_number + race_id) % 6 end place, 1090 + 3 * ((boat_number + race_id) % 6) + race_id % 7 tenths from race_entry),
+t as (select race_id, max(tenths) filter (where place = 1) t1, max(tenths) filter (where place = 2) t2, max(tenths) filter (where place = 3) t3 from x group by 1)
+select x.race_id, boat_number, registration_number, place finish, case when place is null then 'CAPSIZED' else 'FINISHED' end finish_status, case when place is not null then round(tenths / 10e0, 1) end race_time_seconds, round((t2 - t1) / 10e0, 1) margin_1_2_seconds, round((t3 - t1) / 10e0, 1) margin_1_3_seconds, 7 - boat_number start_course, case when boat_number = 2 then -0.01e0 else boat_number / 100e0 end st, '逃げ' winning_method from x join t on t.race_id = x.race_id""")
+def parse_resultdetail(spark, d):
+    """Result pages: places or states, race times and margins, starts by course."""
+    k = F.col("race_id")
+
+    def row(b):
+        n = b["boat_number"]
+        lost, place, tenths = (k + n) % 13 == 0, (n + k) % 6 + 1, 1090 + 3 * ((n + k) % 6) + k % 7
+        time = F.concat(F.floor(tenths / 600).cast("string"), F.lit("'"), F.lpad(F.floor(tenths % 600 / 10).cast("string"), 2, "0"), F.lit('"'), (tenths % 10).cast("string"))
+        mark = F.when(lost, "転").otherwise(F.translate(place.cast("string"), "123456", "１２３４５６"))
+        who = F.concat(F.lit('<span class="is-fs12">'), b["registration_number"], F.lit('</span><span class="is-fs18 is-lh24__3rdadd">山田　太郎</span>'))
+        return F.concat(F.lit("<tbody><tr>"), *[_cell(x, 'class="c"') for x in (mark, n.cast("string"), who, F.when(lost, "").otherwise(time))], F.lit("</tr></tbody>"))
+
+    def start(b):
+        n = b["boat_number"].cast("string")
+        st = F.when(n == "2", "F.01").otherwise(F.concat(F.lit(".0"), n))
+        return F.concat(F.lit('<span class="table1_boatImage1Number is-type'), n, F.lit('">'), n, F.lit('</span><span class="table1_boatImage1Time"><span class="table1_boatImage1TimeInner x">'), st, F.lit("</span></span>"))
+
+    rows = _boats(spark, d, "registration_number")
+    html = F.concat(F.lit("<th>レースタイム</th>"), F.array_join(F.transform("boats", row), ""), F.lit("スタート情報"), F.array_join(F.transform(F.reverse("boats"), start), ""), F.lit("勝式 決まり手 逃げ"))
+    read = rows.select("race_id", pages.result_detail(html).alias("p"))
+    f = read.select("race_id", F.explode("p.finishers").alias("f"), "p.start_info", "p.margin_1_2_seconds", "p.margin_1_3_seconds", "p.winning_method")
+    own = F.filter("start_info", lambda s: s["boat_number"] == F.col("f.boat_number"))[0]
+    return f.select("race_id", *[f"f.{c}" for c in ("boat_number", "registration_number", "finish", "finish_status")], F.round("f.race_time_seconds", 1).alias("race_time_seconds"), "margin_1_2_seconds", "margin_1_3_seconds", own["start_course"].alias("start_course"), own["st"].alias("st"), "winning_method")
+
+
+@query("""b as (select n from (values (1), (2), (3), (4), (5), (6)) v(n)), c as (select x.n a, y.n b, z.n c from b x, b y, b z where x.n <> y.n and x.n <> z.n and y.n <> z.n)
+select race_id, cast(count(*) as bigint) n, md5(string_agg(concat_ws('-', cast(a as varchar), cast(b as varchar), cast(c as varchar)) || ':' || cast(case when (race_id + a * 7 + b * 3 + c) % 19 = 0 then 0 else 10 + (race_id * 31 + a * 36 + b * 6 + c) % 5000 end as varchar), ',' order by a, b, c)) digest from race_result, c where not (race_id % 3 = 0 and a = 6 and (b = 5 and c = 4)) group by race_id""")
+def parse_odds3t(spark, d):
+    """Pages of all 120 odds, second boats in cells that span rows, some odds missing, some last rows broken: their number and a digest per race."""
+    k = F.col("race_id")
+    rows = []
+    for r in range(20):
+        row = []
+        for a in range(1, 7):
+            second = [x for x in range(1, 7) if x != a]
+            b = second[r // 4]
+            c = [x for x in second if x != b][r % 4]
+            row.append(F.lit((f'<td rowspan="4">{b}</td>' if r % 4 == 0 else "") + f'<td class="x">{c}</td>'))
+            odds = F.when((k + a * 7 + b * 3 + c) % 19 == 0, "欠場").otherwise(_one_decimal((10 + (k * 31 + a * 36 + b * 6 + c) % 5000) / 10.0))
+            last = _cell(odds, 'class="oddsPoint"')
+            row.append(F.when(k % 3 == 0, "").otherwise(last) if (a, b, c) == (6, 5, 4) else last)
+        rows.append(F.concat(F.lit("<tr>"), *row, F.lit("</tr>")))
+    html = F.concat(F.lit('<tbody class="is-p3-0">'), *rows, F.lit("</tbody>"))
+    # the page is a column of its own before it is read
+    written = fixture(spark, d, "race_result").select("race_id", html.alias("html"))
+    read = written.select("race_id", pages.odds_grid("html").alias("odds"))
+    told = F.array_sort(F.transform("odds", lambda o: F.concat(o["combo"], F.lit(":"), F.round(o["odds"] * 10).cast("long").cast("string"))))
+    return read.select("race_id", F.size("odds").cast("long").alias("n"), F.md5(F.array_join(told, ",")).alias("digest"))
