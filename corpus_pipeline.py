@@ -53,8 +53,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         docs = materialise(docs, "keyed")
     else:
         docs = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("key"))
-    groups = minhash_dedup.near_duplicates(docs, "key").where(F.col("id") != F.col("component_id")).select(F.col("id").alias("key"))
-    gone = materialise(groups, "gone")
+    groups = minhash_dedup.near_duplicates(docs, "key").select(F.col("id").alias("key"), F.col("component_id").alias("group"))
+    if twice.isEmpty():
+        gone = groups.where(F.col("key") != F.col("group")).select("key")
+    else:  # keys of repeated ids say nothing about their order
+        groups = materialise(groups.where("group is not null"), "groups")
+        first = groups.join(docs.select("key", "doc_id"), "key").groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.key")
+        gone = groups.select("key").join(first, "key", "left_anti")
+    gone = materialise(gone, "gone")
     return docs.join(minhash_dedup.small(gone), "key", "left_anti").select(COLUMNS)
 
 

@@ -308,3 +308,13 @@ def test_long_texts_by_joins_equal_lookups(spark, monkeypatch):
     monkeypatch.setattr(pii, "PAIRS", 3)
     far = {r["id"]: (spans_of(r), r["base"]) for r in pii.sanitise(docs).collect()}
     assert sum(len(s) for s, _ in near.values()) > 50 and near == far
+
+
+def test_pipeline_keeps_the_smallest_id_of_a_group_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(2, a, "en", "s", 1), (5, a + " end", "en", "s", 1), (5, b, "en", "s", 1), (7, b, "en", "s", 1), (9, None, "en", "s", None), (9, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r["doc_id"], (r["text"] or "")[:2]) for r in got) == [(2, "a0"), (5, "b0"), (9, ""), (9, "")]
