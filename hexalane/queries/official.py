@@ -53,12 +53,12 @@ def parse_payouts(spark, d):
 
 
 @query("""select k, reg registration_number, 'B1' racer_class, age, nat / 100e0 win_rate, n2 % 1000 / 10e0 second_place_rate, case when k % 8 = 0 then null else k % 200 end first_place_count, 100 + k % 100 race_count, (10 + k % 16) / 100e0 average_start_timing, m2 / 100e0 ability_index, 2020 as "year",
- k % 50 course1_starts, k % 7 course3_second from file_lines""")
+ k % 50 course1_starts, k % 7 course3_third, k % 50 + 0 first_of_all, case when k % 50 = 0 then null else 100e0 end course1_first_rate, k % 7 third_place_count, concat('2020_1_', reg) as "key" from file_lines""")
 def parse_term(spark, d):
     """Half-year records of fixed width, with their six blocks per course."""
     r = _lines(spark, d).select("k", of.term_record("term_line").alias("t")).where("t is not null")
     own = ["registration_number", "racer_class", "age", "win_rate", "second_place_rate", "first_place_count", "race_count", "average_start_timing", "ability_index", "year"]
-    return r.select("k", *[f"t.{c}" for c in own], F.expr("t.courses[0].starts").alias("course1_starts"), F.expr("t.courses[2].second_count").alias("course3_second"))
+    return r.select("k", *[f"t.{c}" for c in own], F.expr("t.courses[0].starts").alias("course1_starts"), F.expr("t.courses[2].third").alias("course3_third"), F.expr("t.courses[0].first").alias("first_of_all"), F.expr("t.courses[0].first_rate").alias("course1_first_rate"), F.expr("t.third_place_count").alias("third_place_count"), F.expr("t.key").alias("key"))
 
 
 @query("select k, nat / 100e0 win_rate, case when k % 8 = 0 then null else k % 200 / 10e0 end rate from file_lines")
