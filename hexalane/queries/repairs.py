@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.numbers import count_where, half_up, score
+from ..functions.numbers import count_where, half_up
 from ..operators import joins as jn
 from ..operators import ranking as rk
 from ..operators import repairs as rp
@@ -50,8 +50,8 @@ def _lost(spark, d):
 LOST = "(select case when race_id % 9 = 0 and boat_number <= 3 then -race_id - boat_number * 1000000 else race_id end race_id, race_date, venue_code, race_number, boat_number, warmup_time, warmup_st from race_entry where not (race_id % 18 = 0 and boat_number = 3))"
 
 
-@query(f"""e as {LOST}, r as (select race_id, race_date, venue_code, race_number from race where race_id % 27 <> 0 union all select -race_id, race_date, venue_code, race_number from race where 1 = 0),
-o as (select e.* from e where not exists (select 1 from r where r.race_id = e.race_id)), t as (select race_date, venue_code, race_number, max(race_id) target_id from r group by 1, 2, 3)
+@query(f"""e as materialized {LOST}, r as materialized (select race_id, race_date, venue_code, race_number from race where race_id % 27 <> 0),
+o as materialized (select e.* from e anti join r on r.race_id = e.race_id), t as (select race_date, venue_code, race_number, max(race_id) target_id from r group by 1, 2, 3)
 select o.race_id, o.boat_number, t.target_id, case when t.target_id is null then 'unresolved' when x.race_id is not null then 'merged' else 'moved' end as action, coalesce(x.warmup_time, o.warmup_time) warmup_time, coalesce(x.warmup_st, o.warmup_st) warmup_st
 from o left join t on t.race_date = o.race_date and t.venue_code = o.venue_code and t.race_number = o.race_number left join (select e.* from e join r on r.race_id = e.race_id) x on x.race_id = t.target_id and x.boat_number = o.boat_number""")
 def orphan_relink(spark, d):
@@ -222,16 +222,18 @@ def frontier(spark, d):
     return days.join(F.broadcast(target), F.col("race_date") == F.col("target_date")).select("venue_code", "target_date")
 
 
-@query("""t as (select *, row_number() over (partition by registration_number order by term_no desc) w from racer_term), e as (select distinct registration_number from race_entry where race_id % 2 = 0 and cast(registration_number as int) % 3 <> 0)
-select t.registration_number, t.term_code, cast(greatest(0, least(100, floor(40 + (win_rate / 100e0) * 100 * 0.6e0 + case when average_start_timing < 0.15e0 then 5 when average_start_timing < 0.20e0 then 2 else 0 end + 0.5e0))) as bigint) in_strength, cast(greatest(0, least(100, floor(30 + (second_place_count / race_count) * 100 * 0.5e0 + 0.5e0))) as bigint) mid_second
+FALLBACK = ["(first_place_count + second_place_count) / race_count as top2_rate", "race_count % 40 as start_accident_count", "first_place_count % 7 * 10 as late_count"]
+
+
+@query(f"""t as (select *, {', '.join(FALLBACK)}, row_number() over (partition by registration_number order by term_no desc) w from racer_term), e as (select distinct registration_number from race_entry where race_id % 2 = 0 and cast(registration_number as int) % 3 <> 0)
+select t.registration_number, t.term_code, cast(greatest(0, least(100, floor(40 + win_rate / 10e0 * 100 * 0.6e0 + case when average_start_timing < 0.15e0 then 5 when average_start_timing < 0.20e0 then 2 else 0 end - least(10e0, start_accident_count * 0.1e0 + late_count * 0.05e0) + 0.5e0))) as bigint) in_strength, cast(greatest(0, least(100, floor(30 + top2_rate * 100 * 0.5e0 + 0.5e0))) as bigint) mid_second
  from t left join e on e.registration_number = t.registration_number where w = 1 and e.registration_number is null""")
 def eval_fallback(spark, d):
-    """Evaluations from the latest term of racers without results."""
+    """Evaluations from the latest term of racers without results; the points of the table, tenths of a share, are told as shares."""
     seen = fixture(spark, d, "race_entry").where("race_id % 2 = 0 and cast(registration_number as int) % 3 <> 0").select("registration_number").distinct()
-    last = rk.first_by(fixture(spark, d, "racer_term"), ["registration_number"], F.desc("term_no")).join(seen, "registration_number", "left_anti")
-    st = F.col("average_start_timing")
-    inside = 40 + F.col("win_rate") / 100 * 100 * 0.6 + F.when(st < 0.15, 5).when(st < 0.20, 2).otherwise(0)
-    return last.select("registration_number", "term_code", score(inside).alias("in_strength"), score(30 + F.col("second_place_count") / F.col("race_count") * 100 * 0.5).alias("mid_second"))
+    terms = fixture(spark, d, "racer_term").selectExpr("*", *FALLBACK).withColumn("win_rate", F.col("win_rate") / 10)
+    last = rk.first_by(terms, ["registration_number"], F.desc("term_no")).join(seen, "registration_number", "left_anti")
+    return last.select("registration_number", "term_code", *[v.alias(n) for n, v in evaluation.from_term(last).items()])
 
 
 @query("""w(i, v) as (values (1, 0.34e0), (2, 0.24e0), (3, 0.16e0), (4, 0.11e0), (5, 0.08e0), (6, 0.07e0)), t as (select *, row_number() over (partition by registration_number order by term_no desc) i from racer_term),
@@ -405,13 +407,50 @@ def validate_k(spark, d):
     return audits.validate_results(parsed).select("unit", "verdict", "n_venues", "n_races", "n_entries", "n_payouts", "faults")
 
 
-@query("""select race_id, case when race_number > 11 then true else false end number_out_of_range, venue_code = '24' venue_unknown, cast(n as bigint) boats_twice from (select r.race_id, r.race_number, r.venue_code, coalesce(x.n, 0) n from race r left join (select race_id, count(*) n from race_entry where entry_course <> boat_number group by 1) x on x.race_id = r.race_id) where race_number > 11 or venue_code = '24' or n > 0""")
+NAMES = "case venue_code " + " ".join(f"when '{i + 1:02d}' then '{n}'" for i, n in enumerate(files.VENUES)) + " end"
+X_RACE = ["race_id", "race_date", "venue_code", "case when race_id % 41 = 0 then 13 else race_number end as race_number", f"case when race_id % 37 = 0 then 'x' else {NAMES} end as venue_name", "data_source", "race_name", "grade", "series_key", "series_day", "deadline", "exhibition_ready"]
+X_COPY = ["race_id + 1000000000 as race_id", *X_RACE[1:6], "cast(null as string) as race_name", *X_RACE[7:11], "false as exhibition_ready"]
+X_ENTRY = ["race_id", "case when (race_id + boat_number) % 67 = 0 then 7 else boat_number end as boat_number", "registration_number", "grade_class", "avg_st"]
+X_SQL = f"""xr as materialized (select {', '.join(X_RACE)} from race union all select {', '.join(X_COPY)} from race where race_id % 43 = 0), xe as materialized (select {', '.join(X_ENTRY)} from race_entry union all select race_id + 1000000000, boat_number, registration_number, grade_class, avg_st from race_entry where race_id % 43 = 0 and boat_number <= 2),
+o as materialized (select *, concat(cast(race_date as varchar), '_', venue_code, '_', lpad(cast(race_number as varchar), 2, '0')) race_key, venue_name = {NAMES} ok from xr where data_source = 'official'), valid as materialized (select * from o where ok),
+head as materialized (select * from (select *, row_number() over (partition by race_key order by case when race_name is null then 0 else 1 end + 4 + case when exhibition_ready then 3 else 0 end desc, race_id desc) w from valid) where w = 1),
+own as materialized (select v.race_key, v.race_date, e.* from xe e join valid v on v.race_id = e.race_id), kept as (select race_key, race_date, boat_number from own where boat_number between 1 and 6 group by all),
+w as (select race_date, race_key, 'race_number_out_of_range' as type, count(*) n from valid where race_number not between 1 and 12 group by 1, 2 union all select race_date, race_key, 'duplicate_race_key_normalized', count(*) from valid group by 1, 2 having count(*) > 1 union all select race_date, race_key, 'boat_number_out_of_range', count(*) from own where boat_number not between 1 and 6 group by 1, 2
+ union all select race_date, race_key, 'duplicate_boat', sum(m - 1) from (select race_date, race_key, boat_number, count(*) m from own where boat_number between 1 and 6 group by 1, 2, 3) where m > 1 group by 1, 2), er as (select race_date, race_key, 'venue_mismatch' as type, count(*) n from o where not ok group by 1, 2)"""
+
+
+def _bundle(spark, d):
+    from ..plans import export
+
+    r, e = fixture(spark, d, "race"), fixture(spark, d, "race_entry")
+    races = r.selectExpr(*X_RACE).unionAll(r.where("race_id % 43 = 0").selectExpr(*X_COPY))
+    entries = e.selectExpr(*X_ENTRY).unionAll(e.where("race_id % 43 = 0 and boat_number <= 2").selectExpr("race_id + 1000000000", "boat_number", "registration_number", "grade_class", "avg_st"))
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    odds = fixture(spark, d, "odds_snapshot").where("combo = '1-2-5'")
+    return root, export.bundle(races, entries, fixture(spark, d, "race_result"), odds, fixture(spark, d, "uichi_analysis").drop("venue_code", "race_number"), fixture(spark, d, "series_point"), root)
+
+
+@query(X_SQL + """ select race_key, type, cast(n as bigint) n from w union all select race_key, type, cast(n as bigint) from er""")
 def export_warnings(spark, d):
-    """Races to warn of in an export: numbers out of range, unknown venues, boats that share a course."""
-    x = fixture(spark, d, "race_entry").where("entry_course <> boat_number").groupBy("race_id").agg(F.count(F.lit(1)).alias("n"))
-    r = fixture(spark, d, "race").select("race_id", "race_number", "venue_code").join(x, "race_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    flags = r.select("race_id", (F.col("race_number") > 11).alias("number_out_of_range"), (F.col("venue_code") == "24").alias("venue_unknown"), F.col("n").alias("boats_twice"))
-    return flags.where("number_out_of_range or venue_unknown or boats_twice > 0")
+    """What an export of all days warns of, and the races it leaves out."""
+    _, sets = _bundle(spark, d)
+    return sets["warnings"].unionByName(sets["errors"]).select("race_key", "type", "n")
+
+
+@query(X_SQL + """, ent as (select * from (select own.race_key, own.race_date, own.boat_number, own.registration_number, row_number() over (partition by own.race_key, own.boat_number order by own.race_id = head.race_id desc, own.race_id, own.registration_number) w from own join head on head.race_key = own.race_key where own.boat_number between 1 and 6) where w = 1),
+l as (select ent.race_date, ent.race_key, ent.boat_number, ent.registration_number, head.venue_code, head.series_key, cast(head.deadline as date) until from ent join head on head.race_key = ent.race_key), ks as (select distinct series_key, registration_number from series_point), m as (select l.*, ks.series_key is not null known from l left join ks on ks.series_key = l.series_key and ks.registration_number = l.registration_number),
+se as (select distinct m.race_date, m.race_key, m.boat_number from m join series_point s on s.registration_number = m.registration_number and s.as_of_date <= m.until and case when m.known then s.series_key = m.series_key else s.venue_code = m.venue_code end),
+n as (select race_date, 'races' s, count(*) n from head group by 1 union all select race_date, 'entries', count(*) from kept group by 1 union all select race_date, 'series', count(*) from se group by 1 union all select v.race_date, 'results', count(*) from race_result x join valid v on v.race_id = x.race_id group by 1
+ union all select v.race_date, 'odds', count(*) from odds_snapshot x join valid v on v.race_id = x.race_id where combo = '1-2-5' group by 1 union all select v.race_date, 'features', count(distinct v.race_key) from valid v join uichi_analysis a on a.race_id = v.race_id group by 1 union all select race_date, 'warnings', count(*) from w group by 1 union all select race_date, 'errors', count(*) from er group by 1)
+select n.race_date, """ + ", ".join(f"cast(coalesce(sum(n) filter (where s = '{x}'), 0) as bigint) n_{x}" for x in ("races", "entries", "series", "results", "odds", "features", "warnings", "errors")) + """, coalesce((select string_agg(distinct venue_code, ',' order by venue_code) from head where head.race_date = n.race_date), '') venue_codes from n group by n.race_date""")
+def export_bundle(spark, d):
+    """Six sets, warnings and errors of every day written as files, and the manifest read back from them."""
+    import uuid
+
+    from ..plans import export
+
+    root, sets = _bundle(spark, d)
+    return export.write(sets, f"{root.rstrip('/')}/export-{uuid.uuid4().hex}", folders=False)
 
 
 @query("""select r.race_id, cast(count(e.boat_number) as bigint) n_entries, max(r.venue_code) venue_code from race r left join race_entry e on e.race_id = r.race_id and not e.is_scratched group by 1""")

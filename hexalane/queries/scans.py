@@ -106,19 +106,11 @@ def missing_races(spark, d):
     return have.select("race_date", "venue_code", F.explode(F.array_except(F.sequence(F.lit(1), F.lit(12)).cast("array<bigint>"), "have")).alias("missing"))
 
 
-TRIFECTAS = "(select concat(a.n, '-', b.n, '-', c.n) combo from six a, six b, six c where a.n <> b.n and b.n <> c.n and a.n <> c.n)"
-
-
-@query(f"""six as (select cast(unnest(range(1, 7)) as varchar) n), t as {TRIFECTAS}, m as (select r.race_id, t.combo, case when r.race_id % 20 = 0 and t.combo like concat('%', cast(1 + r.race_id % 6 as varchar), '%') then 0e0 when r.race_id % 50 = 0 and t.combo = '2-3-4' then 1e0 else 5e0 end odds from race r, t where r.race_id % 10 = 0),
-s as (select race_id, list(distinct cast(x as int)) seen from (select race_id, unnest(string_split(combo, '-')) x from m where odds > 1) group by race_id), c as (select race_id, count(*) filter (where odds > 1) n from m group by race_id)
+@query("""s as (select race_id, list(distinct cast(x as int)) seen from (select race_id, unnest(string_split(combo, '-')) x from odds_final where odds > 1) group by race_id), c as (select race_id, count(*) filter (where odds > 1) n from odds_final group by race_id)
 select c.race_id, string_agg(cast(i.n as varchar), ',' order by i.n) filter (where not list_contains(s.seen, i.n)) scratched, cast(c.n as bigint) n_odds, len(s.seen) < 6 and len(s.seen) * (len(s.seen) - 1) * (len(s.seen) - 2) = c.n consistent from c join s on s.race_id = c.race_id cross join (values (1), (2), (3), (4), (5), (6)) i(n) group by c.race_id, c.n, s.seen""")
 def scratched_boats(spark, d):
     """Boats that no combination with odds above 1 names, and whether the others' combinations are all there."""
-    six = "transform(sequence(1, 6), a -> cast(a as string))"
-    every = F.expr(f"filter(flatten(transform({six}, a -> flatten(transform({six}, b -> transform({six}, c -> case when a <> b and b <> c and a <> c then concat(a, '-', b, '-', c) end))))), x -> x is not null)")
-    odds = "case when race_id % 20 = 0 and instr(combo, cast(1 + race_id % 6 as string)) > 0 then 0.0D when race_id % 50 = 0 and combo = '2-3-4' then 1.0D else 5.0D end"
-    m = fixture(spark, d, "race").where("race_id % 10 = 0").select("race_id", F.explode(every).alias("combo")).withColumn("odds", F.expr(odds))
-    return of.inferred_scratches(m)
+    return of.inferred_scratches(fixture(spark, d, "odds_final").select("race_id", "combo", "odds"))
 
 
 @query("select race_id, count(distinct boat_number) = 6 as all_present, cast(count(*) filter (where exhibition_time > 6.9) as bigint) as slow from race_entry where not is_scratched group by race_id")
