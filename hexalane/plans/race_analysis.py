@@ -312,13 +312,19 @@ def alert_gate(stage: str) -> Column:
     return F.col("pre_grade").isin("S", "A") if stage == "pre" else F.col("judgment").isin("BUY", "WATCH")
 
 
-def analysed(races: DataFrame) -> DataFrame:
+def analysed(races: DataFrame, store: str | None = None) -> DataFrame:
     """All stages over wide rows with their look-ups (see each stage for the columns it reads).
 
-    Store the result before filtering on it: the optimiser would push the filter
-    down through all stages, with every score that it needs worked out in it.
+    With ``store``, a folder that driver and executors share, the rows are written and
+    read again between groups of stages: one plan over all of them grows with every
+    score that names another one, beyond what is compiled.  Store the result before
+    filtering on it: the optimiser would push the filter down through the stages.
     """
-    motor = k.motor_support()
-    out = k.program_intent(races, "main_base", "ura_base", "n_similar").withColumns(motor)
-    out = with_trust(with_direction(with_series_context(with_racer_execution(out))))
-    return with_pre_grade(with_judgment(with_pattern_rates(with_exhibition_gate(out))))
+    from ..operators.repairs import rebuilt
+
+    cut = (lambda rows: rebuilt(rows, store)) if store else (lambda rows: rows)
+    out = cut(races)
+    out = k.program_intent(out, "main_base", "ura_base", "n_similar").withColumns(k.motor_support())
+    out = cut(with_series_context(with_racer_execution(out)))
+    out = cut(with_exhibition_gate(with_trust(with_direction(out))))
+    return with_pre_grade(with_judgment(with_pattern_rates(out)))

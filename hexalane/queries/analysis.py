@@ -48,7 +48,11 @@ def _odds(spark, d) -> DataFrame:
 
 def _analysed(spark, d) -> DataFrame:
     races = _with_lookups(spark, d, _wide(spark, d, *EVERY))
-    return ra.analysed(races.join(_odds(spark, d), "race_id", "left"))
+    return ra.analysed(races.join(_odds(spark, d), "race_id", "left"), _store(spark))
+
+
+def _store(spark) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 # ---- the same rules as SQL ----------------------------------------------------------------------------
@@ -269,7 +273,6 @@ def alert_gate(spark, d):
     The analysis is a table of its own: a filter on it as a view would be pushed
     through all its stages and work every score out again.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    out = rebuilt(_analysed(spark, d).select("race_id", "pre_grade", "judgment"), root)
+    out = rebuilt(_analysed(spark, d).select("race_id", "pre_grade", "judgment"), _store(spark))
     stages = [out.where(ra.alert_gate(s)).select("race_id", F.lit(s).alias("stage"), F.col(v).alias("verdict")) for s, v in (("pre", "pre_grade"), ("final", "judgment"))]
     return stages[0].unionByName(stages[1])

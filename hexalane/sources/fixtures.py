@@ -134,10 +134,16 @@ for _n in ("nat", "n2", "loc", "l2", "m2", "b2"):  # hundredths as text with two
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "events")}
+    tables = {t: _spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in ("orders", "events")}
     return spark.sql(f"with {FIXTURES} select * from {name}", **tables)
 
 
+def _spread(table: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores is dealt to all of them: what is derived from a row costs more than its move."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def oracle(body: str) -> str:
     """SQL for the oracle engine over the derived tables; ``body`` starts with further named queries or with ``select``."""
     head = "with " + FIXTURES.replace("{orders}", "orders").replace("{events}", "events")
