@@ -311,3 +311,30 @@ def parse_odds3t(spark, d):
     read = written.select("race_id", pages.odds_grid("html").alias("odds"))
     told = F.array_sort(F.transform("odds", lambda o: F.concat(o["combo"], F.lit(":"), F.round(o["odds"] * 10).cast("long").cast("string"))))
     return read.select("race_id", F.size("odds").cast("long").alias("n"), F.md5(F.array_join(told, ",")).alias("digest"))
+
+
+@query("""select race_id, cast(race_date - cast(race_id % 4 as int) as date) series_start_date, cast(race_date - cast(race_id % 4 as int) + 3 as date) series_end_date, cast(race_id % 4 + 1 as int) series_day, race_id % 4 = 3 is_final_day, case race_id % 3 when 0 then 'SG' when 1 then 'G1' else 'GENERAL' end grade from race""")
+def series_year_infer(spark, d):
+    """Days of a series that stand as month and day on the page of each race, dated around it."""
+    day = lambda n: F.date_add(F.date_sub("race_date", (F.col("race_id") % 4).cast("int")), n)
+    item = lambda n, name: F.concat(F.lit("<li><a>"), F.month(day(n)).cast("string"), F.lit("月"), F.dayofmonth(day(n)).cast("string"), F.lit(f"日 {name}</a></li>"))
+    kind = F.when(F.col("race_id") % 3 == 0, "is-SGa").when(F.col("race_id") % 3 == 1, "is-G1b").otherwise("is-ippan")
+    html = F.concat(F.lit('<div class="heading2_title '), kind, F.lit('"><h2 class="heading2_titleName">x</h2></div><ul class="tab2 is-type1">'), *[item(n, name) for n, name in enumerate(("初日", "２日目", "３日目", "最終日"))], F.lit("</ul>"))
+    read = fixture(spark, d, "race").select("race_id", pages.series_context(html, "race_date").alias("s"))
+    return read.select("race_id", "s.series_start_date", "s.series_end_date", "s.series_day", "s.is_final_day", "s.grade")
+
+
+@query("""select race_date, venue_code, cast(race_number as int) race_number, concat(cast(race_date as varchar), 'T1', cast(race_number % 10 as varchar), ':15:00+09:00') deadline, case when race_number % 2 = 0 then 6 else 0 end racers from race group by all""")
+def parse_day_page(spark, d):
+    """Schedule and card table of every venue's day: deadlines, and the races whose six racers are named."""
+    r = fixture(spark, d, "race").select("race_date", "venue_code", "race_number").distinct()
+
+    def row(n):
+        racers = F.array_join(F.transform(F.sequence(F.lit(1), F.when(n % 2 == 0, 6).otherwise(5)), lambda b: F.concat(F.lit("<td><a href='/racersearch/profile?toban="), (b + 4000).cast("string"), F.lit("'>山田</a><br>A1</td>"))), "")
+        return F.concat(F.lit("<tr><td><a href='racelist?rno="), n.cast("string"), F.lit("'>x</a></td><td> 1"), (n % 10).cast("string"), F.lit(":15 </td>"), racers, F.lit("</tr>"))
+
+    page = r.groupBy("race_date", "venue_code").agg(F.array_sort(F.collect_list("race_number")).alias("n")).select("race_date", "venue_code", F.array_join(F.transform("n", row), "").alias("html"))  # twelve races at most
+    read = page.select("race_date", "venue_code", pages.day_schedule("html", "race_date").alias("s"), pages.card_table("html").alias("t"))
+    each = read.select("race_date", "venue_code", F.explode("s").alias("r"), "t")
+    own = F.try_element_at(F.filter("t", lambda x: x["race_number"] == F.col("r.race_number")), F.lit(1))["racers"]
+    return each.select("race_date", "venue_code", "r.race_number", "r.deadline", F.when(own.isNotNull(), F.size(own)).otherwise(0).alias("racers"))
