@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import as_of, orphans
-from .ranking import filled, first_by
+from .ranking import filled, first_by, merged
 
 
 def two_tier_as_of(left: DataFrame, right: DataFrame, exact: list[str], fallback: list[str], at: str, stamp: str, tie: str, values: list[str], row_id: str) -> DataFrame:
@@ -117,6 +117,49 @@ def checked(rules: dict[str, tuple[DataFrame, str, Column]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# Fields of a race that a missing value never overwrites.
+PROTECTED = ("exhibition_ready", "beforeinfo_fetched_at", "weather", "wind_dir", "wind_speed", "wave_height", "air_temperature", "water_temperature", "result_trifecta", "is_uichi", "payout_trifecta", "scratched_boats", "entries_fetched_at", "odds_fetched_at")
+#: Columns that place an entry and are set by its race.
+PLACED = ("race_id", "race_date", "venue_code", "race_number", "boat_number")
+
+
+def protected_upsert(stored: DataFrame, incoming: DataFrame, key: list[str], protected: tuple[str, ...] = PROTECTED) -> DataFrame:
+    """Stored rows with the incoming ones of their key laid over them; missing values never overwrite the ``protected`` columns.
+
+    Rows that the incoming side repeats are merged first, column by column, the fullest
+    row first (and then the one with the greater values), so a repeated key gives one
+    row; a second run changes nothing.
+    """
+    rest = [c for c in stored.columns if c not in key]
+    full = incoming.select(*key, *rest).withColumns({"_filled": filled(rest), "_row": F.to_json(F.struct(*rest))})
+    new = merged(full, key, rest, "_filled", "_row").withColumn("_new", F.lit(True))
+    both = stored.select(*key, *[F.col(c).alias(f"_{c}") for c in rest], F.lit(True).alias("_old")).join(new, key, "full")
+
+    def one(c):
+        laid = F.coalesce(c, f"_{c}") if c in protected else F.col(c)
+        return F.when(F.col("_new").isNull(), F.col(f"_{c}")).when(F.col("_old").isNull(), F.col(c)).otherwise(laid).alias(c)
+
+    return both.select(*key, *map(one, rest))
+
+
+def consolidated(races: DataFrame, entries: DataFrame, children: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """``races``, ``entries`` and the child tables with one race per logical key, from the map of :func:`canonical`.
+
+    A race gets of each column the value of the most complete race that has it; an
+    entry, per boat 1 to 6 of the common race, that of the fullest entry that has it, under the
+    race's key.  Child rows move to the common race.  Consolidated tables stay as they are.
+    """
+    known = ids.select("race_id", "canonical_id", "completeness")
+    moved = lambda table: table.join(known.select("race_id", "canonical_id"), "race_id").drop("race_id").withColumnRenamed("canonical_id", "race_id")
+    ranked = races.join(known, "race_id").withColumn("_turn", -F.col("race_id"))
+    whole = merged(ranked, ["canonical_id"], [c for c in races.columns if c != "race_id"], "completeness", "_turn").withColumnRenamed("canonical_id", "race_id").select(*races.columns)
+    own = [c for c in entries.columns if c not in PLACED]
+    scored = entries.where(F.col("boat_number").between(1, 6)).withColumns({"_filled": filled(own), "_turn": -F.col("race_id")})
+    boats = merged(moved(scored.select("race_id", "boat_number", "_filled", "_turn", *own)), ["race_id", "boat_number"], own, "_filled", "_turn")
+    placed = boats.join(whole.select("race_id", *[c for c in PLACED if c in races.columns and c != "race_id"]), "race_id").select(*[c for c in entries.columns])
+    return {"races": whole, "entries": placed, **{n: moved(t).select(*t.columns) for n, t in children.items()}}
+
+
 def inferred_scratches(odds: DataFrame) -> DataFrame:
     """``race_id, scratched, n_odds, consistent`` from ``race_id, combo, odds``: boats that no odds above 1 name, comma-joined."""
     valid = odds.withColumn("boats", F.when(F.col("odds") > 1, F.split("combo", "-").cast("array<int>")))

@@ -478,3 +478,41 @@ def tick_spacing(spark, d):
     """Complete ticks of each race more than 20 days after the last one kept (the test events lie days apart)."""
     t = fixture(spark, d, "odds_snapshot").groupBy("race_id", "tick_id", "captured_at").agg(F.count_distinct("combo").alias("n")).where("n = 6")
     return rp.spaced(t, "race_id", "captured_at", "tick_id", 20 * 86_400)
+
+
+KEYS_OF = ["race_date", "venue_code", "race_number"]
+MERGE_RACE = ["race_name", "grade", "weather", "wind_speed", "data_source"]
+MERGE_ENTRY = ["registration_number", "grade_class", "national_3rate", "local_win_rate", "c1_win_rate", "exhibition_time"]
+C_RACE = ["race_id", "race_date", "venue_code", "race_number % 4 as race_number", *MERGE_RACE, "status", "exhibition_ready"]
+
+
+def _consolidated(spark, d):
+    races = fixture(spark, d, "race").selectExpr(*C_RACE)
+    entries = fixture(spark, d, "race_entry").select("race_id", *KEYS_OF, "boat_number", *MERGE_ENTRY).where("(race_id + boat_number) % 9 <> 0")
+    samples = fixture(spark, d, "learning_sample").select("race_id", "direction_confidence")
+    ids = rp.canonical(races, {"entries": (entries, 10)}, KEYS_OF, MERGE_RACE)
+    return rp.consolidated(races, entries, {"samples": samples}, ids)
+
+
+C_SQL = f"""r as materialized (select {', '.join(C_RACE)} from race), e as materialized (select race_id, boat_number, {', '.join(MERGE_ENTRY)} from race_entry where (race_id + boat_number) % 9 <> 0), n as (select race_id, count(*) n from e group by 1),
+s as materialized (select r.*, ({' + '.join(f'case when {c} is null then 0 else 1 end' for c in MERGE_RACE)}) * 3 + case when exhibition_ready then 20 else 0 end + case when status = 'finished' then 10 else 0 end + coalesce(n.n, 0) * 10 score from r left join n on n.race_id = r.race_id),
+i as materialized (select s.*, first_value(race_id) over (partition by race_date, venue_code, race_number order by score desc, race_id) canonical_id from s)"""
+
+
+@query(C_SQL + " select canonical_id race_id, race_date, venue_code, race_number, " + ", ".join(f"arg_max({c}, (score, -race_id)) filter (where {c} is not null) {c}" for c in MERGE_RACE) + " from i group by 1, 2, 3, 4")
+def consolidate_races(spark, d):
+    """Races of one logical key merged column by column, the most complete first."""
+    return _consolidated(spark, d)["races"].select("race_id", *KEYS_OF, *MERGE_RACE)
+
+
+@query(C_SQL + f", f as (select i.canonical_id, i.race_number, e.*, {' + '.join(f'case when {c} is null then 0 else 1 end' for c in MERGE_ENTRY)} score from e join i on i.race_id = e.race_id) select canonical_id race_id, race_number, boat_number, " + ", ".join(f"arg_max({c}, (score, -race_id)) filter (where {c} is not null) {c}" for c in MERGE_ENTRY) + " from f group by 1, 2, 3")
+def consolidate_entries(spark, d):
+    """Entries merged per boat of the common race, the fullest first."""
+    return _consolidated(spark, d)["entries"].select("race_id", "race_number", "boat_number", *MERGE_ENTRY)
+
+
+@query(C_SQL + " select i.canonical_id race_id, cast(count(*) as bigint) n, cast(sum(l.direction_confidence) as bigint) total from learning_sample l join i on i.race_id = l.race_id group by 1")
+def consolidate_samples(spark, d):
+    """Learning samples moved to the common race: their number and sum."""
+    moved = _consolidated(spark, d)["samples"]
+    return moved.groupBy("race_id").agg(F.count(F.lit(1)).alias("n"), F.sum("direction_confidence").cast("long").alias("total"))

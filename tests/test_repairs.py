@@ -102,3 +102,27 @@ def test_runs_give_the_rolling_means_of_whole_keys(spark):
             last = [v for _, v in own[max(0, i - 9) : i + 1]]
             want[k, a] = sum(last) / len(last)
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_protected_fields_and_repeated_keys(spark):
+    kind = "race_id long, weather string, race_name string"
+    stored = spark.createDataFrame([(1, "晴", "a"), (2, None, "b"), (3, "雨", "c")], kind)
+    incoming = spark.createDataFrame([(1, None, None), (2, "曇", None), (2, None, "x"), (4, None, "new")], kind)
+    once = repairs.protected_upsert(stored, incoming, ["race_id"])
+    want = [(1, "晴", None), (2, "曇", "x"), (3, "雨", "c"), (4, None, "new")]
+    assert sorted(map(tuple, once.collect())) == want and sorted(map(tuple, repairs.protected_upsert(once, incoming, ["race_id"]).collect())) == want
+
+
+def test_consolidation_is_idempotent(spark):
+    races = spark.createDataFrame([(1, "k", None, "finished", False), (2, "k", "name", None, True), (3, "z", None, None, False)], "race_id long, race_number string, race_name string, status string, exhibition_ready boolean")
+    entries = spark.createDataFrame([(1, "k", 1, "4001", 6.7), (2, "x", 1, "4001", None), (1, "k", 2, None, 6.9), (2, "x", 7, "4007", 6.0), (3, "z", 1, "4003", None)], "race_id long, race_number string, boat_number int, reg string, time double")
+    alerts = spark.createDataFrame([(1, "a"), (2, "b")], "race_id long, note string")
+
+    def run(t):
+        ids = repairs.canonical(t["races"], {"entries": (t["entries"], 10)}, ["race_number"], ["race_name"])
+        return repairs.consolidated(t["races"], t["entries"], {"alerts": t["alerts"]}, ids)
+
+    once = run({"races": races, "entries": entries, "alerts": alerts})
+    want = {"races": [(2, "k", "name", "finished", True), (3, "z", None, None, False)], "entries": [(2, "k", 1, "4001", 6.7), (2, "k", 2, None, 6.9), (3, "z", 1, "4003", None)], "alerts": [(2, "a"), (2, "b")]}
+    rows = lambda t: {n: sorted(map(tuple, x.collect())) for n, x in t.items()}
+    assert rows(once) == want and rows(run(once)) == want
