@@ -156,6 +156,13 @@ def parse_card_feed(spark, d):
 
 
 
+def _stored(spark, parsed):
+    """The tables of parsed files, which are stored once and read for each of them."""
+    from ..operators.repairs import rebuilt
+
+    return of_files.tables(rebuilt(parsed, spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")))
+
+
 @query("""v as (select distinct file_name, venue_code, code, shown, m9 from day_section)
 select concat('B', file_name) file, 'venue' as kind, code as key, concat_ws('|', coalesce(shown, '-'), 'シリーズ', cast(1 + m9 as varchar)) fields from v
 union all select concat('B', file_name), 'race', race_key, concat_ws('|', cast(race_number as varchar), '予 選', '1800', case when shown is null then '-' else concat(shown, 'T1', cast(k % 10 as varchar), ':', lpad(cast(k % 60 as varchar), 2, '0'), ':00+09:00') end) from day_race where not odd_head
@@ -164,7 +171,7 @@ union all select concat('B', file_name), 'error', race_key, 'no_date' from day_r
 union all select concat('B', file_name), 'error', race_key, 'not_six' from day_race where not odd_head and boats < 6""")
 def program_files(spark, d):
     """Whole programme files: venues, races, entries and errors with the keys that stand on the lines above them."""
-    t = of_files.tables(of_files.parse_program_b(_lines(spark, d, "b_lines")))
+    t = _stored(spark, of_files.parse_program_b(_lines(spark, d, "b_lines")))
     some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     venues = t["venues"].select("file", F.lit("venue").alias("kind"), F.col("venue_code").alias("key"), F.concat_ws("|", *map(some, ("race_date", "series_title", "series_day_number"))).alias("fields"))
     races = t["races"].select("file", F.lit("race").alias("kind"), F.col("race_key").alias("key"), F.concat_ws("|", *map(some, ("race_number", "race_name", "race_distance", "deadline_time"))).alias("fields"))
@@ -183,7 +190,7 @@ union all select concat('K', file_name), 'unparsed', '-', 'noted' from day_race
 union all select concat('K', file_name), 'error', race_key, 'no_date' from r where shown is null""")
 def result_files(spark, d):
     """Whole result files: venues, races, results, payouts, errors, and the remarks among unparsed lines."""
-    t = of_files.tables(of_files.parse_program_k(_lines(spark, d, "k_lines")))
+    t = _stored(spark, of_files.parse_program_k(_lines(spark, d, "k_lines")))
     some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
 
     def part(table, kind, key, *fields):
