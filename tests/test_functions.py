@@ -79,3 +79,12 @@ def test_import_is_idempotent(spark, data):
 def test_an_empty_table_gives_no_rows(spark, data):
     r = fixture(spark, data, "race_result").limit(0)
     assert aggregates.venue_race_stats(aggregates.venue_race_partial(r)).isEmpty() and aggregates.racer_stats(r).isEmpty()
+
+
+def test_mean_timing_is_an_exact_sum(spark):
+    """32 timings whose mean ends in a half at the seventh decimal, which sums of doubles miss on either side."""
+    from hexalane.plans.evaluation import course_stats
+
+    times = ["0.12", "0.25", "0.18", "0.21"] * 7 + ["0.17", "0.13", "0.14", "0.11"]
+    rows = spark.createDataFrame([("4001", 1, 1, t) for t in times], "registration_number string, course int, finish_order int, start_timing string")
+    assert course_stats(rows).first()["avg_st"] == sum(int(t[2:]) for t in times) / 100 / 32
