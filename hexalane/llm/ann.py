@@ -35,8 +35,6 @@ RECALL, HELD_OUT = 0.95, 500
 HIDDEN, EPOCHS = 128, 25
 #: Parts of more vectors are cut again; vectors of a place that is routed or searched in one task; queries of a round.
 LEAF, BLOCK, QUERIES = 65_536, 4_096, 1_024
-#: Parts of a level whose classifiers may be broadcast: 256 of some 100 KB.
-BROADCAST_ROUTERS = 256
 #: Parts whose numbers of places may be broadcast: 16 bytes each.
 BROADCAST_PARTS = 500_000
 #: Share of the largest possible score by which a matrix product may differ from a sum in the order of the components.
@@ -242,8 +240,9 @@ def _learnt(filed: DataFrame, large: DataFrame, parts: int, recall: float, k: in
 def _descend(rows: DataFrame, routers: DataFrame, sizes: DataFrame, parts: int, every: bool) -> DataFrame:
     """Rows ``part, id, v`` one level down: to the most probable part below their own, or to as many as a query searches if ``every``.
 
-    Rows of parts that are not cut stay.  Few routers are broadcast behind a
-    count; many go to their rows, a part being dealt to places of ``BLOCK`` rows.
+    Rows of parts that are not cut stay as they are.  A part that is cut is dealt to
+    places of ``BLOCK`` rows, and its router goes to each of them; the way is the
+    same for any number of parts.
     """
 
     def down(part, ids, x, router, probes):
@@ -252,22 +251,6 @@ def _descend(rows: DataFrame, routers: DataFrame, sizes: DataFrame, parts: int,
         return pa.record_batch({"part": pa.array(np.repeat(part, len(x) * width) * parts + near.ravel() + 1), "id": ids.take(pa.array(np.repeat(np.arange(len(x)), width))), "v": _lists(np.repeat(x, width, axis=0))})
 
     kind = "part long, id long, v array<double>"
-    if routers.count() <= BROADCAST_ROUTERS:
-        known = {r["part"]: (_unpacked(r["shape"], r["weights"]), r["probes"]) for r in routers.collect()}
-        shared = rows.sparkSession.sparkContext.broadcast(known)
-
-        def run(batches):
-            for batch in batches:
-                own = batch.column(0).to_numpy()
-                for part in np.unique(own).tolist():
-                    some = batch.take(pa.array(np.flatnonzero(own == part)))
-                    if part in shared.value:
-                        yield down(part, some.column(1), _matrix(some.column(2)), *shared.value[part])
-                    else:
-                        yield pa.record_batch({"part": some.column(0), "id": some.column(1), "v": some.column(2).cast(pa.list_(pa.float64()))})
-
-        return rows.select("part", "id", "v").mapInArrow(run, kind)
-
     places = sizes.select("part", F.ceil(F.col("size") / BLOCK).cast("int").alias("places"))
     dealt = rows.join(places, "part").withColumn("place", F.pmod(F.xxhash64("id"), F.col("places")).cast("int")).select("part", "place", "id", "v")
     spread = routers.join(places, "part").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).select("part", "place", "probes", "shape", "weights")
@@ -279,7 +262,8 @@ def _descend(rows: DataFrame, routers: DataFrame, sizes: DataFrame, parts: int,
             return pa.Table.from_batches([down(r["part"], a["id"].combine_chunks(), _matrix(a["v"].combine_chunks()), _unpacked(r["shape"], r["weights"]), r["probes"])])
         return a.select(["part", "id", "v"]) if a.num_rows else pa.table({"part": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64()))})
 
-    return dealt.groupBy("part", "place").cogroup(spread.groupBy("part", "place")).applyInArrow(meet, kind)
+    kept = rows.join(sizes.select("part"), "part", "left_anti").select("part", "id", "v")
+    return dealt.groupBy("part", "place").cogroup(spread.groupBy("part", "place")).applyInArrow(meet, kind).unionByName(kept)
 
 
 def _lists(x: np.ndarray) -> pa.Array:
