@@ -33,46 +33,60 @@ def upserted(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, chosen.alias("row")).select(*keys, "row.*")
 
 
-STATE = "judgment string, exhibition_gate_status string, exhibition_ready boolean"
+CHANGE = "judgment string, exhibition_gate_status string, exhibition_ready boolean"
+#: Keys share the state of a bucket: a call of Python costs far more than the few rows of a key.
+BUCKETS = 8192
 
 
 def guarded(stream: DataFrame, key: str, order: str, stamp: str, lateness: str = "1 day", keep: str = "2 days") -> DataFrame:
-    """The accepted changes of a stream of analyses: ``key, order`` and the three columns of ``STATE``, in append mode.
+    """The accepted changes of a stream of analyses: ``key, order`` and the three columns of ``CHANGE``, in append mode.
 
     The last accepted analysis of each key is state; a row that would take back what
     it has established is refused, and a repeated one changes nothing.  Rows of a
     key within a batch are taken in their order.  Rows later than ``lateness`` are
     dropped, and a key's state goes ``keep`` after its last row, so state is bounded
-    by what is under way.  Only changes are written: :func:`current` reads the last.
+    by what is under way.  Keys are held in ``BUCKETS`` by their hash, each with the
+    moment at which it ends.  Only changes are written: :func:`current` reads the last.
     """
     import pandas as pd
 
     field = stream.schema[key].dataType.simpleString()
     number = stream.schema[order].dataType.simpleString()
     span = int(pd.Timedelta(keep).total_seconds() * 1000)
+    names = ["judgment", "exhibition_gate_status", "exhibition_ready"]
+    # keys travel as text: a null among integers would make floats of them
+    held = "keys array<string>, judgments array<string>, gates array<string>, ready array<boolean>, ends array<bigint>"
 
     def fold(who, parts, state):
-        if state.hasTimedOut:
+        mark = state.getCurrentWatermarkMs()
+        now = {k: (new, end) for k, *new, end in zip(*state.get)} if state.exists else {}
+        rows, out = [], []
+        for part in () if state.hasTimedOut else parts:
+            rows += zip(part[key].tolist(), part[order].tolist(), part["_at"].tolist(), *[[None if pd.isna(x) else x for x in part[c].tolist()] for c in names])
+        rows.sort(key=lambda row: (True, 0) if pd.isna(row[1]) else (False, row[1]))
+        seen = {}
+        for k, n, at, judgment, gate, ready in rows:
+            new = [judgment, gate, None if ready is None else bool(ready)]
+            old = now.get(k, (None,))[0]
+            if new != old and not (old and _steps_back(old, new)):
+                now[k] = (new, 0)
+                out.append((k, n, *new))
+            seen[k] = max(seen.get(k, mark), at)
+        # a key that came again lasts from its latest row, others end at their time
+        now = {k: (new, seen[k] + span if k in seen else end) for k, (new, end) in now.items() if k in seen or end >= mark}
+        if now:
+            state.update(tuple(map(list, zip(*[(k, *new, end) for k, (new, end) in now.items()]))))
+            state.setTimeoutTimestamp(max(min(end for _, end in now.values()), mark + 1))
+        else:
             state.remove()
-            return
-        now = state.get if state.exists else None
-        latest, out = 0, []
-        for part in parts:
-            latest = max(latest, int(part[stamp].max().timestamp() * 1000))
-            for row in part.sort_values(order).itertuples(index=False):
-                new = (row.judgment, row.exhibition_gate_status, None if row.exhibition_ready is None else bool(row.exhibition_ready))
-                if new != now and not (now and _steps_back(now, new)):
-                    now = new
-                    out.append((who[0], getattr(row, order), *new))
-        state.update(now or (None, None, None))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + span)
-        yield pd.DataFrame(out, columns=[key, order, "judgment", "exhibition_gate_status", "exhibition_ready"])
-
-    rows = stream.withWatermark(stamp, lateness).select(key, order, stamp, "judgment", "exhibition_gate_status", "exhibition_ready")
-    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {field}, {order} {number}, {STATE}", STATE, "append", "EventTimeTimeout")
-
-
-def _steps_back(old: tuple, new: tuple) -> bool:
+        yield pd.DataFrame(out, columns=[key, order, *names])
+
+    rows = stream.withWatermark(stamp, lateness).select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_bucket"), F.col(key).cast("string").alias(key), order, stamp, F.coalesce(F.unix_millis(F.col(stamp).cast("timestamp")), F.lit(0)).alias("_at"), *names)
+    changes = rows.groupBy("_bucket").applyInPandasWithState(fold, f"{key} string, {order} {number}, {CHANGE}", held, "append", "EventTimeTimeout")
+    return changes.withColumn(key, F.col(key).cast(field))
+
+
+def _steps_back(old: list, new: list) -> bool:
     """The rule of :func:`is_downgrade` for two analyses in hand."""
     return bool(old[2] and not new[2]) or (GATES.get(old[1], 0) >= 2 and GATES.get(new[1], 0) == 1) or (old[0] not in (None, "PENDING") and new[0] == "PENDING")
 

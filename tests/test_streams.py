@@ -58,6 +58,22 @@ def test_keyed_state_refuses_steps_back_and_ends(spark, tmp_path):
     assert sum(s["numRowsDroppedByWatermark"] for s in states) == 1 and states[-1]["numRowsTotal"] <= 2
 
 
+def test_keys_share_the_state_of_a_bucket(spark, tmp_path, monkeypatch):
+    """Many keys, one of none, large ones apart by one, rows of a key far apart in a batch: few states, each key its own result."""
+    monkeypatch.setattr(ticks, "BUCKETS", 3)
+    kind = "race_id long, n int, captured_at timestamp, judgment string, exhibition_gate_status string, exhibition_ready boolean"
+    big = 2**60
+    first = [(big + i, n, at(1), "BUY" if n else "WATCH", "PASS", True) for n in (1, 0) for i in range(12_000)] + [(None, 1, at(1), "SKIP", None, None)]
+    stream = feed(spark, str(tmp_path / "in"), [first, [(big + 7, 2, at(2), "PENDING", "PASS", True), (big + 8, 2, at(2), "SKIP", "PASS", True)]], kind)
+    out = ticks.guarded(stream, "race_id", "n", "captured_at")
+    path = str(tmp_path / "out")
+    query = out.writeStream.outputMode("append").option("checkpointLocation", path + "-state").trigger(availableNow=True).format("parquet").start(path)
+    query.awaitTermination()
+    assert query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] == 3
+    now = {r["race_id"]: tuple(r)[1:] for r in ticks.current(spark.read.schema(out.schema).parquet(path), "race_id", "n").collect()}
+    assert len(now) == 12_001 and now.pop(None) == ("SKIP", None, None) and now.pop(big + 8) == ("SKIP", "PASS", True) and set(now.values()) == {("BUY", "PASS", True)}
+
+
 def test_results_beyond_the_watermark_are_dropped(spark, tmp_path):
     races = feed(spark, str(tmp_path / "r"), [[(1, at(0)), (2, at(1)), (3, at(2))], [(4, at(72))], [(6, at(73))], [(5, at(100))]], "race_id long, closes timestamp")
     results = feed(spark, str(tmp_path / "x"), [[(1, at(3), 10)], [(9, at(72), 0)], [(9, at(73), 0)], [(2, at(20), 20), (4, at(80), 40)], [(9, at(120), 0)]], "race_id long, told timestamp, payout long")
