@@ -126,3 +126,22 @@ def test_consolidation_is_idempotent(spark):
     want = {"races": [(2, "k", "name", "finished", True), (3, "z", None, None, False)], "entries": [(2, "k", 1, "4001", 6.7), (2, "k", 2, None, 6.9), (3, "z", 1, "4003", None)], "alerts": [(2, "a"), (2, "b")]}
     rows = lambda t: {n: sorted(map(tuple, x.collect())) for n, x in t.items()}
     assert rows(once) == want and rows(run(once)) == want
+
+
+def test_spaced_ticks_of_equal_stamps_and_long_keys(spark, monkeypatch):
+    """Stamps that come many times are gathered once, and what is kept grows by short lists; the ticks are those of a plain loop."""
+    import datetime as dt
+    import random
+
+    from hexalane.operators import repairs
+
+    monkeypatch.setattr(repairs, "LIST", 3)
+    r, start = random.Random(2), dt.datetime(2024, 1, 1)
+    rows = [(k, start + dt.timedelta(seconds=20 * r.randrange(200)), n) for k in (1, 2) for n in range(600)]
+    ticks = spark.createDataFrame(rows, "k int, at timestamp, id int")
+    want, last = [], {}
+    for k, at, n in sorted(rows):
+        if k not in last or (at - last[k]).total_seconds() > 120:
+            last[k] = at
+            want.append((k, n))
+    assert sorted(map(tuple, repairs.spaced(ticks, "k", "at", "id").collect())) == sorted(want) and len(want) > 20
