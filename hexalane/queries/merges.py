@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import count_where
 from ..operators import merge as mg
-from ..sources.fixtures import fixture
+from ..sources.fixtures import fixture, tasks_for
 from .registry import query
 
 COLUMNS = ["registration_number", "motor_number"]
@@ -106,7 +106,7 @@ def integrity_check(spark, d):
     from ..operators.quality import integrity_rules, violations
 
     e, a, r = (fixture(spark, d, t) for t in ("race_entry", "uichi_analysis", "race"))
-    return violations(integrity_rules(r, e, a, ~F.col("is_scratched")))
+    return violations(integrity_rules(r, e, a, ~F.col("is_scratched"), tasks=tasks_for(spark, d, "orders", 6)))
 
 
 @query("""n as (select race_id, count(*) n from race_entry where not is_scratched group by 1),
