@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import race_key
 from ..operators.ranking import first_by
 from ..operators.repairs import rebuilt, two_tier_as_of
+from ..operators.spread import dealt
 from ..sources.official_files import VENUES
 
 # The fields that make a race rich, the points of a ready warm-up, and the order of stages.
@@ -32,7 +33,7 @@ def _named(code: Column) -> Column:
     return F.try_element_at(F.array(*map(F.lit, VENUES)), F.when(n > 0, n))
 
 
-def bundle(races: DataFrame, entries: DataFrame, results: DataFrame, odds: DataFrame, analyses: DataFrame, series: DataFrame, store: str) -> dict[str, DataFrame]:
+def bundle(races: DataFrame, entries: DataFrame, results: DataFrame, odds: DataFrame, analyses: DataFrame, series: DataFrame, store: str, tasks: int | None = None) -> dict[str, DataFrame]:
     """The six sets by name, and ``warnings`` and ``errors`` (``race_date, race_key, type, n``).
 
     Only official races are exported.  Errors: ``venue_mismatch``, a name that is not that
@@ -42,7 +43,7 @@ def bundle(races: DataFrame, entries: DataFrame, results: DataFrame, odds: DataF
     ``too_many_entries``.  Results without a first place are left out; of the analyses of a
     race the latest of the furthest stage is a feature row; a racer's series points are
     those known at the deadline, of the series or else of the venue.  ``store`` is a folder for the
-    stored map.
+    stored map.  Entries meet in ``tasks`` tasks, if a number is given.
     """
     official = races.where("data_source = 'official'").withColumn("race_key", race_key())
     right = F.coalesce(F.col("venue_name") == _named(F.col("venue_code")), F.lit(False))
@@ -55,7 +56,7 @@ def bundle(races: DataFrame, entries: DataFrame, results: DataFrame, odds: DataF
     under = lambda table: table.join(ids.drop("day"), "race_id")
     dated = lambda table: table.join(head.select("race_key", "day"), "race_key").withColumn("race_date", F.col("day")).drop("day")
 
-    e = under(entries).join(head, "race_key").withColumn("race_date", F.col("day"))
+    e = dealt(dealt(entries, tasks, "race_id").join(dealt(ids.drop("day"), tasks, "race_id"), "race_id"), tasks, "race_key").join(dealt(head, tasks, "race_key"), "race_key").withColumn("race_date", F.col("day"))
     fit = F.coalesce(F.col("boat_number").between(1, 6), F.lit(False))
     own = e.where(fit)
     kept = first_by(own, ["race_key", "boat_number"], (F.col("race_id") == F.col("canonical_id")).desc(), "race_id", "registration_number")
@@ -91,7 +92,7 @@ def write(sets: dict[str, DataFrame], path: str, folders: bool = True) -> DataFr
     """
     spark: SparkSession = sets["races"].sparkSession
     for name, rows in sets.items():
-        # a day of a set is one task and one file
+        # with folders a day of a set is one task and one file; without, rows are written where they are
         (rows.repartition("race_date").write.partitionBy("race_date") if folders else rows.write).json(f"{path}/{name}")
 
     def count(name):
