@@ -2,7 +2,11 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from hexalane.plans import export
+from hexalane.queries import QUERIES
+from hexalane.sources.fixtures import fixture
 
 
 def test_bundle_of_two_days(spark, tmp_path):
@@ -28,3 +32,14 @@ def test_bundle_of_two_days(spark, tmp_path):
     assert (one["race_id"], one["race_key"], one["race_name"]) == (2, "2026-09-06_01_01", "final")
     assert sorted((r["race_key"], r["type"], r["n"]) for r in sets["warnings"].collect()) == [("2026-09-06_01_01", "boat_number_out_of_range", 1), ("2026-09-06_01_01", "duplicate_boat", 1), ("2026-09-06_01_01", "duplicate_race_key_normalized", 2), ("2026-09-06_01_13", "race_number_out_of_range", 1), ("2026-09-07_02_04", "boat_number_out_of_range", 1)]
     assert [r["score"] for r in sets["features"].collect()] == [7] and [(r["race_key"], r["type"]) for r in sets["errors"].collect()] == [("2026-09-07_02_02", "venue_mismatch")]
+
+
+def test_odds_of_every_combination_are_exported(spark, data):
+    """The odds counted by the manifest are all rows of the races that are exported, each of six combinations."""
+    odds = fixture(spark, data, "odds_snapshot")
+    assert odds.select("combo").distinct().count() == 6
+    r = fixture(spark, data, "race").where("data_source = 'official' and race_id % 37 <> 0")
+    # copies of races have ids that no odds have
+    want = {x["race_date"]: x["n"] for x in odds.join(r.select("race_id", "race_date"), "race_id").groupBy("race_date").agg(F.count("*").alias("n")).collect()}
+    got = {x["race_date"]: x["n_odds"] for x in QUERIES["export_bundle"](spark, data).collect() if x["n_odds"]}
+    assert got == want and want
