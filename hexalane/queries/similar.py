@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..functions import patterns
-from ..operators.similar import Term, similar_counts
+from ..operators.similar import Term, similar_counts, similar_in_groups
 from ..sources.fixtures import fixture
 from .kernels import GB
 from .registry import query, sql_in
@@ -58,8 +58,7 @@ def similar_legacy(spark, d):
     """
     t = _features(spark, d)
     p = _past(spark, d, t)
-    both = similar_counts(t, p, "venue_code", LEGACY, SIMILAR).unionByName(similar_counts(t, p, "grade", LEGACY, SIMILAR, apart="venue_code"))
-    counts = both.groupBy("id").agg(F.sum("similar").alias("similar"), F.sum("hits").alias("hits"))
+    counts = similar_in_groups(t, p, [("venue_code", None), ("grade", "venue_code")], LEGACY, SIMILAR)
     out = t.select("id").join(counts, "id", "left").join(_synthetic(spark, d), "id", "left").fillna(0)
     rate = F.when(F.col("similar") > 0, F.col("hits") / F.when(F.col("similar") > 0, F.col("similar"))).otherwise(0.0)
     out = out.withColumn("ev", patterns.expected_value(rate, "synth"))
